@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op2_sharding": sharding.query,
+    "op5_quality": quality.query,
+    "op9_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
     "op1_url_filters": url_filter.SQL,
