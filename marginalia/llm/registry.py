@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, toxicity, url_filter
+from . import jaccard_join, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op2_sharding": sharding.query,
     "op5_quality": quality.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op9_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
