@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality, sharding, toxicity, url_filter
+from . import embedding_dedup, jaccard_join, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op5_quality": quality.query,
     "op7_jaccard_join": jaccard_join.query,
     "op9_toxicity": toxicity.query,
+    "op10_embedding_dedup": embedding_dedup.query,
 }
 ORACLE_SQL = {
+    "op10_embedding_dedup": embedding_dedup.SQL,
     "op1_url_filters": url_filter.SQL,
 }
