@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, quality, sharding, toxicity, url_filter
+from . import embedding_dedup, jaccard_join, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op2_sharding": sharding.query,
+    "op3_warc": warc.query,
     "op5_quality": quality.query,
     "op7_jaccard_join": jaccard_join.query,
     "op9_toxicity": toxicity.query,
     "op10_embedding_dedup": embedding_dedup.query,
 }
 ORACLE_SQL = {
+    "op3_warc": warc.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
     "op1_url_filters": url_filter.SQL,
 }
