@@ -6,11 +6,15 @@ Two sets of sizes s and r link when ``den * overlap >= num * union``, that is wh
 *Light* (the smaller set has at most ``boundary`` elements): each set emits the hashes of its subsets of size c(s, r)
 for every partner size r. Sets that meet share c elements, so they link without further checks.
 
-*Heavy*: a set emits its rarest ``s - ceil(num * s / den) + 1`` elements into inverted lists; linked sets meet in at
-least one. Rarity comes from a count sketch of fixed size over the shingles of all documents. Lists are scanned in size
-order, and the sets of each candidate group are then compared exactly, block against block.
+*Heavy*: linked sets of one size class differ in at most H elements. Each class deals the hash space into more than H
+parts, so linked sets agree in a whole part; a set enters one inverted list for each of its parts, and lists are scanned
+in size order. A list of a part is far more selective than one of a single shingle: by chance alone documents share
+rare shingles, but not ten at once. Shingles that very many documents hold (by a count sketch of fixed size over all
+documents) are set apart in a part that has no list, so common passages don't meet in lists; sets made up mostly of such
+shingles, whose other parts are empty, meet in a second dealing of all their shingles. The sets of each candidate group
+are then compared exactly, block against block.
 
-The boundary is the largest size at which the subsets cost no more rows than the prefix and the shipped set would.
+The boundary is the largest size at which the subsets cost no more rows than the parts and the shipped set would.
 
 Equal sets are made one node before anything else. A list is pre-aggregated in every batch to its smallest and largest
 member, so a shingle held by a third of all documents reaches the shuffle a few times a batch. Groups too large for one
@@ -37,6 +41,7 @@ from .shingles import Shingler, fingerprint, mix
 
 CELLS_BITS = 20
 SEGMENTS = 64
+COMMON_SHARE, LEAST_COMMON = 0.001, 50
 BLOCK_SETS, BLOCK_HASHES = 2_000, 1_000_000
 _U = np.uint64
 _ENTRY = "key long, id long, n int, lo int"
@@ -55,9 +60,6 @@ class Threshold:
     def partners(self, s: int) -> range:
         return range(-(-self.num * s // self.den), self.den * s // self.num + 1)
 
-    def prefix(self, s: int) -> int:
-        return s + (-self.num * s // self.den) + 1
-
     def classes(self, s: int, boundary: int) -> list[tuple[int, int, int]]:
         """(smaller size, larger size, elements to leave out) for each partner size that the light part handles."""
         out = []
@@ -69,21 +71,71 @@ class Threshold:
         return out
 
     def boundary(self) -> int:
-        """The largest size up to which subsets cost at most as many rows as the prefix and one shipped set."""
+        """The largest size up to which subsets cost at most as many rows as two dealings into parts and one shipped set."""
         s = 1
-        while sum(comb(s, k) for _, _, k in self.classes(s, s)) <= self.prefix(s) + s:
+        while sum(comb(s, k) for _, _, k in self.classes(s, s)) <= 2 * (self.differ(s) + 2) + s:
             s += 1
         return s - 1
 
+    def differ(self, largest: int) -> int:
+        """How many elements linked sets of at most this size have outside their overlap, together."""
+        return 2 * largest * (self.den - self.num) // (self.den + self.num)
+
+
+class Dealing:
+    """Size classes from ``first`` on, such that linked sets are of one class or of neighbouring ones, and each class's parts."""
+
+    def __init__(self, t: Threshold, first: int) -> None:
+        self.t = t
+        self.lower, self.upper, self.parts, self.slack = [first], [], [], []
+
+    def _grow(self, size: int) -> None:
+        while len(self.upper) < 2 or self.upper[-2] < size:
+            low = self.lower[-1]
+            high = max(low, self.t.den * low // self.t.num)
+            h = self.t.differ(high)
+            slack = 2
+            for _ in range(8):  # room for parts that happen to be empty
+                m = h + 2 + slack
+                slack = 2 + int(np.ceil(3 * m * np.exp(-low / m)))
+            self.upper.append(high)
+            self.parts.append(h + 2 + slack)  # one part more than H is needed, and one is for the common shingles
+            self.slack.append(slack)
+            self.lower.append(high + 1)
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        self._grow(int(sizes.max()))
+        return np.searchsorted(np.array(self.upper), sizes)
+
+
+def deal(hashes: np.ndarray, owner: np.ndarray, count: int, m: np.ndarray, salt: np.ndarray, common: np.ndarray | None):
+    """Part sums of ``count`` sets dealt into m[i] parts each: (cell of the first part of each set, cell sums, cell counts).
+
+    Part 0 takes the common shingles. Sums are of mixed hashes, modulo 2**64.
+    """
+    base = np.concatenate([[0], np.cumsum(m)])
+    spread = mix(hashes + salt[owner])
+    part = 1 + (spread >> _U(33)).astype(np.int64) % (m[owner] - 1)
+    if common is not None:
+        part[common] = 0
+    cell = base[owner] + part
+    x = mix(spread ^ _U(0xC2B2AE3D27D4EB4F))
+    total = base[-1]
+    # Exact in double precision: halves of 32 bits, fewer than 2**21 of them in a part of any set that fits a batch.
+    high = np.bincount(cell, (x >> _U(32)).astype(np.float64), total).astype(np.uint64)
+    low = np.bincount(cell, (x & _U(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
+    return base, (high << _U(32)) + low, np.bincount(cell, minlength=total)
+
 
 def subset_sums(m: np.ndarray, k: int) -> np.ndarray:
     """Hash sums of all subsets that leave out k elements."""
-    total = m.sum(dtype=np.uint64)
+    total = m.sum(dtype=np.uint64, keepdims=True)
     if k == 0:
-        return np.array([total], np.uint64)
+        return total
     if k == 1:
         return total - m
-    return np.array([total - m[list(c)].sum(dtype=np.uint64) for c in combinations(range(len(m)), k)], np.uint64)
+    left_out = np.array(list(combinations(range(len(m)), k)))
+    return total - m[left_out].sum(axis=1, dtype=np.uint64)
 
 
 def scan_lists(key, ids, n, lo, t: Threshold) -> tuple[list, list]:
@@ -156,42 +208,76 @@ def _survey(width: int):
     return run
 
 
-def _emit(width: int, t: Threshold, ranks):
+def part_keys(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, dealing: Dealing, common: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, set numbers) of the inverted lists that these sets enter: each set under its own class and the next one."""
+    out = []
+    kinds = dealing.of(sizes)
+    for step in (0, 1):
+        j = kinds + step
+        m, slack = np.array(dealing.parts)[j], np.array(dealing.slack)[j]
+        salt = mix((j + 1).astype(np.uint64) * _U(2))
+        base, sums, counts = deal(hashes, owner, len(sizes), m, salt, common)
+        whose = np.repeat(np.arange(len(sizes)), m)
+        part = np.arange(base[-1]) - base[whose]
+        full = (counts > 0) & (part > 0)
+        name = lambda sums, part, whose, k, j=j: mix(sums + mix(part.astype(np.uint64) * _U(4) + _U(k)) * (_U(2) * j[whose].astype(np.uint64) + _U(1)))
+        out.append((name(sums, part, whose, 0)[full], whose[full]))
+        empty = m - 1 - np.bincount(whose[full], minlength=len(sizes))
+        poor = empty > slack
+        if poor.any():
+            # Two such sets may agree in nothing but empty parts and the common one, so all their shingles are dealt once more.
+            again = np.flatnonzero(poor)
+            number = np.full(len(sizes), -1)
+            number[again] = np.arange(len(again))
+            mine = poor[owner]
+            base, sums, counts = deal(hashes[mine], number[owner[mine]], len(again), m[again], mix(salt[again]), None)
+            whose = np.repeat(np.arange(len(again)), m[again])
+            part = np.arange(base[-1]) - base[whose]
+            full = (counts > 0) & (part > 0)
+            still = (m[again] - 1 - np.bincount(whose[full], minlength=len(again)) > slack[again])[whose] & (counts == 0) & (part > 0)
+            for chosen, k in ((full, 1), (still, 2)):  # and, where that leaves too many empty too, the empty parts count
+                out.append((name(sums, part, again[whose], k)[chosen], again[whose][chosen]))
+    return out
+
+
+def _emit(width: int, t: Threshold, shared):
     """Second pass: each batch's list entries after local scanning, and the edges found in it (lo < 0)."""
     boundary = t.boundary()
     reach = t.den * boundary // t.num
     by_size = {s: t.classes(s, boundary) for s in range(1, reach + 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rank = Shingler(width), ranks.value
+        shingler, hot, dealing = Shingler(width), shared.value, Dealing(t, boundary + 1)
         for b in batches:
-            keys, owner, lows = [], [], []
-            sets = shingler.sets(b.column(0).to_pylist())
-            ids = np.array([fingerprint(s) if len(s) else 0 for s in sets], np.int64)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            for i, h in enumerate(sets):
-                s = len(h)
-                if s > boundary:
-                    order = np.argsort(rank[(h >> _U(64 - CELLS_BITS)).astype(np.int64)], kind="stable")
-                    k = h[order[: t.prefix(s)]]
+            sets = [s for s in {fingerprint(s): s for s in shingler.sets(b.column(0).to_pylist()) if len(s)}.items()]
+            if not sets:
+                continue
+            ids = np.array([f for f, _ in sets], np.int64)
+            sizes = np.array([len(h) for _, h in sets], np.int64)
+            keys, owners, lows = [], [], []
+            large = np.flatnonzero(sizes > boundary)
+            if len(large):
+                hashes = np.concatenate([sets[i][1] for i in large])
+                owner = np.repeat(np.arange(len(large)), sizes[large])
+                for k, who in part_keys(hashes, owner, sizes[large], dealing, hot[(hashes >> _U(64 - CELLS_BITS)).astype(np.int64)]):
                     keys.append(k)
-                    owner.append(np.full(len(k), i))
+                    owners.append(large[who])
                     lows.append(np.zeros(len(k), np.int64))
-                if 0 < s <= reach:
-                    m = mix(h ^ _U(0xA0761D6478BD642F))
-                    for lo, hi, out in by_size[s]:
-                        if lo == hi and out == 0:
-                            continue  # equal sets are one node already
-                        k = mix(subset_sums(m, out) + _U(lo * 1_000_003 + hi))
-                        keys.append(k)
-                        owner.append(np.full(len(k), i))
-                        lows.append(np.full(len(k), lo))
+            for i in np.flatnonzero(sizes <= reach):
+                m = mix(sets[i][1] ^ _U(0xA0761D6478BD642F))
+                for lo, hi, out in by_size[int(sizes[i])]:
+                    if lo == hi and out == 0:
+                        continue  # equal sets are one node already
+                    k = mix(subset_sums(m, out) + _U(lo * 1_000_003 + hi))
+                    keys.append(k)
+                    owners.append(np.full(len(k), i))
+                    lows.append(np.full(len(k), lo))
             if not keys:
                 continue
-            owners = np.concatenate(owner)
-            key, who, n, lo = _distinct_sorted(np.concatenate(keys).view(np.int64), ids[owners], sizes[owners], np.concatenate(lows))
-            edges, on = scan_lists(key, who, n, lo, t)
-            yield _rows(key[on], who[on], n[on], lo[on])
+            who = np.concatenate(owners)
+            key, node, n, lo = _distinct_sorted(np.concatenate(keys).view(np.int64), ids[who], sizes[who], np.concatenate(lows))
+            edges, on = scan_lists(key, node, n, lo, t)
+            yield _rows(key[on], node[on], n[on], lo[on])
             if edges:
                 e = np.array(sorted(set(edges)), np.int64)
                 yield _rows(e[:, 0], e[:, 1], np.zeros(len(e)), e[:, 2])
@@ -324,10 +410,10 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     counts = merge_dense(first.where("seg IS NOT NULL").select("seg", "data"), "sum")
     if not len(counts):
         return meta.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    # Rarity in eighths of an octave, one byte a cell: 1 MB at any size of the corpus.
-    ranks = spark.sparkContext.broadcast(np.minimum(255, np.log2(counts + 1.0) * 8).astype(np.uint8))
+    # Cells that stand out from the mean load hold a shingle of very many documents. One byte a cell, 1 MB at any size of the corpus.
+    hot = spark.sparkContext.broadcast(counts > counts.mean() + np.maximum(LEAST_COMMON, meta.count() * COMMON_SHARE))
 
-    entries = rows.select("text").mapInArrow(_emit(width, t, ranks), _ENTRY)
+    entries = rows.select("text").mapInArrow(_emit(width, t, hot), _ENTRY)
     edges = cut(entries.repartition(n, "key").sortWithinPartitions("key", "n", "id").mapInArrow(_scan(t), "u long, v long, kind int").distinct())
     groups = cut(components(edges.where(F.col("kind") == CANDIDATE)))
 
