@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +18,27 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application; the driver's file server carries it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    handle, archive = tempfile.mkstemp(prefix="marginalia-", suffix=".zip")
+    with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(archive)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the operators rely on: a checkpoint folder (only where none is set) and short Arrow batches."""
+    """Set what the operators rely on: the package on the executors, a checkpoint folder (only where none is set) and short Arrow batches."""
     context = spark.sparkContext
+    ship_package(spark)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marginalia-checkpoint-"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, quality, sharding, toxicity, url_filter, warc
+from . import decontaminate, embedding_dedup, jaccard_join, quality, sentencepiece, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op2_sharding": sharding.query,
     "op3_warc": warc.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_quality": quality.query,
+    "op6_sentencepiece": sentencepiece.query,
     "op7_jaccard_join": jaccard_join.query,
     "op9_toxicity": toxicity.query,
     "op10_embedding_dedup": embedding_dedup.query,
