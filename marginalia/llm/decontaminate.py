@@ -133,16 +133,10 @@ class Matcher:
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, distance, start, end): every item that occurs in a document within its error budget."""
-    spark = prepare(docs.sparkSession)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    rounds = -(-total // MAX_CHARS) or 1
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for r in range(rounds):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r) if rounds > 1 else items
-        known = [(i.item_id, t) for i in part.orderBy("item_id", "text").toLocalIterator() if (t := normal(i.text))]
-        shared = spark.sparkContext.broadcast(known)  # about MAX_CHARS characters
+    for shared in _item_sets(items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
@@ -156,5 +150,32 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id
     return out
 
 
+def _item_sets(items: DataFrame) -> Iterator:
+    """The items as one or more broadcast lists of about ``MAX_CHARS`` characters each."""
+    spark = items.sparkSession
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    rounds = -(-total // MAX_CHARS) or 1
+    for r in range(rounds):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r) if rounds > 1 else items
+        yield spark.sparkContext.broadcast([(i.item_id, t) for i in part.orderBy("item_id", "text").toLocalIterator() if (t := normal(i.text))])
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no item occurs within its error budget. A narrow pass for each item set."""
+    prepare(docs.sparkSession)
+    out = docs
+    at = docs.columns.index("text")
+    for shared in _item_sets(items):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, rate)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.matches(normal(t)) for t in b.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

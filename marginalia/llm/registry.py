@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, jaccard_join, quality, sentencepiece, sharding, toxicity, url_filter, warc
+import corpus_pipeline
+
+from . import decontaminate, embedding_dedup, html_extract, jaccard_join, quality, sentencepiece, sharding, toxicity, url_filter, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_url_filters": url_filter.query,
     "op2_sharding": sharding.query,
     "op3_warc": warc.query,
@@ -12,6 +15,7 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_sentencepiece": sentencepiece.query,
     "op7_jaccard_join": jaccard_join.query,
+    "op8_html_extract": html_extract.query,
     "op9_toxicity": toxicity.query,
     "op10_embedding_dedup": embedding_dedup.query,
 }
