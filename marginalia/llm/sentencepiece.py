@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 MARK = "▁"
-KNOWN_PARTS = 150_000
+KNOWN_PARTS = 300_000
 _PARTS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 _LONG = 64  # bytes; longer parts are encoded in groups of their own
 
@@ -116,8 +116,7 @@ class Codec:
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
         self.known: dict[str, int] = {}
-        self.starts: list[int] = [0]
-        self.pool: list[np.ndarray] = []
+        self.lengths, self.starts, self.pool = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def viterbi(self, parts: list[bytes]) -> list[np.ndarray]:
         """The best path of each part. Ties go to the path found first: longer pieces from later starts don't replace an equal score."""
@@ -168,43 +167,62 @@ class Codec:
                         better = score > best[r, d + 1]
                         r = r[better]
                         best[r, d + 1], came[r, d + 1], piece[r, d + 1] = score[better], i, number[ends][better]
-            came_l, piece_l = came.tolist(), piece.tolist()
+            # All paths are walked back together, a piece at a time.
+            at, rows, step, walked = lengths.copy(), np.flatnonzero(lengths > 0), 0, []
+            steps, odd = np.zeros(n, np.int64), np.zeros(n, bool)
+            while len(rows):
+                number = piece[rows, at[rows]]
+                odd[rows[number < 0]] = True
+                walked.append((rows, number))
+                steps[rows] = step = step + 1
+                at[rows] = came[rows, at[rows]]
+                rows = rows[at[rows] > 0]
+            ends = np.cumsum(steps)
+            flat_ids = np.zeros(int(ends[-1]) if n else 0, np.int32)
+            for i, (rows, number) in enumerate(walked):
+                flat_ids[ends[rows] - 1 - i] = v.ids[np.maximum(number, 0)]
+            bounds = (ends - steps).tolist()
             for k in range(n):
-                at, path = len(group[k]), []
-                while at > 0:
-                    p, back = piece_l[k][at], came_l[k][at]
-                    if p >= 0:
-                        path.append(int(v.ids[p]))
-                    else:
-                        path += [int(v.byte_ids[c]) for c in reversed(group[k][back:at])]
-                    at = back
+                out[order[s + k]] = flat_ids[bounds[k] : bounds[k] + int(steps[k])]
+            for k in np.flatnonzero(odd).tolist():  # characters without a piece become their bytes
+                at_k, path = len(group[k]), []
+                while at_k > 0:
+                    p, back = int(piece[k, at_k]), int(came[k, at_k])
+                    path += [int(v.ids[p])] if p >= 0 else [int(v.byte_ids[c]) for c in reversed(group[k][back:at_k])]
+                    at_k = back
                 out[order[s + k]] = np.array(path[::-1], np.int32)
             s = e
         return out
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
         if len(self.known) > KNOWN_PARTS:
-            self.known.clear()
-            self.pool.clear()
+            self.__init__(self.v)
         split: list[list[str] | None] = []
         for t in texts:
             if t is None:
                 split.append(None)
                 continue
-            # A marker in the text itself is shielded as U+0000 U+2581 until the bytes are made.
+            # A marker in the text itself is shielded as U+0000 U+0001 until the bytes are made.
             shielded = t.replace("\0", "\0\0").replace(MARK, "\0\1") if MARK in t or "\0" in t else t
             split.append(_PARTS.findall(MARK + shielded.replace(" ", MARK)))
-        fresh = list({p for parts in split if parts for p in parts if p not in self.known})
-        plain = [p for p in fresh if "\0" not in p]
-        for p, ids in zip(plain, self.viterbi([p.encode("utf-8", "surrogatepass") for p in plain]), strict=True):
-            self.known[p] = len(self.pool)
-            self.pool.append(ids)
-        for p in fresh:
-            if "\0" in p:
-                self.known[p] = len(self.pool)
-                self.pool.append(self._shielded(p))
-        pool, known = self.pool, self.known
-        return [None if parts is None else np.concatenate([pool[known[p]] for p in parts]) for parts in split]
+        known = self.known
+        fresh = list({p for parts in split if parts for p in parts} - known.keys())
+        if fresh:
+            plain = [p for p in fresh if "\0" not in p]
+            odd = [p for p in fresh if "\0" in p]
+            paths = self.viterbi([p.encode("utf-8", "surrogatepass") for p in plain]) + [self._shielded(p) for p in odd]
+            known.update(zip(plain + odd, range(len(self.lengths), len(self.lengths) + len(paths)), strict=True))
+            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, paths), np.int64, len(paths))])
+            self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+            self.pool = np.concatenate([self.pool, *paths])
+        counts = [len(parts) for parts in split if parts is not None]
+        which = np.fromiter((known[p] for parts in split if parts for p in parts), np.int64, sum(counts))
+        lengths = self.lengths[which]
+        ends = np.cumsum(lengths)
+        flat = self.pool[np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.concatenate([[0], ends])[np.cumsum([0, *counts])].tolist()
+        pieces = iter([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        return [None if parts is None else next(pieces) for parts in split]
 
     def _shielded(self, part: str) -> np.ndarray:
         """A part with shielded characters: these go as bytes, what lies between them is encoded as usual."""
@@ -243,8 +261,8 @@ def encode(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for b in batches:
-            for s in range(0, b.num_rows, 250):
-                part = b.slice(s, 250)
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 ids = codec.encode(texts)
                 flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
