@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op3_warc": warc.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
     "op1_url_filters": url_filter.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
 }
