@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,6 @@ def _parts(c: Column | str) -> Column:
     return F.split(strip(c), r"(?U)\s+")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: it becomes a lambda's variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def position(c: Column | str) -> Column:
     """Position struct of "page sequence char_pos unknown x y width height"; the short form has the first four.
 

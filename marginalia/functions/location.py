@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 WORDS_PER_LOCATION = 150
 LOCATIONS_PER_PAGE = 10
@@ -26,43 +26,47 @@ def location_page(loc: Column) -> Column:
 def decode(c: Column | str) -> Column:
     """struct of "a-b" (range), "a" (single), digits somewhere (extracted) or neither (error)."""
     c = _col(c)
-    s = strip(F.coalesce(c, F.lit("")))
-    range_form = r"\A\s*(\d+)\s*-\s*(\d+)\s*\z"
-    a, b = F.regexp_extract(s, range_form, 1).try_cast("int"), F.regexp_extract(s, range_form, 2).try_cast("int")
-    ranged = a.isNotNull() & b.isNotNull()
-    whole = F.regexp_extract(s, r"\A[+-]?\d+\z", 0).try_cast("int")
-    digits = F.regexp_extract(s, r"\d+", 0).try_cast("int")
-    kind = F.when(s == "", "error").when(ranged, "range").when(whole.isNotNull(), "single").when(digits.isNotNull(), "extracted").otherwise("error")
-    loc = F.when(kind == "range", a).when(kind == "single", whole).when(kind == "extracted", digits)
-    return F.struct(
-        kind.alias("type"),
-        loc.alias("start_location"),
-        F.when(kind == "range", b).otherwise(loc).alias("end_location"),
-        F.when(kind == "range", b - a + 1).alias("span"),
-        F.when(kind == "range", (b - a + 1) * WORDS_PER_LOCATION).when(kind == "single", WORDS_PER_LOCATION).alias("estimated_words"),
-        F.when(loc.isNotNull(), location_page(loc)).alias("estimated_page"),
-        c.alias("original"),
-        F.when(s == "", "empty location").when(kind == "error", "no number in location").alias("error"),
-    )
+
+    def parse(s: Column) -> Column:
+        # Group 1 and 2 of a range; a whole number; the first digits.
+        part = lambda p, i: F.nullif(F.regexp_extract(s, p, i), F.lit("")).try_cast("int")
+        return F.struct(s.alias("s"), part(r"\A(\d+)\s*-\s*(\d+)\z", 1).alias("a"), part(r"\A(\d+)\s*-\s*(\d+)\z", 2).alias("b"), part(r"\A[+-]?\d+\z", 0).alias("whole"), part(r"\d+", 0).alias("digits"))
+
+    def shaped(v: Column) -> Column:
+        s, a, b, whole, digits = (v.getField(n) for n in ("s", "a", "b", "whole", "digits"))
+        ranged = b.isNotNull()
+        loc = F.coalesce(a, whole, digits)
+        kind = F.when(ranged, "range").when(whole.isNotNull(), "single").when(digits.isNotNull(), "extracted").otherwise("error")
+        return F.struct(
+            kind.alias("type"),
+            loc.alias("start_location"),
+            F.when(ranged, b).otherwise(loc).alias("end_location"),
+            F.when(ranged, b - a + 1).alias("span"),
+            F.when(ranged, (b - a + 1) * WORDS_PER_LOCATION).when(whole.isNotNull(), WORDS_PER_LOCATION).alias("estimated_words"),
+            F.when(loc.isNotNull(), location_page(loc)).alias("estimated_page"),
+            c.alias("original"),
+            F.when(s == "", "empty location").when(loc.isNull(), "no number in location").alias("error"),
+        )
+
+    return let(let(strip(F.coalesce(c, F.lit(""))), parse), shaped)
 
 
 def normalize(c: Column | str) -> Column:
     """"a-b" or "a"; a text without a number is kept."""
-    d = decode(c)
-    f = d.getField
-    return F.when(f("type") == "range", F.concat_ws("-", f("start_location").cast("string"), f("end_location").cast("string"))).when(
-        f("type").isin("single", "extracted"), f("start_location").cast("string")
-    ).otherwise(_col(c))
+    one = lambda f: F.when(f("type") == "range", F.concat_ws("-", f("start_location").cast("string"), f("end_location").cast("string"))).otherwise(f("start_location").cast("string"))
+    return F.coalesce(let(decode(c), lambda d: one(d.getField)), _col(c))
 
 
 def compare(a: Column | str, b: Column | str) -> Column:
     """struct<difference, first_is_earlier, pages_apart, error> of two location strings."""
-    x, y = decode(a).getField("start_location"), decode(b).getField("start_location")
-    bad = x.isNull() | y.isNull()
-    d = F.abs(x - y)
-    return F.struct(
-        F.when(~bad, d).alias("difference"), F.when(~bad, x < y).alias("first_is_earlier"), F.when(~bad, _floor_div(d, LOCATIONS_PER_PAGE)).alias("pages_apart"), F.when(bad, "a location can't be read").alias("error")
-    )
+
+    def shaped(v: Column) -> Column:
+        x, y = v.getField("x"), v.getField("y")
+        bad = x.isNull() | y.isNull()
+        d = F.abs(x - y)
+        return F.struct(d.alias("difference"), F.when(~bad, x < y).alias("first_is_earlier"), _floor_div(d, LOCATIONS_PER_PAGE).alias("pages_apart"), F.when(bad, "a location can't be read").alias("error"))
+
+    return let(F.struct(decode(a).getField("start_location").alias("x"), decode(b).getField("start_location").alias("y")), shaped)
 
 
 def percentage(loc: Column, total: Column) -> Column:

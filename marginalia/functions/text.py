@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: it becomes a lambda's variable, so big expressions aren't repeated."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column | str) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(_col(c), f"(?U){BLANK}+", " "))
@@ -76,8 +83,7 @@ def search_variants(c: Column | str) -> list[Column]:
 
 def words(c: Column | str) -> Column:
     """Non-empty words of a collapsed text; none for a blank one."""
-    c = collapse(c)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    return let(collapse(c), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def tokenize(c: Column | str) -> Column:
@@ -195,24 +201,23 @@ def clean_filename(c: Column | str) -> Column:
 
 def word_similarity(a: Column | str, b: Column | str) -> Column:
     """Share of positions with equal words, of the longer text's length; 0 for two blank texts."""
-    x, y = words(a), words(b)
-    n = F.least(F.size(x), F.size(y))
-    equal = F.aggregate(
-        F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v
-    )
-    most = F.greatest(F.size(x), F.size(y))
-    return F.when(most == 0, F.lit(0.0)).otherwise(equal / most)
+
+    def share(v: Column) -> Column:
+        x, y = v.getField("x"), v.getField("y")
+        n, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+        equal = F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: (p == q).cast("int"))
+        return F.when(most == 0, F.lit(0.0)).otherwise(F.aggregate(equal, F.lit(0), lambda s, e: s + e) / most)
+
+    return let(F.struct(words(a).alias("x"), words(b).alias("y")), share)
 
 
-def first_words(c: Column | str, counts: tuple[int, ...] = (10, 7, 5)) -> list[Column]:
-    """Candidates of the prefix search: the first n words where the text has more, else null."""
-    w = words(c)
+def first_words(w: Column, counts: tuple[int, ...] = (10, 7, 5)) -> list[Column]:
+    """Candidates of the prefix search from an array of words: the first n where there are more, else null."""
     return [F.when(F.size(w) > n, F.array_join(F.slice(w, 1, n), " ")) for n in counts]
 
 
-def last_words(c: Column | str, ratios: tuple[float, ...] = (0.8, 0.6, 0.4)) -> list[Column]:
-    """Candidates of the reverse search: the last share of the words; from where fewer than three are left all are null."""
-    w = words(c)
+def last_words(w: Column, ratios: tuple[float, ...] = (0.8, 0.6, 0.4)) -> list[Column]:
+    """Candidates of the reverse search from an array of words: the last share of them; from where fewer than three are left all are null."""
     out, alive = [], F.lit(True)
     for r in ratios:
         k = (F.size(w) * F.lit(r)).cast("int")

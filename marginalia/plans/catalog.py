@@ -132,7 +132,7 @@ def resolve_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book_id", "ord", "type", "page", F.round("pdf_x", 6).alias("pdf_x"), F.round("pdf_y", 6).alias("pdf_y"), "source", "content", "timestamp")
 
 
-@query("SELECT count_if(event_type LIKE '%i%') AS highlights, count_if(event_type NOT LIKE '%i%' AND event_type LIKE '%a%') AS notes, count_if(event_type NOT LIKE '%i%' AND event_type NOT LIKE '%a%') AS bookmarks FROM events")
+@query("SELECT CAST(count_if(event_type LIKE '%i%') AS BIGINT) AS highlights, CAST(count_if(event_type NOT LIKE '%i%' AND event_type LIKE '%a%') AS BIGINT) AS notes, CAST(count_if(event_type NOT LIKE '%i%' AND event_type NOT LIKE '%a%') AS BIGINT) AS bookmarks FROM events")
 def type_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.table(spark, sf_dir, "events")
     named = F.when(F.contains("event_type", F.lit("i")), "annotation.personal.highlight").when(F.contains("event_type", F.lit("a")), "annotation.personal.note").otherwise("annotation.personal.bookmark")
@@ -195,12 +195,12 @@ def _last(r: float) -> str:
 @query(
     f"""WITH c AS ({_PASSAGES}), d AS (SELECT doc_id, {_COLLAPSE.format('text')} AS t FROM documents),
 m AS (SELECT item_id, doc_id, coalesce({', '.join(f"CASE WHEN len({_WORDS}) > {n} AND contains(t, {_first(n)}) THEN {n} END" for n in (10, 7, 5))}) AS n_words FROM c CROSS JOIN d)
-SELECT item_id, doc_id, n_words FROM m WHERE n_words IS NOT NULL"""
+SELECT item_id, doc_id, CAST(n_words AS BIGINT) AS n_words FROM m WHERE n_words IS NOT NULL"""
 )
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = I.passages(spark, sf_dir).select("item_id", T.collapse("content").alias("s"))
     d = I.table(spark, sf_dir, "documents").select("doc_id", T.collapse("text").alias("t"))
-    ten, seven, five = T.first_words("s")
+    five = T.first_words(T.words("s"))[-1]
     # Whatever has more words in common has the first five: one condition for the join, the rest for what is left.
     j = c.join(d, F.contains(F.col("t"), five))
     return j.select("item_id", "doc_id", F.size(T.words(matching.prefix_match(F.col("s"), F.col("t")))).cast("long").alias("n_words"))
@@ -556,9 +556,9 @@ def page_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.by_page(I.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("page")))
 
 
-def _page_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _page_sets(spark: SparkSession, sf_dir: str, column: str = "l_partkey") -> tuple[DataFrame, DataFrame]:
     o, li = I.table(spark, sf_dir, "orders"), I.table(spark, sf_dir, "lineitem")
-    return o.select((F.col("o_custkey") + 1).alias("page")), li.select(F.col("l_partkey").alias("page"))
+    return o.select((F.col("o_custkey") + 1).alias("page")), li.select(F.col(column).alias("page"))
 
 
 @query("SELECT o_custkey + 1 AS page FROM orders INTERSECT SELECT l_partkey FROM lineitem")
@@ -566,9 +566,9 @@ def pages_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.shared_pages(*_page_sets(spark, sf_dir))
 
 
-@query("SELECT o_custkey + 1 AS page FROM orders EXCEPT SELECT l_partkey FROM lineitem")
+@query("SELECT o_custkey + 1 AS page FROM orders EXCEPT SELECT l_suppkey FROM lineitem")
 def pages_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.pages_only_in(*_page_sets(spark, sf_dir))
+    return reports.pages_only_in(*_page_sets(spark, sf_dir, "l_suppkey"))
 
 
 @query(
