@@ -3,7 +3,7 @@
 A rule is ``host/path`` with an action; it fits the host and all its subdomains if the URL's path starts with the
 rule's path, and the longest rule that fits wins. Each rule becomes the glob ``*.host<SEP>path*`` over the canonical
 form ``.host<SEP>path``. All globs sit one behind the other in one bit vector of as many 64-bit words as needed; a step
-of the automaton is ``D = (((D << 1) | starts) & mask[byte]) | (D & loops)`` for a whole block of URLs at once.
+of the automaton is ``D = ((((D << 1) & inner) | starts) & mask[byte]) | (D & loops)`` for a whole block of URLs at once.
 
 Defined results: a null URL or one without ``://`` has empty host and path and gets no rule; a URL without a rule gets
 the default verdict; equal rows give equal results; an empty table gives no rows. Of two rules of one length that both
@@ -64,15 +64,17 @@ class ShiftAnd:
             self.ends.append(len(states) - 1)
         self.words = max(1, -(-len(states) // 64))
         self.masks = np.zeros((256, self.words), np.uint64)
-        self.loops, self.always, self.first = (np.zeros(self.words, np.uint64) for _ in range(3))
+        self.loops, self.always, self.first, begin = (np.zeros(self.words, np.uint64) for _ in range(4))
         for i, (b, loop) in enumerate(states):
             self.masks[b, i // 64] |= np.uint64(1 << (i % 64))
             if loop:
                 self.loops[i // 64] |= np.uint64(1 << (i % 64))
         for s, e, begins, ends in zip(self.starts, self.ends, begins_open, ends_open, strict=True):
             (self.always if begins else self.first)[s // 64] |= np.uint64(1 << (s % 64))
+            begin[s // 64] |= np.uint64(1 << (s % 64))
             if ends:
                 self.loops[e // 64] |= np.uint64(1 << (e % 64))
+        self.inner = ~begin  # a glob's first state is not reached from the last one of the glob before it
 
     def accepts(self, texts: Sequence[bytes]) -> np.ndarray:
         """Boolean matrix (texts, globs). Texts are taken longest first, so each step touches only those still running."""
@@ -89,7 +91,7 @@ class ShiftAnd:
             d = state[:alive]
             moved = d << one
             moved[:, 1:] |= d[:, :-1] >> top
-            moved |= self.always if at else (self.always | self.first)
+            moved = (moved & self.inner) | (self.always if at else (self.always | self.first))
             state[:alive] = (moved & self.masks[flat[offsets[:alive] + at]]) | (d & self.loops)
         out = np.zeros((len(texts), len(self.ends)), bool)
         for k, e in enumerate(self.ends):
