@@ -67,12 +67,12 @@ def clippings_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH l AS ({I.LOGS_SQL}), b AS (SELECT DISTINCT conv_id AS book FROM conversations WHERE conv_id % 10 = 0)
+    f"""WITH l AS ({I.LOGS_SQL}), b AS (SELECT DISTINCT conv_id AS book FROM conversations)
 SELECT 'Book ' || b.book || '.pdf' AS book_id, CASE WHEN kind = 'Note' THEN 'note' ELSE 'highlight' END AS type, page_no AS pdf_page,
  'Monday, March 4, 2024 1:02:0' || (turn % 10) || ' PM' AS timestamp, count(*) AS n FROM l JOIN b ON contains(lower(title_line), 'book ' || b.book) GROUP BY ALL"""
 )
 def book_scoped_clippings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = I.table(spark, sf_dir, "conversations").where("conv_id % 10 = 0").select(F.concat(F.lit("Book "), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("book_id")).distinct().withColumn("name", F.col("book_id"))
+    books = I.table(spark, sf_dir, "conversations").select(F.concat(F.lit("Book "), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("book_id")).distinct().withColumn("name", F.col("book_id"))
     got = clipping_source.parse_for_books(I.logs(spark, sf_dir), books)
     return got.groupBy("book_id", "type", F.col("pdf_page").cast("long").alias("pdf_page"), "timestamp").agg(F.count("*").alias("n"))
 
@@ -239,15 +239,13 @@ def anchored_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.anchored(j).select("item_id", "doc_id", "start", "end", F.round("ratio", 6).alias("ratio"), F.round("word_ratio", 6).alias("word_ratio"))
 
 
-@query(
-    """SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_'']+|[^a-z0-9_'' \\t\\n\\r\\x0b\\x0c]')) AS n_tokens, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9_'']+|[^a-z0-9_'' \\t\\n\\r\\x0b\\x0c]'), '|')) AS digest
-FROM documents WHERE regexp_full_match(text, '[\\x00-\\x1b\\x20-\\x7f]*')"""
-)
+_TOKEN = "[\\p{L}\\p{M}\\p{N}\\p{Pc}'']+|[^\\p{L}\\p{M}\\p{N}\\p{Pc}'' \\t\\n\\r\\x0b\\x0c]"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(lower(text), '{_TOKEN}')) AS n_tokens, md5(array_to_string(regexp_extract_all(lower(text), '{_TOKEN}'), '|')) AS digest FROM documents")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the texts that are plain ASCII: elsewhere the SQL dialects differ in what a word character is."""
-    d = I.table(spark, sf_dir, "documents").where(F.regexp_like("text", F.lit(r"\A[\x00-\x1b\x20-\x7f]*\z")))
     t = T.tokenize("text")
-    return d.select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, "|").cast("binary")).alias("digest"))
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, "|").cast("binary")).alias("digest"))
 
 
 @query(
@@ -345,12 +343,12 @@ def dedup_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS ({I.POINTS_SQL} WHERE l_linenumber > 5), n AS (SELECT * FROM p WHERE type = 'note'), h AS (SELECT * FROM p WHERE type = 'highlight')
+    f"""WITH p AS ({I.POINTS_SQL}), n AS (SELECT * FROM p WHERE type = 'note'), h AS (SELECT * FROM p WHERE type = 'highlight')
 SELECT n.book_id, n.page, n.ord AS note_ord, h.ord AS highlight_ord FROM n JOIN h ON n.book_id = h.book_id AND n.page = h.page AND (
  (abs(n.pdf_x - h.pdf_x) <= 5 AND abs(n.pdf_y - h.pdf_y) <= 5) OR (abs(h.pdf_x_end - n.pdf_x) <= 5 AND abs(h.pdf_y_end - n.pdf_y) <= 5) OR (abs(n.pdf_x_end - h.pdf_x) <= 5 AND abs(n.pdf_y_end - h.pdf_y) <= 5))"""
 )
 def note_highlight_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.candidates(I.point_rows(spark, sf_dir).where("ord % 10 > 5"))
+    return dedup.candidates(I.point_rows(spark, sf_dir))
 
 
 @query(f"WITH p AS ({I.POINTS_SQL}) SELECT book_id, page, round(pdf_x, 1) AS x, round(pdf_y, 1) AS y, count(*) AS n FROM p GROUP BY ALL HAVING count(*) > 1")
