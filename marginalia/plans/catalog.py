@@ -175,9 +175,10 @@ SELECT item_id, doc_id, strpos(lower(t), lower(s)) AS start FROM c JOIN d ON con
 )
 def text_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clippings on pages: whole phrases, with the place where each begins."""
-    c = I.table(spark, sf_dir, "benchmark").select("item_id", T.collapse("text").alias("s")).where("s <> ''")
-    d = I.table(spark, sf_dir, "documents").select("doc_id", T.collapse("text").alias("t"))
-    return c.join(d, F.contains(F.lower("t"), F.lower("s"))).select("item_id", "doc_id", matching.instr(F.lower("t"), F.lower("s")).cast("long").alias("start"))
+    c = I.table(spark, sf_dir, "benchmark").select("item_id", F.lower(T.collapse("text")).alias("s")).where("s <> ''")
+    d = I.table(spark, sf_dir, "documents").select("doc_id", F.lower(T.collapse("text")).alias("t"))
+    found = matching.join_containing(c, d, "s", "t", "item_id", "doc_id")
+    return found.select("item_id", "doc_id", matching.instr(F.col("t"), F.col("s")).cast("long").alias("start"))
 
 
 _WORDS = "string_split(s, ' ')"
@@ -200,9 +201,9 @@ SELECT item_id, doc_id, CAST(n_words AS BIGINT) AS n_words FROM m WHERE n_words
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = I.passages(spark, sf_dir).select("item_id", T.collapse("content").alias("s"))
     d = I.table(spark, sf_dir, "documents").select("doc_id", T.collapse("text").alias("t"))
-    five = T.first_words(T.words("s"))[-1]
     # Whatever has more words in common has the first five: one condition for the join, the rest for what is left.
-    j = c.join(d, F.contains(F.col("t"), five))
+    c = c.withColumn("five", T.first_words(T.words("s"))[-1])
+    j = matching.join_containing(c, d, "five", "t", "item_id", "doc_id")
     return j.select("item_id", "doc_id", F.size(T.words(matching.prefix_match(F.col("s"), F.col("t")))).cast("long").alias("n_words"))
 
 
@@ -214,7 +215,9 @@ SELECT item_id, doc_id, n_words FROM m WHERE n_words IS NOT NULL"""
 def reverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = I.passages(spark, sf_dir).select("item_id", T.collapse("content").alias("s"))
     d = I.table(spark, sf_dir, "documents").select("doc_id", T.collapse("text").alias("t"))
-    j = c.join(d, matching.reverse_match(F.col("s"), F.col("t")).isNotNull())
+    # Every longer ending ends in the shortest one.
+    c = c.withColumn("least", F.coalesce(*reversed(T.last_words(T.words("s")))))
+    j = matching.join_containing(c, d, "least", "t", "item_id", "doc_id")
     return j.select("item_id", "doc_id", F.size(T.words(matching.reverse_match(F.col("s"), F.col("t")))).cast("long").alias("n_words"))
 
 
@@ -224,8 +227,9 @@ SELECT item_id FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE contains(t, s))"""
 )
 def unmatched_clippings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = I.passages(spark, sf_dir).select("item_id", T.collapse("content").alias("s"))
-    d = I.table(spark, sf_dir, "documents").select(T.collapse("text").alias("t"))
-    return c.join(d, F.contains("t", F.col("s")), "left_anti").select("item_id")
+    d = I.table(spark, sf_dir, "documents").select("doc_id", T.collapse("text").alias("t"))
+    found = matching.join_containing(c, d, "s", "t", "item_id", "doc_id").select("item_id").distinct()
+    return c.join(found, "item_id", "left_anti").select("item_id")
 
 
 @query()
@@ -235,7 +239,8 @@ def anchored_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = T.words("content")
     spoiled = b.withColumn("content", F.array_join(F.concat(F.slice(w, 1, 8), F.array(F.lit("zzz")), F.slice(w, F.lit(10), F.size(w))), " "))
     d = I.table(spark, sf_dir, "documents").select("doc_id", T.normalize_page("text").alias("page_norm"))
-    j = spoiled.withColumn("search_norm", T.normalize_page("content")).join(d, F.contains(F.col("page_norm"), F.array_join(F.slice(T.words("search_norm"), 1, 5), " ")))
+    c = spoiled.withColumn("search_norm", T.normalize_page("content")).withColumn("five", F.array_join(F.slice(T.words("search_norm"), 1, 5), " "))
+    j = matching.join_containing(c, d, "five", "page_norm", "item_id", "doc_id")
     return matching.anchored(j).select("item_id", "doc_id", "start", "end", F.round("ratio", 6).alias("ratio"), F.round("word_ratio", 6).alias("word_ratio"))
 
 

@@ -185,6 +185,16 @@ def test_strategies(spark, content, strategy):
     assert len(missing) == (strategy is None)
 
 
+def test_phrases_in_texts(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice(["a", "b", "ab", "ba", "c"])
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(99, None)]
+    phrases = [(i, " ".join(word() for _ in range(rng.randint(1, 8)))) for i in range(60)] + [(98, None)]
+    p, t = spark.createDataFrame(phrases, "pid int, phrase string"), spark.createDataFrame(texts, "tid int, body string")
+    got = sorted((r.pid, r.tid) for r in matching.join_containing(p, t, "phrase", "body", "pid", "tid").collect())
+    assert got == sorted((i, j) for i, s in phrases for j, b in texts if s is not None and b is not None and s in b)
+
+
 def test_titles(spark):
     clips = spark.createDataFrame([("My-Book_One",), ("Else",)], "title string")
     books = spark.createDataFrame([("x", "my book", 1), ("y", "My Book One (2nd)", 0)], "book_id string, title string, ord long")
