@@ -156,6 +156,12 @@ def blocks(page: str | None) -> list[Block]:
             if tag != "p":
                 anchors = 0
             continue
+        if tag in RAW:  # what isn't shown doesn't break the text around it
+            end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+            at = end.end() if end else length
+            continue
+        if tag in VOID and tag != "hr":
+            continue
         flush()
         if tag in _CLOSES_P and "p" in names:
             pop_to(len(names) - 1 - names[::-1].index("p"))
@@ -173,10 +179,6 @@ def blocks(page: str | None) -> list[Block]:
         attributes = m.group(3) if m.group(2) else m.group(6)
         if tag in VOID or attributes.rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        if tag in RAW:
-            end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = end.end() if end else length
-            continue
         names.append(tag)
         cues.append(_cues_of(attributes) if attributes.strip() else frozenset())
         hidden += tag in HIDDEN
