@@ -67,7 +67,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.export_json:
         sinks.export_json(annotations.final_order(resolved), a.export_json)
     if a.learn_output and a.clippings:
-        sinks.export_unmatched(pipeline.unmatched_clippings(clips, pages, labels), a.learn_output)
+        sinks.export_unmatched(pipeline.unmatched_clippings(clips, pages, words, labels), a.learn_output)
     if resolved.isEmpty():
         return 0
     commands = cut(pipeline.draw_commands(resolved, pages, words))

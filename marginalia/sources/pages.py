@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.geometry import rect
-from ..schemas import RECTS, WORD
+from ..schemas import CHARS, RECT, RECTS, WORD
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +41,23 @@ def page_text(words: DataFrame) -> DataFrame:
     return line.groupBy("book_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x.getField("text")), "\n").alias("text"))
 
 
+def page_chars(words: DataFrame) -> DataFrame:
+    """Each page's text as :func:`page_text` makes it, with its characters: struct<ch, box>, a word's box dealt evenly, no box for white space."""
+    blank = lambda c: F.array(F.struct(F.lit(c).alias("ch"), F.lit(None).cast(RECT).alias("box")))
+
+    def spelled(w: Column) -> Column:
+        n, x0, x1 = F.length(w.getField("word")), w.getField("x0"), w.getField("x1")
+        side = lambda k: F.when(k == n, x1).otherwise(x0 + k * (x1 - x0) / n)
+        one = lambda k: F.struct(F.substring(w.getField("word"), k, F.lit(1)).alias("ch"), rect(side(k - 1), w.getField("y0"), side(k), w.getField("y1")).alias("box"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast(CHARS))
+
+    joined = lambda parts, c: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(blank(c), p))))
+    w = words.where("word IS NOT NULL")
+    line = w.groupBy("book_id", "page", "block", "line").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word", "x0", "y0", "x1", "y1"))), spelled), " ").alias("chars"), F.min("ord").alias("ord"))
+    page = line.groupBy("book_id", "page").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block", "line", "chars"))), lambda x: x.getField("chars")), "\n").alias("chars"))
+    return page.select("book_id", "page", F.array_join(F.transform("chars", lambda c: c.getField("ch")), "").alias("text"), "chars")
+
+
 def lines(words: DataFrame) -> DataFrame:
     """Boxes of lines."""
     return words.groupBy("book_id", "page", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("ord").alias("ord"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import geometry as G
 from marginalia.operators import adapter, assign, columns, dedup, matching, offset, quads, rects, reports, tokens
+from marginalia.plans import pipeline
+from marginalia.schemas import WORD
+from marginalia.sources import pages as page_source
 
 ROW = "book_id string, page int, ord long, type string, pdf_x double, pdf_y double, pdf_x_end double, pdf_y_end double, content string, timestamp string, highlight_content string"
 
@@ -249,3 +252,22 @@ def test_measures(spark):
     assert (c.expected, c.matched, c.coverage) == (2, 1, 0.5) and reports.coverage(e.limit(0), m.limit(0)).first().coverage == 1.0
     w = spark.createDataFrame([(0.0, 10.0), (0.0, 11.0)], "x0 double, x1 double")
     assert reports.width_spread(w).first().even and reports.sample_pages(e).count() == 1
+
+
+def test_rects_of_matches(spark):
+    """Characters are ten points wide, lines 20 apart."""
+    expected = {
+        "of belief is": [(80, 0, 140, 10), (0, 20, 70, 30)], "fnd it": [(80, 20, 140, 30)], "find it": [(80, 20, 140, 30)], "quite soon": [(150, 20, 200, 30), (0, 40, 40, 50)],
+        "The fix of belief iss fnd it quite soon": [(0, 0, 140, 10), (0, 20, 200, 30), (0, 40, 40, 50)], "elie": [(120, 0, 140, 10), (0, 20, 30, 30)],
+    }
+    rows = []
+    for line, text in enumerate(["The fix of be-", "lief is ﬁnd it quite", "soon."]):
+        x = 0
+        for word in text.split(" "):
+            rows.append(("b", 0, len(rows), 0, line, float(x), line * 20.0, x + 10.0 * len(word), line * 20.0 + 10, word))
+            x += 10 * (len(word) + 1)
+    words = spark.createDataFrame(rows, WORD)
+    texts = [*expected, "nowhere"]
+    clips = spark.createDataFrame([("b", 0, i, t) for i, t in enumerate(texts)], "book_id string, page int, ord long, content string")
+    got = pipeline.clipping_rects(clips, page_source.page_text(words), words, "ord").collect()
+    assert {texts[r.ord]: [(q.x0, q.y0, q.x1, q.y1) for q in r.rects] for r in got} == expected
