@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import components, cut, dense_parts, grouped_stream, merge_dense, prepare, shuffle_count, table
 from .shingles import Shingler, fingerprint, mix
@@ -398,8 +399,24 @@ def _ship(width: int, shared):
     return run
 
 
-def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the size of its shingle set and the smallest id reachable by links."""
+def with_set_names(rows: DataFrame, width: int, out: str, text: str = "text") -> DataFrame:
+    """Rows with the name of their text's shingle set, null for an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for b in batches:
+            sets = shingler.sets(b.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, out])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, LongType())]))
+
+
+def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", named: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the size of its shingle set and the smallest id reachable by links.
+
+    ``named`` adds fp, the name of the row's set (see :func:`with_set_names`), null for an empty one.
+    """
+    fp = ["fp"] if named else []
     spark = prepare(docs.sparkSession)
     t = Threshold(num, den)
     n = shuffle_count(spark)
@@ -409,7 +426,7 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     meta = first.where("seg IS NULL").select("doc_id", "n", "fp")
     counts = merge_dense(first.where("seg IS NOT NULL").select("seg", "data"), "sum")
     if not len(counts):
-        return meta.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return meta.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *fp)
     # Cells that stand out from the mean load hold a shingle of very many documents. One byte a cell, 1 MB at any size of the corpus.
     hot = spark.sparkContext.broadcast(counts > counts.mean() + np.maximum(LEAST_COMMON, meta.count() * COMMON_SHARE))
 
@@ -436,7 +453,7 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     named = cut(joined.join(least, "component").select(F.col("fp").alias("name"), "component_id"))
     meta = cut(meta)
     return meta.join(named, meta.fp == named.name, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *fp
     )
 
 

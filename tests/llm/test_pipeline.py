@@ -48,6 +48,12 @@ def test_repeated_ids_and_empty_tables(spark, documents):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_ids_with_a_copy_and_another_text(spark, documents):
+    a, b = "a b c d e f g", "quite another text with that very id"
+    kept = P.near_duplicates_stage(spark, documents([(1, a), (2, a), (2, b), (2, b), (3, a), (3, a), (3, None)]), SF)
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, a), (2, b), (3, "")]
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     got = registry.QUERIES[name](spark, SF)
