@@ -34,6 +34,7 @@ SEED = 11
 # HTML's void elements, the elements whose text is not shown, and those that run inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title iframe object svg math canvas audio video select textarea datalist head".split())
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split()
@@ -121,10 +122,16 @@ def blocks(page: str | None) -> list[Block]:
             hidden -= n in HIDDEN
         del names[at:], cues[at:]
 
+    def leave_head() -> None:
+        while names and names[-1] == "head":
+            pop_to(len(names) - 1)
+
     at, length = 0, len(page)
     while at < length:
         m = _TOKEN.search(page, at)
         start = m.start() if m else length
+        if names and names[-1] == "head" and page[at:start].strip(" \t\n\r\f"):
+            leave_head()
         if start > at and not hidden:
             piece = page[at:start]
             parts.append(piece)
@@ -140,6 +147,8 @@ def blocks(page: str | None) -> list[Block]:
             break  # a tag that is cut off
         tag = tag.lower()
         closing = bool(m.group(1) or m.group(4))
+        if not closing and tag not in _IN_HEAD:  # whatever isn't head content ends a head that was never closed
+            leave_head()
         if tag in INLINE:
             if tag == "a":
                 anchors = 0 if closing else 1

@@ -52,3 +52,10 @@ def test_edge_rows(spark):
     got = sorted(((str(r.page_id), r.n_chars, len(r.text)) for r in H.main_text(df).collect()))
     assert got[0] == ("1", 0, 0) and got[1] == ("2", 0, 0) and got[2] == got[3] and got[2][1] == 1 + 20_000 * 35
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_head_without_end(field):
+    text = lambda s: [b.text for b in H.blocks(s)]
+    assert text("<html><head><title>T</title><meta name=x><style>s</style><article><p>one<p>two</article>") == ["one", "two"]
+    assert text("<head><title>T</title> shown <p>p") == ["shown", "p"] and text("<head><link rel=x><b>bold</b> text") == ["bold text"]
+    assert text("<head><template><p>no</p></template><title>T</title></head><body><p>yes") == ["yes"]
