@@ -24,6 +24,21 @@ BLOCK_ROWS = 250_000
 MAX_SENDERS = 4096
 
 
+def large_draw(rng: np.random.Generator, good: int, rest: int, need: int) -> int:
+    """A hypergeometric draw of any size by inversion: how many of ``need`` rows are among the ``good`` ones.
+
+    Probabilities are built from their ratios, up to 16 standard deviations from the mean; what lies beyond is less than a double tells.
+    """
+    whole = good + rest
+    mean = need * good / whole
+    reach = int(16 * (mean * (rest / whole) * ((whole - need) / max(1, whole - 1))) ** 0.5) + 64
+    low, high = max(0, need - rest, int(mean) - reach), min(good, need, int(mean) + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    log = np.concatenate([[0.0], np.cumsum(np.log((good - k) / (rest - need + k + 1) * (need - k) / (k + 1)))])
+    law = np.cumsum(np.exp(log - log.max()))
+    return low + int(np.searchsorted(law, rng.random() * law[-1], side="right"))
+
+
 def communication_matrix(senders: list[int], shards: int, seed: int) -> np.ndarray:
     """Rows each sender gives each shard: row sums are the senders' sizes, column sums are at most one apart."""
     rng = np.random.default_rng(seed)
@@ -36,14 +51,11 @@ def communication_matrix(senders: list[int], shards: int, seed: int) -> np.ndarr
             rest -= int(left[s])
             if not need:
                 break
-            # numpy's univariate draw takes at most 1e9 of each kind; beyond that the normal limit law is used, clipped to what is possible.
             good = int(left[s])
-            if max(good, rest) < 10**9:
+            if max(good, rest) < 10**9:  # numpy's draw takes no more of each kind
                 k = int(rng.hypergeometric(good, rest, need)) if rest else need
             else:
-                m, whole = need * good / (good + rest), good + rest
-                k = round(rng.normal(m, (m * (rest / whole) * ((whole - need) / max(1, whole - 1))) ** 0.5))
-                k = min(max(k, need - rest, 0), good, need)
+                k = large_draw(rng, good, rest, need)
             draw[s], need = k, need - k
         out[i], left = draw, left - draw
     return out

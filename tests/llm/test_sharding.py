@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -50,3 +51,14 @@ def test_query(spark):
     for r in rows:
         raw = (text[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+
+
+def test_large_draws_follow_the_law():
+    good, rest, need = 7, 9, 6
+    rng = np.random.default_rng(5)
+    got = np.bincount([S.large_draw(rng, good, rest, need) for _ in range(20_000)], minlength=need + 1) / 20_000
+    law = [math.comb(good, k) * math.comb(rest, need - k) / math.comb(good + rest, need) for k in range(need + 1)]
+    assert np.abs(got - law).max() < 0.015
+    big = [S.large_draw(rng, 2 * 10**9, 10**9, 3) for _ in range(5000)]
+    assert abs(np.mean([b == 3 for b in big]) - 8 / 27) < 0.03 and abs(np.mean([b == 0 for b in big]) - 1 / 27) < 0.012
+    assert S.large_draw(rng, 2 * 10**9, 0, 5) == 5 and S.large_draw(rng, 10**9, 2, 10**9 + 2) == 10**9
