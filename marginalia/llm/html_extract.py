@@ -9,7 +9,8 @@ Character references are decoded, white space inside a block becomes one space,
 one line break; nothing else is dropped or capped.
 
 Defined results: a null or empty html gives empty text; markup that is cut off or never closed is read as far as it
-goes; scripts, styles, titles, comments and other text that is never shown is no block at all; repeated rows repeat;
+goes; text that a browser with scripts never shows is no block at all: scripts, styles, titles, comments, noscript, blocks
+under hidden, display:none or visibility:hidden; the text of formulas and drawings belongs to its line; repeated rows repeat;
 null ids and urls are kept; empty tables give no rows; extra columns are not read.
 """
 
@@ -33,13 +34,16 @@ SEED = 11
 
 # HTML's void elements, the elements whose text is not shown, and those that run inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title iframe object svg math canvas audio video select textarea datalist head".split())
+HIDDEN = frozenset("script style noscript template title iframe object canvas audio video select textarea datalist head".split())
 _IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
+# Elements of formulas and drawings whose text is not shown, and elements that end a formula or drawing around them.
+_UNDRAWN = frozenset("annotation annotation-xml desc metadata defs".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
+_BREAKS_OUT = _CLOSES_P | frozenset("body td th tr tbody thead tfoot".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP_AT = frozenset("ul ol dl table body html article section div nav".split())
 
@@ -84,7 +88,7 @@ def _cues_of(attributes: str) -> frozenset:
     out = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             out.add("unseen")
         elif name != "style":
             out |= {c for c, r in _CUES.items() if r.search(value)}
@@ -100,6 +104,7 @@ def blocks(page: str | None) -> list[Block]:
     cues: list[frozenset] = []
     hidden = 0
     anchors = 0
+    foreign = ""  # the formula or drawing that is open: it runs inside the line
     parts: list[str] = []
     linked = 0
 
@@ -149,6 +154,25 @@ def blocks(page: str | None) -> list[Block]:
         closing = bool(m.group(1) or m.group(4))
         if not closing and tag not in _IN_HEAD:  # whatever isn't head content ends a head that was never closed
             leave_head()
+        if foreign and tag not in RAW:
+            if tag in _BREAKS_OUT:
+                foreign = ""
+            else:
+                if closing and tag == foreign:
+                    foreign = ""
+                elif tag in _UNDRAWN and not closing and page[at - 2] != "/":
+                    end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                    at = end.end() if end else length
+                elif tag in ("text", "mtr", "mtd", "br"):
+                    parts.append(" ")
+                continue
+        if tag in ("math", "svg"):
+            if not closing and page[at - 2] != "/" and "unseen" not in _cues_of(m.group(3) if m.group(2) else m.group(6)):
+                foreign = tag
+            elif not closing and page[at - 2] != "/":
+                end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                at = end.end() if end else length
+            continue
         if tag in INLINE:
             if tag == "a":
                 anchors = 0 if closing else 1
@@ -186,7 +210,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "body" and "head" in names:
             pop_to(names.index("head"))
         attributes = m.group(3) if m.group(2) else m.group(6)
-        if tag in VOID or attributes.rstrip().endswith("/") and tag in ("svg", "path"):
+        if tag in VOID:
             continue
         names.append(tag)
         cues.append(_cues_of(attributes) if attributes.strip() else frozenset())

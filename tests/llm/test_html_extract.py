@@ -59,3 +59,11 @@ def test_head_without_end(field):
     assert text("<html><head><title>T</title><meta name=x><style>s</style><article><p>one<p>two</article>") == ["one", "two"]
     assert text("<head><title>T</title> shown <p>p") == ["shown", "p"] and text("<head><link rel=x><b>bold</b> text") == ["bold text"]
     assert text("<head><template><p>no</p></template><title>T</title></head><body><p>yes") == ["yes"]
+
+
+def test_formulas_and_drawings():
+    text = lambda s: [b.text for b in H.blocks(s)]
+    assert text("<p>so <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>tex</annotation></math> holds<p>next") == ["so a+b holds", "next"]
+    assert text("<p>see <svg><title>t</title><path d='x'/><g><text>x axis</text><text>y</text></g></svg> there<div>d</div>") == ["see x axis y there", "d"]
+    assert text("<p>a<svg aria-hidden=true><path/>b<p>c</p><svg/>d") == ["ab", "c", "d"] and text("<p aria-hidden='true'>shown") == ["shown"]
+    assert text("<p>a<svg style='display:none'><text>no</text></svg>b") == ["ab"]
