@@ -250,7 +250,7 @@ def featurise(page: list[Block]) -> list[list[int]]:
             f.append(_AT["sentence"])
         if "," in b.text:
             f.append(_AT["commas"])
-        if _RIGHTS.search(b.text[:200]):
+        if _RIGHTS.search(b.text):
             f.append(_AT["rights"])
         if i < 0.15 * n:
             f.append(_AT["early"])

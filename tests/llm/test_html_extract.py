@@ -67,3 +67,9 @@ def test_formulas_and_drawings():
     assert text("<p>see <svg><title>t</title><path d='x'/><g><text>x axis</text><text>y</text></g></svg> there<div>d</div>") == ["see x axis y there", "d"]
     assert text("<p>a<svg aria-hidden=true><path/>b<p>c</p><svg/>d") == ["ab", "c", "d"] and text("<p aria-hidden='true'>shown") == ["shown"]
     assert text("<p>a<svg style='display:none'><text>no</text></svg>b") == ["ab"]
+
+
+def test_rights_anywhere_in_a_block():
+    at = H._AT["rights"]
+    found = lambda t: at in H.featurise(H.blocks(f"<p>{t}"))[0]
+    assert found("word " * 60 + "© Someone " + "word " * 60) and found("All rights reserved") and not found("word " * 200)
