@@ -6,7 +6,7 @@ most words leave after a few characters. Each hit is weighed by its log odds and
 marks or after a word of reporting counts as quoted, not as abuse. A logistic model over these sums gives the score.
 
 At most ``SAMPLE_ROWS`` labelled rows and ``LEXICON_TERMS`` terms are used (documented bounds); every document is
-scored on its whole text. Labels, lang, source and doc_id are never inputs.
+scored on its whole text. Every word of the sample and its beginnings of 4 to ``LONGEST_STEM`` characters are rated. Labels, lang, source and doc_id are never inputs.
 
 Defined results: a null text counts as empty, and empty texts have a score; without labelled rows of both classes the
 score is the smoothed class share; a row without an id is scored (held_out is null); repeated rows repeat; extra
@@ -28,7 +28,7 @@ from .common import crc_mod, labelled_sample, prepare, table
 
 SAMPLE_ROWS = 10_000
 LEXICON_TERMS = 2_000
-CANDIDATES = 100_000
+LONGEST_STEM = 24
 SURPRISE = 15.0
 FOLDS, HELD_OUT = 5, 0
 WINDOW = 6
@@ -205,12 +205,12 @@ class Logistic:
 
 
 def _terms(text: str | None) -> set[str]:
-    """A text's whole words ("word ") and their beginnings ("stem")."""
+    """A text's whole words ("word ") and their beginnings of 4 to ``LONGEST_STEM`` characters ("stem")."""
     out: set[str] = set()
     for w in {bare(w) for w in (text or "").split()}:
-        if 4 <= len(w) <= 24:
+        if w:
             out.add(w + " ")
-            out.update(w[:k] for k in range(4, len(w)))
+            out.update(w[:k] for k in range(4, min(len(w), LONGEST_STEM + 1)))
     return out
 
 
@@ -228,32 +228,34 @@ def learn_terms(texts: DataFrame, limit: int = LEXICON_TERMS) -> list[tuple[str,
     if not toxic or not clean:
         return []
 
-    def counter(known):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: Counter = Counter()
-            for f in frames:
-                for t in f["text"]:
-                    total.update(_terms(t) if known is None else _terms(t) & known.value)
-            terms = list(total)
-            for i in range(0, len(terms), 50_000):
-                yield pd.DataFrame({"term": terms[i : i + 50_000], "n": [total[t] for t in terms[i : i + 50_000]]})
+    def counter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for f in frames:
+            for t in f["text"]:
+                total.update(_terms(t))
+        terms = list(total)
+        for i in range(0, len(terms), 50_000):
+            yield pd.DataFrame({"term": terms[i : i + 50_000], "n": [total[t] for t in terms[i : i + 50_000]]})
 
-        return run
+    def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            odds = np.log((f["n"] + 0.5) / (toxic + 1)) - np.log((f["in_clean"] + 0.5) / (clean + 1))
+            f = f.assign(odds=odds)[odds >= 1.6]
+            stands_out = np.array([surprise(a, b, toxic, clean) >= SURPRISE for a, b in zip(f["n"], f["in_clean"], strict=True)], bool)
+            yield f[stands_out][["term", "n", "odds"]]
 
-    count = lambda y, known: texts.where(F.col("y") == y).select("text").mapInPandas(counter(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    count = lambda y, n: texts.where(F.col("y") == y).select("text").mapInPandas(counter, "term string, n long").groupBy("term").agg(F.sum("n").alias(n))
     least = max(3, round(0.004 * toxic))
-    in_toxic = {r.term: r.n for r in count(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    known = texts.sparkSession.sparkContext.broadcast(frozenset(in_toxic))  # at most CANDIDATES terms
-    in_clean = {r.term: r.n for r in count(0, known).collect()}
-    odds = {t: float(np.log((k + 0.5) / (toxic + 1)) - np.log((in_clean.get(t, 0) + 0.5) / (clean + 1))) for t, k in in_toxic.items()}
-    marked = {t for t, o in odds.items() if o >= 1.6 and surprise(in_toxic[t], in_clean.get(t, 0), toxic, clean) >= SURPRISE}
+    both = count(1, "n").where(F.col("n") >= least).join(count(0, "in_clean"), "term", "left").select("term", "n", F.coalesce("in_clean", F.lit(0)).alias("in_clean"))
+    marked = both.mapInPandas(rate, "term string, n long, odds double").collect()
+    in_toxic, odds = {r.term: r.n for r in marked}, {r.term: r.odds for r in marked}
     continued: dict[str, list[str]] = {}
-    for t in marked:
+    for t in in_toxic:
         continued.setdefault(t.strip()[:-1], []).append(t)
         if t.endswith(" "):
             continued.setdefault(t.strip(), []).append(t)
     chosen: dict[str, bool] = {}
-    for t in sorted(marked, key=lambda t: (len(t), t)):  # beginnings before their continuations
+    for t in sorted(in_toxic, key=lambda t: (len(t), t)):  # beginnings before their continuations
         if t.endswith(" "):
             covered = any(t[:k] in chosen for k in range(4, len(t)))
             if not covered or odds[t] > max(odds[t[:k]] for k in range(4, len(t)) if t[:k] in chosen) + 1.5:

@@ -83,3 +83,11 @@ def test_edge_rows(spark, documents):
         assert module.score(docs.drop("score").limit(0), model).count() == 0
         nothing = module.train(docs, labels.limit(0))
         assert {round(r.score, 6) for r in module.score(docs.drop("score"), nothing).collect()} == {0.5}
+
+
+def test_rare_and_short_terms_are_rated(spark):
+    """More frequent terms than 100 000 stand in both classes; a rare word and one of three letters mark the toxic one."""
+    filler = " ".join(f"{i * 7919 % 10007:05d}".translate(str.maketrans("0123456789", "abcdefghij")) + "k" * 19 for i in range(6000))
+    rows = [(filler if i < 15 else "plain words", 0) for i in range(40)] + [((filler if i < 15 else "plain words") + (" zut rarebane" if i % 3 == 0 else ""), 1) for i in range(40)]
+    words = {t for t, _, _ in X.learn_terms(spark.createDataFrame(rows, "text string, y int"))}
+    assert "zut" in words and any("rarebane".startswith(t) for t in words)
