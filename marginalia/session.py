@@ -1,8 +1,10 @@
-"""What a session needs: the package on the executors, a checkpoint folder, and plans cut where they are used again."""
+"""What a session needs: the package on the executors, a shared checkpoint folder, and plans cut where they are used again."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,11 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+def _is_local(master: str) -> bool:
+    """Whether driver and executors are one process, so that a folder of this machine is shared by all of them."""
+    return master == "local" or master.startswith("local[")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give the executors this package once for each application, and set a checkpoint folder where none is set."""
+    """Give the executors this package once for each application, and set a checkpoint folder where none is set.
+
+    A temporary folder serves only where driver and executors are one process; on a cluster ``spark.checkpoint.dir`` has
+    to name a folder that all of them share.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marginalia-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not _is_local(context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="marginalia-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     if context.applicationId not in _SHIPPED:
         _SHIPPED.add(context.applicationId)
         root = Path(__file__).resolve().parent
@@ -25,10 +42,11 @@ def prepare(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         context.addPyFile(archive)
+        atexit.register(Path(archive).unlink, missing_ok=True)
     return spark
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder: what is used several times is computed once, and plans stay small."""
+    """Write ``df`` to the shared checkpoint folder and go on from there: later failures don't recompute it, and plans stay small."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
