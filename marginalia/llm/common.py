@@ -2,47 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 import zlib
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: Rows of one Arrow batch. Texts can be long, so batches are kept short.
-BATCH_ROWS = 1000
+from .. import session
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application; the driver's file server carries it."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    handle, archive = tempfile.mkstemp(prefix="marginalia-", suffix=".zip")
-    with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    context.addPyFile(archive)
+#: Rows and bytes of one Arrow batch. Texts can be long, so batches are kept short.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the operators rely on: the package on the executors, a checkpoint folder (only where none is set) and short Arrow batches."""
-    context = spark.sparkContext
-    ship_package(spark)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marginalia-checkpoint-"))
+    """Set what the operators rely on: the package on the executors, a checkpoint folder and Arrow batches bounded in rows and bytes."""
+    session.prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -55,7 +34,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: later failures don't recompute it."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return session.cut(df)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, by the store's own file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_text_columns(df: DataFrame, keep: Sequence[str], text: str, made: list[StructField], worker: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """``keep`` columns of every row and the columns ``made`` of its text; ``worker()``, called once a task, gives the function from a batch's texts to their arrays.
+
+    Kept columns stay in Arrow and pass as they are, so an id keeps all its bits beside nulls. A kept column that has
+    the name of a made one gives way to it.
+    """
+    names = {f.name.lower() for f in made}
+    picked = df.select(*[k for k in keep if k.lower() not in names], F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = worker()
+        for b in batches:
+            arrays = function(b.column(b.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], *[f.name for f in made]])
+
+    return picked.mapInArrow(run, StructType([*picked.schema.fields[:-1], *made]))
 
 
 def shuffle_count(spark: SparkSession) -> int:

@@ -8,21 +8,22 @@ document is scored on its whole text. Labels, lang, source and doc_id are never
 
 Defined results: a null text counts as empty, and an empty text has a score like any other; a document without an id is
 scored too (held_out is null there); with no labelled rows, or one class only, the score is the smoothed class share for
-all; repeated rows give repeated results; extra columns are not read.
+all; repeated rows give repeated results, and of an id that has several texts one is learned from, always the same;
+empty tables give no rows; extra columns are not read, and a kept column called score gives way to the result.
 """
 
 from __future__ import annotations
 
 import operator
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-from .common import crc_mod, labelled_sample, prepare, table
+from .common import crc_mod, labelled_sample, prepare, table, with_text_columns
 
 SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
@@ -159,32 +160,23 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS,
 
 
 def train(docs: DataFrame, labels: DataFrame, keep=None, rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fit on the texts of a bounded labelled sample; only feature vectors (``rows`` times a few numbers) reach the driver."""
-    sample = labelled_sample(labels, "quality", F.lit(True) if keep is None else keep, rows)
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # rows <= SAMPLE_ROWS
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "x": [list(map(float, features(t))) for t in f["text"]]})
+    """Fit on the texts of a bounded labelled sample; only feature vectors (``rows`` times a few numbers) reach the driver.
 
-    got = picked.mapInPandas(run, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    Of an id's several texts the one with the smallest features is learned from, whatever order the rows come in.
+    """
+    sample = labelled_sample(labels, "quality", F.lit(True) if keep is None else keep, rows)
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # rows <= SAMPLE_ROWS
+    made = with_text_columns(picked, ("doc_id", "y"), "text", [StructField("x", ArrayType(DoubleType()))], lambda: lambda texts: [pa.array([list(map(float, features(t))) for t in texts], pa.list_(pa.float64()))])
+    got = made.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in got], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.y for r in got], float))
 
 
 def score(docs: DataFrame, model: AdditiveModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and score double for every row."""
-    picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: a few tables of BINS entries
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = f.drop(columns="_text")
-            out["score"] = shared.value.score(np.array([features(t) for t in f["_text"]], float).reshape(-1, len(FEATURES)))
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInPandas(run, f"{fields}, score double")
+    of = lambda texts: [pa.array(shared.value.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))))]
+    return with_text_columns(docs, keep, "text", [StructField("score", DoubleType())], lambda: of)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

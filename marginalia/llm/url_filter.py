@@ -7,17 +7,20 @@ of the automaton is ``D = ((((D << 1) & inner) | starts) & mask[byte]) | (D & lo
 
 Defined results: a null URL or one without ``://`` has empty host and path and gets no rule; a URL without a rule gets
 the default verdict; equal rows give equal results; an empty table gives no rows. Of two rules of one length that both
-fit, the one listed first wins. URLs of any length are read whole.
+fit, the one listed first wins. URLs of any length are read whole. Extra columns are not read; a kept column called like
+a result column gives way to it, any other passes as it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
+
+from .common import prepare, table, with_text_columns
 
 #: (host, path, action) of the contract.
 RULES = (
@@ -105,28 +108,25 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default:
     names = [h + p for h, p, _ in rules]
     rank = np.array(sorted(range(len(rules)), key=lambda i: -len(names[i])), np.int64)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worker():
         automaton = ShiftAnd(globs) if globs else None
-        for f in frames:
-            parts = [canonical(u) for u in f["_url"]]
-            out = f.drop(columns="_url")
-            out["host"], out["path"] = [h for h, _ in parts], [p for _, p in parts]
-            best = np.full(len(f), -1)
-            if automaton and len(f):
+
+        def of(urls: list[str | None]) -> list[pa.Array]:
+            parts = [canonical(u) for u in urls]
+            best = np.full(len(urls), -1)
+            if automaton and urls:
                 hit = automaton.accepts([b"." + h.encode("utf-8", "surrogatepass") + bytes([SEP]) + p.encode("utf-8", "surrogatepass") for h, p in parts])[:, rank]
                 best = np.where(hit.any(axis=1), rank[hit.argmax(axis=1)], -1)
-            out["rule"] = [names[b] if b >= 0 else None for b in best]
-            out["verdict"] = [rules[b][2] if b >= 0 else default for b in best]
-            yield out
+            rule = [names[b] if b >= 0 else None for b in best]
+            verdict = [rules[b][2] if b >= 0 else default for b in best]
+            return [pa.array(c, pa.string()) for c in ([h for h, _ in parts], [p for _, p in parts], rule, verdict)]
 
-    picked = df.select(*keep, F.col(url).cast("string").alias("_url"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInPandas(run, f"{kept}{', ' if kept else ''}host string, path string, rule string, verdict string")
+        return of
 
+    return with_text_columns(df, keep, url, [StructField(n, StringType()) for n in ("host", "path", "rule", "verdict")], worker)
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from .common import prepare, table
 
+def query(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
     return judge(table(spark, sf_dir, "pages"))
 

@@ -52,3 +52,25 @@ def test_rules_and_edge_cases(spark):
         key=str,
     )
     assert U.judge(df.limit(0)).count() == 0
+
+
+def test_ids_keep_their_bits_beside_nulls(spark):
+    df = spark.createDataFrame([(2**53 + 1, "https://a.com/en/", "x"), (None, None, None)], "page_id long, url string, rule string")
+    got = U.judge(df, keep=("page_id", "rule"))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]  # a kept column with a result's name gives way
+    assert {(r.page_id, r.rule) for r in got.collect()} == {(2**53 + 1, "com/en/"), (None, None)}
+
+
+def test_rules_are_brute_force(spark):
+    """Every URL of a mixed set against every rule, by the words of the rule."""
+    rng = random.Random(9)
+    hosts = ["com", "example.com", "a.example.com", "notexample.com", "net", "example.net", "b.example.net", "x.org", "org.uk", ""]
+    paths = ["/en/", "/en/7", "/en/70/x", "/en", "/de/8", "/de/", "/es/1", "/ES/", "", "/"]
+    urls = [f"https://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/en/', '#/de/'])}" for _ in range(400)]
+    rows = U.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).collect()
+    assert len(rows) == 400
+    for r in rows:
+        host, path = U.canonical(urls[r.page_id])
+        fits = [(h + p, v) for h, p, v in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, U.DEFAULT))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
