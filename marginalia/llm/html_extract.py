@@ -19,15 +19,14 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from .common import prepare, table
+from .common import prepare, table, with_text_columns
 
 TRAINING_PAGES = 700
 SEED = 11
@@ -47,13 +46,16 @@ _BREAKS_OUT = _CLOSES_P | frozenset("body td th tr tbody thead tfoot".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP_AT = frozenset("ul ol dl table body html article section div nav".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|itemprop|aria-label|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+# An attribute as the HTML tokenizer reads it: a quote counts only where a value begins; an unquoted value ends at white space or ">".
+_ATTRIBUTE = r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|(?=>)))?"""
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:" + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE) + r")*+[\s/]*+)(?:>|\Z)", re.S)
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_TELLING = frozenset("class id role itemprop aria-label".split())
 
 # Words in class, id and role that tell a block's part of the page.
 CUES = {
     "advert": r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|commercial)(?:$|[\s_-]|\d)",
-    "comment": r"comment|disqus|repl(?:y|ies)|respond|discussion|review",
+    "comment": r"comment|disqus|repl(?:y|ies)|respond|discussion|(?:user|customer|reader)s?[\s_-]*reviews?",
     "side": r"side-?bar|widget|related|recommend|trending|popular|aside|complementary|more-",
     "notice": r"cookie|consent|gdpr|notice|alert|pop-?up|modal|toast|overlay|paywall|disclaimer|dialog",
     "menu": r"menu|nav|breadcrumb|toc|pagination|pager|tabs?\b|toolbar|skip",
@@ -85,12 +87,16 @@ class Block:
 @lru_cache(maxsize=20_000)
 def _cues_of(attributes: str) -> frozenset:
     """What the attributes of one element say: cue names, and "unseen" if it is hidden."""
-    out = set()
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    out, seen = set(), set()
+    for m in _ATTRIBUTES.finditer(attributes):
+        name = m.group(1).lower()
+        if name in seen:
+            continue  # the first of equal names counts
+        seen.add(name)
+        value = m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             out.add("unseen")
-        elif name != "style":
+        elif name in _TELLING:
             out |= {c for c, r in _CUES.items() if r.search(value)}
     return frozenset(out)
 
@@ -145,13 +151,13 @@ def blocks(page: str | None) -> list[Block]:
         if m is None:
             break
         at = m.end()
-        tag = m.group(2) or m.group(5)
+        tag = m.group(2)
         if tag is None:
             continue
-        if m.group(2) is None and at == length and page[-1] != ">":
+        if page[at - 1] != ">":
             break  # a tag that is cut off
         tag = tag.lower()
-        closing = bool(m.group(1) or m.group(4))
+        closing, attributes = bool(m.group(1)), m.group(3)
         if not closing and tag not in _IN_HEAD:  # whatever isn't head content ends a head that was never closed
             leave_head()
         if foreign and tag not in RAW:
@@ -167,7 +173,7 @@ def blocks(page: str | None) -> list[Block]:
                     parts.append(" ")
                 continue
         if tag in ("math", "svg"):
-            if not closing and page[at - 2] != "/" and "unseen" not in _cues_of(m.group(3) if m.group(2) else m.group(6)):
+            if not closing and page[at - 2] != "/" and "unseen" not in _cues_of(attributes):
                 foreign = tag
             elif not closing and page[at - 2] != "/":
                 end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -209,7 +215,6 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if tag == "body" and "head" in names:
             pop_to(names.index("head"))
-        attributes = m.group(3) if m.group(2) else m.group(6)
         if tag in VOID:
             continue
         names.append(tag)
@@ -474,15 +479,12 @@ def main_text(pages: DataFrame, field: Field | None = None, keep: tuple[str, ...
     """``keep`` columns, text and n_chars of every row."""
     spark = prepare(pages.sparkSession)
     shared = spark.sparkContext.broadcast(field or trained())  # a fixed number of weights
-    picked = pages.select(*keep, F.col("html").cast("string").alias("_html"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = [extract(h, shared.value) for h in f["_html"]]
-            yield f.drop(columns="_html").assign(text=texts, n_chars=[len(t) for t in texts])
+    def of(pages: list[str | None]) -> list[pa.Array]:
+        texts = [extract(h, shared.value) for h in pages]
+        return [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInPandas(run, f"{fields}, text string, n_chars long")
+    return with_text_columns(pages, keep, "html", [StructField("text", StringType()), StructField("n_chars", LongType())], lambda: of)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

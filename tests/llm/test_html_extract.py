@@ -73,3 +73,40 @@ def test_rights_anywhere_in_a_block():
     at = H._AT["rights"]
     found = lambda t: at in H.featurise(H.blocks(f"<p>{t}"))[0]
     assert found("word " * 60 + "© Someone " + "word " * 60) and found("All rights reserved") and not found("word " * 200)
+
+
+def test_attributes_are_read_as_the_tokenizer_reads_them():
+    text = lambda s: [b.text for b in H.blocks(s)]
+    assert text("<p class=x title=it's>Hello world</p><p>don't stop</p><p>third</p>") == ["Hello world", "don't stop", "third"]
+    assert text("""<p title="a > b" data-x='q>'>in</p><p =">one</p><p a = 'x>y' b>two</p>""") == ["in", "one", "two"]
+    assert text("<p title=\"open>Hello</p><p>b</p>") == ["Hello", "b"] and text("<p class=>x</p><p/>y") == ["x", "y"]
+    assert text("<div class=a title='hidden style=display:none'>seen") == ["seen"] and text("<div hidden=''>no</div>yes") == ["yes"]
+    assert text("a<!-->b<!--->c<!-- no -->d</>e</ no>f") == ["abcdef"] and text("one <svg/>two") == ["one two"]
+    cues = lambda s: set(H.blocks(s)[0].cues)
+    assert cues("<p title='class=menu'>x") == set() and cues("<p class=menu class=post>x") == {"menu"} and "form" in cues("<div CLASS = newsletter>x")
+
+
+def test_no_markup_takes_more_than_linear_time():
+    for page in ("<p " + 'a="b" ' * 100_000, "<a b='c " * 50_000 + '<a b="c ' * 50_000, "<p " * 100_000, "<!-- " * 100_000, "</" * 100_000):
+        H.blocks(page)
+
+
+def test_articles_without_the_article_element(field):
+    """Pages put together from parts whose text is known, in other wrappers than <article>: their prose comes out, nothing else does."""
+    prose = [f"Paragraph number {i} of the story tells at some length what happened then, and why it matters to readers." for i in range(4)]
+    body = "<h1>A headline for the story</h1>" + "".join(f"<p>{p}</p>" for p in prose)
+    menu, foot = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<footer><p>&copy; Some Publisher. All rights reserved.</p></footer>"
+    side = "<aside class=sidebar><h3>Related</h3><ul><li><a href=x>Other story</a></ul></aside>"
+    notice = "<div class=cookie-banner><p>We use cookies on this site.</p><button>Accept</button></div>"
+    comments = "<section id=comments><h2>3 comments</h2><div class=comment><p>I do not agree with this at all.</p></div></section>"
+    expected = "\n".join(["A headline for the story", *prose])
+    for before, after in (("<main>", "</main>"), ("<div class=post-content>", "</div>"), ("<div id=content><div>", "</div></div>"), ("<section class='story'>", "</section>")):
+        page = f"<!doctype html><html><head><title>T</title></head><body>{notice}{menu}{before}{body}{after}{side}{comments}{foot}</body></html>"
+        assert H.extract(page, field) == expected, before
+    reviewed = f"<body>{menu}<article><h1>A headline for the story</h1><section class='review'>{''.join(f'<p>{p}</p>' for p in prose)}</section></article>{foot}"
+    assert H.extract(reviewed, field) == expected
+
+
+def test_ids_keep_their_bits_beside_nulls(spark):
+    df = spark.createDataFrame([(2**53 + 1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
+    assert {r.page_id for r in H.main_text(df).collect()} == {2**53 + 1, None}
