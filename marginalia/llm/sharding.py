@@ -2,18 +2,23 @@
 
 The input partitions are the senders. The driver draws, from a multivariate hypergeometric law, how many rows each
 sender gives to each shard, so that every shard's size is exact (counts at most one apart). Each sender permutes its
-rows and deals them out by these counts; after the exchange every shard permutes again in blocks of about
-``BLOCK_ROWS`` rows. Together this is a uniform shuffle of all rows.
+rows and deals them out by these counts; after the exchange every shard permutes again. Together this is a uniform
+shuffle of all rows. Both permutations work in blocks of about ``BLOCK_ROWS`` rows: a hash chooses a row's block, another
+one its place there, so neither a large input partition nor a large shard is ever sorted by one task.
 
-The driver holds one row per input partition and the matrix. Beyond ``MAX_SENDERS`` partitions, neighbours are taken
-together as one sender, so the matrix stays small at any size.
+The driver holds the matrix and the senders' sizes, nothing else. Partitions are taken together as one sender where
+there are more than ``MAX_SENDERS`` of them, or where senders times shards would exceed ``MATRIX_CELLS``. Draws are
+exact at any size: :func:`large_draw` rejects from a hat over probabilities that keep their precision.
 
-Defined results: a null text has 16 bytes and crc 0, like an empty one; repeated rows are separate rows; equal keys
-never matter because rows are numbered before they are dealt; an empty table gives no rows.
+Defined results: a null text has 16 bytes and crc 0, like an empty one; texts of any length are read whole; repeated
+rows are separate rows; equal keys never matter because rows are numbered before they are dealt; an empty table gives no
+rows. Extra columns pass as they are; columns of the input called shard or slot give way to the results.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,21 +27,69 @@ from .common import cut, prepare, table
 
 BLOCK_ROWS = 250_000
 MAX_SENDERS = 4096
+MATRIX_CELLS = 1 << 20
+SMALL = 10**9  # numpy draws up to here
+_TWO_PI = math.log(2 * math.pi)
+
+
+def _stirling_error(n: int) -> float:
+    """log(n!) less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * _TWO_PI
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: int, mean: float) -> float:
+    """x log(x / mean) + mean - x, without loss of digits where x is near the mean."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        more = total + term / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """Log probability of x of n, by the saddle-point expansion (Loader 2000): precise at any n."""
+    if x == 0:
+        return n * (math.log(q) if p > 0.5 else math.log1p(-p)) if n else 0.0
+    if x == n:
+        return n * (math.log(p) if q > 0.5 else math.log1p(-q))
+    correction = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return correction - 0.5 * (_TWO_PI + math.log(x) + math.log((n - x) / n))
+
+
+def log_probability(k: int, good: int, rest: int, need: int) -> float:
+    """Log of the hypergeometric probability of k good ones among ``need``, but for the factor that all k share."""
+    p, q = need / (good + rest), (good + rest - need) / (good + rest)
+    return _log_binomial(k, good, p, q) + _log_binomial(need - k, rest, p, q)
 
 
 def large_draw(rng: np.random.Generator, good: int, rest: int, need: int) -> int:
-    """A hypergeometric draw of any size by inversion: how many of ``need`` rows are among the ``good`` ones.
+    """A hypergeometric draw of any size: how many of ``need`` rows are among the ``good`` ones.
 
-    Probabilities are built from their ratios, up to 16 standard deviations from the mean; what lies beyond is less than a double tells.
+    Ratio of uniforms with Stadlober's hat for unimodal discrete laws; the work doesn't grow with the numbers.
     """
     whole = good + rest
+    low, high = max(0, need - rest), min(good, need)
+    if low == high:
+        return low
     mean = need * good / whole
-    reach = int(16 * (mean * (rest / whole) * ((whole - need) / max(1, whole - 1))) ** 0.5) + 64
-    low, high = max(0, need - rest, int(mean) - reach), min(good, need, int(mean) + reach)
-    k = np.arange(low, high, dtype=np.float64)
-    log = np.concatenate([[0.0], np.cumsum(np.log((good - k) / (rest - need + k + 1) * (need - k) / (k + 1)))])
-    law = np.cumsum(np.exp(log - log.max()))
-    return low + int(np.searchsorted(law, rng.random() * law[-1], side="right"))
+    variance = mean * (rest / whole) * ((whole - need) / max(1, whole - 1))
+    mode = min(high, max(low, (need + 1) * (good + 1) // (whole + 2)))
+    top = log_probability(mode, good, rest, need)
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(variance + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = rng.random(), rng.random()
+        if not u:
+            continue
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= log_probability(k, good, rest, need) - top:
+            return k
 
 
 def communication_matrix(senders: list[int], shards: int, seed: int) -> np.ndarray:
@@ -52,7 +105,7 @@ def communication_matrix(senders: list[int], shards: int, seed: int) -> np.ndarr
             if not need:
                 break
             good = int(left[s])
-            if max(good, rest) < 10**9:  # numpy's draw takes no more of each kind
+            if max(good, rest) < SMALL:
                 k = int(rng.hypergeometric(good, rest, need)) if rest else need
             else:
                 k = large_draw(rng, good, rest, need)
@@ -61,49 +114,42 @@ def communication_matrix(senders: list[int], shards: int, seed: int) -> np.ndarr
     return out
 
 
+def _places(df: DataFrame, group: str, block: str, key, place: str) -> DataFrame:
+    """``df`` with ``place``, counting from 0 inside each group: block after block, and by ``key`` and ``_row`` inside a block.
+
+    The blocks' first places are a running sum over their counts; they meet the rows in a join whose side is chosen by
+    measured size.
+    """
+    counts = df.groupBy(group, block).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select(group, block, F.coalesce(before, F.lit(0)).alias("_first"))
+    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(group, block).orderBy(key, "_row")))
+    return ranked.join(first, [group, block]).withColumn(place, F.col("_first") + F.col("_k") - 1).drop("_first", "_k", block)
+
+
 def deal(df: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:
     """``df`` with shard int and slot long: a uniform shuffle into shards whose sizes differ by at most one."""
     spark = prepare(df.sparkSession)
-    names = df.columns
+    names = [n for n in df.columns if n.lower() not in ("shard", "slot")]
+    salted = lambda what: F.xxhash64(F.lit(seed), F.lit(what), "_row")
     # Numbered once and written: what follows reads these numbers, so a lost executor can't change them.
-    base = cut(df.withColumn("_row", F.monotonically_increasing_id()))
-    sizes = sorted((r.p, r.n) for r in base.groupBy(F.shiftright("_row", 33).alias("p")).agg(F.count("*").alias("n")).collect())
-    groups: list[int] = []
-    of: list[tuple[int, int]] = []
-    least = -(-sum(n for _, n in sizes) // MAX_SENDERS) if len(sizes) > MAX_SENDERS else 0
-    for p, n in sizes:
-        if not groups or groups[-1] >= least:
-            groups.append(0)
-        groups[-1] += n
-        of.append((int(p), len(groups) - 1))
-    matrix = communication_matrix(groups, shards, seed)
-    until = np.cumsum(matrix, axis=1)
-    per_shard = matrix.sum(axis=0)
-    blocks = max(1, int(per_shard.max(initial=0)) // BLOCK_ROWS + 1)
-    sender = spark.createDataFrame([(p, g, [int(x) for x in until[g]]) for p, g in of], "_p long, _g int, _until array<long>")
-
-    key = F.xxhash64(F.lit(seed), F.lit("first"), "_row")
-    again = F.xxhash64(F.lit(seed), F.lit("second"), "_row")
-    first = (
-        base.join(F.broadcast(sender), F.shiftright("_row", 33) == F.col("_p"))  # one row for each partition
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_g").orderBy(key, "_row")))
-        .withColumn("shard", F.size(F.filter("_until", lambda u: u < F.col("_rank"))).cast("int"))
-        .withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "_row"), F.lit(blocks)))
-        .drop("_p", "_g", "_until", "_rank")
-    )
-    first = cut(first)
-    counts = first.groupBy("shard", "_block").agg(F.count("*").alias("n")).collect()
-    offset: dict[int, int] = {}
-    starts = []
-    for r in sorted(counts, key=lambda r: (r.shard, r["_block"])):
-        starts.append((r.shard, r["_block"], offset.get(r.shard, 0)))
-        offset[r.shard] = offset.get(r.shard, 0) + r.n
-    at = spark.createDataFrame(starts, "shard int, _block long, _at long")
-    return (
-        first.join(F.broadcast(at), ["shard", "_block"])  # one row for each block
-        .withColumn("slot", F.col("_at") + F.row_number().over(Window.partitionBy("shard", "_block").orderBy(again, "_row")) - 1)
-        .select(*names, "shard", F.col("slot").cast("long").alias("slot"))
-    )
+    base = cut(df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*names).alias("_in")))
+    most = max(1, min(MAX_SENDERS, MATRIX_CELLS // shards))
+    base = base.withColumn("_sender", F.pmod(F.shiftright("_row", 33), F.lit(most)).cast("int"))
+    sizes = sorted((r["_sender"], r.n) for r in base.groupBy("_sender").agg(F.count("*").alias("n")).collect())  # at most MAX_SENDERS rows
+    until = np.cumsum(communication_matrix([n for _, n in sizes], shards, seed), axis=1)
+    blocks = lambda n: n // BLOCK_ROWS + 1
+    rows = [(g, [int(x) for x in until[i]], blocks(n)) for i, (g, n) in enumerate(sizes)]
+    matrix = spark.createDataFrame(rows, "_sender int, _until array<long>, _blocks long")
+
+    sent = base.join(F.broadcast(matrix), "_sender")  # at most MATRIX_CELLS numbers
+    sent = _places(sent.withColumn("_block", F.pmod(salted("sender's block"), F.col("_blocks"))), "_sender", "_block", salted("sender's order"), "_place")
+    sent = cut(sent.select("_row", "_in", F.size(F.filter("_until", lambda u: u <= F.col("_place"))).cast("int").alias("_shard")))
+
+    most_rows = -(-sum(n for _, n in sizes) // shards)
+    received = sent.withColumn("_block", F.pmod(salted("shard's block"), F.lit(blocks(most_rows))))
+    received = _places(received, "_shard", "_block", salted("shard's order"), "_slot")
+    return received.select("_in.*", F.col("_shard").alias("shard"), F.col("_slot").cast("long").alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
