@@ -5,12 +5,14 @@ sample. A state of the automaton is a set of (trie node, edits so far); sets are
 most words leave after a few characters. Each hit is weighed by its log odds and by its window: a hit inside quotation
 marks or after a word of reporting counts as quoted, not as abuse. A logistic model over these sums gives the score.
 
-At most ``SAMPLE_ROWS`` labelled rows and ``LEXICON_TERMS`` terms are used (documented bounds); every document is
-scored on its whole text. Every word of the sample and its beginnings of 4 to ``LONGEST_STEM`` characters are rated. Labels, lang, source and doc_id are never inputs.
+At most ``SAMPLE_ROWS`` labelled rows are learned from (a documented bound); every document is scored on its whole text.
+Every word of the sample, of any length, and its beginnings of 4 to ``LONGEST_STEM`` characters are rated, and all that
+stand out enter the lexicon. Labels, lang, source and doc_id are never inputs.
 
 Defined results: a null text counts as empty, and empty texts have a score; without labelled rows of both classes the
-score is the smoothed class share; a row without an id is scored (held_out is null); repeated rows repeat; extra
-columns are not read.
+score is the smoothed class share; a row without an id is scored (held_out is null); repeated rows repeat, and of an id
+that has several texts one is learned from, always the same; empty tables give no rows; extra columns are not read, and
+a kept column called score gives way to the result.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-from .common import crc_mod, labelled_sample, prepare, table
+from .common import crc_mod, cut, labelled_sample, prepare, table, with_text_columns
 
 SAMPLE_ROWS = 10_000
-LEXICON_TERMS = 2_000
 LONGEST_STEM = 24
 SURPRISE = 15.0
 FOLDS, HELD_OUT = 5, 0
@@ -221,7 +224,7 @@ def surprise(a: int, b: int, toxic: int, clean: int) -> float:
     return 2 * float(part(a, toxic, p) + part(b, clean, p)) if 0 < p < 1 else 0.0
 
 
-def learn_terms(texts: DataFrame, limit: int = LEXICON_TERMS) -> list[tuple[str, bool, float]]:
+def learn_terms(texts: DataFrame) -> list[tuple[str, bool, float]]:
     """Terms whose document frequency among toxic rows stands out. ``texts``: (text, y), a bounded sample."""
     n = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
@@ -264,7 +267,7 @@ def learn_terms(texts: DataFrame, limit: int = LEXICON_TERMS) -> list[tuple[str,
         longer = any(in_toxic[x] >= 0.8 * in_toxic[t] for x in continued.get(t, ()))
         if not longer and not any(t[:k] in chosen and odds[t] < odds[t[:k]] + 1.0 for k in range(4, len(t))):
             chosen[t] = True
-    ranked = sorted(chosen, key=lambda t: (-odds[t] * in_toxic[t] ** 0.5, t))[:limit]
+    ranked = sorted(chosen, key=lambda t: (-odds[t] * in_toxic[t] ** 0.5, t))
     return [(t.strip(), chosen[t], odds[t]) for t in ranked]
 
 
@@ -274,39 +277,32 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, keep=None, rows: int = SAMPLE_ROWS) -> Model:
+    """Learn from a bounded labelled sample, read from the documents once. Of an id's several texts the smallest is learned from."""
     sample = labelled_sample(labels, "toxic", F.lit(True) if keep is None else keep, rows)
-    picked = (
-        docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # rows <= SAMPLE_ROWS
-        .select("doc_id", "text", F.least(F.greatest("y", F.lit(0)), F.lit(1)).alias("y"))
-    )
+    chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # rows <= SAMPLE_ROWS
+    picked = cut(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.least(F.greatest(F.min("y"), F.lit(0)), F.lit(1)).alias("y")))
     terms = learn_terms(picked.select("text", "y"))
-    got = picked.mapInPandas(_featurise(terms, ("doc_id", "y")), "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    got = _featurise(picked, terms).orderBy("doc_id").collect()
     return Model(terms, Logistic(np.array([r.x for r in got], float).reshape(-1, FIELDS), np.array([r.y for r in got], float)))
 
 
-def _featurise(terms, keep):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _featurise(picked: DataFrame, terms) -> DataFrame:
+    def worker():
         scorer = Scorer(terms)
-        for f in frames:
-            yield f[list(keep)].assign(x=[list(map(float, scorer(t))) for t in f["text"]])
+        return lambda texts: [pa.array([list(map(float, scorer(t))) for t in texts], pa.list_(pa.float64()))]
 
-    return run
+    return with_text_columns(picked, ("doc_id", "y"), "text", [StructField("x", ArrayType(DoubleType()))], worker)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and score double for every row."""
-    picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its terms come from at most SAMPLE_ROWS texts
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value.terms)
-        for f in frames:
-            out = f.drop(columns="_text")
-            out["score"] = shared.value.logistic.score(np.array([scorer(t) for t in f["_text"]], float).reshape(-1, FIELDS))
-            yield out
+    def worker():
+        scorer, logistic = Scorer(shared.value.terms), shared.value.logistic
+        return lambda texts: [pa.array(logistic.score(np.array([scorer(t) for t in texts], float).reshape(-1, FIELDS)))]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInPandas(run, f"{fields}, score double")
+    return with_text_columns(docs, keep, "text", [StructField("score", DoubleType())], worker)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

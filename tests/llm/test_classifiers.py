@@ -91,3 +91,102 @@ def test_rare_and_short_terms_are_rated(spark):
     rows = [(filler if i < 15 else "plain words", 0) for i in range(40)] + [((filler if i < 15 else "plain words") + (" zut rarebane" if i % 3 == 0 else ""), 1) for i in range(40)]
     words = {t for t, _, _ in X.learn_terms(spark.createDataFrame(rows, "text string, y int"))}
     assert "zut" in words and any("rarebane".startswith(t) for t in words)
+
+
+BIG = 2**53 + 1
+
+
+def test_ids_keep_their_bits_beside_nulls(spark, documents):
+    docs = documents([(BIG, "a text"), (None, "b text"), (7, None)]).drop("score")
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    for module in (Q, X):
+        rows = module.score(docs, module.train(docs, labels), ("doc_id", "n_chars", "lang")).collect()
+        assert {r.doc_id for r in rows} == {BIG, None, 7} and {r.lang for r in rows} == {"en"}
+
+
+def test_a_kept_column_called_score_gives_way(documents):
+    docs = documents([(1, "a")])
+    for module, model in ((Q, Q.fit(np.zeros((0, 17)), np.zeros(0))), (X, X.Model([], X.Logistic(np.zeros((0, X.FIELDS)), np.zeros(0))))):
+        got = module.score(docs, model, ("doc_id", "score"))
+        assert got.columns == ["doc_id", "score"] and got.first().score == 0.5
+
+
+def test_the_model_does_not_hang_on_the_order_of_repeated_ids(spark):
+    """Two texts of one id: whichever row comes first, the same one is learned from."""
+    rows = [(i % 20, ("bad worst " if i % 2 else "fine good ") * (1 + i % 7)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    for module in (Q, X):
+        models = [module.train(spark.createDataFrame(r, "doc_id long, text string").repartition(3), labels) for r in (rows, rows[::-1])]
+        probe = spark.createDataFrame([(1, "bad fine"), (2, "good")], "doc_id long, text string")
+        a, b = ([r.score for r in module.score(probe, m).orderBy("doc_id").collect()] for m in models)
+        assert a == b
+
+
+def test_additive_score_is_the_sum_of_its_tables():
+    """Brute force: the bin of each value found by counting edges, entries added one by one."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 4)).round(1)
+    m = Q.fit(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float))
+    for row, got in zip(x[:80], m.score(x[:80]), strict=True):
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges, strict=True)]
+        z = m.base + sum(t[b] for t, b in zip(m.tables, at, strict=True)) + sum(t[at[i], at[j]] for (i, j), t in zip(m.pairs, m.pair_tables, strict=True))
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_trees_are_brute_force():
+    """The first cut of a table's tree and the cuts of a grid's tree are the best of all."""
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        g, h = rng.normal(size=9), rng.uniform(0.1, 1, 9)
+        gain = lambda a, b: a * a / (b + 1.0)
+        best = max(range(1, 9), key=lambda c: gain(g[:c].sum(), h[:c].sum()) + gain(g[c:].sum(), h[c:].sum()))
+        expected = np.repeat([g[:best].sum() / (h[:best].sum() + 1), g[best:].sum() / (h[best:].sum() + 1)], [best, 9 - best])
+        if gain(g[:best].sum(), h[:best].sum()) + gain(g[best:].sum(), h[best:].sum()) <= gain(g.sum(), h.sum()):
+            expected = np.full(9, g.sum() / (h.sum() + 1))  # no cut is better than none
+        assert np.allclose(Q._tree(g, h, 2), expected)
+        g, h = rng.normal(size=(4, 5)), rng.uniform(0.1, 1, (4, 5))
+        quads = lambda i, j: ((slice(0, i), slice(0, j)), (slice(0, i), slice(j, None)), (slice(i, None), slice(0, j)), (slice(i, None), slice(j, None)))
+        i, j = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda c: sum(gain(g[q].sum(), h[q].sum()) for q in quads(*c)))
+        out = np.zeros_like(g)
+        for q in quads(i, j):
+            out[q] = g[q].sum() / (h[q].sum() + 1)
+        assert np.allclose(Q._grid_tree(g, h), out)
+
+
+def test_toxicity_features_are_brute_force():
+    """Hits found by comparing every word with every term, weights and windows added up plainly."""
+    rng = random.Random(6)
+    terms = [("idiot", False, 5.0), ("scum", False, 2.0), ("trash", True, 3.0)]
+    scorer = X.Scorer(terms)
+    plain = ["idiot", "idjot", "scum", "scam", "trashy", "trash", "a", "you", '"idiot"', "said", "fine.", '"go', 'now"', "Scum!"]
+    for _ in range(300):
+        words = [rng.choice(plain) for _ in range(rng.randint(0, 14))]
+        abuse = fuzzy = quoted = strong = count = 0.0
+        kinds = set()
+        for i, w in enumerate(words):
+            bare = X.bare(w)
+            reach = [(_distance(t, bare), k) for k, (t, _, _) in enumerate(terms) if _distance(t, bare) <= X.edits_allowed(t)]
+            reach += [(0, k) for k, (t, stem, _) in enumerate(terms) if stem and bare.startswith(t)]
+            if not reach:
+                continue
+            edits, k = min(reach)
+            weight = terms[k][2]
+            if X.in_quotes(words, i):
+                quoted += weight
+            elif edits:
+                fuzzy += weight
+            else:
+                abuse, count, strong = abuse + weight, count + 1, strong + (weight > 4)
+                kinds.add(k)
+        n = len(words)
+        expected = (np.log1p(abuse), abuse / (n + 20) * 20, np.log1p(strong), strong / (n + 20) * 100, np.log1p(fuzzy), np.log1p(quoted), len(kinds) ** 0.5, count / (n + 20) * 100, np.log1p(n))
+        assert np.allclose(scorer(" ".join(words)), expected)
+
+
+def test_windows_tell_quotation():
+    """The rule of a window, word by word: a mark that opens before and one that closes after within the window, or a reporting word before a closing mark."""
+    says = lambda text, at: X.in_quotes(text.split(), at)
+    assert says('he "is an idiot indeed" ok', 3) and not says('he "said" an idiot', 3) and not says("an idiot", 1)
+    assert says('they called us idiot" once', 3) and not says('they met us idiot" once', 3)
+    far = '"a ' + "b " * X.WINDOW + 'idiot c"'
+    assert not says(far, X.WINDOW + 1)
