@@ -1,24 +1,27 @@
 """WARC archives of pages, and the external merge of their capture indexes.
 
 Writing: every page becomes one gzip member holding one record. Of pages with equal payloads the one with the smallest
-page_id is a ``response``, the others are ``revisit`` records that refer to it and carry no payload. Spark's text writer
-lays the members one behind the other (its separator is an empty gzip member), so archives go to any store Spark knows.
+page_id is a ``response``, the others are ``revisit`` records that refer to it and carry no payload. A page whose batch
+holds its payload with a smaller page_id is a revisit for sure, so its payload goes no further, however often it occurs.
+Which other pages revisit is told by a join on the digest: with a broadcast where the shared digests are few by count,
+else in a shuffle. An archive is a row of members one behind the other, cut at ``FILE_BYTES`` or ``FILE_RECORDS``; Spark's
+text writer passes its bytes on, one row a file (and an empty gzip member as line end), to any store Spark knows. Every
+digest is checked on reading back.
 
 Indexing: archives are read back record by record; every file gives a run of captures, sorted locally. Captures are
-dealt by ranges of (URL key, time, page_id), so one URL with very many captures is split too, and each range merges its
-runs with a loser tree, from a spool file on disk: the result is globally ordered.
+dealt by ranges of (URL key, time, page_id) of about ``RANGE_ROWS`` captures, so one URL with very many captures is split
+too, and each range merges its runs with a loser tree: the result is globally ordered, and no task holds more than a range.
 
 Defined results: a null html is an empty payload; repeated smallest page_ids are all responses; a null page_id revisits
 the smallest id of its payload (a response if there is none); a null URL has an empty key; an empty table gives an empty
-archive folder and no rows; payloads are never cut; extra columns are not read.
+archive folder and no rows; payloads are never cut, a page larger than an archive has one of its own; extra columns are
+not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -28,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, cut, prepare, shuffle_count, table
+from .common import checkpoint_folder, cut, prepare, remove_folder, shuffle_count, table
 from .url_filter import canonical
 
 #: Captures without a time of their own are dated from here, one second for each page_id.
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
-FILE_RECORDS = 10_000
+FILE_BYTES, FILE_RECORDS = 32 << 20, 50_000
+#: Shared digests that are broadcast at most; beyond that they are joined in a shuffle.
+BROADCAST_DIGESTS = 200_000
+RANGE_ROWS = 200_000
+#: Captures that a merge holds as Python tuples, over all its runs.
+HEADS = 50_000
 LEVEL = 4
 FEED = 1 << 16
-SPOOL_ROWS = 4_096
 INDEX = "page_id long, url string, urlkey string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, length long"
 
 
@@ -151,24 +158,50 @@ def _captured(page_id: int | None) -> str:
     return (EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, urls, htmls = (b.column(i).to_pylist() for i in range(3))
-        size, digest, gz = [], [], []
-        for i, u, h in zip(ids, urls, htmls, strict=True):
-            payload = _text(h)
-            size.append(len(payload))
-            digest.append(payload_digest(payload))
-            gz.append(member(record("response", i, u, _captured(i), digest[-1], payload, len(payload))))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(digest), pa.array(gz, pa.binary())], names=["page_id", "url", "size", "digest", "gz"])
+def _responses(revisit_bytes: int):
+    """(page_id, url, size, digest, gz) of each page; gz is null where the batch itself shows that the page is a revisit."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, urls, htmls = (b.column(i).to_pylist() for i in range(3))
+            payloads = [_text(h) for h in htmls]
+            digest = [payload_digest(p) for p in payloads]
+            least: dict[str, int] = {}
+            for i, d, p in zip(ids, digest, payloads, strict=True):
+                if i is not None and len(p) >= revisit_bytes:
+                    least[d] = min(i, least.get(d, i))
+            again = [d in least and (i is None or least[d] < i) and len(p) >= revisit_bytes for i, d, p in zip(ids, digest, payloads, strict=True)]
+            gz = [None if a else member(record("response", i, u, _captured(i), d, p, len(p))) for i, u, d, p, a in zip(ids, urls, digest, payloads, again, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array(digest, pa.string()), pa.array(gz, pa.binary())], names=["page_id", "url", "size", "digest", "gz"])
 
-def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for i, u, size, digest, gz, first in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-            out.append(gz if first is None or first == i else member(record("revisit", i, u, _captured(i), digest, None, size, first)))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["gz"])
+    return run
+
+
+def _archives(file_bytes: int, file_records: int):
+    """One row for each archive: its members one behind the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["gz"])
+
+        for b in batches:
+            for i, u, n, digest, gz, first in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if first is not None and first != i:
+                    gz = member(record("revisit", i, u, _captured(i), digest, None, n, first))
+                elif gz is None:
+                    raise ValueError(f"page {i} is a revisit in its batch and a response in the join")
+                if held and (size + len(gz) > file_bytes or len(held) == file_records):
+                    yield full()
+                    held, size = [], 0
+                held.append(gz)
+                size += len(gz)
+        if held:
+            yield full()
+
+    return run
 
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0) -> None:
@@ -176,17 +209,18 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0) -> Non
     spark = prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    shared = cut(
+    hexes = (
         rows.where(F.length(raw) >= revisit_bytes).groupBy(F.sha1(raw).alias("hex"))
         .agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 AND first IS NOT NULL").select("hex", "first")
     )
-    made = rows.mapInArrow(_responses, "page_id long, url string, size long, digest string, gz binary")
     five = [F.lpad(F.conv(F.substring("hex", 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
-    shared = shared.select(F.translate(F.concat(*five), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").alias("_digest"), "first")
-    chosen = made.join(shared, made.digest == shared["_digest"], "left").select("page_id", "url", "size", "digest", "gz", "first")
-    # The bytes of a member pass through the text writer as they are.
-    text = chosen.mapInArrow(_final, "gz binary").select(F.col("gz").cast("string").alias("value"))
-    text.write.mode("overwrite").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    shared = cut(hexes.select(F.translate(F.concat(*five), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").alias("_digest"), "first"))
+    if shared.count() <= BROADCAST_DIGESTS:
+        shared = F.broadcast(shared)
+    made = rows.mapInArrow(_responses(revisit_bytes), "page_id long, url string, size long, digest string, gz binary")
+    chosen = made.join(shared, F.col("digest") == F.col("_digest"), "left").select("page_id", "url", "size", "digest", "gz", "first")
+    text = chosen.mapInArrow(_archives(FILE_BYTES, FILE_RECORDS), "gz binary").select(F.col("gz").cast("string").alias("value"))
+    text.write.mode("overwrite").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(folder)
     spark.catalog.refreshByPath(folder)
 
 
@@ -223,66 +257,63 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(_read, INDEX)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive run by run; the runs go to a spool file and are merged from there, a few rows of each in memory."""
-    schema, writer, runs, last = None, None, [], object()
-    handle, path = tempfile.mkstemp(prefix="runs-")
-    os.close(handle)
-    try:
-        with pa.OSFile(path, "wb") as sink:
-            batch_no = 0
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                if writer is None:
-                    schema = b.schema
-                    writer = pa.ipc.new_file(sink, schema)
-                files = b.column("file").to_pylist()
-                start = 0
-                for i in range(1, len(files) + 1):
-                    if i == len(files) or files[i] != files[start] or i - start == SPOOL_ROWS:
-                        if files[start] != last:
-                            runs.append([])
-                            last = files[start]
-                        writer.write_batch(b.slice(start, i - start))
-                        runs[-1].append(batch_no)
-                        batch_no += 1
-                        start = i
-            if writer is None:
-                return
-            writer.close()
-        with pa.memory_map(path) as source:
-            spool = pa.ipc.open_file(source)
-
-            def rows(numbers: list[int]) -> Iterator[tuple]:
-                for k in numbers:
-                    for r in zip(*(c.to_pylist() for c in spool.get_batch(k).columns), strict=True):
+def _merge(heads: int):
+    """Rows of a range arrive run by run and stay as they came; the tree's heads are taken from them a few rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, runs, last = None, [], object()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            schema = b.schema
+            files = b.column("file").to_pylist()
+            start = 0
+            for i in range(1, len(files) + 1):
+                if i == len(files) or files[i] != files[start]:
+                    if files[start] != last:
+                        runs.append([])
+                        last = files[start]
+                    runs[-1].append(b.slice(start, i - start))
+                    start = i
+        if schema is None:
+            return
+        step = max(8, heads // len(runs))
+
+        def rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+            for part in parts:
+                for s in range(0, part.num_rows, step):
+                    for r in zip(*(c.to_pylist() for c in part.slice(s, step).columns), strict=True):
                         yield (r[2], r[3], r[0] is None, r[0] or 0), r
 
-            held: list[tuple] = []
-            for _, r in LoserTree([rows(x) for x in runs]):
-                held.append(r)
-                if len(held) == 5_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-    finally:
-        os.unlink(path)
+        def batch(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+        held: list[tuple] = []
+        for _, r in LoserTree([rows(x) for x in runs]):
+            held.append(r)
+            if len(held) == 5_000:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
+
+    return run
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
     """All captures in global order of (urlkey, captured, page_id): partition after partition, and inside each."""
-    n = shuffle_count(runs.sparkSession)
     runs = cut(runs)  # the ranges are drawn from what is then merged
+    n = max(shuffle_count(runs.sparkSession), -(-runs.count() // RANGE_ROWS))
     dealt = runs.repartitionByRange(n, "urlkey", "captured", F.coalesce("page_id", F.lit(2**62)), "file", "offset")
-    return dealt.sortWithinPartitions("file", "urlkey", "captured", F.col("page_id").asc_nulls_last()).mapInArrow(_merge, INDEX)
+    return dealt.sortWithinPartitions("file", "urlkey", "captured", F.col("page_id").asc_nulls_last()).mapInArrow(_merge(HEADS), INDEX)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), folder)
-    return merge_index(read_runs(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = merge_index(read_runs(spark, folder))  # its captures are written, so the archives have served
+    remove_folder(spark, folder)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
