@@ -50,3 +50,64 @@ def test_repeated_and_unnamed_rows(spark):
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), str(r.kept)) for r in E.near_vectors(df).collect())
     assert got == [("1", 2, "1", "True"), ("1", 2, "1", "True"), ("2", 2, "1", "False"), ("None", 0, "None", "None"), ("None", 0, "None", "None")]
     assert E.near_vectors(df.limit(0)).count() == 0
+
+
+def vectors(seed, n=500, dims=6):
+    """Clusters of many sizes and tightness, and one dense cloud that holds a third of all."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(60, dims))
+    rows = []
+    for i in range(n):
+        b = base[0] if i % 3 == 0 else base[rng.integers(60)]
+        v = b + rng.normal(size=dims) * rng.choice([0, 0.02, 0.1, 0.3, 0.6])
+        rows.append((i, "a" if i % 7 else "b", v.tolist()))
+    return rows
+
+
+@pytest.mark.parametrize(("fan", "shared_bytes"), [(4, 32 << 20), (4, 0), (16, 0)])
+def test_levels_of_cells_lose_no_link(spark, monkeypatch, fan, shared_bytes):
+    """Small cells and few of them a level, so groups are split several times; centroids shared or sent along."""
+    monkeypatch.setattr(E, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(E, "BLOCK_ROWS", 16)
+    rows = vectors(fan)
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").repartition(4)
+    start = E._units(df.selectExpr("vec_id AS node", "label", "6 AS dim", "'' AS path", "0 AS depth", "true AS home", "1L AS copies", "embedding"), "node long, label string, dim int, path string, depth int, home boolean, copies long")
+    placed = E.cells(start.select(*E._NAMES), 0.98, 12, fan, shared_bytes).collect()
+    assert max(r.depth for r in placed) >= (2 if fan == 4 else 1)
+    assert sorted(r.node for r in placed if r.home) == list(range(500))  # each lives in one cell
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(df, cell_rows=12, fan=fan, shared_bytes=shared_bytes).collect()}
+    assert got == brute(rows)
+
+
+def test_a_dense_cloud_is_not_split():
+    rng = np.random.default_rng(1)
+    cloud = rng.normal(size=16) + rng.normal(size=(4000, 16)) * 0.01
+    cloud /= np.linalg.norm(cloud, axis=1)[:, None]
+    assert E.split(cloud, 64, math.sqrt(0.04)) is None
+    apart = rng.normal(size=(4000, 16))
+    apart /= np.linalg.norm(apart, axis=1)[:, None]
+    assert E.split(apart, 64, math.sqrt(0.04)) is not None
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date"])
+def test_labels_of_any_type(spark, kind):
+    label = {"string": ["x", "y z", None], "double": [0.5, 1.5, None], "date": ["2020-01-01", "2021-01-01", None]}[kind]
+    rows = [(i, label[i % 3], [1.0, 2.0 + i * 0.001]) for i in range(9)]
+    df = spark.createDataFrame(rows, f"vec_id long, label {'string' if kind == 'date' else kind}, embedding array<double>").withColumn("label", E.F.col("label").cast(kind))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(df).collect()}
+    assert got == {i: (0, i, True) if i % 3 == 2 else (2, i % 3, i < 3) for i in range(9)}
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_vectors_that_share_a_hash_stay_apart(spark, bits):
+    rows = vectors(9, 120)
+    rows += [(1000 + i, label, v) for i, (_, label, v) in enumerate(rows[:30])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(df, hash_bits=bits).collect()}
+    assert got == brute(rows)
+
+
+def test_ids_keep_their_bits_beside_nulls(spark):
+    rows = [(2**53 + 1, "a", [1.0, 0.0]), (None, "a", [1.0, 0.0]), (2**53 + 3, "a", [1.0, 0.001])]
+    got = E.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert {(r.vec_id, r.component_id) for r in got} == {(2**53 + 1, 2**53 + 1), (2**53 + 3, 2**53 + 1), (None, None)}
