@@ -4,49 +4,54 @@ Two sets of sizes s and r link when ``den * overlap >= num * union``, that is wh
 ``c(s, r) = ceil(num * (s + r) / (num + den))`` elements.
 
 *Light* (the smaller set has at most ``boundary`` elements): each set emits the hashes of its subsets of size c(s, r)
-for every partner size r. Sets that meet share c elements, so they link without further checks.
+for every partner size r. Sets that meet share c elements, but for a chance meeting of hashes.
 
 *Heavy*: linked sets of one size class differ in at most H elements. Each class deals the hash space into more than H
 parts, so linked sets agree in a whole part; a set enters one inverted list for each of its parts, and lists are scanned
 in size order. A list of a part is far more selective than one of a single shingle: by chance alone documents share
 rare shingles, but not ten at once. Shingles that very many documents hold (by a count sketch of fixed size over all
 documents) are set apart in a part that has no list, so common passages don't meet in lists; sets made up mostly of such
-shingles, whose other parts are empty, meet in a second dealing of all their shingles. The sets of each candidate group
-are then compared exactly, block against block.
+shingles, whose other parts are empty, meet in a second dealing of all their shingles.
+
+Whatever meets is a candidate. The sets of each candidate group are compared exactly, in whole numbers, block against block.
 
 The boundary is the largest size at which the subsets cost no more rows than the parts and the shipped set would.
 
-Equal sets are made one node before anything else. A list is pre-aggregated in every batch to its smallest and largest
+Equal sets are made one node before anything else. They are known by 128 bits: by a name of 64 bits, and the few sets
+(about n²/2**65 of n) whose name belongs to a second set too get other names before any set meets another. A list is pre-aggregated in every batch to its smallest and largest
 member, so a shingle held by a third of all documents reaches the shuffle a few times a batch. Groups too large for one
-task are compared in block pairs. No pairs are emitted within a group: comparisons give a spanning forest.
+task are parted by size and compared in block pairs. No pairs are emitted within a group: comparisons give a spanning forest.
 
 Defined results: null or blank texts have the empty set and link with nothing; rows that repeat a text share a
 component; a row with a null doc_id is kept and counts as a copy of equal texts, but has no links of its own (its
-component_id is null unless a named row has an equal set); empty tables give no rows; extra columns are not read.
+component_id is null unless a named row has an equal set); very long texts are read whole, a set of any size is
+compared; a tie at the threshold links; empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import components, cut, dense_parts, grouped_stream, merge_dense, prepare, shuffle_count, table
-from .shingles import Shingler, fingerprint, mix
+from .shingles import Naming, Shingler, mix, second_fingerprint
 
 CELLS_BITS = 20
 SEGMENTS = 64
 COMMON_SHARE, LEAST_COMMON = 0.001, 50
-BLOCK_SETS, BLOCK_HASHES = 2_000, 1_000_000
+BLOCK_SETS, BLOCK_HASHES = 250, 1_000_000
+RENAMED = 100_000
 _U = np.uint64
 _ENTRY = "key long, id long, n int, lo int"
-CANDIDATE, VERIFIED = -1, -2
+_EDGE = -1  # in place of lo: the row is an edge found already
+_MEETING = ["component", "kind", "across", "bi", "bj"]
 
 
 class Threshold:
@@ -140,8 +145,8 @@ def subset_sums(m: np.ndarray, k: int) -> np.ndarray:
 
 
 def scan_lists(key, ids, n, lo, t: Threshold) -> tuple[list, list]:
-    """Scan groups of rows sorted by (key, n, id), none repeated: edges (u, v, kind), and the positions to hand on."""
-    edges: list[tuple[int, int, int]] = []
+    """Scan groups of rows sorted by (key, n, id), none repeated: edges (u, v), and the positions to hand on."""
+    edges: list[tuple[int, int]] = []
     on: list[int] = []
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() if len(key) else []
     for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
@@ -150,7 +155,7 @@ def scan_lists(key, ids, n, lo, t: Threshold) -> tuple[list, list]:
             continue
         if lo[s] > 0:
             if n[s] == lo[s]:
-                edges += [(ids[s], ids[i], VERIFIED) for i in range(s + 1, e)]
+                edges += [(ids[s], ids[i]) for i in range(s + 1, e)]
                 on.append(s)
             else:
                 on += range(s, e)
@@ -159,12 +164,12 @@ def scan_lists(key, ids, n, lo, t: Threshold) -> tuple[list, list]:
         on.append(s)
         for i in range(s + 1, e):
             if t.den * n[leader] >= t.num * n[i]:
-                edges.append((ids[leader], ids[i], CANDIDATE))
+                edges.append((ids[leader], ids[i]))
             else:
                 if i - 1 != leader:
                     on.append(i - 1)
                 if t.den * n[i - 1] >= t.num * n[i]:
-                    edges.append((ids[i - 1], ids[i], CANDIDATE))
+                    edges.append((ids[i - 1], ids[i]))
                 leader = i
                 on.append(i)
         if e - 1 != leader:
@@ -187,24 +192,21 @@ def _rows(key, ids, n, lo) -> pa.RecordBatch:
     )
 
 
-def _survey(width: int):
-    """First pass: (doc_id, n, fp) of each row, and at each task's end the sketch of its shingles in segments."""
+def _survey(width: int, naming: Naming):
+    """First pass: (doc_id, n, both halves of the set's name) of each row, and at each task's end the sketch of its shingles in segments."""
+    names = ["doc_id", "n", "fp", "second", "seg", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, cells = Shingler(width), np.zeros(1 << CELLS_BITS, np.int32)
-        names = ["doc_id", "n", "fp", "seg", "data"]
         for b in batches:
             sets = shingler.sets(b.column(1).to_pylist())
             if sets:
                 cells += np.bincount((np.concatenate(sets) >> _U(64 - CELLS_BITS)).astype(np.int64), minlength=1 << CELLS_BITS).astype(np.int32)
-            rows = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=names,
-            )
+            of = lambda f, sets=sets: pa.array([f(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), of(naming.first), of(second_fingerprint), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if cells.any():
             for seg, data in dense_parts(cells, SEGMENTS):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([seg], pa.int32()), pa.array([data], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([seg], pa.int32()), pa.array([data], pa.binary())], names=names)
 
     return run
 
@@ -241,8 +243,8 @@ def part_keys(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, dealing:
     return out
 
 
-def _emit(width: int, t: Threshold, shared):
-    """Second pass: each batch's list entries after local scanning, and the edges found in it (lo < 0)."""
+def _emit(width: int, t: Threshold, naming: Naming, shared):
+    """Second pass: each batch's list entries after local scanning, and the edges found in it."""
     boundary = t.boundary()
     reach = t.den * boundary // t.num
     by_size = {s: t.classes(s, boundary) for s in range(1, reach + 1)}
@@ -250,7 +252,7 @@ def _emit(width: int, t: Threshold, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, hot, dealing = Shingler(width), shared.value, Dealing(t, boundary + 1)
         for b in batches:
-            sets = [s for s in {fingerprint(s): s for s in shingler.sets(b.column(0).to_pylist()) if len(s)}.items()]
+            sets = list({naming(s): s for s in shingler.sets(b.column(0).to_pylist()) if len(s)}.items())
             if not sets:
                 continue
             ids = np.array([f for f, _ in sets], np.int64)
@@ -281,29 +283,29 @@ def _emit(width: int, t: Threshold, shared):
             yield _rows(key[on], node[on], n[on], lo[on])
             if edges:
                 e = np.array(sorted(set(edges)), np.int64)
-                yield _rows(e[:, 0], e[:, 1], np.zeros(len(e)), e[:, 2])
+                yield _rows(e[:, 0], e[:, 1], np.zeros(len(e)), np.full(len(e), _EDGE))
 
     return run
 
 
 def _scan(t: Threshold):
-    """Over partitions sorted by (key, n, id): edges (u, v, kind). The last key of a batch waits for the next one, thinned like any other."""
+    """Over partitions sorted by (key, n, id): edges (u, v). The last key of a batch waits for the next one, thinned like any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
         found: set = set()
 
         def out():
-            e = np.array(sorted(found), np.int64).reshape(-1, 3)
+            e = np.array(sorted(found), np.int64).reshape(-1, 2)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(e[:, 2].astype(np.int32))], names=["u", "v", "kind"])
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             key, ids, n, lo = (np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held))
-            passed = lo < 0
-            found.update(zip(key[passed].tolist(), ids[passed].tolist(), lo[passed].tolist(), strict=True))
+            passed = lo == _EDGE
+            found.update(zip(key[passed].tolist(), ids[passed].tolist(), strict=True))
             key, ids, n, lo = _distinct_sorted(*(x[~passed] for x in (key, ids, n, lo)))
             edges, on = scan_lists(key, ids, n, lo, t)
             found.update(edges)
@@ -317,8 +319,13 @@ def _scan(t: Threshold):
     return run
 
 
+def enough(overlap: np.ndarray, together: np.ndarray, t: Threshold) -> np.ndarray:
+    """Whether overlaps (int64) reach the threshold for sets of so many elements together."""
+    return overlap * (t.num + t.den) >= t.num * together
+
+
 def compare(ids: np.ndarray, sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these sets, by exact overlaps."""
+    """A spanning forest of the links among these sets, by exact overlaps in whole numbers."""
     k = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(k), sizes)
@@ -328,13 +335,13 @@ def compare(ids: np.ndarray, sets: list[np.ndarray], t: Threshold) -> list[tuple
     used, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    overlaps = np.zeros((k, k), np.float32)
+    overlaps = np.zeros((k, k), np.int64)
     for s in range(0, len(used), 4096):
         a, b = np.searchsorted(column, [s, s + 4096])
         part = np.zeros((k, min(4096, len(used) - s)), np.float32)
         part[owner[a:b], column[a:b] - s] = 1
-        overlaps += part @ part.T
-    links = overlaps * (t.num + t.den) >= t.num * (sizes[:, None] + sizes[None, :]).astype(np.float32)
+        overlaps += (part @ part.T).astype(np.int64)  # at most 4096 in a step, exact in single precision
+    links = enough(overlaps, sizes[:, None] + sizes[None, :], t)
     seen, out = np.zeros(k, bool), []
     for i in range(k):
         if seen[i]:
@@ -357,7 +364,7 @@ def _verify(t: Threshold):
         edges = compare(np.array(list(by_id), np.int64), [np.frombuffer(x, np.uint64) for x in by_id.values()], t)
         return pa.RecordBatch.from_arrays([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], names=["u", "v"])
 
-    return grouped_stream(["component", "bi", "bj"], visit)
+    return grouped_stream(_MEETING, visit)
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -381,7 +388,7 @@ def _bitmap(nodes: DataFrame, column: str, count: int) -> np.ndarray:
     return got.view(np.uint8) if len(got) else np.zeros(1 << (bits - 3), np.uint8)
 
 
-def _ship(width: int, shared):
+def _ship(width: int, naming: Naming, shared):
     """Third pass: the shingle sets of the rows whose id may be a candidate's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,65 +401,117 @@ def _ship(width: int, shared):
             b = b.filter(pa.array((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if b.num_rows:
                 sets = shingler.sets(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "got", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([naming(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "got", "hashes"])
 
     return run
 
 
 def with_set_names(rows: DataFrame, width: int, out: str, text: str = "text") -> DataFrame:
-    """Rows with the name of their text's shingle set, null for an empty one."""
+    """Rows with the 128-bit name of their text's shingle set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, naming = Shingler(width), Naming()
         for b in batches:
-            sets = shingler.sets(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, out])
+            sets = shingler.sets(b.column(b.schema.get_field_index(text)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f"{naming.first(s)},{second_fingerprint(s)}" if len(s) else None for s in sets], pa.string())], names=[*b.schema.names, out])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, LongType())]))
+def _names(meta: DataFrame) -> DataFrame:
+    """(fp, rep, n, a, b) of each name: its smallest doc_id, its size and the least and greatest second half, which differ where two sets share it."""
+    return cut(meta.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("second").alias("a"), F.max("second").alias("b")))
 
 
-def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", named: bool = False) -> DataFrame:
+def _renamed(meta: DataFrame, names: DataFrame, bits: int) -> tuple[Naming, DataFrame]:
+    """Other names for the sets that share one, and ``meta`` with them. They are few by odds; a check of their number guards the driver."""
+    spark = meta.sparkSession
+    pairs = cut(meta.join(names.where("a <> b").select("fp"), "fp").select("fp", "second").distinct())
+    if pairs.count() > RENAMED:
+        raise RuntimeError(f"more than {RENAMED} sets share a 64-bit name; that many don't occur by chance")
+    rows = sorted((r.fp, r.second) for r in pairs.collect())
+    for attempt in range(100):
+        new = mix(np.array([s for _, s in rows], np.int64).view(np.uint64) + _U(attempt)).view(np.int64).tolist()
+        table = spark.createDataFrame([(f, s, n) for (f, s), n in zip(rows, new, strict=True)], "_f long, _s long, _new long")
+        if len(set(new)) == len(new) and names.join(F.broadcast(table), names.fp == table["_new"], "left_semi").isEmpty():  # at most RENAMED rows
+            break
+    else:
+        raise RuntimeError("no free names found")
+    joined = meta.join(F.broadcast(table), (meta.fp == table["_f"]) & (meta.second == table["_s"]), "left")
+    changed = joined.select("doc_id", "n", F.coalesce("_new", "fp").alias("fp"), "second", "set_name")
+    return Naming(bits, dict(zip(rows, new, strict=True))), cut(changed)
+
+
+def _placed(nodes: DataFrame, t: Threshold) -> DataFrame:
+    """Where each set of a candidate group is compared: rows of (fp, rep) and the key of a meeting of two blocks.
+
+    A group of one block meets in it. A larger one is parted by size, into kinds such that linked sets are of one kind or
+    of neighbouring ones; each kind has blocks of its own, and only blocks of one kind or of neighbouring kinds meet.
+    """
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
+    step = log(t.den / t.num) * (1 + 1e-7)  # a little wide, so that rounding can't part linked sets by two kinds
+    kind = F.floor(F.log("n") / step) if step else F.col("n")
+    whole = cut(nodes.groupBy("component").agg(blocks.alias("_all")))
+    nodes = cut(nodes.join(whole, "component").withColumn("kind", F.when(F.col("_all") > 1, kind).otherwise(0).cast("int")).drop("_all"))
+    w = Window.partitionBy("component").orderBy("kind")  # as many rows as a group has kinds of size
+    beside = lambda f, by: F.when(f("kind").over(w) == F.col("kind") + by, f("_own").over(w)).otherwise(0)
+    counts = nodes.groupBy("component", "kind").agg(blocks.alias("_own")).select("*", beside(F.lead, 1).alias("_above"), beside(F.lag, -1).alias("_below"))
+    b = F.col("_b")
+    meeting = lambda kind, across, i, j: F.struct(kind.cast("int").alias("kind"), F.lit(across).alias("across"), i.alias("bi"), j.alias("bj"))
+
+    def each(count: str, place) -> Column:
+        met = F.transform(F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1), place)
+        return F.when(F.col(count) > 0, met).otherwise(F.slice(met, 1, 0))
+
+    own = each("_own", lambda o: meeting(F.col("kind"), False, F.least(b, o), F.greatest(b, o)))
+    above = each("_above", lambda o: meeting(F.col("kind"), True, b, o))
+    below = each("_below", lambda o: meeting(F.col("kind") - 1, True, o, b))
+    dealt = nodes.join(cut(counts), ["component", "kind"]).withColumn("_b", F.pmod(F.xxhash64("fp"), F.col("_own")).cast("int"))
+    return dealt.select("fp", "rep", "component", F.explode(F.concat(own, above, below)).alias("_m")).select("fp", "rep", "component", "_m.*")
+
+
+def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", named: bool = False, name_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its shingle set and the smallest id reachable by links.
 
-    ``named`` adds fp, the name of the row's set (see :func:`with_set_names`), null for an empty one.
+    ``named`` adds fp, the 128-bit name of the row's set (see :func:`with_set_names`), null for an empty one. ``name_bits``
+    shortens the names that sets have on the way, to try what happens where sets share one.
     """
-    fp = ["fp"] if named else []
     spark = prepare(docs.sparkSession)
-    t = Threshold(num, den)
+    t, naming = Threshold(num, den), Naming(name_bits)
     n = shuffle_count(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    first = cut(rows.mapInArrow(_survey(width), "doc_id long, n long, fp long, seg int, data binary"))
-    meta = first.where("seg IS NULL").select("doc_id", "n", "fp")
+    first = cut(rows.mapInArrow(_survey(width, naming), "doc_id long, n long, fp long, second long, seg int, data binary"))
+    meta = first.where("seg IS NULL").select("doc_id", "n", "fp", "second", F.when(F.col("fp").isNotNull(), F.concat_ws(",", "fp", "second")).alias("set_name"))
     counts = merge_dense(first.where("seg IS NOT NULL").select("seg", "data"), "sum")
+    fp = [F.col("set_name").alias("fp")] if named else []
     if not len(counts):
         return meta.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *fp)
     # Cells that stand out from the mean load hold a shingle of very many documents. One byte a cell, 1 MB at any size of the corpus.
     hot = spark.sparkContext.broadcast(counts > counts.mean() + np.maximum(LEAST_COMMON, meta.count() * COMMON_SHARE))
+    names = _names(meta)
+    if not names.where("a <> b").isEmpty():
+        naming, meta = _renamed(meta, names, name_bits)
+        names = _names(meta)
 
-    entries = rows.select("text").mapInArrow(_emit(width, t, hot), _ENTRY)
-    edges = cut(entries.repartition(n, "key").sortWithinPartitions("key", "n", "id").mapInArrow(_scan(t), "u long, v long, kind int").distinct())
-    groups = cut(components(edges.where(F.col("kind") == CANDIDATE)))
+    entries = rows.select("text").mapInArrow(_emit(width, t, naming, hot), _ENTRY)
+    edges = cut(entries.repartition(n, "key").sortWithinPartitions("key", "n", "id").mapInArrow(_scan(t), "u long, v long").distinct())
+    groups = cut(components(edges))
 
-    names = cut(meta.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     nodes = cut(names.join(groups, names.fp == groups.node).select("fp", "rep", "n", "component"))
-    sizes = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    placed = nodes.join(cut(sizes), "component").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    placed = placed.select("fp", "rep", "component", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "fp", "rep", "component", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj")
-    )
+    placed = _placed(nodes, t)
     marks = spark.sparkContext.broadcast(_bitmap(nodes, "rep", nodes.count()))  # at most 128 MB
-    sets = rows.mapInArrow(_ship(width, marks), "doc_id long, got long, hashes binary")
-    blocks = sets.join(placed, (sets.doc_id == placed.rep) & (sets.got == placed.fp)).select("component", "bi", "bj", "fp", "hashes")
-    blocks = blocks.repartition(n, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
+    sets = rows.mapInArrow(_ship(width, naming, marks), "doc_id long, got long, hashes binary")
+    blocks = sets.join(placed, (sets.doc_id == placed.rep) & (sets.got == placed.fp)).select(*_MEETING, "fp", "hashes")
+    blocks = blocks.repartition(n, *_MEETING).sortWithinPartitions(*_MEETING)
     linked = cut(blocks.mapInArrow(_verify(t), "u long, v long"))
 
-    whole = cut(components(linked.union(edges.where(F.col("kind") == VERIFIED).select("u", "v"))))
+    whole = cut(components(linked))
     joined = cut(names.join(whole, names.fp == whole.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")))
     least = cut(joined.groupBy("component").agg(F.min("rep").alias("component_id")))
-    named = cut(joined.join(least, "component").select(F.col("fp").alias("name"), "component_id"))
+    ids = cut(joined.join(least, "component").select(F.col("fp").alias("name"), "component_id"))
     meta = cut(meta)
-    return meta.join(named, meta.fp == named.name, "left").select(
+    return meta.join(ids, meta.fp == ids.name, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *fp
     )
 

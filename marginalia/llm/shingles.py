@@ -95,3 +95,30 @@ def fingerprint(hashes: np.ndarray) -> int:
     """A signed 64-bit name of a set; two of n sets share one by chance with odds of about n*n/2**65."""
     total = mix(hashes).sum(dtype=np.uint64, keepdims=True)
     return int(mix(total * _U(3) + _U(len(hashes))).view(np.int64)[0])
+
+
+def second_fingerprint(hashes: np.ndarray) -> int:
+    """Another 64 bits of the set's name, drawn independently of the first."""
+    total = mix(hashes ^ _U(0x2545F4914F6CDD1D)).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total * _U(5) + _U(len(hashes))).view(np.int64)[0])
+
+
+class Naming:
+    """64-bit names of sets, unique among sets that differ in their 128 bits.
+
+    ``renamed`` gives other names to the few sets whose first 64 bits another set has too, by both halves. ``bits`` may
+    shorten the first half, which only tests do, to meet such sets.
+    """
+
+    def __init__(self, bits: int = 64, renamed: dict[tuple[int, int], int] | None = None) -> None:
+        self.mask = (1 << bits) - 1
+        self.renamed = renamed or {}
+        self.shared = {first for first, _ in self.renamed}
+
+    def first(self, hashes: np.ndarray) -> int:
+        name = fingerprint(hashes)
+        return name if self.mask == 2**64 - 1 else name & self.mask
+
+    def __call__(self, hashes: np.ndarray) -> int:
+        name = self.first(hashes)
+        return self.renamed[name, second_fingerprint(hashes)] if name in self.shared else name

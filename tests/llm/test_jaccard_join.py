@@ -94,3 +94,60 @@ def test_a_large_group_of_copies(spark, documents):
     texts = [(i, "same words in every one of these documents " * 3) for i in range(500)] + [(1000 + i, f"its own text number {i} with nothing alike at {i * 7}") for i in range(50)]
     got = J.near_groups(documents(texts).repartition(4), 5, 80, 100).where("doc_id < 1000").select("component_id").distinct().collect()
     assert [r.component_id for r in got] == [0]
+
+
+@pytest.mark.parametrize("bits", [2, 5])
+def test_sets_that_share_a_name_stay_apart(spark, documents, bits):
+    """With names of a few bits nearly all sets share one; the groups are still those of brute force."""
+    texts = corpus(4, 120)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_groups(documents(texts).repartition(3), 3, 90, 100, name_bits=bits).collect()}
+    assert got == groups(texts, 3, 90)
+
+
+def test_the_threshold_is_decided_in_whole_numbers():
+    import numpy as np
+
+    t = J.Threshold(90, 100)
+    assert not J.enough(np.array([720_017]), np.array([1_520_036]), t)[0] and J.enough(np.array([720_018]), np.array([1_520_036]), t)[0]
+    half = 1_520_036 // 2
+    for common, linked in ((720_017, False), (720_018, True)):
+        a = np.arange(half, dtype=np.uint64)
+        b = np.concatenate([a[:common], np.arange(10**9, 10**9 + half - common, dtype=np.uint64)])
+        assert bool(J.compare(np.array([1, 2]), [a, b], t)) == linked
+
+
+def test_chance_meetings_of_subset_hashes_do_not_link(spark, documents, monkeypatch):
+    """Even if all subsets of small sets had one hash, only sets that are alike would link."""
+    import numpy as np
+
+    monkeypatch.setattr(J, "subset_sums", lambda m, k: np.zeros(1, np.uint64))
+    texts = [(1, "a b c d e"), (2, "f g h i j"), (3, "a b c d e f"), (4, "k l m n o p")]
+    edges, _ = J.scan_lists(np.zeros(3, np.int64), np.array([1, 2, 3]), np.array([3, 3, 3]), np.array([3, 3, 3]), J.Threshold(90, 100))
+    assert edges == [(1, 2), (1, 3)]
+    assert {r.component_id for r in J.near_groups(documents(texts), 3, 90, 100).collect()} == {1, 2, 3, 4}
+
+
+def test_ids_keep_their_bits_beside_nulls(spark, documents):
+    rows = [(2**53 + 1, "a b c d e"), (None, None), (None, "x y z u"), (2**53 + 3, "a b c d e")]
+    assert {(r.doc_id, r.component_id) for r in J.near_groups(documents(rows), 3, 90, 100).collect()} == {(2**53 + 1, 2**53 + 1), (2**53 + 3, 2**53 + 1), (None, None)}
+
+
+@pytest.mark.parametrize("num", [50, 80, 100])
+def test_large_groups_are_parted_without_loss(spark, monkeypatch, num):
+    """All pairs of sets whose sizes allow a link meet in some block, none in more than they must."""
+    monkeypatch.setattr(J, "BLOCK_SETS", 3)
+    rng = random.Random(num)
+    sizes = {i: rng.choice([1, 2, 4, 8, 16, 5, 10, 20, 40, 64, 65, 100]) for i in range(60)}
+    nodes = spark.createDataFrame([(i, i, n, 1 if i < 50 else 2 + i % 5) for i, n in sizes.items()], "fp long, rep long, n long, component long")
+    t = J.Threshold(num, 100)
+    met = defaultdict(set)
+    for r in J._placed(nodes, t).collect():
+        met[tuple(r[k] for k in J._MEETING)].add(r.fp)
+    pairs = Counter((a, b) for ids in met.values() for a in ids for b in ids if a < b)
+    group = lambda i: 1 if i < 50 else 2 + i % 5
+    for a in sizes:
+        for b in sizes:
+            if a < b and group(a) == group(b):
+                assert (a, b) in pairs or num * max(sizes[a], sizes[b]) > 100 * min(sizes[a], sizes[b]), (a, b)
+            elif a < b:
+                assert (a, b) not in pairs
