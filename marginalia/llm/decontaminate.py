@@ -4,16 +4,21 @@ An item of length L may occur with k = floor(rate * L) edits. It is cut into k +
 least one piece unchanged. All pieces stand in one Aho-Corasick automaton that passes over each whole document, and the
 neighbourhood of every hit is verified with Myers' bit-parallel edit distance.
 
-Texts are compared in lower case with white space runs as one space. The automaton is broadcast; items beyond
-``MAX_CHARS`` go in several automata, one pass over the documents each, so what is broadcast stays bounded.
+Texts are compared in lower case with white space runs as one space; start and end of a match are places in the document's
+own text (code points, end exclusive), so it can be cut out there. The items are broadcast and every worker makes their
+automaton once; items beyond ``MAX_CHARS`` go in several automata, one pass over the documents each, so what is broadcast
+stays bounded.
 
 Defined results: null or blank items and documents match nothing; items that repeat a text are all reported; repeated
-documents repeat their matches; a document without an id is matched too (its doc_id is null); empty tables give no
-rows; extra columns are not read. For each document and item the best occurrence is given, the first of equals.
+documents repeat their matches; a document without an id is matched too (its doc_id is null); documents of any length are
+read whole; empty tables give no rows; extra columns are not read. For each document and item the best occurrence is
+given, the first of equals.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,6 +36,19 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts (start, end) of a normalised text as parts of the text itself."""
+    lower = text.lower()
+    # Lower case may be longer than its character, so each lower-case character is told where it comes from.
+    origin = range(len(text)) if len(lower) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
+    at: list[int] = []
+    for m in re.finditer(r"\S+", lower):
+        if at:
+            at.append(at[-1] + 1)  # the space between two words
+        at += origin[m.start() : m.end()]
+    return [(at[s], at[e - 1] + 1) for s, e in spans]
+
+
 def budget(length: int, rate: float = ERROR_RATE) -> int:
     return int(rate * length)
 
@@ -131,17 +149,32 @@ class Matcher:
         return out
 
 
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, shared, rate: float) -> Matcher:
+    """The matcher of a broadcast item set, made once in each worker; only the last one is kept."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(shared.value, rate)
+    return _MATCHERS[key]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, distance, start, end): every item that occurs in a document within its error budget."""
+    """(doc_id, item_id, distance, start, end): every item that occurs in a document within its error budget, and where in its text."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for shared in _item_sets(items):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, shared, rate)
             for b in batches:
-                found = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in matcher.matches(normal(t))]
+                found = []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if matches := matcher.matches(normal(t)):
+                        spans = places(t, [(s, e) for _, _, s, e in matches])
+                        found += [(i, item, d, *span) for (item, d, _, _), span in zip(matches, spans, strict=True)]
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "start", "end"])
 
@@ -168,8 +201,8 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFr
     at = docs.columns.index("text")
     for shared in _item_sets(items):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, shared, rate)
             for b in batches:
                 yield b.filter(pa.array([not matcher.matches(normal(t)) for t in b.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from marginalia.llm import decontaminate as D
 
@@ -56,3 +57,40 @@ def test_tables(spark, documents, monkeypatch):
     clean = D.clean(docs, items)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5, 7]
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0 and D.clean(docs, items.limit(0)).count() == 8
+
+
+def test_same_matches_as_brute_force(spark):
+    """Both directions: every pair of document and item within the budget is found with its least distance, and no other."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(2, 14)))) for i in range(25)]
+    docs = []
+    for d in range(120):
+        body = [word() for _ in range(rng.randint(0, 25))]
+        if rng.random() < 0.8:
+            t = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 1 + len(t) // 8)):  # about the budget, often beyond it
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([["e"], [], [t[at], "e"]])
+            body.insert(rng.randrange(len(body) + 1), "".join(t))
+        docs.append((d, "  ".join(w.upper() if rng.random() < 0.3 else w for w in body) + rng.choice(["", "\n", " \t"])))
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = set()
+    for d, text in docs:
+        for i, item in items:
+            least = _least(item, D.normal(text))
+            if least <= D.budget(len(item)):
+                expected.add((d, i, least))
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == expected and 40 < len(expected) < 1500
+    text = dict(docs)
+    for r in found:  # what the places cut out has that very distance
+        assert _least(items[r.item_id][1], re.sub(r"\s+", " ", text[r.doc_id][r.start : r.end].lower())) == r.distance
+
+
+def test_places_in_the_text_itself():
+    for text in ("  A  b\tc ", "\u0130x  \u0130 y", "Stra\u00dfe \u03a9\u00c9", "\x1cA\x1fB"):
+        normal = D.normal(text)
+        spans = [(s, e) for s in range(len(normal)) for e in range(s + 1, len(normal) + 1) if normal[s] != " " != normal[e - 1]]
+        for (s, e), (a, b) in zip(spans, D.places(text, spans), strict=True):
+            assert normal[s:e] in D.normal(text[a:b]) and 0 <= a < b <= len(text)
+    assert D.places("  A  b\tc ", [(0, 5)]) == [(2, 8)]
