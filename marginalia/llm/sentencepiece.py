@@ -8,7 +8,8 @@ The pieces come from a model file whose path is a parameter (nothing is trained
 are used. A BPE model has merge ranks instead; rank r scores ``-log(r + 1) - log(sum of 1 / r)``, Zipf's law.
 
 Pieces hold the marker in front only, so a text is cut before each run of markers and each part is encoded on its own;
-the best paths of all new parts of a batch are found together, with numpy steps over the double array.
+the best paths of all new parts of a batch are found together, with numpy steps over the double array. A few very long parts
+(text without spaces) are walked one by one with plain steps over the same double array.
 
 Defined results: a null text has null ids, an empty or blank text is encoded like any other; repeated rows repeat; rows
 without an id are kept; empty tables give no rows; texts are never cut; extra columns are not read.
@@ -30,6 +31,7 @@ MARK = "▁"
 KNOWN_PARTS = 300_000
 _PARTS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 _LONG = 64  # bytes; longer parts are encoded in groups of their own
+_FEW = 8  # parts; below that, numpy's steps cost more than they spare
 
 
 class DoubleArray:
@@ -97,6 +99,7 @@ class Vocabulary:
         self.longest = max((len(p.encode()) for _, p, _ in usable), default=1)
         self.text: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for i, p, _ in usable}
         self.text |= {int(b): bytes([n]) for n, b in enumerate(byte_ids)}
+        self.plain = [self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist(), self.ids.tolist()]
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -133,6 +136,11 @@ class Codec:
             e = max(e, s + 1)
             group = [parts[i] for i in order[s:e]]
             n, width = len(group), max(map(len, group))
+            if n < _FEW and width > _LONG:
+                for i in order[s:e]:
+                    out[i] = self._walk(parts[i])
+                s = e
+                continue
             lengths = np.array([len(g) for g in group])
             text = np.zeros((n, width + 1), np.int32)
             flat = np.frombuffer(b"".join(group), np.uint8)
@@ -194,6 +202,35 @@ class Codec:
             s = e
         return out
 
+    def _walk(self, part: bytes) -> np.ndarray:
+        """The best path of one part, as :meth:`viterbi` finds it: the same steps in the same order."""
+        base, check, value, scores, ids = self.v.plain
+        n, unknown = len(part), self.v.unknown
+        best, came, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            start, lead = best[i], part[i]
+            if start == -np.inf:
+                continue
+            to = min(i + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), n)
+            if start + unknown > best[to]:
+                best[to], came[to], piece[to] = start + unknown, i, -1
+            node, d = 0, i
+            while d < n:
+                child = base[node] + part[d]
+                if check[child] != node:
+                    break
+                node, d = child, d + 1
+                number = value[node]
+                if number >= 0 and start + scores[number] > best[d]:
+                    best[d], came[d], piece[d] = start + scores[number], i, number
+        path, at = [], n
+        while at > 0:
+            back = came[at]
+            path += [ids[piece[at]]] if piece[at] >= 0 else [int(self.v.byte_ids[c]) for c in reversed(part[back:at])]
+            at = back
+        return np.array(path[::-1], np.int32)
+
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
         if len(self.known) > KNOWN_PARTS:
             self.__init__(self.v)
@@ -237,8 +274,7 @@ class Codec:
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:
             return None
-        text = self.v.text
-        data = b"".join([text[i] for i in ids.tolist()])
+        data = b"".join(map(self.v.text.__getitem__, ids.tolist()))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "surrogatepass")
 
 
