@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
+from .functions.containment import contained
 from .operators import annotations, reports
 from .plans import pipeline
 from .schemas import BOOK_CLIPPING
@@ -38,8 +39,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def books_of_sidecars(spark: SparkSession, folder: str, books: DataFrame, every: bool) -> DataFrame:
     """(path, book_id): store files by the book whose stem their name or folder holds; the first of each book unless ``every``."""
     listed = files.listing(spark, folder, "*.pds", recursive=True).select("path", "name", "parent")
-    stem = T.book_key("book_id")
-    hit = listed.join(books, F.contains("name", stem) | F.contains("parent", stem)).select("path", "book_id")
+    listed, books = listed.withColumn("_name", F.explode(F.array_distinct(F.array("name", "parent")))), books.withColumn("_stem", T.book_key("book_id"))
+    hit = listed.join(contained(listed, books, "_name", "_stem"), "_name").join(books, "_stem").select("path", "book_id").distinct()
     if every:
         return hit
     return hit.withColumn("_n", F.row_number().over(Window.partitionBy("book_id").orderBy("path"))).where("_n = 1").drop("_n")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, strip
+from .text import strip
 
 
 @dataclass(frozen=True)
@@ -41,14 +43,14 @@ def position(c: Column | str) -> Column:
     """
     c = _col(c)
     names = ("page", "sequence", "char_pos", "unknown", "x", "y", "width", "height")
-    used = lambda p: F.slice(p, F.lit(1), F.when(F.size(p) >= 8, 8).when(F.size(p) >= 4, 4).otherwise(0))
-    numbers = let(F.coalesce(_parts(c), F.array().cast("array<string>")), lambda p: F.transform(used(p), lambda x: x.try_cast("int")))
-
-    def shaped(v: Column) -> Column:
-        valid = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())
-        return F.struct(F.coalesce(c, F.lit("")).alias("raw"), *[F.when(valid, F.coalesce(F.get(v, F.lit(i)), F.lit(0))).otherwise(0).alias(n) for i, n in enumerate(names)], valid.alias("valid"))
-
-    return let(numbers, shaped)
+    # Plain expressions, no lambdas: they stay in generated code, where the split is shared.
+    parts = _parts(c)
+    numbers = [F.get(parts, F.lit(i)).try_cast("int") for i in range(8)]
+    first, last = (reduce(and_, [x.isNotNull() for x in part]) for part in (numbers[:4], numbers[4:]))
+    long = F.size(parts) >= 8
+    valid = F.coalesce((F.size(parts) >= 4) & first & (~long | last), F.lit(False))
+    used = [F.when(valid, x).otherwise(0) for x in numbers[:4]] + [F.when(valid & long, x).otherwise(0) for x in numbers[4:]]
+    return F.struct(F.coalesce(c, F.lit("")).alias("raw"), *[x.alias(n) for x, n in zip(used, names, strict=True)], valid.alias("valid"))
 
 
 def position_rect(p: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +18,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once: it becomes a lambda's variable, so big expressions aren't repeated."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def collapse(c: Column | str) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(_col(c), f"(?U){BLANK}+", " "))
@@ -83,7 +76,7 @@ def search_variants(c: Column | str) -> list[Column]:
 
 def words(c: Column | str) -> Column:
     """Non-empty words of a collapsed text; none for a blank one."""
-    return let(collapse(c), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
+    return F.array_remove(F.split(collapse(c), " "), "")
 
 
 def tokenize(c: Column | str) -> Column:
@@ -101,17 +94,21 @@ def content_norm(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
 
 
+# Fixed value: the form of a log's title line, as devices write it.
+TITLE = r"(?U)\A(.+?)\s*\(([^)]+)\)\z"
+
+
 def title_author(c: Column | str) -> Column:
     """struct<title, author> of a title line "Title (Author)"; without brackets at the end all is the title."""
     c = _col(c)
-    pattern = r"(?U)\A(.+?)\s*\(([^)]+)\)\z"
-    bracketed = F.regexp_like(c, F.lit(pattern))
+    bracketed = F.regexp_like(c, F.lit(TITLE))
     return F.struct(
-        F.when(bracketed, strip(F.regexp_extract(c, pattern, 1))).otherwise(strip(c)).alias("title"),
-        F.when(bracketed, strip(F.regexp_extract(c, pattern, 2))).otherwise("").alias("author"),
+        F.when(bracketed, strip(F.regexp_extract(c, TITLE, 1))).otherwise(strip(c)).alias("title"),
+        F.when(bracketed, strip(F.regexp_extract(c, TITLE, 2))).otherwise("").alias("author"),
     )
 
 
+# Fixed value: the form of a log's second line, as devices write it.
 META = r"- Your (\w+) on (Location|Page) (\d+(?:-\d+)?)(?: \| Added on (.+))?"
 
 
@@ -201,14 +198,11 @@ def clean_filename(c: Column | str) -> Column:
 
 def word_similarity(a: Column | str, b: Column | str) -> Column:
     """Share of positions with equal words, of the longer text's length; 0 for two blank texts."""
-
-    def share(v: Column) -> Column:
-        x, y = v.getField("x"), v.getField("y")
-        n, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
-        equal = F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: (p == q).cast("int"))
-        return F.when(most == 0, F.lit(0.0)).otherwise(F.aggregate(equal, F.lit(0), lambda s, e: s + e) / most)
-
-    return let(F.struct(words(a).alias("x"), words(b).alias("y")), share)
+    x, y = words(a), words(b)
+    most = F.greatest(F.size(x), F.size(y))
+    # Where one text is shorter its missing words are null and equal nothing.
+    equal = F.filter(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), lambda e: e)
+    return F.when(most == 0, F.lit(0.0)).otherwise(F.size(equal) / most)
 
 
 def first_words(w: Column, counts: tuple[int, ...] = (10, 7, 5)) -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 POSITION = "struct<raw:string,page:int,sequence:int,char_pos:int,unknown:int,x:int,y:int,width:int,height:int,valid:boolean>"
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 RECTS = f"array<{RECT}>"
-CHARS = f"array<struct<ch:string,box:{RECT}>>"
+CHARS = f"array<struct<ch:string,ord:bigint,box:{RECT}>>"
 
 CLIPPING = "source_file string, ord bigint, title string, author string, type string, location string, page string, date_added string, content string, raw_location_info string"
 BOOK_CLIPPING = "book_id string, ord bigint, type string, pdf_page int, content string, timestamp string, raw_meta string, page_str string"

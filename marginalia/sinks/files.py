@@ -27,17 +27,21 @@ def write_commands(commands: DataFrame, path: str) -> DataFrame:
 def draw(commands: DataFrame, documents: DataFrame, folder: str) -> DataFrame:
     """Draw each book's commands into its PDF under ``folder`` (a path all executors share) and count them (needs PyMuPDF).
 
-    ``documents`` have book_id and content. A book is drawn by one task; rows that fail are counted and passed over.
+    ``documents`` have book_id and content. A book is drawn by one task; rows that fail are counted and passed over, and so
+    are all rows of a book without a document.
     """
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
+    def one(marks: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        if not len(marks) or not len(files):  # nothing to draw, or nothing to draw it in
+            rows = [(b, 0, int(n)) for b, n in marks.groupby("book_id").size().items()]
+            return pd.DataFrame(rows, columns=["book_id", "added", "failed"])
         import fitz
 
-        book = frame["book_id"].iloc[0]
+        book = marks["book_id"].iloc[0]
         added = failed = 0
-        with fitz.open(stream=frame["content_bytes"].iloc[0], filetype="pdf") as doc:
+        with fitz.open(stream=files["content"].iloc[0], filetype="pdf") as doc:
             outline = doc.get_toc()
-            for r in frame.sort_values(["page", "ord"]).to_dict("records"):
+            for r in marks.sort_values(["page", "ord"]).to_dict("records"):
                 try:
                     if r["command"] == "bookmark":
                         outline.append([1, r["title"], int(r["outline_page"])])
@@ -56,5 +60,5 @@ def draw(commands: DataFrame, documents: DataFrame, folder: str) -> DataFrame:
                 doc.save(f"{folder}/{book.rsplit('/', 1)[-1].removesuffix('.pdf')}_annotated.pdf", garbage=4, deflate=True, clean=True)
         return pd.DataFrame([(book, added, failed)], columns=["book_id", "added", "failed"])
 
-    return commands.join(documents.select("book_id", F.col("content").alias("content_bytes")), "book_id").groupBy("book_id").applyInPandas(one, RESULT)
-
+    # Cogrouped, so a document's bytes travel once, not with each of its marks.
+    return commands.groupBy("book_id").cogroup(documents.select("book_id", "content").groupBy("book_id")).applyInPandas(one, RESULT)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.containment import contained
 from ..functions.similarity import decode_with_fallback
 
 
@@ -52,8 +53,8 @@ def parse_for_books(logs: DataFrame, books: DataFrame, text: str = "text") -> Da
     """
     r = records(logs, text).select("ord", "lines", F.lower(F.get("lines", F.lit(0))).alias("_title"), T.strip(F.get("lines", F.lit(1))).alias("raw_meta"))
     named = books.select("book_id", F.lower(T.book_key("name")).alias("_key"))
-    # Containment has no equi-key; the optimiser broadcasts the smaller side, which is the table of books.
-    joined = r.join(named, F.contains("_title", F.col("_key")))
+    # A log repeats its titles: each is held against the books' keys once, and records meet their books by title.
+    joined = r.join(contained(r, named, "_title", "_key"), "_title").join(named, "_key")
     page = F.regexp_extract("raw_meta", r"(?i)page\s+(\d+(?:-\d+)?)", 1)
     body = F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n")
     return joined.where(page != "").select(

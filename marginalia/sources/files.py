@@ -55,19 +55,23 @@ def select_sidecar(files: DataFrame, stem: str) -> DataFrame:
 
 
 def match_sidecars(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """Store files of each document, by the first rule that gives any: its own side-car or folder, a folder of equal normalised name, any store file."""
+    """(document, path, rule) of each document's store files, by the first rule that gives any.
+
+    1: its own side-car or folder; 2: a folder of equal normalised name; 3: any store file will do, said by one row without a
+    path rather than by a row for each file there is (see :func:`first_per_document`).
+    """
     d = documents.select(F.col("path").alias("document"), "name", "stem", T.token_norm("name").alias("_n"), T.token_norm("stem").alias("_s"))
     f = files.where(F.lower("suffix") == ".pds").select("path", F.col("stem").alias("file_stem"), F.col("name").alias("file_name"), "parent")
     folder = F.regexp_replace("parent", r"\.sdr\z", "")
-    own = d.join(f, (F.col("file_stem") == F.col("stem")) | (folder == F.col("stem"))).select("document", "path", F.lit(1).alias("_rule"))
+    own = d.join(f, F.col("file_stem") == F.col("stem")).select("document", "path", F.lit(1).alias("rule"))
+    in_own = d.join(f.withColumn("_folder", folder), F.col("_folder") == F.col("stem")).select("document", "path", F.lit(1).alias("rule"))
     g = f.where(F.endswith("parent", F.lit(".sdr"))).withColumn("_k", T.token_norm(folder))
-    by_name = d.join(g, F.col("_k") == F.col("_n")).select("document", "path", F.lit(2).alias("_rule"))
-    by_stem = d.join(g, F.col("_k") == F.col("_s")).select("document", "path", F.lit(2).alias("_rule"))
-    found = own.union(by_name).union(by_stem).dropDuplicates(["document", "path"])
-    best = found.groupBy("document").agg(F.min("_rule").alias("_best"))
-    chosen = found.join(best, "document").where("_rule = _best").select("document", "path")
-    left = d.join(best.select("document"), "document", "left_anti").select("document")
-    return chosen.union(left.join(f.select("path")))
+    by_name = d.join(g, F.col("_k") == F.col("_n")).select("document", "path", F.lit(2).alias("rule"))
+    by_stem = d.join(g, F.col("_k") == F.col("_s")).select("document", "path", F.lit(2).alias("rule"))
+    found = own.union(in_own).union(by_name).union(by_stem).groupBy("document", "path").agg(F.min("rule").alias("rule"))
+    found = found.union(d.select("document", F.lit(None).cast("string").alias("path"), F.lit(3).alias("rule")))
+    best = F.min("rule").over(Window.partitionBy("document"))
+    return found.withColumn("_best", best).where("rule = _best").drop("_best")
 
 
 def find_document(documents: DataFrame, candidates: list[str], book: str) -> DataFrame:
@@ -86,7 +90,8 @@ def find_log(files: DataFrame, folder: str) -> DataFrame:
     return files.withColumn("_o", order).where("_o > 0").orderBy("_o").limit(1).drop("_o")
 
 
-def first_per_document(pairs: DataFrame) -> DataFrame:
-    """The first file of each document by path."""
-    w = Window.partitionBy("document").orderBy("path")
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def first_per_document(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """(document, path, rule) with the first file of each document by path; the first store file of all where any will do, none where there is none."""
+    any_file = files.where(F.lower("suffix") == ".pds").agg(F.min("path").alias("_any"))
+    first = pairs.groupBy("document", "rule").agg(F.min("path").alias("path"))
+    return first.crossJoin(F.broadcast(any_file)).select("document", F.coalesce("path", F.when(F.col("rule") == 3, F.col("_any"))).alias("path"), "rule")  # one row

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.geometry import rect
+from ..functions.similarity import places
 from ..schemas import CHARS, RECT, RECTS, WORD
 
 
@@ -42,13 +43,13 @@ def page_text(words: DataFrame) -> DataFrame:
 
 
 def page_chars(words: DataFrame) -> DataFrame:
-    """Each page's text as :func:`page_text` makes it, with its characters: struct<ch, box>, a word's box dealt evenly, no box for white space."""
-    blank = lambda c: F.array(F.struct(F.lit(c).alias("ch"), F.lit(None).cast(RECT).alias("box")))
+    """Each page's text as :func:`page_text` makes it, with its characters: struct<ch, ord, box>, a word's box dealt evenly, no word or box for white space."""
+    blank = lambda c: F.array(F.struct(F.lit(c).alias("ch"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast(RECT).alias("box")))
 
     def spelled(w: Column) -> Column:
         n, x0, x1 = F.length(w.getField("word")), w.getField("x0"), w.getField("x1")
         side = lambda k: F.when(k == n, x1).otherwise(x0 + k * (x1 - x0) / n)
-        one = lambda k: F.struct(F.substring(w.getField("word"), k, F.lit(1)).alias("ch"), rect(side(k - 1), w.getField("y0"), side(k), w.getField("y1")).alias("box"))
+        one = lambda k: F.struct(F.substring(w.getField("word"), k, F.lit(1)).alias("ch"), w.getField("ord").cast("long").alias("ord"), rect(side(k - 1), w.getField("y0"), side(k), w.getField("y1")).alias("box"))
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast(CHARS))
 
     joined = lambda parts, c: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(blank(c), p))))
@@ -81,21 +82,41 @@ def text_in_rect(words: DataFrame, rects: DataFrame, *keys: str) -> DataFrame:
 
 
 def search(phrases: DataFrame, words: DataFrame, *keys: str, phrase: str = "phrase") -> DataFrame:
-    """Every occurrence of each phrase on its page: hit (its first word's ord) and rects, one for each line.
+    """Every occurrence of each phrase on its page: hit (the ord of the word it begins in) and rects, one for each line.
 
-    Words are compared in lower case; white space doesn't matter. Phrases meet pages in the word they begin with, so the
-    join is on (book_id, page, first word), and the rest of the phrase is compared there.
+    Phrase and page are compared in normal form, case apart: ligatures folded, words joined over hyphens at line ends, white
+    space collapsed; marks at the edges of words don't hinder. Occurrences that begin and end with whole words go first;
+    only where there is none do parts of words count. Pages that don't hold the phrase never leave the JVM.
     """
-    p = phrases.select("book_id", "page", *keys, T.words(F.lower(F.col(phrase))).alias("_tokens")).where(F.size("_tokens") > 0)
-    w = words.select(
-        F.col("book_id").alias("_b"), F.col("page").alias("_p"), F.col("ord").alias("_o"), "block", "line", F.lower("word").alias("_w"), rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("_r")
-    )
-    on_page = (F.col("book_id") == F.col("_b")) & (F.col("page") == F.col("_p"))
-    first = p.join(w, on_page & (F.get("_tokens", F.lit(0)) == F.col("_w"))).select("book_id", "page", *keys, "_tokens", F.col("_o").alias("hit"))
-    step = first.select("*", F.posexplode("_tokens").alias("_i", "_t")).withColumn("_at", F.col("hit") + F.col("_i"))
-    same = step.join(w, on_page & (F.col("_at") == F.col("_o")) & (F.col("_t") == F.col("_w")))
-    per_line = same.groupBy("book_id", "page", *keys, "hit", F.size("_tokens").alias("_n"), "block", "line").agg(
-        F.count("*").alias("_k"), F.min("_at").alias("_first"), F.min("_r.x0").alias("x0"), F.min("_r.y0").alias("y0"), F.max("_r.x1").alias("x1"), F.max("_r.y1").alias("y1")
-    )
-    whole = per_line.groupBy("book_id", "page", *keys, "hit", "_n").agg(F.sum("_k").alias("_k"), F.array_sort(F.collect_list(F.struct("_first", rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("r")))).alias("_rs"))
-    return whole.where("_k = _n").select("book_id", "page", *keys, "hit", F.transform("_rs", lambda x: x.getField("r")).cast(RECTS).alias("rects"))
+    p = phrases.select("book_id", "page", *keys, T.normalize_page(phrase).alias("_phrase")).where(F.length("_phrase") > 0)
+    c = page_chars(words).withColumn("_norm", F.lower(T.normalize_page("text")))
+    met = p.join(c, ["book_id", "page"]).where(F.contains("_norm", F.lower("_phrase"))).drop("_norm")
+    at = met.withColumn("_at", places("text", F.lit("normalised"), "_phrase", F.array().cast("array<string>"))).select("book_id", "page", *keys, "chars", F.explode("_at").alias("_p"))
+    part = F.slice("chars", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start"))
+    return at.select("book_id", "page", *keys, F.get(part, F.lit(0)).getField("ord").alias("hit"), boxes_to_lines(part).cast(RECTS).alias("rects")).where(F.size("rects") > 0)
+
+
+def boxes_to_lines(chars: Column, tolerance: float = 5.0) -> Column:
+    """One rect for each line of an array of struct<ch, box>: a line ends at a line break or where y moves ``tolerance`` from its first character."""
+    state = f"struct<done:array<{RECT}>,now:{RECT},y:double>"
+    start = F.struct(F.array().cast(f"array<{RECT}>").alias("done"), F.lit(None).cast(RECT).alias("now"), F.lit(None).cast("double").alias("y")).cast(state)
+
+    def closed(s: Column) -> Column:
+        return F.when(s.getField("now").isNull(), s.getField("done")).otherwise(F.concat(s.getField("done"), F.array(s.getField("now"))))
+
+    def step(s: Column, c: Column) -> Column:
+        b, now = c.getField("box"), s.getField("now")
+        fresh = rect(b.getField("x0"), b.getField("y0"), b.getField("x1"), b.getField("y1"))
+        joined = rect(F.least(now.getField("x0"), b.getField("x0")), F.least(now.getField("y0"), b.getField("y0")), F.greatest(now.getField("x1"), b.getField("x1")), F.greatest(now.getField("y1"), b.getField("y1")))
+        new_line = c.getField("ch").isin("\n", "\r")
+        same = s.getField("y").isNull() | (F.abs(b.getField("y0") - s.getField("y")) < tolerance)
+        return (
+            F.when(new_line, F.struct(closed(s).alias("done"), F.lit(None).cast(RECT).alias("now"), F.lit(None).cast("double").alias("y")))
+            .when(b.isNull(), s)
+            .when(now.isNull(), F.struct(s.getField("done").alias("done"), fresh.alias("now"), b.getField("y0").alias("y")))
+            .when(same, F.struct(s.getField("done").alias("done"), joined.alias("now"), s.getField("y").alias("y")))
+            .otherwise(F.struct(closed(s).alias("done"), fresh.alias("now"), b.getField("y0").alias("y")))
+            .cast(state)
+        )
+
+    return F.aggregate(chars, start, step, closed)
