@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 
 @dataclass(frozen=True)
@@ -43,14 +43,16 @@ def position(c: Column | str) -> Column:
     """
     c = _col(c)
     names = ("page", "sequence", "char_pos", "unknown", "x", "y", "width", "height")
-    # Plain expressions, no lambdas: they stay in generated code, where the split is shared.
-    parts = _parts(c)
-    numbers = [F.get(parts, F.lit(i)).try_cast("int") for i in range(8)]
-    first, last = (reduce(and_, [x.isNotNull() for x in part]) for part in (numbers[:4], numbers[4:]))
-    long = F.size(parts) >= 8
-    valid = F.coalesce((F.size(parts) >= 4) & first & (~long | last), F.lit(False))
-    used = [F.when(valid, x).otherwise(0) for x in numbers[:4]] + [F.when(valid & long, x).otherwise(0) for x in numbers[4:]]
-    return F.struct(F.coalesce(c, F.lit("")).alias("raw"), *[x.alias(n) for x, n in zip(used, names, strict=True)], valid.alias("valid"))
+
+    def shaped(parts: Column) -> Column:
+        numbers = [F.get(parts, F.lit(i)).try_cast("int") for i in range(8)]
+        first, last = (reduce(and_, [x.isNotNull() for x in some]) for some in (numbers[:4], numbers[4:]))
+        long = F.size(parts) >= 8
+        valid = F.coalesce((F.size(parts) >= 4) & first & (~long | last), F.lit(False))
+        used = [F.when(valid, x).otherwise(0) for x in numbers[:4]] + [F.when(valid & long, x).otherwise(0) for x in numbers[4:]]
+        return F.struct(F.coalesce(c, F.lit("")).alias("raw"), *[x.alias(n) for x, n in zip(used, names, strict=True)], valid.alias("valid"))
+
+    return let(_parts(c), shaped)
 
 
 def position_rect(p: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 WORDS_PER_LOCATION = 150
 LOCATIONS_PER_PAGE = 10
@@ -33,39 +33,47 @@ def decode(c: Column | str) -> Column:
     Two parts around one hyphen that aren't both whole numbers are a broken range: an error, whatever digits they hold.
     """
     c = _col(c)
-    s = strip(F.coalesce(c, F.lit("")))
-    part = lambda p, i: F.nullif(F.regexp_extract(s, p, i), F.lit("")).try_cast("int")
-    a, b = part(_RANGE, 1), part(_RANGE, 2)
-    ranged = a.isNotNull() & b.isNotNull()
-    broken = (F.size(F.split(s, "-")) == 2) & ~ranged
-    whole, digits = part(_WHOLE, 0), part(r"\d+", 0)
-    loc = F.when(~broken, F.coalesce(F.when(ranged, a), whole, digits))
-    kind = F.when(ranged, "range").when(loc.isNull(), "error").when(whole.isNotNull(), "single").otherwise("extracted")
-    return F.struct(
-        kind.alias("type"),
-        loc.alias("start_location"),
-        F.when(ranged, b).otherwise(loc).alias("end_location"),
-        F.when(ranged, b - a + 1).alias("span"),
-        F.when(ranged, (b - a + 1) * WORDS_PER_LOCATION).when(loc.isNotNull() & whole.isNotNull(), WORDS_PER_LOCATION).alias("estimated_words"),
-        F.when(loc.isNotNull(), location_page(loc)).alias("estimated_page"),
-        c.alias("original"),
-        F.when(s == "", "empty location").when(broken, "a range needs two whole numbers").when(loc.isNull(), "no number in location").alias("error"),
-    )
+
+    def parse(s: Column) -> Column:
+        part = lambda p, i: F.nullif(F.regexp_extract(s, p, i), F.lit("")).try_cast("int")
+        return F.struct(s.alias("s"), part(_RANGE, 1).alias("a"), part(_RANGE, 2).alias("b"), part(_WHOLE, 0).alias("whole"), part(r"\d+", 0).alias("digits"), (F.size(F.split(s, "-")) == 2).alias("two"))
+
+    def shaped(v: Column) -> Column:
+        s, a, b, whole, digits, two = (v.getField(n) for n in ("s", "a", "b", "whole", "digits", "two"))
+        ranged = a.isNotNull() & b.isNotNull()
+        broken = two & ~ranged
+        loc = F.when(~broken, F.coalesce(F.when(ranged, a), whole, digits))
+        kind = F.when(ranged, "range").when(loc.isNull(), "error").when(whole.isNotNull(), "single").otherwise("extracted")
+        return F.struct(
+            kind.alias("type"),
+            loc.alias("start_location"),
+            F.when(ranged, b).otherwise(loc).alias("end_location"),
+            F.when(ranged, b - a + 1).alias("span"),
+            F.when(ranged, (b - a + 1) * WORDS_PER_LOCATION).when(loc.isNotNull() & whole.isNotNull(), WORDS_PER_LOCATION).alias("estimated_words"),
+            F.when(loc.isNotNull(), location_page(loc)).alias("estimated_page"),
+            c.alias("original"),
+            F.when(s == "", "empty location").when(broken, "a range needs two whole numbers").when(loc.isNull(), "no number in location").alias("error"),
+        )
+
+    return let(let(strip(F.coalesce(c, F.lit(""))), parse), shaped)
 
 
 def normalize(c: Column | str) -> Column:
     """"a-b" or "a"; a text without a number is kept."""
-    d = decode(c).getField
-    one = F.when(d("type") == "range", F.concat_ws("-", d("start_location").cast("string"), d("end_location").cast("string"))).otherwise(d("start_location").cast("string"))
-    return F.coalesce(one, _col(c))
+    one = lambda f: F.when(f("type") == "range", F.concat_ws("-", f("start_location").cast("string"), f("end_location").cast("string"))).otherwise(f("start_location").cast("string"))
+    return F.coalesce(let(decode(c), lambda d: one(d.getField)), _col(c))
 
 
 def compare(a: Column | str, b: Column | str) -> Column:
     """struct<difference, first_is_earlier, pages_apart, error> of two location strings."""
-    x, y = decode(a).getField("start_location"), decode(b).getField("start_location")
-    bad = x.isNull() | y.isNull()
-    d = F.abs(x - y)
-    return F.struct(d.alias("difference"), F.when(~bad, x < y).alias("first_is_earlier"), _floor_div(d, LOCATIONS_PER_PAGE).alias("pages_apart"), F.when(bad, "a location can't be read").alias("error"))
+
+    def shaped(v: Column) -> Column:
+        x, y = v.getField("x"), v.getField("y")
+        bad = x.isNull() | y.isNull()
+        d = F.abs(x - y)
+        return F.struct(d.alias("difference"), F.when(~bad, x < y).alias("first_is_earlier"), _floor_div(d, LOCATIONS_PER_PAGE).alias("pages_apart"), F.when(bad, "a location can't be read").alias("error"))
+
+    return let(F.struct(decode(a).getField("start_location").alias("x"), decode(b).getField("start_location").alias("y")), shaped)
 
 
 def percentage(loc: Column, total: Column) -> Column:
