@@ -5,8 +5,6 @@ A query without SQL is an ordered fold or a byte decoder; the tests hold it agai
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +15,10 @@ from ..operators import adapter, annotations, assign, dedup, matching, offset, q
 from ..operators import columns as column_ops
 from ..sources import clippings as clipping_source
 from ..sources import pages as page_source
-from ..session import prepare
 from ..sources import sidecar
 from . import inputs as I
 from . import pipeline
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = wraps(f)(lambda spark, sf_dir: f(prepare(spark), sf_dir))
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 def _rect_columns(c: str) -> list:
     return [F.col(f"{c}.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")]
@@ -396,7 +380,9 @@ def _supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _supplier_lines(spark, sf_dir)
     pages = lines.select("book_id", "page").distinct().withColumns({"width": F.lit(595.3), "height": F.lit(841.9)})
-    return column_ops.detect(lines, pages)
+    found = column_ops.detect(lines, pages)
+    side = lambda i, n: F.round(F.element_at("columns", i).getField(n), 6)
+    return found.select("book_id", "page", F.size("columns").alias("n_columns"), *[side(1, n).alias(f"first_{n}") for n in ("left", "right", "top", "bottom")], *[side(-1, n).alias(f"last_{n}") for n in ("left", "right")])
 
 
 @query(
@@ -678,3 +664,7 @@ def draw_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, w, clips = _book_tables(spark, sf_dir)
     got = pipeline.resolve_annotations(I.sidecar_rows(spark, sf_dir), clips, pages, w)
     return pipeline.draw_commands(got, pages, w).select("book_id", "page", "ord", "command", "title", "content", F.size("rects").alias("n_rects"), "outline_page")
+
+
+# The other parts of the catalogue register themselves.
+from . import catalog_files, catalog_folds, catalog_places, catalog_text  # noqa: E402, F401
