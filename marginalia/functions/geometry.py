@@ -44,15 +44,20 @@ def position(c: Column | str) -> Column:
     c = _col(c)
     names = ("page", "sequence", "char_pos", "unknown", "x", "y", "width", "height")
 
-    def shaped(parts: Column) -> Column:
-        numbers = [F.get(parts, F.lit(i)).try_cast("int") for i in range(8)]
-        first, last = (reduce(and_, [x.isNotNull() for x in some]) for some in (numbers[:4], numbers[4:]))
-        long = F.size(parts) >= 8
-        valid = F.coalesce((F.size(parts) >= 4) & first & (~long | last), F.lit(False))
-        used = [F.when(valid, x).otherwise(0) for x in numbers[:4]] + [F.when(valid & long, x).otherwise(0) for x in numbers[4:]]
-        return F.struct(F.coalesce(c, F.lit("")).alias("raw"), *[x.alias(n) for x, n in zip(used, names, strict=True)], valid.alias("valid"))
-
-    return let(_parts(c), shaped)
+    def numbers(parts: Column) -> Column:
+        return F.struct(F.array(*[F.get(parts, F.lit(i)).try_cast("int") for i in range(8)]).alias("v"), F.size(parts).alias("n"))
+
+    def checked(s: Column) -> Column:
+        v, long = s.getField("v"), s.getField("n") >= 8
+        first, last = (reduce(and_, [F.get(v, F.lit(i)).isNotNull() for i in some]) for some in (range(4), range(4, 8)))
+        return F.struct(v.alias("v"), F.coalesce((s.getField("n") >= 4) & first & (~long | last), F.lit(False)).alias("valid"), long.alias("long"))
+
+    def shaped(s: Column) -> Column:
+        v, valid = s.getField("v"), s.getField("valid")
+        used = [F.when(valid if i < 4 else valid & s.getField("long"), F.get(v, F.lit(i))).otherwise(0).alias(n) for i, n in enumerate(names)]
+        return F.struct(F.coalesce(c, F.lit("")).alias("raw"), *used, valid.alias("valid"))
+
+    return let(let(let(_parts(c), numbers), checked), shaped)
 
 
 def position_rect(p: Column) -> Column:

@@ -1,6 +1,7 @@
 """Queries over the driver's tables and the SQL they are checked against.
 
-A query without SQL is an ordered fold or a byte decoder; the tests hold it against a plain-Python statement of its rule.
+The three queries without SQL rest on a sequence similarity that SQL doesn't have: the tests hold ``anchored_fuzzy_match`` against a
+plain-Python statement of its rule over whole tables, and every stage of the two pipelines has queries with SQL of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ SELECT conv_id, turn, 'Book ' || conv_id AS title, regexp_extract(title_line, '\
  '2024-03-04T13:02:0' || (turn % 10) AS date_added FROM l"""
 )
 def clippings_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clipping_source.parse(I.logs(spark, sf_dir)).where("ord = 0").select("conv_id", "turn", "title", "author", "type", "page", "date_added")
+    return clipping_source.parse(I.logs(spark, sf_dir)).select("conv_id", "turn", "title", "author", "type", "page", "date_added")
 
 
 @query(
@@ -41,13 +42,13 @@ def clippings_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'Book ' || conv_id AS title, arg_min(regexp_extract(title_line, '\\(([^)]+)\\)$', 1), turn) AS author, count(*) AS n_clippings, string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no, turn) AS pages FROM l GROUP BY conv_id"""
 )
 def clippings_group_by_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = clipping_source.parse(I.logs(spark, sf_dir)).where("ord = 0").withColumn("ord", F.col("turn"))
+    parsed = clipping_source.parse(I.logs(spark, sf_dir)).withColumn("ord", F.col("turn"))
     return clipping_source.by_book(parsed).select("title", "author", "n_clippings", F.array_join(F.transform("clippings", lambda c: c.getField("page")), ",").alias("pages"))
 
 
 @query("SELECT count(*) AS total_clippings, count(DISTINCT conv_id) AS total_books FROM conversations")
 def clippings_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clipping_source.totals(clipping_source.parse(I.logs(spark, sf_dir)).where("ord = 0"))
+    return clipping_source.totals(clipping_source.parse(I.logs(spark, sf_dir)))
 
 
 @query(

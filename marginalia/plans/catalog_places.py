@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions import text as T
+from ..functions import location as L
 from ..operators import adapter, annotations, matching, quads, rects, reports
 from ..operators import columns as column_ops
 from ..sources import clippings as clipping_source
@@ -290,3 +290,16 @@ def short_text_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = I.words(spark, sf_dir).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", G.rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("r")))).alias("q"))
     r = w.select("book_id", F.transform("q", lambda x: x.getField("r")).alias("rects")).withColumns({"x": F.lit(150.0), "y": F.lit(20.0), "length": F.lit(8)})
     return quads.filter_by_proximity(r).select("book_id", F.size("kept").alias("n_kept"), F.get("kept", F.lit(0)).getField("x0").alias("x0"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE k WHEN 3 THEN 'extracted' WHEN 4 THEN 'range' WHEN 5 THEN 'error' ELSE 'error' END AS kind, CAST(CASE k WHEN 3 THEN a WHEN 4 THEN a END AS INT) AS start_location, CAST(CASE k WHEN 3 THEN a WHEN 4 THEN a + 3 END AS INT) AS end_location,
+ CASE k WHEN 0 THEN a || '-x' WHEN 1 THEN '-' || a WHEN 2 THEN 'x-' || a WHEN 3 THEN CAST(a AS VARCHAR) WHEN 4 THEN a || '-' || (a + 3) WHEN 5 THEN '' END AS normal
+ FROM (SELECT *, l_partkey AS a, l_partkey % 6 AS k FROM lineitem)"""
+)
+def broken_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations with one hyphen that are no range are errors, whatever digits they hold; several hyphens are no range either."""
+    a, k = F.col("l_partkey").cast("string"), F.col("l_partkey") % 6
+    loc = F.when(k == 0, F.concat(a, F.lit("-x"))).when(k == 1, F.concat(F.lit("-"), a)).when(k == 2, F.concat(F.lit("x-"), a)).when(k == 3, F.concat(a, F.lit("-2-3"))).when(k == 4, F.concat(F.lit(" "), a, F.lit(" - "), (F.col("l_partkey") + 3).cast("string"))).otherwise("")
+    d = _lineitem(spark, sf_dir).withColumn("loc", loc).withColumn("d", L.decode("loc"))
+    return d.select("l_orderkey", "l_linenumber", F.col("d.type").alias("kind"), "d.start_location", "d.end_location", L.normalize("loc").alias("normal"))

@@ -245,6 +245,15 @@ def normalised_match_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("book_id", F.size("rects").cast("long").alias("n_rects"), F.round(width, 4).alias("width"))
 
 
+@query(
+    f"""WITH {QUOTED_SQL} SELECT m.content AS original_clipping, m.content AS expected_search_text, substr(p.text, 1, 500) AS pdf_context, 1 AS page_number, m.book_id AS book_name FROM m JOIN p USING (book_id) WHERE e = 0 AND n = 0 AND five IS NULL"""
+)
+def learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clippings that no strategy finds, with the beginning of their page."""
+    pages, clips = page_source.page_text(printed(spark, sf_dir)), quotations(spark, sf_dir)
+    return matching.unmatched(clips, pages, matching.match(clips, pages, "book_id", "page", "ord"), "book_id", "page", "ord")
+
+
 @query(
     """WITH r AS (SELECT l_suppkey AS b, l_linenumber AS page, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_returnflag = 'R' THEN '' ELSE 'text ' || (l_partkey % 9) END AS content, CASE WHEN l_linenumber % 3 = 0 THEN 'Text  ' || (l_partkey % 7) END AS hc FROM lineitem),
 k AS (SELECT b, page, min(ord) AS row_ord, CASE WHEN coalesce(hc, '') <> '' THEN 'Text ' || substr(hc, 7) ELSE content END AS key FROM r GROUP BY b, page, CASE WHEN coalesce(hc, '') <> '' THEN 'Text ' || substr(hc, 7) ELSE content END),
