@@ -5,11 +5,12 @@ Reading PDF files needs a PDF library, which is used only where one is installed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.geometry import rect
@@ -17,21 +18,39 @@ from ..functions.similarity import places
 from ..schemas import CHARS, RECT, RECTS, WORD
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Words of PDF files in the executors, one row each (needs PyMuPDF there)."""
+def word_rows(path: str, doc) -> list[tuple]:
+    """Rows of ``WORD`` of an open document: words in reading order, with block and line."""
+    return [(path, page.number, i, w[5], w[6], *map(float, w[:4]), w[4]) for page in doc for i, w in enumerate(page.get_text("words"))]
+
+
+def page_rows(path: str, doc) -> list[tuple]:
+    """Rows of ``PAGE``: text, size of the uncropped page, and the crop box where it is smaller than the page."""
+    out = []
+    for page in doc:
+        whole, crop = page.mediabox, page.cropbox
+        box = None if tuple(crop) == tuple(whole) else dict(zip(("x0", "y0", "x1", "y1"), map(float, crop), strict=True))
+        out.append((path, page.number, page.get_text(), float(whole.width), float(whole.height), box))
+    return out
+
+
+def label_rows(path: str, doc) -> list[tuple]:
+    """Rows of ``LABEL_RULE``: a document's page label rules in their order; a missing first number counts from 1."""
+    return [(path, i, r["startpage"], r.get("style") or None, r.get("firstpagenum"), r.get("prefix") or "") for i, r in enumerate(doc.get_page_labels())]
+
+
+def read_documents(spark: SparkSession, path: str, rows: Callable[[str, object], list[tuple]] = word_rows, schema: str = WORD) -> DataFrame:
+    """``rows`` of PDF files in the executors (needs PyMuPDF there): :func:`word_rows`, :func:`page_rows` with ``PAGE`` or :func:`label_rows` with ``LABEL_RULE``."""
+    kind = StructType.fromDDL(schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import fitz
 
         for f in frames:
             for p, data in zip(f["path"], f["content"], strict=True):
-                rows = []
                 with fitz.open(stream=data, filetype="pdf") as doc:
-                    for page in doc:
-                        rows += [(p, page.number, i, w[5], w[6], *map(float, w[:4]), w[4]) for i, w in enumerate(page.get_text("words"))]
-                yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in WORD.split(",")])
+                    yield pd.DataFrame(rows(p, doc), columns=kind.names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).mapInPandas(run, WORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(run, kind)
 
 
 def page_text(words: DataFrame) -> DataFrame:
