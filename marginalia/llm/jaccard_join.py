@@ -46,7 +46,7 @@ from .shingles import Naming, Shingler, mix, second_fingerprint
 CELLS_BITS = 20
 SEGMENTS = 64
 COMMON_SHARE, LEAST_COMMON = 0.001, 50
-BLOCK_SETS, BLOCK_HASHES = 250, 1_000_000
+BLOCK_SETS, BLOCK_HASHES = 125, 1_000_000
 RENAMED = 100_000
 _U = np.uint64
 _ENTRY = "key long, id long, n int, lo int"
