@@ -17,6 +17,7 @@ def contained(wholes: DataFrame, parts: DataFrame, whole: str, part: str) -> Dat
     p = parts.select(F.col(part).alias(part)).where(F.col(part).isNotNull()).distinct().withColumn("_gram", F.substring(part, 1, GRAM))
     w = wholes.select(F.col(whole).alias(whole)).where(F.col(whole).isNotNull()).distinct()
     n = F.length(whole)
-    of_length = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(whole, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    of_length = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
+        lambda i: F.substring(whole, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     grams = F.array_distinct(F.concat(F.array(F.lit("")), *[of_length(k) for k in range(1, GRAM + 1)]))
     return w.select(whole, F.explode(grams).alias("_gram")).join(p, "_gram").where(F.contains(F.col(whole), F.col(part))).select(whole, part)

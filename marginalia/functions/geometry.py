@@ -63,7 +63,8 @@ def position(c: Column | str) -> Column:
 def position_rect(p: Column) -> Column:
     """[x, y, x + width, y + height] of a position struct, zeros if it isn't valid."""
     f = p.getField
-    return F.when(f("valid"), F.array(*(x.cast("double") for x in (f("x"), f("y"), f("x") + f("width"), f("y") + f("height"))))).otherwise(F.array(*[F.lit(0.0)] * 4))
+    return F.when(f("valid"), F.array(*(x.cast("double") for x in (f("x"), f("y"), f("x") + f("width"),
+        f("y") + f("height"))))).otherwise(F.array(*[F.lit(0.0)] * 4))
 
 
 def end_point(c: Column | str) -> Column:
@@ -152,7 +153,9 @@ def char_boxes(r: Column, length: Column) -> Column:
     """A span's box cut into ``length`` boxes of equal width; none for an empty span."""
     f = r.getField
     w = (f("x1") - f("x0")) / length
-    return F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1), lambda i: rect(f("x0") + i * w, f("y0"), f("x0") + (i + 1) * w, f("y1")))).otherwise(F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+    return F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1),
+        lambda i: rect(f("x0") + i * w, f("y0"), f("x0") + (i + 1) * w,
+            f("y1")))).otherwise(F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
 
 
 def column_of(columns: Column, x: Column, y: Column) -> Column:
@@ -199,4 +202,5 @@ def position_point(c: Column | str) -> Column:
 
 def segments(start: Column, end: Column) -> Column:
     """Start and end rects of a multi-line highlight, from the top down."""
-    return F.array_sort(F.array(start, end), lambda a, b: F.when(a.getField("y0") < b.getField("y0"), -1).when(a.getField("y0") > b.getField("y0"), 1).otherwise(0))
+    return F.array_sort(F.array(start, end), lambda a,
+        b: F.when(a.getField("y0") < b.getField("y0"), -1).when(a.getField("y0") > b.getField("y0"), 1).otherwise(0))

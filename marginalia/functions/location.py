@@ -36,7 +36,8 @@ def decode(c: Column | str) -> Column:
 
     def parse(s: Column) -> Column:
         part = lambda p, i: F.nullif(F.regexp_extract(s, p, i), F.lit("")).try_cast("int")
-        return F.struct(s.alias("s"), part(_RANGE, 1).alias("a"), part(_RANGE, 2).alias("b"), part(_WHOLE, 0).alias("whole"), part(r"\d+", 0).alias("digits"), (F.size(F.split(s, "-")) == 2).alias("two"))
+        return F.struct(s.alias("s"), part(_RANGE, 1).alias("a"), part(_RANGE, 2).alias("b"), part(_WHOLE, 0).alias("whole"),
+            part(r"\d+", 0).alias("digits"), (F.size(F.split(s, "-")) == 2).alias("two"))
 
     def shaped(v: Column) -> Column:
         s, a, b, whole, digits, two = (v.getField(n) for n in ("s", "a", "b", "whole", "digits", "two"))
@@ -60,7 +61,8 @@ def decode(c: Column | str) -> Column:
 
 def normalize(c: Column | str) -> Column:
     """"a-b" or "a"; a text without a number is kept."""
-    one = lambda f: F.when(f("type") == "range", F.concat_ws("-", f("start_location").cast("string"), f("end_location").cast("string"))).otherwise(f("start_location").cast("string"))
+    one = lambda f: F.when(f("type") == "range",
+        F.concat_ws("-", f("start_location").cast("string"), f("end_location").cast("string"))).otherwise(f("start_location").cast("string"))
     return F.coalesce(let(decode(c), lambda d: one(d.getField)), _col(c))
 
 
@@ -71,7 +73,8 @@ def compare(a: Column | str, b: Column | str) -> Column:
         x, y = v.getField("x"), v.getField("y")
         bad = x.isNull() | y.isNull()
         d = F.abs(x - y)
-        return F.struct(d.alias("difference"), F.when(~bad, x < y).alias("first_is_earlier"), _floor_div(d, LOCATIONS_PER_PAGE).alias("pages_apart"), F.when(bad, "a location can't be read").alias("error"))
+        return F.struct(d.alias("difference"), F.when(~bad, x < y).alias("first_is_earlier"), _floor_div(d, LOCATIONS_PER_PAGE).alias("pages_apart"),
+            F.when(bad, "a location can't be read").alias("error"))
 
     return let(F.struct(decode(a).getField("start_location").alias("x"), decode(b).getField("start_location").alias("y")), shaped)
 

@@ -22,17 +22,22 @@ def adapt(rows: DataFrame) -> DataFrame:
     multi = F.coalesce((F.col("type") == "highlight") & eight & (F.col("start_position") != F.col("end_position")) & (F.abs(F.col("_e.y") - F.col("_s.y")) > 10), F.lit(False))
     kept = kept.withColumn("is_multi_line", multi)
     start = G.rect(F.col("pdf_x"), F.col("pdf_y"), F.col("pdf_x") + F.col("_w"), F.col("pdf_y") + F.col("_h"))
-    end_at = G.point(F.col("_e.x").cast("double"), F.col("_e.y").cast("double"), F.col("page_width"), F.col("page_height"), F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"))
+    end_at = G.point(F.col("_e.x").cast("double"), F.col("_e.y").cast("double"), F.col("page_width"), F.col("page_height"),
+        F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"))
     ex, ey = end_at.getField("x"), end_at.getField("y")
-    end = G.rect(ex, ey, ex + G.length_to_points(F.col("_e.width").cast("double"), F.col("page_width")), ey + G.length_to_points(F.col("_e.height").cast("double"), None))
+    end = G.rect(ex, ey, ex + G.length_to_points(F.col("_e.width").cast("double"), F.col("page_width")),
+        ey + G.length_to_points(F.col("_e.height").cast("double"), None))
     kept = kept.withColumn("_a", start).withColumn("_b", end)
-    whole = F.when(F.col("is_multi_line"), G.rect(F.col("pdf_x"), F.least("_a.y0", "_b.y0"), F.greatest("_a.x1", "_b.x1"), F.greatest("_a.y1", "_b.y1"))).otherwise(F.col("_a"))
+    whole = F.when(F.col("is_multi_line"), G.rect(F.col("pdf_x"), F.least("_a.y0", "_b.y0"), F.greatest("_a.x1", "_b.x1"),
+        F.greatest("_a.y1", "_b.y1"))).otherwise(F.col("_a"))
     kept = kept.withColumn("_r", whole)
     right = F.when(F.col("_r.x1") <= F.col("pdf_x"), F.col("pdf_x") + 5).otherwise(F.col("_r.x1"))
     bottom = F.when(F.col("_r.y1") <= F.col("_r.y0"), F.col("_r.y0") + 12).otherwise(F.col("_r.y1"))
     icon = lambda dx, dy: F.array("pdf_x", "pdf_y", F.col("pdf_x") + dx, F.col("pdf_y") + dy)
-    coordinates = F.when(F.col("type") == "highlight", F.array(F.col("pdf_x"), F.col("_r.y0"), right, bottom)).when(F.col("type") == "note", icon(20, 20)).when(F.col("type") == "bookmark", icon(18, 18)).otherwise(icon(100, 20))
-    return kept.withColumn("coordinates", coordinates).withColumn("segment_rects", F.when(F.col("is_multi_line"), G.segments(F.col("_a"), F.col("_b"))).cast(RECTS)).drop("_w", "_h", "_s", "_e", "_a", "_b", "_r")
+    coordinates = F.when(F.col("type") == "highlight", F.array(F.col("pdf_x"), F.col("_r.y0"), right, bottom)).when(F.col("type") == "note",
+        icon(20, 20)).when(F.col("type") == "bookmark", icon(18, 18)).otherwise(icon(100, 20))
+    return kept.withColumn("coordinates", coordinates).withColumn("segment_rects",
+        F.when(F.col("is_multi_line"), G.segments(F.col("_a"), F.col("_b"))).cast(RECTS)).drop("_w", "_h", "_s", "_e", "_a", "_b", "_r")
 
 
 def page_of(*columns: str):
@@ -50,10 +55,14 @@ def drawable(rows: DataFrame, pages: DataFrame) -> DataFrame:
 def commands(rows: DataFrame) -> DataFrame:
     """One draw command for each drawable row that has what its kind needs: rects, a point, or an outline entry."""
     unified = (F.col("type") == "note") & (T.strip(F.coalesce("content", F.lit(""))) != "")
-    title = F.when(F.col("draw_type") == "highlight", F.when(unified, "Kindle Note").otherwise("Kindle Highlight")).when(F.col("draw_type") == "note", "Kindle Note").otherwise(T.bookmark_title("timestamp"))
+    title = F.when(F.col("draw_type") == "highlight",
+        F.when(unified, "Kindle Note").otherwise("Kindle Highlight")).when(F.col("draw_type") == "note", "Kindle Note").otherwise(T.bookmark_title("timestamp"))
     ok = F.when(F.col("draw_type") == "highlight", F.size("rects") > 0).when(F.col("draw_type") == "note", F.size("coordinates") >= 4).otherwise(True)
     return rows.where(ok).select(
-        "book_id", "page", "ord", F.col("draw_type").alias("command"), title.alias("title"), F.when(F.col("draw_type") != "highlight", F.col("content")).when(unified, F.col("content")).otherwise("").alias("content"),
-        F.when(F.col("draw_type") == "highlight", F.col("rects")).alias("rects"), F.when(F.col("draw_type") == "note", F.slice("coordinates", 1, 2)).alias("point"),
-        F.when(F.col("draw_type") == "bookmark", F.col("page") + 1).alias("outline_page"), F.when(F.col("draw_type") == "highlight", F.array(*[F.lit(v) for v in (1.0, 1.0, 0.0)])).alias("color"),
+        "book_id", "page", "ord", F.col("draw_type").alias("command"), title.alias("title"),
+            F.when(F.col("draw_type") != "highlight", F.col("content")).when(unified, F.col("content")).otherwise("").alias("content"),
+        F.when(F.col("draw_type") == "highlight", F.col("rects")).alias("rects"),
+            F.when(F.col("draw_type") == "note", F.slice("coordinates", 1, 2)).alias("point"),
+        F.when(F.col("draw_type") == "bookmark", F.col("page") + 1).alias("outline_page"),
+            F.when(F.col("draw_type") == "highlight", F.array(*[F.lit(v) for v in (1.0, 1.0, 0.0)])).alias("color"),
     )

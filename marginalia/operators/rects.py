@@ -30,7 +30,8 @@ def start_and_end(margins: Column) -> Column:
     """struct<sx, sy, ex, ey> of an annotation row: its four coordinates, its point and width, its positions, else the page's margins."""
     coordinates = F.col("coordinates")
     at = lambda i: F.get(coordinates, F.lit(i))
-    make = lambda a, b, c, d: F.struct(a.cast("double").alias("sx"), b.cast("double").alias("sy"), c.cast("double").alias("ex"), d.cast("double").alias("ey"))
+    make = lambda a, b, c, d: F.struct(a.cast("double").alias("sx"), b.cast("double").alias("sy"), c.cast("double").alias("ex"),
+        d.cast("double").alias("ey"))
     start, end = G.position_point("start_position"), G.position_point("end_position")
     sized = (F.abs("pdf_width") >= 0.01) & (F.abs("pdf_height") >= 0.01)
     own = F.when(sized, make(F.col("pdf_x"), F.col("pdf_y"), F.col("pdf_x") + F.col("pdf_width"), F.col("pdf_y"))).otherwise(
@@ -69,7 +70,8 @@ def select_lines(spans: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
     touches = ~((F.col("l.y1") < F.col("s.top")) | (F.col("l.y0") > F.col("s.bottom")))
     middle = ((F.col("l.y0") + F.col("l.y1")) / 2).between(F.col("s.top") - 0.5, F.col("s.bottom") + 0.5)
     j = s.join(q, (F.col("s.book_id") == F.col("l.book_id")) & (F.col("s.page") == F.col("l.page")) & (touches | middle))
-    picked = j.select(*[F.col(f"s.{k}").alias(k) for k in ("book_id", "page", *keys)], touches.alias("_t"), *[F.col(f"l.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")], F.col("l.ord").alias("line_ord"))
+    picked = j.select(*[F.col(f"s.{k}").alias(k) for k in ("book_id", "page", *keys)], touches.alias("_t"),
+        *[F.col(f"l.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")], F.col("l.ord").alias("line_ord"))
     any_touch = F.max("_t").over(Window.partitionBy("book_id", "page", *keys))
     return picked.withColumn("_any", any_touch).where("_t = _any").drop("_t", "_any")
 
@@ -78,13 +80,16 @@ def from_lines(rows: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
     """(keys, rects): the lines between start and end positions, cut at both and held inside the text's sides."""
     a, b = G.position_point("start_position"), G.position_point("end_position")
     s = rows.select("book_id", "page", *keys, a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    s = s.select("book_id", "page", *keys, F.least("a.y", "b.y").alias("top"), F.greatest("a.y", "b.y").alias("bottom"), F.col("a.x").alias("sx"), F.col("b.x").alias("ex"))
+    s = s.select("book_id", "page", *keys, F.least("a.y", "b.y").alias("top"), F.greatest("a.y", "b.y").alias("bottom"), F.col("a.x").alias("sx"),
+        F.col("b.x").alias("ex"))
     got = select_lines(s, lines, "sx", "ex", *keys)
     w = Window.partitionBy("book_id", "page", *keys)
-    got = got.select("*", F.row_number().over(w.orderBy("y0", "line_ord")).alias("_i"), F.count("*").over(w).alias("_n"), F.min("x0").over(w).alias("_l"), F.max("x1").over(w).alias("_r"))
+    got = got.select("*", F.row_number().over(w.orderBy("y0", "line_ord")).alias("_i"), F.count("*").over(w).alias("_n"),
+        F.min("x0").over(w).alias("_l"), F.max("x1").over(w).alias("_r"))
     only = F.least(F.greatest("sx", "_l"), F.col("_r"))
     x0 = F.when(F.col("_n") == 1, only).when(F.col("_i") == 1, F.greatest("sx", "_l")).otherwise(F.col("_l"))
-    x1 = F.when(F.col("_n") == 1, F.least(F.greatest(F.col("ex"), only + 0.1), F.col("_r"))).when(F.col("_i") == F.col("_n"), F.least("ex", "_r")).otherwise(F.col("_r"))
+    x1 = F.when(F.col("_n") == 1, F.least(F.greatest(F.col("ex"), only + 0.1), F.col("_r"))).when(F.col("_i") == F.col("_n"),
+        F.least("ex", "_r")).otherwise(F.col("_r"))
     made = got.withColumn("r", G.rect(x0, F.col("y0"), x1, F.col("y1"))).where("r.x1 > r.x0 AND r.y1 > r.y0")
     return made.groupBy("book_id", "page", *keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "r"))), lambda x: x.getField("r")).alias("rects"))
 
@@ -93,16 +98,19 @@ def from_words(hits: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
     """(keys, rects) of matched words (book_id, page, keys, ord): one rect for each line, the first to the block's right side, the last from its left."""
     j = hits.join(words, ["book_id", "page", "ord"])
     blocks = words.groupBy("book_id", "page", "block").agg(F.min("x0").alias("_l"), F.max("x1").alias("_r"))
-    per = j.groupBy("book_id", "page", *keys, "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).join(blocks, ["book_id", "page", "block"])
+    per = j.groupBy("book_id", "page", *keys, "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"),
+        F.max("y1").alias("y1")).join(blocks, ["book_id", "page", "block"])
     w = Window.partitionBy("book_id", "page", *keys)
     per = per.select("*", F.row_number().over(w.orderBy("block", "line")).alias("_i"), F.count("*").over(w).alias("_n"))
     x0 = F.when(F.col("_i") == 1, F.col("x0")).otherwise(F.col("_l"))
     x1 = F.when(F.col("_i") == F.col("_n"), F.col("x1")).otherwise(F.col("_r"))
-    return per.groupBy("book_id", "page", *keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", G.rect(x0, F.col("y0"), x1, F.col("y1")).alias("r")))), lambda x: x.getField("r")).alias("rects"))
+    return per.groupBy("book_id", "page", *keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i",
+        G.rect(x0, F.col("y0"), x1, F.col("y1")).alias("r")))), lambda x: x.getField("r")).alias("rects"))
 
 
 def choose(precise: Column, segment_rects: Column, margin_rects: Column, line_rects: Column) -> Column:
     """The first of: precise rects, the row's own rect if it has a size, segments, the snake of margins, lines between positions."""
     some = lambda a: F.when(F.size(a) > 0, a.cast(RECTS))
-    own = F.when((F.abs("pdf_width") >= 0.01) & (F.abs("pdf_height") >= 0.01), F.array(G.rect(F.col("pdf_x"), F.col("pdf_y"), F.col("pdf_x") + F.col("pdf_width"), F.col("pdf_y") + F.col("pdf_height"))).cast(RECTS))
+    own = F.when((F.abs("pdf_width") >= 0.01) & (F.abs("pdf_height") >= 0.01),
+        F.array(G.rect(F.col("pdf_x"), F.col("pdf_y"), F.col("pdf_x") + F.col("pdf_width"), F.col("pdf_y") + F.col("pdf_height"))).cast(RECTS))
     return F.coalesce(some(precise), own, some(segment_rects), some(margin_rects), some(line_rects))

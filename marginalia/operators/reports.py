@@ -41,14 +41,17 @@ def overlap_matches(expected: DataFrame, actual: DataFrame, *keys: str, least: f
     e, a = expected.alias("e"), actual.alias("a")
     j = e.join(a, (F.col("e.book_id") == F.col("a.book_id")) & (F.col("e.page") == F.col("a.page")))
     ratio = G.intersection_area(F.col("e.r"), F.col("a.r")) / F.nullif(G.area(F.col("e.r")), F.lit(0.0))
-    scored = j.select(*[F.col(f"e.{k}").alias(k) for k in ("book_id", "page", *keys)], F.col("a.ord").alias("actual_ord"), ratio.alias("ratio")).where(F.col("ratio") >= least)
+    scored = j.select(*[F.col(f"e.{k}").alias(k) for k in ("book_id", "page", *keys)], F.col("a.ord").alias("actual_ord"),
+        ratio.alias("ratio")).where(F.col("ratio") >= least)
     w = Window.partitionBy("book_id", "page", *keys).orderBy(F.desc("ratio"), "actual_ord")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def similar_texts(expected: DataFrame, actual: DataFrame, *keys: str, least: float = 0.80) -> DataFrame:
     """Each expected text with the most similar actual text of its page, from ``least`` on."""
-    j = expected.select("book_id", "page", *keys, F.col("content").alias("_e")).join(actual.select("book_id", "page", F.col("ord").alias("actual_ord"), F.col("content").alias("_a")), ["book_id", "page"])
+    j = expected.select("book_id", "page", *keys,
+        F.col("content").alias("_e")).join(actual.select("book_id", "page", F.col("ord").alias("actual_ord"), F.col("content").alias("_a")),
+            ["book_id", "page"])
     scored = j.withColumn("ratio", sequence_ratio("_e", "_a")).where(F.col("ratio") >= least)
     w = Window.partitionBy("book_id", "page", *keys).orderBy(F.desc("ratio"), "actual_ord")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_e", "_a")
@@ -67,11 +70,13 @@ def coverage(expected: DataFrame, matched: DataFrame, *keys: str) -> DataFrame:
 def width_spread(rects: DataFrame, *keys: str) -> DataFrame:
     """Difference of the widest and narrowest rect against three tenths of the mean width."""
     w = F.col("x1") - F.col("x0")
-    return rects.groupBy(*keys).agg((F.max(w) - F.min(w)).alias("spread"), F.avg(w).alias("mean_width")).withColumn("even", F.col("spread") <= 0.3 * F.col("mean_width"))
+    return rects.groupBy(*keys).agg((F.max(w) - F.min(w)).alias("spread"), F.avg(w).alias("mean_width")).withColumn("even",
+        F.col("spread") <= 0.3 * F.col("mean_width"))
 
 
 def highlight_quality(annotations: DataFrame, regions: DataFrame, flags: DataFrame, *keys: str) -> DataFrame:
     """One row of counters: highlights, those with several regions, those with regions far apart, and the share of these."""
     several = regions.groupBy(*keys).agg(F.count("*").alias("_k"))
     j = annotations.select(*keys).join(several, list(keys), "left").join(flags.select(*keys, "all_far"), list(keys), "left")
-    return j.agg(F.count("*").alias("highlights"), F.count_if(F.col("_k") > 1).alias("with_regions"), F.count_if("all_far").alias("disconnected"), (F.count_if("all_far") / F.nullif(F.count("*"), F.lit(0))).alias("error_rate"))
+    return j.agg(F.count("*").alias("highlights"), F.count_if(F.col("_k") > 1).alias("with_regions"), F.count_if("all_far").alias("disconnected"),
+        (F.count_if("all_far") / F.nullif(F.count("*"), F.lit(0))).alias("error_rate"))

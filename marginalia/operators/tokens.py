@@ -13,7 +13,8 @@ from ..functions.geometry import rect
 def positional_agreement(a: Column, b: Column) -> Column:
     """How many places of two arrays hold the same value, as far as the shorter goes."""
     n = F.least(F.size(a), F.size(b))
-    return F.when(n <= 0, 0).otherwise(F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v))
+    return F.when(n <= 0, 0).otherwise(F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda p, q: (p == q).cast("int")),
+        F.lit(0), lambda s, v: s + v))
 
 
 def best_window(tokens: Column, target: Column, least: float = 0.8) -> Column:
@@ -22,7 +23,8 @@ def best_window(tokens: Column, target: Column, least: float = 0.8) -> Column:
 
     def of_size(size: Column) -> Column:
         starts = F.when((size > 0) & (F.size(tokens) >= size), F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
-        scored = F.transform(starts, lambda s: F.struct(size.alias("size"), s.alias("start"), (positional_agreement(F.slice(tokens, s + 1, size), target) / n).alias("score")))
+        scored = F.transform(starts, lambda s: F.struct(size.alias("size"), s.alias("start"),
+            (positional_agreement(F.slice(tokens, s + 1, size), target) / n).alias("score")))
         return F.get(F.filter(scored, lambda x: x.getField("score") >= least), F.lit(0))
 
     return F.when(n > 0, F.coalesce(*[of_size(n - k) for k in range(3)]))
@@ -32,7 +34,8 @@ def token_windows(targets: DataFrame, pages: DataFrame, *keys: str, target: str
     """(book_id, page, keys, size, start, score) of targets found in their page's tokens."""
     p = pages.select("book_id", "page", T.tokenize("text").alias("_tokens"))
     j = targets.select("book_id", "page", *keys, T.tokenize(target).alias("_target")).join(p, ["book_id", "page"])
-    return j.withColumn("m", best_window(F.col("_tokens"), F.col("_target"))).where("m IS NOT NULL").select("book_id", "page", *keys, "m.size", "m.start", "m.score")
+    return j.withColumn("m", best_window(F.col("_tokens"), F.col("_target"))).where("m IS NOT NULL").select("book_id", "page", *keys, "m.size",
+        "m.start", "m.score")
 
 
 def token_rect(windows: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
@@ -49,20 +52,24 @@ def word_sequences(contents: DataFrame, words: DataFrame, *keys: str, content: s
     """
     c = contents.select("book_id", "page", *keys, F.filter(F.transform(T.words(content), T.token_norm), lambda x: x != "").alias("_all"))
     c = c.where(F.size("_all") > 0).select("book_id", "page", *keys, F.size("_all").alias("_n"), F.slice("_all", 1, probe).alias("_probe"))
-    w = words.select("book_id", "page", (F.row_number().over(Window.partitionBy("book_id", "page").orderBy("ord")) - 1).alias("_i"), T.token_norm("word").alias("_w"))
+    w = words.select("book_id", "page", (F.row_number().over(Window.partitionBy("book_id", "page").orderBy("ord")) - 1).alias("_i"),
+        T.token_norm("word").alias("_w"))
     page = w.groupBy("book_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_w"))), lambda x: x.getField("_w")).alias("_ws"))
     j = c.join(page, ["book_id", "page"])
     agrees = lambda a, b: ((a == b) | ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)))).cast("int")
-    score = lambda s: F.aggregate(F.zip_with(F.slice("_ws", s + 1, F.size("_probe")), F.col("_probe"), lambda a, b: F.coalesce(agrees(a, b), F.lit(0))), F.lit(0), lambda x, v: x + v)
+    score = lambda s: F.aggregate(F.zip_with(F.slice("_ws", s + 1, F.size("_probe")), F.col("_probe"), lambda a,
+        b: F.coalesce(agrees(a, b), F.lit(0))), F.lit(0), lambda x, v: x + v)
     starts = F.filter(F.sequence(F.lit(0), F.size("_ws") - 1), lambda s: score(s) >= F.least(F.lit(least), F.size("_probe")))
-    return j.withColumn("start", F.get(starts, F.lit(0))).where("start IS NOT NULL").select("book_id", "page", *keys, "start", F.least(F.col("start") + F.col("_n") - 1, F.size("_ws") - 1).alias("last"))
+    return j.withColumn("start", F.get(starts, F.lit(0))).where("start IS NOT NULL").select("book_id", "page", *keys, "start",
+        F.least(F.col("start") + F.col("_n") - 1, F.size("_ws") - 1).alias("last"))
 
 
 def content_spans(contents: DataFrame, pages: DataFrame, *keys: str, content: str = "content") -> DataFrame:
     """(book_id, page, keys, at, length): contents found in their page when only letters and digits count (1-based, in the normal form)."""
     p = pages.select("book_id", "page", T.content_norm("text").alias("_page"))
     j = contents.select("book_id", "page", *keys, T.content_norm(content).alias("_c")).where("_c <> ''").join(p, ["book_id", "page"])
-    return j.withColumn("at", F.call_function("instr", F.col("_page"), F.col("_c"))).where("at > 0").select("book_id", "page", *keys, "at", F.length("_c").alias("length"))
+    return j.withColumn("at", F.call_function("instr", F.col("_page"), F.col("_c"))).where("at > 0").select("book_id", "page", *keys, "at",
+        F.length("_c").alias("length"))
 
 
 def hyphen_merged(words: DataFrame) -> DataFrame:
@@ -72,4 +79,5 @@ def hyphen_merged(words: DataFrame) -> DataFrame:
     joined = F.coalesce(F.endswith(before, F.lit("-")), F.lit(False))
     marked = words.select("book_id", "page", "ord", F.concat(F.when(joined, "").otherwise(" "), F.regexp_replace("word", r"-\z", "")).alias("_part"))
     # A hyphen that ends the page's last word joins nothing, and is dropped with the others.
-    return marked.groupBy("book_id", "page").agg(T.collapse(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_part"))), lambda x: x.getField("_part")), ""))).alias("text"))
+    return marked.groupBy("book_id", "page").agg(T.collapse(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_part"))),
+        lambda x: x.getField("_part")), ""))).alias("text"))

@@ -10,7 +10,8 @@ CHARS = f"array<struct<ch:string,ord:bigint,box:{RECT}>>"
 CLIPPING = "source_file string, ord bigint, title string, author string, type string, location string, page string, date_added string, content string, raw_location_info string"
 BOOK_CLIPPING = "book_id string, ord bigint, type string, pdf_page int, content string, timestamp string, raw_meta string, page_str string"
 ANNOTATION = (
-    "book_id string, ord bigint, annotation_type string, start_position string, end_position string, creation_time timestamp, last_modification_time timestamp, template string, note_text string, error string"
+    "book_id string, ord bigint, annotation_type string, start_position string, end_position string, creation_time timestamp, "
+    "last_modification_time timestamp, template string, note_text string, error string"
 )
 SECTION = "path string, ord bigint, section_type int, text string, error string"
 PAGE = f"book_id string, page int, text string, width double, height double, cropbox {RECT}"

@@ -24,7 +24,8 @@ def _lines(c: Column) -> Column:
 def records(logs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each record of two lines or more: the other columns, ord (its place among a log's parts) and lines."""
     parts = logs.select(*[c for c in logs.columns if c != text], F.posexplode(F.split(text, T.RECORD_END)).alias("ord", "_part"))
-    return parts.select(*[c for c in parts.columns if c != "_part"], _lines(F.col("_part")).alias("lines")).where(F.size("lines") >= 2).withColumn("ord", F.col("ord").cast("long"))
+    return parts.select(*[c for c in parts.columns if c != "_part"],
+        _lines(F.col("_part")).alias("lines")).where(F.size("lines") >= 2).withColumn("ord", F.col("ord").cast("long"))
 
 
 def parse(logs: DataFrame, text: str = "text", strip_bom: bool = False) -> DataFrame:
@@ -39,9 +40,11 @@ def parse(logs: DataFrame, text: str = "text", strip_bom: bool = False) -> DataF
         title = F.regexp_replace(title, "\\A\ufeff", "")
     head, meta = T.title_author(T.strip(title)), T.meta_line(T.strip(F.get("lines", F.lit(1))))
     body = F.transform(F.slice("lines", F.lit(3), F.size("lines")), T.strip)
-    r = r.select(*keep, head.alias("_h"), meta.alias("_m"), T.strip(F.array_join(body, "\n")).alias("content"), T.strip(F.get("lines", F.lit(1))).alias("raw_location_info"))
+    r = r.select(*keep, head.alias("_h"), meta.alias("_m"), T.strip(F.array_join(body, "\n")).alias("content"),
+        T.strip(F.get("lines", F.lit(1))).alias("raw_location_info"))
     return r.select(
-        *keep, F.col("_h.title").alias("title"), F.col("_h.author").alias("author"), F.col("_m.type").alias("type"), F.col("_m.location").alias("location"), F.col("_m.page").alias("page"),
+        *keep, F.col("_h.title").alias("title"), F.col("_h.author").alias("author"), F.col("_m.type").alias("type"),
+            F.col("_m.location").alias("location"), F.col("_m.page").alias("page"),
         T.added_date(F.col("_m.added")).alias("date_added"), "content", "raw_location_info",
     )
 
@@ -58,14 +61,16 @@ def parse_for_books(logs: DataFrame, books: DataFrame, text: str = "text") -> Da
     page = F.regexp_extract("raw_meta", r"(?i)page\s+(\d+(?:-\d+)?)", 1)
     body = F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n")
     return joined.where(page != "").select(
-        "book_id", "ord", F.when(F.contains(F.lower("raw_meta"), F.lit("note")), "note").otherwise("highlight").alias("type"), T.range_start(page).alias("pdf_page"), T.strip(body).alias("content"),
+        "book_id", "ord", F.when(F.contains(F.lower("raw_meta"), F.lit("note")), "note").otherwise("highlight").alias("type"),
+            T.range_start(page).alias("pdf_page"), T.strip(body).alias("content"),
         T.added_on("raw_meta").alias("timestamp"), "raw_meta", page.alias("page_str"),
     )
 
 
 def by_book(clippings: DataFrame, *keys: str) -> DataFrame:
     """One row for each title: the first author, the number of clippings, and the clippings in order of location and page."""
-    item = F.struct(T.first_int("location").alias("location_no"), T.first_int("page").alias("page_no"), "ord", "type", "location", "page", "date_added", "content")
+    item = F.struct(T.first_int("location").alias("location_no"), T.first_int("page").alias("page_no"), "ord", "type", "location", "page",
+        "date_added", "content")
     return clippings.groupBy(*keys, "title").agg(
         F.min_by("author", "ord").alias("author"), F.count("*").alias("n_clippings"), F.array_sort(F.collect_list(item)).alias("clippings")
     )

@@ -22,7 +22,8 @@ def describe(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
     return files.select(
-        "path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*\z", "").alias("stem"), F.regexp_extract(name, r"(\.[^.]*)\z", 1).alias("suffix"), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")).alias("parent"),
+        "path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*\z", "").alias("stem"),
+            F.regexp_extract(name, r"(\.[^.]*)\z", 1).alias("suffix"), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")).alias("parent"),
         F.col("length").alias("size"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), F.col("modificationTime").alias("modified"),
     )
 
@@ -85,7 +86,8 @@ def find_document(documents: DataFrame, candidates: list[str], book: str) -> Dat
 def find_log(files: DataFrame, folder: str) -> DataFrame:
     """The first clippings log in the usual places under a device's folder."""
     # Where devices keep the log, in the order looked at.
-    places = [f"{folder}/{p}" for p in ("My Clippings.txt", "MyClippings.txt", "documents/My Clippings.txt", "documents/MyClippings.txt", "Documents/My Clippings.txt", "system/My Clippings.txt")]
+    places = [f"{folder}/{p}" for p in ("My Clippings.txt", "MyClippings.txt", "documents/My Clippings.txt", "documents/MyClippings.txt",
+        "Documents/My Clippings.txt", "system/My Clippings.txt")]
     order = F.array_position(F.array(*[F.lit(p) for p in places]), F.regexp_replace("path", r"\A[a-z]+:/*", "/"))
     return files.withColumn("_o", order).where("_o > 0").orderBy("_o").limit(1).drop("_o")
 
@@ -94,4 +96,5 @@ def first_per_document(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """(document, path, rule) with the first file of each document by path; the first store file of all where any will do, none where there is none."""
     any_file = files.where(F.lower("suffix") == ".pds").agg(F.min("path").alias("_any"))
     first = pairs.groupBy("document", "rule").agg(F.min("path").alias("path"))
-    return first.crossJoin(F.broadcast(any_file)).select("document", F.coalesce("path", F.when(F.col("rule") == 3, F.col("_any"))).alias("path"), "rule")  # one row
+    return first.crossJoin(F.broadcast(any_file)).select("document", F.coalesce("path", F.when(F.col("rule") == 3, F.col("_any"))).alias("path"),
+        "rule")  # one row

@@ -39,7 +39,8 @@ def label_rows(path: str, doc) -> list[tuple]:
 
 
 def read_documents(spark: SparkSession, path: str, rows: Callable[[str, object], list[tuple]] = word_rows, schema: str = WORD) -> DataFrame:
-    """``rows`` of PDF files in the executors (needs PyMuPDF there): :func:`word_rows`, :func:`page_rows` with ``PAGE`` or :func:`label_rows` with ``LABEL_RULE``."""
+    """``rows`` of PDF files in the executors (needs PyMuPDF there): :func:`word_rows`,
+     :func:`page_rows` with ``PAGE`` or :func:`label_rows` with ``LABEL_RULE``."""
     kind = StructType.fromDDL(schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,9 +57,11 @@ def read_documents(spark: SparkSession, path: str, rows: Callable[[str, object],
 def page_text(words: DataFrame) -> DataFrame:
     """Each page's text: words by their order, lines ended by line breaks."""
     line = words.groupBy("book_id", "page", "block", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda w: w.getField("word")), " ").alias("text"), F.min("ord").alias("ord")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda w: w.getField("word")), " ").alias("text"),
+            F.min("ord").alias("ord")
     )
-    return line.groupBy("book_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x.getField("text")), "\n").alias("text"))
+    return line.groupBy("book_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))),
+        lambda x: x.getField("text")), "\n").alias("text"))
 
 
 def page_chars(words: DataFrame) -> DataFrame:
@@ -68,24 +71,30 @@ def page_chars(words: DataFrame) -> DataFrame:
     def spelled(w: Column) -> Column:
         n, x0, x1 = F.length(w.getField("word")), w.getField("x0"), w.getField("x1")
         side = lambda k: F.when(k == n, x1).otherwise(x0 + k * (x1 - x0) / n)
-        one = lambda k: F.struct(F.substring(w.getField("word"), k, F.lit(1)).alias("ch"), w.getField("ord").cast("long").alias("ord"), rect(side(k - 1), w.getField("y0"), side(k), w.getField("y1")).alias("box"))
+        one = lambda k: F.struct(F.substring(w.getField("word"), k, F.lit(1)).alias("ch"), w.getField("ord").cast("long").alias("ord"),
+            rect(side(k - 1), w.getField("y0"), side(k), w.getField("y1")).alias("box"))
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast(CHARS))
 
     joined = lambda parts, c: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(blank(c), p))))
     w = words.where("word IS NOT NULL")
-    line = w.groupBy("book_id", "page", "block", "line").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word", "x0", "y0", "x1", "y1"))), spelled), " ").alias("chars"), F.min("ord").alias("ord"))
-    page = line.groupBy("book_id", "page").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block", "line", "chars"))), lambda x: x.getField("chars")), "\n").alias("chars"))
+    line = w.groupBy("book_id", "page", "block",
+        "line").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word", "x0", "y0", "x1", "y1"))), spelled), " ").alias("chars"),
+            F.min("ord").alias("ord"))
+    page = line.groupBy("book_id", "page").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block", "line", "chars"))),
+        lambda x: x.getField("chars")), "\n").alias("chars"))
     return page.select("book_id", "page", F.array_join(F.transform("chars", lambda c: c.getField("ch")), "").alias("text"), "chars")
 
 
 def lines(words: DataFrame) -> DataFrame:
     """Boxes of lines."""
-    return words.groupBy("book_id", "page", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("ord").alias("ord"))
+    return words.groupBy("book_id", "page", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"),
+        F.max("y1").alias("y1"), F.min("ord").alias("ord"))
 
 
 def text_margins(words: DataFrame, page_width: Column) -> DataFrame:
     """left, right, top and bottom of each page's text; right is where highlights end, 95 % of the way to the edge."""
-    return words.groupBy("book_id", "page").agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.max(page_width).alias("_w")).select(
+    return words.groupBy("book_id", "page").agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("y1").alias("bottom"),
+        F.max(page_width).alias("_w")).select(
         "book_id", "page", "left", F.least(F.col("left") + (F.col("_w") - F.col("left")) * 0.95, F.col("_w") - 3).alias("right"), "top", "bottom"
     )
 
@@ -110,9 +119,11 @@ def search(phrases: DataFrame, words: DataFrame, *keys: str, phrase: str = "phra
     p = phrases.select("book_id", "page", *keys, T.normalize_page(phrase).alias("_phrase")).where(F.length("_phrase") > 0)
     c = page_chars(words).withColumn("_norm", F.lower(T.normalize_page("text")))
     met = p.join(c, ["book_id", "page"]).where(F.contains("_norm", F.lower("_phrase"))).drop("_norm")
-    at = met.withColumn("_at", places("text", F.lit("normalised"), "_phrase", F.array().cast("array<string>"))).select("book_id", "page", *keys, "chars", F.explode("_at").alias("_p"))
+    at = met.withColumn("_at", places("text", F.lit("normalised"), "_phrase", F.array().cast("array<string>"))).select("book_id", "page", *keys,
+        "chars", F.explode("_at").alias("_p"))
     part = F.slice("chars", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start"))
-    return at.select("book_id", "page", *keys, F.get(part, F.lit(0)).getField("ord").alias("hit"), boxes_to_lines(part).cast(RECTS).alias("rects")).where(F.size("rects") > 0)
+    return at.select("book_id", "page", *keys, F.get(part, F.lit(0)).getField("ord").alias("hit"),
+        boxes_to_lines(part).cast(RECTS).alias("rects")).where(F.size("rects") > 0)
 
 
 def boxes_to_lines(chars: Column, tolerance: float = 5.0) -> Column:
@@ -126,7 +137,8 @@ def boxes_to_lines(chars: Column, tolerance: float = 5.0) -> Column:
     def step(s: Column, c: Column) -> Column:
         b, now = c.getField("box"), s.getField("now")
         fresh = rect(b.getField("x0"), b.getField("y0"), b.getField("x1"), b.getField("y1"))
-        joined = rect(F.least(now.getField("x0"), b.getField("x0")), F.least(now.getField("y0"), b.getField("y0")), F.greatest(now.getField("x1"), b.getField("x1")), F.greatest(now.getField("y1"), b.getField("y1")))
+        joined = rect(F.least(now.getField("x0"), b.getField("x0")), F.least(now.getField("y0"), b.getField("y0")),
+            F.greatest(now.getField("x1"), b.getField("x1")), F.greatest(now.getField("y1"), b.getField("y1")))
         new_line = c.getField("ch").isin("\n", "\r")
         same = s.getField("y").isNull() | (F.abs(b.getField("y0") - s.getField("y")) < tolerance)
         return (

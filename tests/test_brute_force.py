@@ -68,7 +68,9 @@ def test_similar_texts(spark):
     actual = [(r.book_id, 0, r.ord, r.content or "") for r in c]
     expected_rows = [(r.book_id, 0, r.ord * 10, spoil(r.content)) for r in c]
     schema = "book_id string, page int, {} long, content string"
-    got = {(r.book_id, r.key): (r.actual_ord, round(r.ratio, 9)) for r in reports.similar_texts(spark.createDataFrame(expected_rows, schema.format("key")), spark.createDataFrame(actual, schema.format("ord")), "key").collect()}
+    got = {(r.book_id, r.key): (r.actual_ord,
+        round(r.ratio, 9)) for r in reports.similar_texts(spark.createDataFrame(expected_rows, schema.format("key")),
+            spark.createDataFrame(actual, schema.format("ord")), "key").collect()}
     want = {}
     for b, _, key, text in expected_rows:
         best = min(((-SequenceMatcher(None, text, t).ratio(), o) for bb, _, o, t in actual if bb == b), default=None)
@@ -111,7 +113,8 @@ def test_folding_by_a_grid_is_folding_all_with_all(seed):
         x, y = place(), place()
         y = None if x is None else y if y is not None else 0
         xe, ye = (None, None) if rng.random() < 0.3 else (rng.choice([0, 5, 10, 14.9]), rng.choice([0, 5, 10]))
-        return {"id": i, "type": rng.choice(["note", "highlight"]), "pdf_x": x, "pdf_y": y, "pdf_x_end": xe, "pdf_y_end": ye, "content": rng.choice(["", " ", "a", "b"]), "highlight_content": None}
+        return {"id": i, "type": rng.choice(["note", "highlight"]), "pdf_x": x, "pdf_y": y, "pdf_x_end": xe, "pdf_y_end": ye,
+            "content": rng.choice(["", " ", "a", "b"]), "highlight_content": None}
 
     rows = [row(i) for i in range(60)]
     assert dedup.fold_page([dict(r) for r in rows]) == _plain_fold([dict(r) for r in rows])
@@ -122,7 +125,8 @@ def test_contained_is_brute_force(spark):
     word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
     wholes = [(word(rng.randint(0, 25)),) for _ in range(120)] + [(None,), ("",)]
     parts = [(word(rng.randint(0, 12)),) for _ in range(80)] + [(w[0][3:14],) for w in wholes[:40] if w[0]] + [(None,), ("",)]
-    got = [(r.whole, r.part) for r in contained(spark.createDataFrame(wholes, "whole string"), spark.createDataFrame(parts, "part string"), "whole", "part").collect()]
+    got = [(r.whole, r.part) for r in contained(spark.createDataFrame(wholes, "whole string"), spark.createDataFrame(parts, "part string"), "whole",
+        "part").collect()]
     assert sorted(got) == sorted({(w, p) for (w,) in wholes for (p,) in parts if w is not None and p is not None and p in w})
 
 
@@ -134,7 +138,8 @@ def test_phrases_in_texts_of_all_lengths(spark, monkeypatch, shared):
     texts = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(90, None), (None, "ab abc")]
     phrases = [(i, " ".join(word() for _ in range(rng.randint(1, 7)))) for i in range(60)] + [(70, None), (71, ""), (None, "ab")]
     phrases += [(100 + i, t[3:-2].strip()) for i, t in texts[:30] if t and len(t) > 12]
-    df = matching.join_containing(spark.createDataFrame(phrases, "p int, phrase string"), spark.createDataFrame(texts, "t int, text string"), "phrase", "text", "p", "t")
+    df = matching.join_containing(spark.createDataFrame(phrases, "p int, phrase string"), spark.createDataFrame(texts, "t int, text string"),
+        "phrase", "text", "p", "t")
     got = sorted((r.p, r.t) for r in df.collect())
     assert got == sorted((p, t) for p, a in phrases for t, b in texts if p is not None and t is not None and a and b and a in b)
 
@@ -155,7 +160,8 @@ class _Box(tuple):
 def test_rows_of_documents():
     """What is read of an open document, from one that only looks like a document."""
     whole = _Box((0, 0, 612, 792))
-    page = lambda n, crop: SimpleNamespace(number=n, mediabox=whole, cropbox=crop, get_text=lambda kind="text": [(1, 2, 3, 4, "word", 0, 5, 0)] if kind == "words" else f"page {n}")
+    page = lambda n, crop: SimpleNamespace(number=n, mediabox=whole, cropbox=crop,
+        get_text=lambda kind="text": [(1, 2, 3, 4, "word", 0, 5, 0)] if kind == "words" else f"page {n}")
 
     class Doc(list):
         def get_page_labels(self):
@@ -163,6 +169,7 @@ def test_rows_of_documents():
 
     doc = Doc([page(0, whole), page(1, _Box((40.5, 10, 612, 792)))])
     assert pages.word_rows("b", doc) == [("b", 0, 0, 0, 5, 1.0, 2.0, 3.0, 4.0, "word"), ("b", 1, 0, 0, 5, 1.0, 2.0, 3.0, 4.0, "word")]
-    assert pages.page_rows("b", doc) == [("b", 0, "page 0", 612.0, 792.0, None), ("b", 1, "page 1", 612.0, 792.0, {"x0": 40.5, "y0": 10.0, "x1": 612.0, "y1": 792.0})]
+    assert pages.page_rows("b", doc) == [("b", 0, "page 0", 612.0, 792.0, None),
+        ("b", 1, "page 1", 612.0, 792.0, {"x0": 40.5, "y0": 10.0, "x1": 612.0, "y1": 792.0})]
     assert pages.label_rows("b", doc) == [("b", 0, 0, "r", 1, ""), ("b", 1, 4, "D", None, "A-")]
     assert len(pd.DataFrame(pages.page_rows("b", doc))) == 2

@@ -11,13 +11,17 @@ def test_command_line(spark, tmp_path):
         for k, w in enumerate(text.split()):
             words.append(("Second Book.pdf", 0, n, 0, line, 50.0 + 60 * k, 100.0 + 16 * line, 100.0 + 60 * k, 112.0 + 16 * line, w))
             n += 1
-    spark.createDataFrame(words, "book_id string, page int, ord long, block int, line int, x0 double, y0 double, x1 double, y1 double, word string").write.parquet(str(tmp_path / "words"))
+    spark.createDataFrame(words, "book_id string, page int, ord long, block int, line int, x0 double, y0 double, x1 double, y1 double, "
+        "word string").write.parquet(str(tmp_path / "words"))
     page = [("Second Book.pdf", 0, "The book begins\nwith some text of\nits own and ends", 612.0, 792.0, None)]
-    spark.createDataFrame(page, "book_id string, page int, text string, width double, height double, cropbox struct<x0:double,y0:double,x1:double,y1:double>").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame(page, "book_id string, page int, text string, width double, height double, "
+        "cropbox struct<x0:double,y0:double,x1:double,y1:double>").write.parquet(str(tmp_path / "pages"))
     tree = lambda *a: thing("saved.avl.interval.tree", number(len(a)), *a)
-    kinds = (1, annotation("highlight", "0 0 5 1 150 160 90 16", 1000)), (2, annotation("note", "0 0 5 1 400 600 10 10", 2000, utf("a note"))), (0, annotation("bookmark", "0 0 5 1", 3000))
+    kinds = (1, annotation("highlight", "0 0 5 1 150 160 90 16", 1000)), (2, annotation("note", "0 0 5 1 400 600 10 10", 2000, utf("a note"))), (0,
+        annotation("bookmark", "0 0 5 1", 3000))
     (tmp_path / "reader/Second Book.sdr").mkdir(parents=True)
-    (tmp_path / "reader/Second Book.sdr/x.pds").write_bytes(store(thing("annotation.cache.object", number(3), *[x for k, a in kinds for x in (number(k), tree(a))])))
+    (tmp_path / "reader/Second Book.sdr/x.pds").write_bytes(store(thing("annotation.cache.object", number(3),
+        *[x for k, a in kinds for x in (number(k), tree(a))])))
     (tmp_path / "reader/Else.pds").write_bytes(b"not a store")
     (tmp_path / "log.txt").write_text(LOG.replace("on Page 12", "on Page 1").replace("\n\ntext\n", "\n\nsome text of\n"))
     args = ["--sidecars", f"{tmp_path}/reader", "--pages", f"{tmp_path}/pages", "--words", f"{tmp_path}/words", "--output", f"{tmp_path}/out"]
@@ -27,7 +31,8 @@ def test_command_line(spark, tmp_path):
     mark = rows["highlight"]
     assert mark.content == "some text of" and mark.source == "text_based_matching" and [(q.x0, q.y0, q.x1) for q in mark.precise_rects] == [(110, 116, 280)]
     commands = {r.command: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert [(q.x0, q.x1) for q in commands["highlight"].rects] == [(110, 280)] and commands["note"].content == "a note" and commands["bookmark"].title == "Kindle Bookmark (1970-01-01 00:00)"
+    assert [(q.x0, q.x1) for q in commands["highlight"].rects] == [(110,
+        280)] and commands["note"].content == "a note" and commands["bookmark"].title == "Kindle Bookmark (1970-01-01 00:00)"
     (tmp_path / "plain").mkdir()
     b = cli.arguments([*args[:-1], f"{tmp_path}/plain/out"])
     assert cli.run(spark, b) == 3

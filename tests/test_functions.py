@@ -16,7 +16,8 @@ def value(spark, column, **values):
     return df.select(column.alias("out")).first().out
 
 
-@pytest.mark.parametrize(("text", "out"), [("ﬁnite", "fnite"), ("ﬂow", "fow"), ("oﬀer", "ofer"), ("traﬃc", "trafc"), ("stand-\nard", "standard"), ("so­ft  a b\n", "soft a b"), ("", "")])
+@pytest.mark.parametrize(("text", "out"),
+    [("ﬁnite", "fnite"), ("ﬂow", "fow"), ("oﬀer", "ofer"), ("traﬃc", "trafc"), ("stand-\nard", "standard"), ("so­ft  a b\n", "soft a b"), ("", "")])
 def test_search_form(spark, text, out):
     assert value(spark, T.normalize_for_search("t"), t=text) == out == S.normal_with_map(text)[0]
 
@@ -44,7 +45,8 @@ def test_names_and_lines(spark):
     assert (m.type, m.page, m.added) == ("note", "9", None)
     assert value(spark, T.clean_filename("t"), t=' a<b>:"/\\|?*. ') == "a_b________"
     assert len(value(spark, T.clean_filename("t"), t="x" * 300)) == 200
-    assert value(spark, T.book_from_path("t"), t="/x/My Book-cdeKey_AB.pds") == "My Book" and value(spark, T.book_from_path("t"), t="/x/My.Book.pds") == "My.Book"
+    assert value(spark, T.book_from_path("t"), t="/x/My Book-cdeKey_AB.pds") == "My Book" and value(spark, T.book_from_path("t"),
+        t="/x/My.Book.pds") == "My.Book"
     assert value(spark, T.spell_ligatures("t"), t="eﬃcient ﬁsh") == "efficient fish"
     assert value(spark, T.tokenize("t"), t="Don't stop, É!") == ["don't", "stop", ",", "é", "!"]
     assert value(spark, T.first_int("t"), t="loc 12-13") == 12 and value(spark, T.first_int("t"), t="none") == 0
@@ -54,7 +56,8 @@ def test_names_and_lines(spark):
 @pytest.mark.parametrize(
     ("text", "out"),
     [
-        ("Monday, March 4, 2024 1:02:03 PM", "2024-03-04T13:02:03"), ("Friday, January 5, 2024 at 11:00:00 AM", "2024-01-05T11:00:00"), ("1/2/2024 3:04:05 AM", "2024-01-02T03:04:05"),
+        ("Monday, March 4, 2024 1:02:03 PM", "2024-03-04T13:02:03"), ("Friday, January 5, 2024 at 11:00:00 AM", "2024-01-05T11:00:00"),
+            ("1/2/2024 3:04:05 AM", "2024-01-02T03:04:05"),
         ("2024-05-06 07:08:09", "2024-05-06T07:08:09"), ("long ago", "long ago"),
     ],
 )
@@ -65,19 +68,22 @@ def test_dates(spark, text, out):
 def test_times(spark):
     assert value(spark, T.from_epoch_ms("t"), t=1_700_000_000_000) == datetime(2023, 11, 14, 22, 13, 20)
     assert value(spark, T.from_epoch_ms("t"), t=-1) is None
-    assert value(spark, T.bookmark_title("t"), t="2024-03-04T13:02:03Z") == "Kindle Bookmark (2024-03-04 13:02)" and value(spark, T.bookmark_title("t"), t="x") == "Kindle Bookmark"
+    assert value(spark, T.bookmark_title("t"), t="2024-03-04T13:02:03Z") == "Kindle Bookmark (2024-03-04 13:02)" and value(spark,
+        T.bookmark_title("t"), t="x") == "Kindle Bookmark"
 
 
 def test_word_measures(spark):
     assert value(spark, T.word_similarity("a", "b"), a="x y z", b="x q z w") == 0.5 and value(spark, T.word_similarity("a", "b"), a="", b=" ") == 0.0
-    assert value(spark, S.sequence_ratio("a", "b"), a="abcd", b="bcde") == 0.75 and value(spark, S.sequence_ratio("a", F.lit(None).cast("string")), a="abcd") is None
+    assert value(spark, S.sequence_ratio("a", "b"), a="abcd", b="bcde") == 0.75 and value(spark, S.sequence_ratio("a", F.lit(None).cast("string")),
+        a="abcd") is None
     words = "a b c d e f g h i j k"
     assert [value(spark, c, t=words) for c in T.first_words(T.words("t"))] == ["a b c d e f g h i j", "a b c d e f g", "a b c d e"]
     assert [value(spark, c, t="a b c d e") for c in T.last_words(T.words("t"))] == ["b c d e", "c d e", None]
 
 
 def test_bytes(spark):
-    assert value(spark, S.decode_with_fallback("b"), b=bytearray("é".encode())) == "é" and value(spark, S.decode_with_fallback("b"), b=bytearray(b"\xe9")) == "é"
+    assert value(spark, S.decode_with_fallback("b"), b=bytearray("é".encode())) == "é" and value(spark, S.decode_with_fallback("b"),
+        b=bytearray(b"\xe9")) == "é"
     assert [S.guess_encoding(b) for b in (b"abc", "é".encode(), b"\xe9", b"\xef\xbb\xbfx", None)] == ["ascii", "utf-8", "iso-8859-1", "utf-8-sig", "ascii"]
 
 
@@ -96,7 +102,8 @@ def test_positions(spark):
 @pytest.mark.parametrize(
     ("x", "y", "box", "out"),
     [
-        (500, 300, (40.1, 10, 612, 792), (319.9, 206.0)), (100, 100, (40.1, 0, 612, 792), (31.9, 72)), (400, 500, (40.1, 0, 612, 792), (247.9, 360)), (700, 800, (40.1, 0, 612, 792), (463.9, 576)),
+        (500, 300, (40.1, 10, 612, 792), (319.9, 206.0)), (100, 100, (40.1, 0, 612, 792), (31.9, 72)), (400, 500, (40.1, 0, 612, 792), (247.9, 360)),
+            (700, 800, (40.1, 0, 612, 792), (463.9, 576)),
         (0, 0, (40.1, 0, 612, 792), (0, 0)), (10000, 12000, (40.1, 0, 612, 792), (571.9, 792)), (100, 100, None, (72, 72)), (9999, 9999, None, (612, 792)),
     ],
 )
@@ -108,20 +115,25 @@ def test_points(spark, x, y, box, out):
 
 def test_lengths_and_rects(spark):
     assert value(spark, G.length_to_points(F.lit(-5.0), F.lit(100.0))) == 0 and value(spark, G.length_to_points(F.lit(100.0), F.lit(100.0), F.lit(60.0))) == 40
-    assert value(spark, G.length_to_points(F.lit(100.0), None)) == 72 and value(spark, G.line_count(F.lit(24.0))) == 3 and value(spark, G.line_count(F.lit(0.0))) == 1
+    assert value(spark, G.length_to_points(F.lit(100.0), None)) == 72 and value(spark, G.line_count(F.lit(24.0))) == 3 and value(spark,
+        G.line_count(F.lit(0.0))) == 1
     a, b = (G.rect(*[F.lit(float(v)) for v in r]) for r in ((0, 0, 10, 10), (5, 5, 20, 8)))
     assert value(spark, G.intersection_area(a, b)) == 15 and value(spark, G.union(a, b)).x1 == 20 and value(spark, G.area(a)) == 100
     assert len(value(spark, G.char_boxes(a, F.lit(4)))) == 4 and value(spark, G.char_boxes(a, F.lit(0))) == []
-    assert value(spark, G.position_point("t"), t="1 0 1 1 100 200 1 1").asDict() == pytest.approx({"x": 72, "y": 144}) and value(spark, G.position_point("t"), t="x") is None
+    assert value(spark, G.position_point("t"), t="1 0 1 1 100 200 1 1").asDict() == pytest.approx({"x": 72, "y": 144}) and value(spark,
+        G.position_point("t"), t="x") is None
 
 
 def test_columns(spark):
-    two = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("left", "right", "top", "bottom"), c, strict=True)]) for c in ((50, 250, 60, 700), (300, 540, 60, 700))])
+    two = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("left", "right", "top", "bottom"), c, strict=True)]) for c in ((50, 250, 60,
+        700), (300, 540, 60, 700))])
     at = lambda x, y: value(spark, G.column_of(two, F.lit(float(x)), F.lit(float(y)))).left
     assert (at(100, 100), at(310, 100), at(260, 10), at(290, 10)) == (50, 300, 50, 300)
-    assert value(spark, G.column_gap(two)) == 50 and value(spark, G.is_multi_column(two)) and value(spark, G.constrain_width(F.lit(500.0), F.lit(200.0), two[0])) == 50
+    assert value(spark, G.column_gap(two)) == 50 and value(spark, G.is_multi_column(two)) and value(spark,
+        G.constrain_width(F.lit(500.0), F.lit(200.0), two[0])) == 50
     assert value(spark, G.constrain_width(F.lit(500.0), F.lit(249.0), two[0])) == 10
-    clipped = value(spark, G.clip_to_columns(F.array(G.rect(F.lit(10.0), F.lit(70.0), F.lit(240.0), F.lit(80.0)), G.rect(F.lit(0.0), F.lit(70.0), F.lit(52.0), F.lit(80.0))), two))
+    clipped = value(spark, G.clip_to_columns(F.array(G.rect(F.lit(10.0), F.lit(70.0), F.lit(240.0), F.lit(80.0)),
+        G.rect(F.lit(0.0), F.lit(70.0), F.lit(52.0), F.lit(80.0))), two))
     assert [(r.x0, r.x1) for r in clipped] == [(50, 240)]
 
 

@@ -44,7 +44,8 @@ def test_generic_log(spark, tmp_path):
     got = clippings.parse(clippings.read_log(spark, str(tmp_path)))
     rows = [r for r in got.orderBy("ord").collect() if r.source_file.endswith("a.txt")]
     assert [(r.title, r.type, r.location, r.page) for r in rows] == [
-        ("First Book", "highlight", "20-21", ""), ("First Book", "note", "5", ""), ("Second Book", "highlight", "", "12"), ("Second Book", "bookmark", "", "3"), ("Third", "unknown", "", ""),
+        ("First Book", "highlight", "20-21", ""), ("First Book", "note", "5", ""), ("Second Book", "highlight", "", "12"),
+            ("Second Book", "bookmark", "", "3"), ("Third", "unknown", "", ""),
     ]
     assert rows[0].date_added == "2024-03-04T13:02:03" and rows[2].date_added == "nonsense" and rows[1].content == "a note\nover two lines" and rows[3].content == ""
     assert [r.title for r in got.collect() if r.source_file.endswith("b.txt")] == ["Café"]
@@ -65,7 +66,8 @@ def test_log_of_one_book(spark):
     logs = spark.createDataFrame([(LOG,)], "text string")
     books = spark.createDataFrame([("a", "second book.pdf"), ("b", "THIRD.pdf.pdf"), ("c", "First Book")], "book_id string, name string")
     rows = {(r.book_id, r.ord): (r.type, r.pdf_page, r.content, r.timestamp) for r in clippings.parse_for_books(logs, books).collect()}
-    assert rows == {("a", 2): ("highlight", 12, "text", "nonsense"), ("a", 3): ("highlight", 3, "", "2024-05-06 07:08:09"), ("b", 4): ("highlight", 7, "lower case", "x")}
+    assert rows == {("a", 2): ("highlight", 12, "text", "nonsense"), ("a", 3): ("highlight", 3, "", "2024-05-06 07:08:09"),
+        ("b", 4): ("highlight", 7, "lower case", "x")}
 
 
 def utf(s: str) -> bytes:
@@ -92,20 +94,26 @@ def store(*values: bytes) -> bytes:
 def test_sidecar_store(spark):
     tree = lambda *a: thing("saved.avl.interval.tree", number(len(a)), *a)
     cache = thing(
-        "annotation.cache.object", number(4), number(1), tree(annotation("highlight", "1 0 5 1 10 20 30 14", 1000)), number(99), tree(annotation("highlight", "lost", 1)), number(2), tree(annotation("note", "2 0 5 1", 2000, utf("my note")), annotation("note", "3 0 5 1", -1, utf("n2"))), number(0), tree(),
+        "annotation.cache.object", number(4), number(1), tree(annotation("highlight", "1 0 5 1 10 20 30 14", 1000)), number(99),
+            tree(annotation("highlight", "lost", 1)), number(2),
+                tree(annotation("note", "2 0 5 1", 2000, utf("my note")), annotation("note", "3 0 5 1", -1, utf("n2"))), number(0), tree(),
     )
     good = store(thing("lpr", utf("1 2 3 4")), thing("font.prefs", utf("x")), thing("dictionary", utf("d")), thing("timer.model", number(3)), cache)
-    files_ = spark.createDataFrame([("g", bytearray(good)), ("bad", bytearray(b"12345678")), ("cut", bytearray(good[:60])), ("empty", bytearray(b"")), ("none", None)], "path string, content binary")
+    files_ = spark.createDataFrame([("g", bytearray(good)), ("bad", bytearray(b"12345678")), ("cut", bytearray(good[:60])),
+        ("empty", bytearray(b"")), ("none", None)], "path string, content binary")
     rows = sidecar.decode_annotations(files_).collect()
     found = [(r.ord, r.annotation_type, r.start_position, r.note_text) for r in rows if r.book_id == "g"]
-    assert found == [(0, "annotation.personal.highlight", "1 0 5 1 10 20 30 14", None), (1, "annotation.personal.note", "2 0 5 1", "my note"), (2, "annotation.personal.note", "3 0 5 1", "n2")]
+    assert found == [(0, "annotation.personal.highlight", "1 0 5 1 10 20 30 14", None), (1, "annotation.personal.note", "2 0 5 1", "my note"),
+        (2, "annotation.personal.note", "3 0 5 1", "n2")]
     assert [r.creation_time is None for r in rows if r.book_id == "g"] == [False, False, True]
     assert {r.book_id for r in rows if r.error} == {"bad", "cut", "empty", "none"}
-    assert spark.createDataFrame([("annotation.personal.note",), ("other",)], "t string").select(sidecar.categories(F.col("t")).alias("c")).collect()[1].c == "other"
+    assert spark.createDataFrame([("annotation.personal.note",), ("other",)],
+        "t string").select(sidecar.categories(F.col("t")).alias("c")).collect()[1].c == "other"
 
 
 def test_scalar_values():
-    c = sidecar.Cursor(struct.pack(">bb", 0, 1) + struct.pack(">bd", 4, 1.5) + struct.pack(">bh", 5, -2) + struct.pack(">bf", 6, 0.5) + struct.pack(">bb", 7, -3) + b"\x09A" + struct.pack(">bb", 3, 1))
+    c = sidecar.Cursor(struct.pack(">bb", 0, 1) + struct.pack(">bd", 4, 1.5) + struct.pack(">bh", 5, -2) + struct.pack(">bf", 6,
+        0.5) + struct.pack(">bb", 7, -3) + b"\x09A" + struct.pack(">bb", 3, 1))
     assert [c.value() for _ in range(7)] == [True, 1.5, -2, 0.5, -3, "A", ""]
     for bad in (b"\x00\x07", b"\x63", b"\x01\x00"):
         try:
@@ -124,13 +132,15 @@ def test_sections(spark):
 
 
 def test_json_form(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"annotation.cache.object": {"annotation.personal.note": [{"text": "t", "startPosition": "1 2 3 4", "creationTime": "c"}]}}))
+    (tmp_path / "a.json").write_text(json.dumps({"annotation.cache.object": {"annotation.personal.note": [{"text": "t", "startPosition": "1 2 3 4",
+        "creationTime": "c"}]}}))
     r = sidecar.read_annotations_json(spark, str(tmp_path / "a.json")).first()
     assert (r.annotation_type, r.start_position, r.end_position, r.note_text) == ("annotation.personal.note", "1 2 3 4", "1 2 3 4", "t")
 
 
 def test_file_choices(spark, tmp_path):
-    for p in ("My Book.pdf", "Other.pdf", "._My Book.pdf", "My Book.sdr/a.pds", "My Book.sdr/b.pdt", "my_book.sdr/c.pds", "Loose.pds", "documents/My Clippings.txt"):
+    for p in ("My Book.pdf", "Other.pdf", "._My Book.pdf", "My Book.sdr/a.pds", "My Book.sdr/b.pdt", "my_book.sdr/c.pds", "Loose.pds",
+        "documents/My Clippings.txt"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_text("x")
     every = files.listing(spark, str(tmp_path), recursive=True)
@@ -150,7 +160,8 @@ def test_pages_and_search(spark):
             n += 1
     words = spark.createDataFrame(rows, "book_id string, page int, ord long, block int, line int, x0 double, y0 double, x1 double, y1 double, word string")
     assert pages.page_text(words).first().text == "\n".join(text)
-    phrases = spark.createDataFrame([("b", 0, 1, "the QUICK  brown"), ("b", 0, 2, "fox"), ("b", 0, 3, "absent"), ("b", 1, 4, "fox"), ("b", 0, 5, "")], "book_id string, page int, key int, phrase string")
+    phrases = spark.createDataFrame([("b", 0, 1, "the QUICK  brown"), ("b", 0, 2, "fox"), ("b", 0, 3, "absent"), ("b", 1, 4, "fox"),
+        ("b", 0, 5, "")], "book_id string, page int, key int, phrase string")
     got = {(r.key, r.hit): [(q.x0, q.y0, q.x1) for q in r.rects] for r in pages.search(phrases, words, "key").collect()}
     assert got == {(1, 0): [(0, 0, 70), (0, 16, 30)], (1, 4): [(80, 16, 110), (0, 32, 70)], (2, 3): [(40, 16, 70)]}
     m = pages.text_margins(words, F.lit(400.0)).first()
