@@ -202,5 +202,5 @@ def position_point(c: Column | str) -> Column:
 
 def segments(start: Column, end: Column) -> Column:
     """Start and end rects of a multi-line highlight, from the top down."""
-    return F.array_sort(F.array(start, end), lambda a,
-        b: F.when(a.getField("y0") < b.getField("y0"), -1).when(a.getField("y0") > b.getField("y0"), 1).otherwise(0))
+    return F.array_sort(F.array(start, end),
+        lambda a, b: F.when(a.getField("y0") < b.getField("y0"), -1).when(a.getField("y0") > b.getField("y0"), 1).otherwise(0))

@@ -40,8 +40,8 @@ def detect(lines: DataFrame, pages: DataFrame) -> DataFrame:
     packed = lines.groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "x0", "y0", "x1", "y1"))).alias("ls"))
     p = pages.select("book_id", "page", "width", "height").join(packed, ["book_id", "page"], "left")
     ls = F.col("ls")
-    groups = F.array_sort(first_fit_lefts(F.transform("ls", lambda q: q.getField("x0"))), lambda a,
-        b: F.when(a.getField("n") != b.getField("n"), b.getField("n") - a.getField("n")).otherwise(a.getField("i") - b.getField("i")))
+    groups = F.array_sort(first_fit_lefts(F.transform("ls", lambda q: q.getField("x0"))),
+        lambda a, b: F.when(a.getField("n") != b.getField("n"), b.getField("n") - a.getField("n")).otherwise(a.getField("i") - b.getField("i")))
     p = p.withColumn("_g", F.when(F.size("ls") >= LEAST_LINES, groups))
     one, two = F.get("_g", F.lit(0)), F.get("_g", F.lit(1))
     low, high = F.least(one.getField("pos"), two.getField("pos")), F.greatest(one.getField("pos"), two.getField("pos"))

@@ -57,8 +57,8 @@ def word_sequences(contents: DataFrame, words: DataFrame, *keys: str, content: s
     page = w.groupBy("book_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_w"))), lambda x: x.getField("_w")).alias("_ws"))
     j = c.join(page, ["book_id", "page"])
     agrees = lambda a, b: ((a == b) | ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)))).cast("int")
-    score = lambda s: F.aggregate(F.zip_with(F.slice("_ws", s + 1, F.size("_probe")), F.col("_probe"), lambda a,
-        b: F.coalesce(agrees(a, b), F.lit(0))), F.lit(0), lambda x, v: x + v)
+    score = lambda s: F.aggregate(F.zip_with(F.slice("_ws", s + 1, F.size("_probe")), F.col("_probe"),
+        lambda a, b: F.coalesce(agrees(a, b), F.lit(0))), F.lit(0), lambda x, v: x + v)
     starts = F.filter(F.sequence(F.lit(0), F.size("_ws") - 1), lambda s: score(s) >= F.least(F.lit(least), F.size("_probe")))
     return j.withColumn("start", F.get(starts, F.lit(0))).where("start IS NOT NULL").select("book_id", "page", *keys, "start",
         F.least(F.col("start") + F.col("_n") - 1, F.size("_ws") - 1).alias("last"))
