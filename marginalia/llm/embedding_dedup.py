@@ -38,7 +38,8 @@ BROADCAST_ROWS = 100_000
 CHUNK_ROWS = 50_000
 BLOCK_ROWS = 2_048
 _KEY = ["label", "dim", "path"]
-_COLUMNS = (("node", "long"), ("label", "string"), ("dim", "int"), ("path", "string"), ("depth", "int"), ("home", "boolean"), ("copies", "long"), ("unit", "binary"))
+_COLUMNS = (("node", "long"), ("label", "string"), ("dim", "int"), ("path", "string"), ("depth", "int"), ("home", "boolean"), ("copies", "long"),
+    ("unit", "binary"))
 _NAMES = [c for c, _ in _COLUMNS]
 _PLACED = ", ".join(f"{c} {t}" for c, t in _COLUMNS)
 
@@ -138,7 +139,8 @@ def _moved(b: pa.RecordBatch, at: list[int], c: np.ndarray, gaps: np.ndarray, re
     rows, cells, lives = visits(_matrix(part.column("unit")), home, c, gaps, reach)
     out = part.take(pa.array(rows, pa.int64()))
     paths = [f"{p}.{k}" for p, k in zip(out.column("path").to_pylist(), cells.tolist(), strict=True)]
-    new = {"path": pa.array(paths, pa.string()), "home": pa.array(lives, pa.bool_()), "depth": pa.array([d + 1 for d in out.column("depth").to_pylist()], pa.int32())}
+    new = {"path": pa.array(paths, pa.string()), "home": pa.array(lives, pa.bool_()),
+        "depth": pa.array([d + 1 for d in out.column("depth").to_pylist()], pa.int32())}
     return _batch(out, new)
 
 
@@ -186,7 +188,7 @@ def _place_sorted(reach: float):
 
 
 def _compare(threshold: float):
-    """Links between the two sides of a block pair, or within one home block (where both sides are the same rows)."""
+    """Links between the two sides of a meeting. Rows on both sides meet each other twice, any other two rows once."""
 
     def visit(rows: pa.Table) -> pa.RecordBatch | None:
         nodes, copies = rows.column("node").to_numpy(), rows.column("copies").to_numpy().astype(np.int64)
@@ -203,8 +205,8 @@ def _compare(threshold: float):
             return None
         count = np.zeros(len(nodes), np.int64)
         np.add.at(count, a[i], copies[b[j]])
-        if not (left & right).any():
-            np.add.at(count, b[j], copies[a[i]])
+        once = ~((left & right)[a[i]] & (left & right)[b[j]])
+        np.add.at(count, b[j][once], copies[a[i]][once])
         linked = np.flatnonzero(count)
         # Spanning edges: a breadth-first walk over the links in matrix steps.
         seen, edges = np.zeros(len(nodes), bool), []
@@ -223,7 +225,8 @@ def _compare(threshold: float):
                 edges += [(nodes[root], nodes[f]) for f in frontier]
         u = [nodes[k] for k in linked] + [u for u, _ in edges]
         v = [None] * len(linked) + [v for _, v in edges]
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([*count[linked].tolist(), *[0] * len(edges)], pa.int64())], names=["u", "v", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()),
+            pa.array([*count[linked].tolist(), *[0] * len(edges)], pa.int64())], names=["u", "v", "links"])
 
     return grouped_stream([*_KEY, "bi", "bj", "guests"], visit)
 
@@ -245,7 +248,8 @@ def cells(placed: DataFrame, threshold: float, cell_rows: int, fan: int, shared_
             return placed
         dice = F.pmod(F.xxhash64(F.lit(depth), "node"), F.lit(1 << 30)) < F.lit(FIT_ROWS) / F.col("nh") * (1 << 30)
         sample = here.where("home").join(_sized(large), _KEY).where(dice).select(*_KEY, "nh", "unit")
-        made = cut(sample.repartition(n, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_fit(reach, cell_rows, fan), "label string, dim int, path string, matrix binary"))
+        made = cut(sample.repartition(n, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_fit(reach, cell_rows, fan),
+            "label string, dim int, path string, matrix binary"))
         size = made.agg(F.sum(F.length("matrix"))).first()[0]
         if not size:
             return placed
@@ -255,8 +259,10 @@ def cells(placed: DataFrame, threshold: float, cell_rows: int, fan: int, shared_
         else:
             chunks = cut(made.join(large, _KEY).select(*_KEY, "matrix", F.ceil(F.col("all") / CHUNK_ROWS).cast("int").alias("_chunks")))
             mine = placed.join(_sized(cut(chunks.select(*_KEY, "_chunks"))), _KEY, "left")
-            heads = chunks.select(*[F.lit(None).cast(t).alias(c) if c not in _KEY else F.col(c) for c, t in _COLUMNS], F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "matrix")
-            rows = mine.where("_chunks IS NOT NULL").select(*_NAMES, F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int").alias("_chunk"), F.lit(None).cast("binary").alias("matrix"))
+            heads = chunks.select(*[F.lit(None).cast(t).alias(c) if c not in _KEY else F.col(c) for c, t in _COLUMNS],
+                F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "matrix")
+            rows = mine.where("_chunks IS NOT NULL").select(*_NAMES, F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int").alias("_chunk"),
+                F.lit(None).cast("binary").alias("matrix"))
             order = [*_KEY, "_chunk"]
             dealt = rows.unionByName(heads).repartition(n, *order).sortWithinPartitions(*order, F.col("matrix").isNull())
             placed = mine.where("_chunks IS NULL").select(*_NAMES).unionByName(dealt.mapInArrow(_place_sorted(reach), _PLACED))
@@ -275,7 +281,8 @@ def _nodes(rows: DataFrame, hash_bits: int) -> tuple[DataFrame, DataFrame]:
 
     def grouped(rows: DataFrame) -> DataFrame:
         one = rows.where("node IS NOT NULL").groupBy("node", "label", "e").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
-        return cut(_units(one.select("node", "label", F.size("e").alias("dim"), "copies", "rep", "e"), "node long, label string, dim int, copies long, rep long"))
+        return cut(_units(one.select("node", "label", F.size("e").alias("dim"), "copies", "rep", "e"),
+            "node long, label string, dim int, copies long, rep long"))
 
     names = grouped(rows)
     twice = lambda names: cut(names.groupBy("node").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("node").alias("_twice")))
@@ -291,7 +298,8 @@ def _nodes(rows: DataFrame, hash_bits: int) -> tuple[DataFrame, DataFrame]:
     raise RuntimeError("no free numbers found")
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.98, id: str = "vec_id", vector: str = "embedding", label: str = "label", cell_rows: int | None = None, fan: int = FAN, shared_bytes: int = SHARED_BYTES, hash_bits: int = 64) -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.98, id: str = "vec_id", vector: str = "embedding", label: str = "label",
+    cell_rows: int | None = None, fan: int = FAN, shared_bytes: int = SHARED_BYTES, hash_bits: int = 64) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     ``cell_rows`` (``CELL_ROWS``) and ``fan`` say when a group is split and in how many cells at most, ``shared_bytes`` how large centroids
@@ -300,33 +308,46 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id: str = "vec_id", vec
     spark = prepare(df.sparkSession)
     n = shuffle_count(spark)
     rows = df.select(F.col(id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("e"))
-    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & F.forall("e",
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     rows, names = _nodes(rows.withColumn("sound", F.coalesce(sound, F.lit(False))), hash_bits)
     start = names.select("node", "label", "dim", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(True).alias("home"), "copies", "unit")
     placed = cells(start, threshold, cell_rows or CELL_ROWS, fan, shared_bytes)
 
-    sizes = placed.groupBy(*_KEY).agg(F.ceil(F.greatest(F.count_if("home"), F.lit(1)) / BLOCK_ROWS).cast("int").alias("nh"), F.ceil(F.greatest(F.count_if(~F.col("home")), F.lit(1)) / BLOCK_ROWS).cast("int").alias("ng"))
-    placed = placed.join(_sized(cut(sizes)), _KEY).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("ng"))).cast("int"))
+    sizes = placed.groupBy(*_KEY).agg(F.ceil(F.count_if("home") / BLOCK_ROWS).cast("int").alias("nh"),
+        F.ceil(F.count_if(~F.col("home")) / BLOCK_ROWS).cast("int").alias("ng")).where("nh > 0")
+    placed = placed.join(_sized(cut(sizes)), _KEY).withColumn("block",
+        F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("ng"))).cast("int"))
+    small = (F.col("nh") == 1) & (F.col("ng") <= 1)  # one meeting of all: who lives there is on both sides, guests are on one
+    one = placed.where(small)
+    placed = placed.where(~small)
     other = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     columns = [*_KEY, "node", "copies", "unit"]
     home = placed.where("home").select(*columns, "block", "ng", other("nh").alias("o"))
     within = home.select(
-        *columns, F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), F.lit(False).alias("guests"), (F.col("block") <= F.col("o")).alias("left"), (F.col("block") >= F.col("o")).alias("right")
+        *columns, F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), F.lit(False).alias("guests"),
+            (F.col("block") <= F.col("o")).alias("left"), (F.col("block") >= F.col("o")).alias("right")
     )
-    across = placed.where("home").select(*columns, "block", other("ng").alias("o")).select(*columns, F.col("o").alias("bi"), F.col("block").alias("bj"), F.lit(True).alias("guests"), F.lit(False).alias("left"), F.lit(True).alias("right"))
-    visiting = placed.where("NOT home").select(*columns, "block", other("nh").alias("o")).select(*columns, F.col("block").alias("bi"), F.col("o").alias("bj"), F.lit(True).alias("guests"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    across = placed.where("home AND ng > 0").select(*columns, "block", other("ng").alias("o")).select(*columns, F.col("o").alias("bi"),
+        F.col("block").alias("bj"), F.lit(True).alias("guests"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    visiting = placed.where("NOT home").select(*columns, "block", other("nh").alias("o")).select(*columns, F.col("block").alias("bi"),
+        F.col("o").alias("bj"), F.lit(True).alias("guests"), F.lit(True).alias("left"), F.lit(False).alias("right"))
     order = [*_KEY, "bi", "bj", "guests"]
-    blocks = within.unionByName(across).unionByName(visiting).repartition(n, *order).sortWithinPartitions(*order)
+    whole = one.select(*columns, F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(False).alias("guests"), F.lit(True).alias("left"),
+        F.col("home").alias("right"))
+    blocks = whole.unionByName(within).unionByName(across).unionByName(visiting).repartition(n, *order).sortWithinPartitions(*order)
     found = cut(blocks.mapInArrow(_compare(threshold), "u long, v long, links long"))
 
     links = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     groups = cut(components(found.where("v IS NOT NULL").select("u", "v")))
-    whole = cut(names.select("node", "rep", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    least = cut(whole.groupBy("component").agg(F.min("rep").alias("component_id")))
-    named = cut(whole.join(least, "component").join(cut(links), "node", "left").select(F.col("node").alias("name"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    everyone = cut(names.select("node", "rep", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = cut(everyone.groupBy("component").agg(F.min("rep").alias("component_id")))
+    named = cut(everyone.join(least, "component").join(cut(links), "node", "left").select(F.col("node").alias("name"), "component_id",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = cut(rows.select("vec_id", "node")).join(named, F.col("node") == F.col("name"), "left")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+            (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept")
     )
 
 

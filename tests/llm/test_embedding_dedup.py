@@ -38,7 +38,8 @@ def test_same_links_as_brute_force(spark, monkeypatch, cell_rows):
     for i in range(300):
         v = base[rng.integers(40)] + rng.normal(size=8) * rng.choice([0, 0.03, 0.15, 0.4])
         rows.append((i, int(rng.integers(3)), [float(np.float32(x)) for x in v * rng.uniform(0.1, 9)]))
-    rows += [(900, None, rows[0][2]), (901, 0, None), (902, 0, [0.0] * 8), (903, 0, [1.0, None] + [0.0] * 6), (904, 0, [math.nan] * 8), (905, 0, [math.inf] * 8), (906, 0, []), (907, 0, rows[0][2][:7]), (908, 1, [1e-30] * 8), (909, 1, [1e30] * 8)]
+    rows += [(900, None, rows[0][2]), (901, 0, None), (902, 0, [0.0] * 8), (903, 0, [1.0, None] + [0.0] * 6), (904, 0, [math.nan] * 8),
+        (905, 0, [math.inf] * 8), (906, 0, []), (907, 0, rows[0][2][:7]), (908, 1, [1e-30] * 8), (909, 1, [1e30] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").selectExpr("*", "1 AS node", "2 AS cell", "3 AS kept").repartition(4)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(df).collect()}
     assert got == brute(rows)
@@ -71,7 +72,8 @@ def test_levels_of_cells_lose_no_link(spark, monkeypatch, fan, shared_bytes):
     monkeypatch.setattr(E, "BLOCK_ROWS", 16)
     rows = vectors(fan)
     df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").repartition(4)
-    start = E._units(df.selectExpr("vec_id AS node", "label", "6 AS dim", "'' AS path", "0 AS depth", "true AS home", "1L AS copies", "embedding"), "node long, label string, dim int, path string, depth int, home boolean, copies long")
+    start = E._units(df.selectExpr("vec_id AS node", "label", "6 AS dim", "'' AS path", "0 AS depth", "true AS home", "1L AS copies", "embedding"),
+        "node long, label string, dim int, path string, depth int, home boolean, copies long")
     placed = E.cells(start.select(*E._NAMES), 0.98, 12, fan, shared_bytes).collect()
     assert max(r.depth for r in placed) >= (2 if fan == 4 else 1)
     assert sorted(r.node for r in placed if r.home) == list(range(500))  # each lives in one cell
@@ -93,7 +95,8 @@ def test_a_dense_cloud_is_not_split():
 def test_labels_of_any_type(spark, kind):
     label = {"string": ["x", "y z", None], "double": [0.5, 1.5, None], "date": ["2020-01-01", "2021-01-01", None]}[kind]
     rows = [(i, label[i % 3], [1.0, 2.0 + i * 0.001]) for i in range(9)]
-    df = spark.createDataFrame(rows, f"vec_id long, label {'string' if kind == 'date' else kind}, embedding array<double>").withColumn("label", E.F.col("label").cast(kind))
+    df = spark.createDataFrame(rows, f"vec_id long, label {'string' if kind == 'date' else kind}, embedding array<double>").withColumn("label",
+        E.F.col("label").cast(kind))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(df).collect()}
     assert got == {i: (0, i, True) if i % 3 == 2 else (2, i % 3, i < 3) for i in range(9)}
 
