@@ -203,7 +203,8 @@ def _survey(width: int, naming: Naming):
             if sets:
                 cells += np.bincount((np.concatenate(sets) >> _U(64 - CELLS_BITS)).astype(np.int64), minlength=1 << CELLS_BITS).astype(np.int32)
             of = lambda f, sets=sets: pa.array([f(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), of(naming.first), of(second_fingerprint), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), of(naming.first), of(second_fingerprint),
+                pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if cells.any():
             for seg, data in dense_parts(cells, SEGMENTS):
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([seg], pa.int32()), pa.array([data], pa.binary())], names=names)
@@ -401,7 +402,8 @@ def _ship(width: int, naming: Naming, shared):
             b = b.filter(pa.array((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if b.num_rows:
                 sets = shingler.sets(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([naming(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "got", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([naming(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "got", "hashes"])
 
     return run
 
@@ -413,14 +415,16 @@ def with_set_names(rows: DataFrame, width: int, out: str, text: str = "text") ->
         shingler, naming = Shingler(width), Naming()
         for b in batches:
             sets = shingler.sets(b.column(b.schema.get_field_index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f"{naming.first(s)},{second_fingerprint(s)}" if len(s) else None for s in sets], pa.string())], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns,
+                pa.array([f"{naming.first(s)},{second_fingerprint(s)}" if len(s) else None for s in sets], pa.string())], names=[*b.schema.names, out])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
 
 
 def _names(meta: DataFrame) -> DataFrame:
     """(fp, rep, n, a, b) of each name: its smallest doc_id, its size and the least and greatest second half, which differ where two sets share it."""
-    return cut(meta.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("second").alias("a"), F.max("second").alias("b")))
+    return cut(meta.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("second").alias("a"),
+        F.max("second").alias("b")))
 
 
 def _renamed(meta: DataFrame, names: DataFrame, bits: int) -> tuple[Naming, DataFrame]:
@@ -470,7 +474,8 @@ def _placed(nodes: DataFrame, t: Threshold) -> DataFrame:
     return dealt.select("fp", "rep", "component", F.explode(F.concat(own, above, below)).alias("_m")).select("fp", "rep", "component", "_m.*")
 
 
-def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", named: bool = False, name_bits: int = 64) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", named: bool = False,
+    name_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its shingle set and the smallest id reachable by links.
 
     ``named`` adds fp, the 128-bit name of the row's set (see :func:`with_set_names`), null for an empty one. ``name_bits``
@@ -522,7 +527,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2])
     WHEN len(w) > 0 THEN [array_to_string(w, chr(10)) || chr(9)] ELSE [] END) AS s FROM w

@@ -166,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, rows: int = SAMPLE_ROWS
     """
     sample = labelled_sample(labels, "quality", F.lit(True) if keep is None else keep, rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # rows <= SAMPLE_ROWS
-    made = with_text_columns(picked, ("doc_id", "y"), "text", [StructField("x", ArrayType(DoubleType()))], lambda: lambda texts: [pa.array([list(map(float, features(t))) for t in texts], pa.list_(pa.float64()))])
+    made = with_text_columns(picked, ("doc_id", "y"), "text", [StructField("x", ArrayType(DoubleType()))],
+        lambda: lambda texts: [pa.array([list(map(float, features(t))) for t in texts], pa.list_(pa.float64()))])
     got = made.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in got], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.y for r in got], float))

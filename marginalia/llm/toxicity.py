@@ -173,7 +173,8 @@ class Scorer:
                         strong += weight > 4
                         kinds.add(k)
         size = np.log1p(n)
-        return (np.log1p(abuse), abuse / (n + 20) * 20, np.log1p(strong), strong / (n + 20) * 100, np.log1p(fuzzy), np.log1p(quoted), len(kinds) ** 0.5, count / (n + 20) * 100, size)
+        return (np.log1p(abuse), abuse / (n + 20) * 20, np.log1p(strong), strong / (n + 20) * 100, np.log1p(fuzzy), np.log1p(quoted),
+            len(kinds) ** 0.5, count / (n + 20) * 100, size)
 
 
 def in_quotes(words: list[str], i: int) -> bool:
@@ -247,9 +248,11 @@ def learn_terms(texts: DataFrame) -> list[tuple[str, bool, float]]:
             stands_out = np.array([surprise(a, b, toxic, clean) >= SURPRISE for a, b in zip(f["n"], f["in_clean"], strict=True)], bool)
             yield f[stands_out][["term", "n", "odds"]]
 
-    count = lambda y, n: texts.where(F.col("y") == y).select("text").mapInPandas(counter, "term string, n long").groupBy("term").agg(F.sum("n").alias(n))
+    count = lambda y, n: texts.where(F.col("y") == y).select("text").mapInPandas(counter,
+        "term string, n long").groupBy("term").agg(F.sum("n").alias(n))
     least = max(3, round(0.004 * toxic))
-    both = count(1, "n").where(F.col("n") >= least).join(count(0, "in_clean"), "term", "left").select("term", "n", F.coalesce("in_clean", F.lit(0)).alias("in_clean"))
+    both = count(1, "n").where(F.col("n") >= least).join(count(0, "in_clean"), "term", "left").select("term", "n",
+        F.coalesce("in_clean", F.lit(0)).alias("in_clean"))
     marked = both.mapInPandas(rate, "term string, n long, odds double").collect()
     in_toxic, odds = {r.term: r.n for r in marked}, {r.term: r.odds for r in marked}
     continued: dict[str, list[str]] = {}

@@ -102,7 +102,8 @@ class ShiftAnd:
         return out
 
 
-def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = DEFAULT, url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
+def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = DEFAULT, url: str = "url",
+    keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """``keep`` columns, host, path, rule (null if none fits) and verdict of every row."""
     globs = [b"*." + h.encode() + bytes([SEP]) + p.encode() + b"*" for h, p, _ in rules]
     names = [h + p for h, p, _ in rules]
@@ -115,7 +116,8 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default:
             parts = [canonical(u) for u in urls]
             best = np.full(len(urls), -1)
             if automaton and urls:
-                hit = automaton.accepts([b"." + h.encode("utf-8", "surrogatepass") + bytes([SEP]) + p.encode("utf-8", "surrogatepass") for h, p in parts])[:, rank]
+                hit = automaton.accepts([b"." + h.encode("utf-8", "surrogatepass") + bytes([SEP]) + p.encode("utf-8", "surrogatepass") for h,
+                    p in parts])[:, rank]
                 best = np.where(hit.any(axis=1), rank[hit.argmax(axis=1)], -1)
             rule = [names[b] if b >= 0 else None for b in best]
             verdict = [rules[b][2] if b >= 0 else default for b in best]

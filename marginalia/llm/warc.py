@@ -68,7 +68,8 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + rest
 
 
-def record(kind: str, page_id: int | None, url: str | None, captured: str, digest: str, payload: bytes | None, size: int, refers_to: int | None = None) -> bytes:
+def record(kind: str, page_id: int | None, url: str | None, captured: str, digest: str, payload: bytes | None, size: int,
+    refers_to: int | None = None) -> bytes:
     """One WARC/1.1 record. A revisit has no payload; ``size`` is that of the full payload."""
     one_line = lambda s: s.replace("\r", "%0D").replace("\n", "%0A")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {captured}"]
@@ -171,8 +172,10 @@ def _responses(revisit_bytes: int):
                 if i is not None and len(p) >= revisit_bytes:
                     least[d] = min(i, least.get(d, i))
             again = [d in least and (i is None or least[d] < i) and len(p) >= revisit_bytes for i, d, p in zip(ids, digest, payloads, strict=True)]
-            gz = [None if a else member(record("response", i, u, _captured(i), d, p, len(p))) for i, u, d, p, a in zip(ids, urls, digest, payloads, again, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array(digest, pa.string()), pa.array(gz, pa.binary())], names=["page_id", "url", "size", "digest", "gz"])
+            gz = [None if a else member(record("response", i, u, _captured(i), d, p, len(p))) for i, u, d, p,
+                a in zip(ids, urls, digest, payloads, again, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(p) for p in payloads], pa.int64()),
+                pa.array(digest, pa.string()), pa.array(gz, pa.binary())], names=["page_id", "url", "size", "digest", "gz"])
 
     return run
 
@@ -245,7 +248,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"{path} at {offset}: the payload isn't what its header says")
                 url = h.get("warc-target-uri")
                 refers = number(h["warc-refers-to"]) if "warc-refers-to" in h else None
-                rows.append((number(h["warc-record-id"]), url, url_key(url), h["warc-date"], kind, int(h["x-payload-length"]), digest, refers, path, offset, length))
+                rows.append((number(h["warc-record-id"]), url, url_key(url), h["warc-date"], kind, int(h["x-payload-length"]), digest, refers, path,
+                    offset, length))
             rows.sort(key=lambda r: (r[2], r[3], r[0] is None, r[0] or 0))
             for s in range(0, len(rows), 5_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 5_000], strict=True), types, strict=True)], names=names)

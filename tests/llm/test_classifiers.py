@@ -88,7 +88,8 @@ def test_edge_rows(spark, documents):
 def test_rare_and_short_terms_are_rated(spark):
     """More frequent terms than 100 000 stand in both classes; a rare word and one of three letters mark the toxic one."""
     filler = " ".join(f"{i * 7919 % 10007:05d}".translate(str.maketrans("0123456789", "abcdefghij")) + "k" * 19 for i in range(6000))
-    rows = [(filler if i < 15 else "plain words", 0) for i in range(40)] + [((filler if i < 15 else "plain words") + (" zut rarebane" if i % 3 == 0 else ""), 1) for i in range(40)]
+    rows = [(filler if i < 15 else "plain words",
+        0) for i in range(40)] + [((filler if i < 15 else "plain words") + (" zut rarebane" if i % 3 == 0 else ""), 1) for i in range(40)]
     words = {t for t, _, _ in X.learn_terms(spark.createDataFrame(rows, "text string, y int"))}
     assert "zut" in words and any("rarebane".startswith(t) for t in words)
 
@@ -145,7 +146,8 @@ def test_trees_are_brute_force():
             expected = np.full(9, g.sum() / (h.sum() + 1))  # no cut is better than none
         assert np.allclose(Q._tree(g, h, 2), expected)
         g, h = rng.normal(size=(4, 5)), rng.uniform(0.1, 1, (4, 5))
-        quads = lambda i, j: ((slice(0, i), slice(0, j)), (slice(0, i), slice(j, None)), (slice(i, None), slice(0, j)), (slice(i, None), slice(j, None)))
+        quads = lambda i, j: ((slice(0, i), slice(0, j)), (slice(0, i), slice(j, None)), (slice(i, None), slice(0, j)),
+            (slice(i, None), slice(j, None)))
         i, j = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda c: sum(gain(g[q].sum(), h[q].sum()) for q in quads(*c)))
         out = np.zeros_like(g)
         for q in quads(i, j):
@@ -179,7 +181,8 @@ def test_toxicity_features_are_brute_force():
                 abuse, count, strong = abuse + weight, count + 1, strong + (weight > 4)
                 kinds.add(k)
         n = len(words)
-        expected = (np.log1p(abuse), abuse / (n + 20) * 20, np.log1p(strong), strong / (n + 20) * 100, np.log1p(fuzzy), np.log1p(quoted), len(kinds) ** 0.5, count / (n + 20) * 100, np.log1p(n))
+        expected = (np.log1p(abuse), abuse / (n + 20) * 20, np.log1p(strong), strong / (n + 20) * 100, np.log1p(fuzzy), np.log1p(quoted),
+            len(kinds) ** 0.5, count / (n + 20) * 100, np.log1p(n))
         assert np.allclose(scorer(" ".join(words)), expected)
 
 

@@ -48,15 +48,18 @@ def test_every_occurrence_within_budget_is_found():
 
 def test_tables(spark, documents, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog near the old river bank today"
-    items = spark.createDataFrame([(1, item), (2, item.upper()), (3, None), (4, ""), (None, "another item that is quite long as well")], "item_id long, text string")
-    docs = documents([(1, f"Start. The  quick brown fox\njumps over the lazy dog near the old river bank today."), (2, item.replace("lazy", "hazy") * 3), (3, None), (4, ""), (5, "clean text"), (2, "x"), (None, item), (7, "z" * 300_000)])
+    items = spark.createDataFrame([(1, item), (2, item.upper()), (3, None), (4, ""), (None, "another item that is quite long as well")],
+        "item_id long, text string")
+    docs = documents([(1, f"Start. The  quick brown fox\njumps over the lazy dog near the old river bank today."),
+        (2, item.replace("lazy", "hazy") * 3), (3, None), (4, ""), (5, "clean text"), (2, "x"), (None, item), (7, "z" * 300_000)])
     expected = {(1, 1, 0), (1, 2, 0), (2, 1, 1), (2, 2, 1), (None, 1, 0), (None, 2, 0)}
     assert {(r.doc_id, r.item_id, r.distance) for r in D.contaminated(docs, items).collect()} == expected
     monkeypatch.setattr(D, "MAX_CHARS", 60)  # several automata
     assert {(r.doc_id, r.item_id, r.distance) for r in D.contaminated(docs, items).collect()} == expected
     clean = D.clean(docs, items)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5, 7]
-    assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0 and D.clean(docs, items.limit(0)).count() == 8
+    assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0 and D.clean(docs,
+        items.limit(0)).count() == 8
 
 
 def test_same_matches_as_brute_force(spark):

@@ -25,7 +25,8 @@ def test_decoding_is_brute_force(field):
 
     for page, _ in H.labelled_pages(20, seed=5):
         f = H.featurise(H.blocks(page))[:9]
-        score = lambda labels, f=f: sum(sum(field.weights[k, y] for k in x) for x, y in zip(f, labels, strict=True)) + sum(field.transitions[a, b] for a, b in zip(labels, labels[1:], strict=False))
+        score = lambda labels, f=f: sum(sum(field.weights[k, y] for k in x) for x,
+            y in zip(f, labels, strict=True)) + sum(field.transitions[a, b] for a, b in zip(labels, labels[1:], strict=False))
         assert score(field.decode(f)) == pytest.approx(max(score(p) for p in product((0, 1), repeat=len(f))))
 
 
@@ -100,7 +101,8 @@ def test_articles_without_the_article_element(field):
     notice = "<div class=cookie-banner><p>We use cookies on this site.</p><button>Accept</button></div>"
     comments = "<section id=comments><h2>3 comments</h2><div class=comment><p>I do not agree with this at all.</p></div></section>"
     expected = "\n".join(["A headline for the story", *prose])
-    for before, after in (("<main>", "</main>"), ("<div class=post-content>", "</div>"), ("<div id=content><div>", "</div></div>"), ("<section class='story'>", "</section>")):
+    for before, after in (("<main>", "</main>"), ("<div class=post-content>", "</div>"), ("<div id=content><div>", "</div></div>"),
+        ("<section class='story'>", "</section>")):
         page = f"<!doctype html><html><head><title>T</title></head><body>{notice}{menu}{before}{body}{after}{side}{comments}{foot}</body></html>"
         assert H.extract(page, field) == expected, before
     reviewed = f"<body>{menu}<article><h1>A headline for the story</h1><section class='review'>{''.join(f'<p>{p}</p>' for p in prose)}</section></article>{foot}"

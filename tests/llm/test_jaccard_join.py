@@ -83,15 +83,18 @@ def test_same_groups_as_brute_force(spark, documents, monkeypatch, width, num, s
 
 def test_edge_rows(spark, documents):
     long = "word other third " * 20_000
-    rows = [(5, long), (7, long + " end"), (1, None), (2, ""), (3, " \n"), (9, "a b c d"), (8, "A  B c D"), (8, "A  B c D"), (None, "a b c d"), (None, "alone here now x")]
+    rows = [(5, long), (7, long + " end"), (1, None), (2, ""), (3, " \n"), (9, "a b c d"), (8, "A  B c D"), (8, "A  B c D"), (None, "a b c d"),
+        (None, "alone here now x")]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.near_groups(documents(rows), 3, 90, 100).collect())
-    assert got == sorted([("5", 3, "5"), ("7", 4, "7"), ("1", 0, "1"), ("2", 0, "2"), ("3", 0, "3"), ("9", 2, "8"), ("8", 2, "8"), ("8", 2, "8"), ("None", 2, "8"), ("None", 2, "None")])
+    assert got == sorted([("5", 3, "5"), ("7", 4, "7"), ("1", 0, "1"), ("2", 0, "2"), ("3", 0, "3"), ("9", 2, "8"), ("8", 2, "8"), ("8", 2, "8"),
+        ("None", 2, "8"), ("None", 2, "None")])
     assert J.near_groups(documents([]), 3, 90, 100).count() == 0
     assert J.near_groups(documents([(1, ""), (2, None)]), 3, 90, 100).count() == 2
 
 
 def test_a_large_group_of_copies(spark, documents):
-    texts = [(i, "same words in every one of these documents " * 3) for i in range(500)] + [(1000 + i, f"its own text number {i} with nothing alike at {i * 7}") for i in range(50)]
+    texts = [(i, "same words in every one of these documents " * 3) for i in range(500)] + [(1000 + i,
+        f"its own text number {i} with nothing alike at {i * 7}") for i in range(50)]
     got = J.near_groups(documents(texts).repartition(4), 5, 80, 100).where("doc_id < 1000").select("component_id").distinct().collect()
     assert [r.component_id for r in got] == [0]
 
@@ -129,7 +132,8 @@ def test_chance_meetings_of_subset_hashes_do_not_link(spark, documents, monkeypa
 
 def test_ids_keep_their_bits_beside_nulls(spark, documents):
     rows = [(2**53 + 1, "a b c d e"), (None, None), (None, "x y z u"), (2**53 + 3, "a b c d e")]
-    assert {(r.doc_id, r.component_id) for r in J.near_groups(documents(rows), 3, 90, 100).collect()} == {(2**53 + 1, 2**53 + 1), (2**53 + 3, 2**53 + 1), (None, None)}
+    assert {(r.doc_id, r.component_id) for r in J.near_groups(documents(rows), 3, 90, 100).collect()} == {(2**53 + 1, 2**53 + 1),
+        (2**53 + 3, 2**53 + 1), (None, None)}
 
 
 @pytest.mark.parametrize("num", [50, 80, 100])

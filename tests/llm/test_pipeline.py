@@ -41,9 +41,11 @@ def test_stages_against_brute_force(spark):
 
 
 def test_repeated_ids_and_empty_tables(spark, documents):
-    docs = documents([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text with that very id"), (2, "a b c d e f g"), (None, "no id at all here"), (3, None), (4, "")])
+    docs = documents([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text with that very id"), (2, "a b c d e f g"),
+        (None, "no id at all here"), (3, None), (4, "")])
     kept = P.near_duplicates_stage(spark, docs, SF)
-    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", "a b c d e f g"), ("1", "quite another text with that very id"), ("None", "no id at all here"), ("3", ""), ("4", "")])
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", "a b c d e f g"),
+        ("1", "quite another text with that very id"), ("None", "no id at all here"), ("3", ""), ("4", "")])
     for name, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 

@@ -97,7 +97,8 @@ def test_a_unigram_models_own_scores_are_used(tmp_path):
 
     kinds = {"normal": 1, "unknown": 2, "control": 3, "byte": 6}
     pieces = [("<unk>", 0.0, "unknown"), ("<s>", 0.0, "control"), ("</s>", 0.0, "control")] + [(f"<0x{b:02X}>", -20.0, "byte") for b in range(256)]
-    words = {"▁": -3.0, "▁the": -2.0, "▁t": -4.0, "he": -3.5, "r": -4.2, "e": -4.0, "re": -3.1, "▁there": -7.5, "h": -4.4, "t": -4.1, "▁is": -2.5, "i": -4.3, "s": -4.5, "a": -3.9, "▁a": -2.2, "at": -3.3}
+    words = {"▁": -3.0, "▁the": -2.0, "▁t": -4.0, "he": -3.5, "r": -4.2, "e": -4.0, "re": -3.1, "▁there": -7.5, "h": -4.4, "t": -4.1, "▁is": -2.5,
+        "i": -4.3, "s": -4.5, "a": -3.9, "▁a": -2.2, "at": -3.3}
     pieces += [(w, x, "normal") for w, x in words.items()]
     body = b"".join(_field(1, _field(1, p.encode()) + b"\x15" + struct.pack("<f", x) + b"\x18" + bytes([kinds[k]])) for p, x, k in pieces)
     trainer = b"\x18\x01" + bytes([35 << 3 & 0x7F | 0x80, 35 >> 4, 1])  # unigram, with byte fallback
@@ -105,7 +106,8 @@ def test_a_unigram_models_own_scores_are_used(tmp_path):
     path = tmp_path / "unigram.model"
     path.write_bytes(body + _field(2, trainer) + _field(3, normaliser))
     v = S.Vocabulary.load(str(path))
-    assert {w: round(float(x), 4) for w, x in zip((S.MARK if v.text[int(i)] == b" " else v.text[int(i)].decode().replace(" ", S.MARK) for i in v.ids), v.scores, strict=True)} == words
+    assert {w: round(float(x), 4) for w, x in zip((S.MARK if v.text[int(i)] == b" " else v.text[int(i)].decode().replace(" ",
+        S.MARK) for i in v.ids), v.scores, strict=True)} == words
     codec = S.Codec(v)
     library = sentencepiece.SentencePieceProcessor(model_file=str(path))
     for text in ("there is a the", "at the there", "this is that", "hat rat the re", "é is"):

@@ -11,7 +11,8 @@ from marginalia.llm import url_filter as U
 @pytest.mark.parametrize(
     ("url", "expected"),
     [
-        (None, ("", "")), ("", ("", "")), ("no mark/en/", ("", "")), ("http://A.Example.COM", ("a.example.com", "")), ("x://h?q=/p", ("h", "")), ("x://h#f", ("h", "")),
+        (None, ("", "")), ("", ("", "")), ("no mark/en/", ("", "")), ("http://A.Example.COM", ("a.example.com", "")), ("x://h?q=/p", ("h", "")),
+            ("x://h#f", ("h", "")),
         ("https://É.com/En/É?x#y", ("É.com", "/En/É")), ("a://b://c/d", ("b:", "//c/d")),
     ],
 )
@@ -39,14 +40,16 @@ def test_automaton_is_glob_matching():
 
 def test_rules_and_edge_cases(spark):
     rows = [
-        (1, "https://a.example.com/en/7x"), (2, "https://a.example.com/en/6"), (3, "https://example.com.evil.org/x.com/en/"), (4, None), (5, ""), (5, ""), (6, "https://notexample.com/en/7"),
+        (1, "https://a.example.com/en/7x"), (2, "https://a.example.com/en/6"), (3, "https://example.com.evil.org/x.com/en/"), (4, None), (5, ""),
+            (5, ""), (6, "https://notexample.com/en/7"),
         (7, "https://net/de/"), (8, "http://x.example.net/de/8?a"), (9, "http://" + "a" * 5000 + ".org/es/" + "b" * 20000), (None, "https://b.com/en/"),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS rule")
     got = [(r.page_id, r.rule, r.verdict) for r in U.judge(df).collect()]
     assert sorted(got, key=str) == sorted(
         [
-            (1, "example.com/en/7", "allow"), (2, "com/en/", "block"), (3, None, "allow"), (4, None, "allow"), (5, None, "allow"), (5, None, "allow"), (6, "com/en/", "block"), (7, "net/de/", "allow"),
+            (1, "example.com/en/7", "allow"), (2, "com/en/", "block"), (3, None, "allow"), (4, None, "allow"), (5, None, "allow"),
+                (5, None, "allow"), (6, "com/en/", "block"), (7, "net/de/", "allow"),
             (8, "example.net/de/8", "block"), (9, "org/es/", "block"), (None, "com/en/", "block"),
         ],
         key=str,

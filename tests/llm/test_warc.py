@@ -25,7 +25,8 @@ def test_record_round_trip():
 
 
 def test_revisits_order_and_edge_cases(spark):
-    rows = [(5, "http://b.com/1", "same"), (3, "http://a.com/1", "same"), (9, None, "same"), (1, "http://x.b.com/2", None), (2, "http://b.com/2", ""), (4, "http://b.com/1", "x" * 200_000), (None, "http://c.com", "same"), (6, "q", "<p>é\n==</p>")]
+    rows = [(5, "http://b.com/1", "same"), (3, "http://a.com/1", "same"), (9, None, "same"), (1, "http://x.b.com/2", None),
+        (2, "http://b.com/2", ""), (4, "http://b.com/1", "x" * 200_000), (None, "http://c.com", "same"), (6, "q", "<p>é\n==</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS first").repartition(3)
     folder = f"{checkpoint_folder(spark)}/test-warc"
     W.write_archives(df, folder)
@@ -33,7 +34,8 @@ def test_revisits_order_and_edge_cases(spark):
     got = {r.page_id: r for r in merged.collect()}
     assert len(got) == 8
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {
-        3: ("response", None), 5: ("revisit", 3), 9: ("revisit", 3), None: ("revisit", 3), 1: ("response", None), 2: ("revisit", 1), 4: ("response", None), 6: ("response", None),
+        3: ("response", None), 5: ("revisit", 3), 9: ("revisit", 3), None: ("revisit", 3), 1: ("response", None), 2: ("revisit", 1),
+            4: ("response", None), 6: ("response", None),
     }
     assert got[4].payload_bytes == 200_000 and got[5].payload_digest == W.payload_digest(b"same") and got[1].payload_bytes == 0
     order = [(r.urlkey, r.captured) for r in merged.collect()]
@@ -79,7 +81,8 @@ def test_bytes_pass_the_text_writer(spark):
     folder = f"{checkpoint_folder(spark)}/test-warc-raw"
     W.write_archives(df, folder)
     (file,) = Path(folder.removeprefix("file:")).glob("part-*")
-    expected = b"".join(W.member(W.record("response", i, "u", W._captured(i), W.payload_digest(h.encode()), h.encode(), len(h.encode()))) for i, h in enumerate(html))
+    expected = b"".join(W.member(W.record("response", i, "u", W._captured(i), W.payload_digest(h.encode()), h.encode(), len(h.encode()))) for i,
+        h in enumerate(html))
     assert file.read_bytes() == expected + W.EMPTY_MEMBER and set(expected) == set(range(256))
 
 
@@ -93,7 +96,8 @@ def test_payloads_are_dropped_early_and_joined_either_way(spark, monkeypatch):
         if i is not None:
             least[h] = min(i, least.get(h, i))
     count = {h: sum(x[2] == h for x in rows) for _, _, h in rows}
-    expected = sorted((str(i), "revisit" if count[h] > 1 and h in least and least[h] != i else "response", str(least[h]) if count[h] > 1 and h in least and least[h] != i else "None") for i, _, h in rows)
+    expected = sorted((str(i), "revisit" if count[h] > 1 and h in least and least[h] != i else "response",
+        str(least[h]) if count[h] > 1 and h in least and least[h] != i else "None") for i, _, h in rows)
     for limit in (200_000, 0):
         monkeypatch.setattr(W, "BROADCAST_DIGESTS", limit)
         folder = f"{checkpoint_folder(spark)}/test-warc-join-{limit}"
