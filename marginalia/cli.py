@@ -36,6 +36,14 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def missing_inputs(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """Input paths that don't exist, asked of the store that each is in."""
+    context = spark.sparkContext
+    given = [p for p in (a.sidecars, a.pages, a.words, a.clippings, a.labels) if p]
+    found = lambda p: (at := context._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(context._jsc.hadoopConfiguration()).globStatus(at)
+    return [p for p in given if not found(p)]
+
+
 def books_of_sidecars(spark: SparkSession, folder: str, books: DataFrame, every: bool) -> DataFrame:
     """(path, book_id): store files by the book whose stem their name or folder holds; the first of each book unless ``every``."""
     listed = files.listing(spark, folder, "*.pds", recursive=True).select("path", "name", "parent")
@@ -47,8 +55,10 @@ def books_of_sidecars(spark: SparkSession, folder: str, books: DataFrame, every:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Write the commands and return how many there are; 0 writes nothing."""
+    """Write the commands and return how many there are; 0 writes nothing. An input that isn't there ends the run before it starts."""
     prepare(spark)
+    if missing := missing_inputs(spark, a):
+        raise SystemExit(f"not found: {', '.join(missing)}")
     pages, words = spark.read.parquet(a.pages), spark.read.parquet(a.words)
     books = pages.select("book_id").distinct()
     labels = spark.read.parquet(a.labels) if a.labels else None

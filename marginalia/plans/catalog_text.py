@@ -216,6 +216,21 @@ def phrase_over_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(at(1, "x0"), 4).alias("below_x0"), at(1, "y0").alias("below_y0"), F.round(at(1, "x1"), 4).alias("below_x1"))
 
 
+@query(
+    f"""WITH w AS ({PRINTED_SQL}), t AS (SELECT book_id, min(k) AS k, min(ord % 4) AS kind, count(*) AS n FROM w
+ WHERE x0 < 160 AND x1 > 40 AND y0 < 30 AND y1 > 5 GROUP BY book_id), h AS (SELECT w.book_id, x0, x1, y0 FROM w JOIN t USING (book_id)
+ WHERE t.n = 1 AND t.kind IN (0, 1) AND w.ord % 4 = t.kind AND w.k = t.k)
+SELECT book_id, count(*) AS n_rects, round(sum(x1 - x0), 4) AS width, min(y0) AS top FROM h GROUP BY book_id"""
+)
+def text_under_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rect's text sought on its own page: rects that hold a single word with a comma or a ligature, and where else that stands."""
+    w = printed(spark, sf_dir)
+    rects = w.select("book_id", "page").distinct().withColumn("rect", G.rect(F.lit(40), F.lit(5), F.lit(160), F.lit(30)))
+    under = page_source.text_in_rect(w, rects).where("text NOT LIKE '% %' AND (text LIKE '%,' OR text LIKE '%ﬁ%')")
+    r = page_source.search(under, w, phrase="text").select("book_id", F.explode("rects").alias("r"))
+    return r.groupBy("book_id").agg(F.count("*").alias("n_rects"), F.round(F.sum(F.col("r.x1") - F.col("r.x0")), 4).alias("width"), F.min("r.y0").alias("top"))
+
+
 # --- clippings on pages ----------------------------------------------------------------------------------------------
 
 

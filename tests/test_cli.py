@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from marginalia import cli
 
 from .test_sources import LOG, annotation, number, store, thing, utf
@@ -36,3 +38,10 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "plain").mkdir()
     b = cli.arguments([*args[:-1], f"{tmp_path}/plain/out"])
     assert cli.run(spark, b) == 3
+
+
+def test_inputs_that_are_not_there(spark, tmp_path):
+    a = cli.arguments(["--sidecars", str(tmp_path), "--pages", f"{tmp_path}/no-pages", "--words", f"{tmp_path}/no-words", "--output", f"{tmp_path}/out"])
+    with pytest.raises(SystemExit, match="no-pages.*no-words"):
+        cli.run(spark, a)
+    assert not (tmp_path / "out").exists()
