@@ -8,10 +8,14 @@ weights; Viterbi decoding picks the main text. The field is trained (forward-bac
 Character references are decoded, white space inside a block becomes one space, kept blocks are joined in page order by
 one line break; nothing else is dropped or capped.
 
+A class, id or role tells a block's part of the page by whole words: "comment-list" is a place of comments, "commentary" and
+"alert-levels" say nothing. Time and memory are linear in the size of a page at any depth.
+
 Defined results: a null or empty html gives empty text; markup that is cut off or never closed is read as far as it
-goes; text that a browser with scripts never shows is no block at all: scripts, styles, titles, comments, noscript, blocks
-under hidden, display:none or visibility:hidden; the text of formulas and drawings belongs to its line; repeated rows repeat;
-null ids and urls are kept; empty tables give no rows; extra columns are not read.
+goes; what stands in noscript, object, canvas, audio and video is text like other text; text that no browser ever shows is no
+block at all: scripts, styles, titles, comments, templates, iframes, blocks under hidden, display:none or visibility:hidden, what
+form controls hold; the text of formulas and drawings belongs to its line; repeated rows repeat; null ids and urls are kept;
+empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,15 +37,17 @@ SEED = 11
 
 # HTML's void elements, the elements whose text is not shown, and those that run inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title iframe object canvas audio video select textarea datalist head".split())
+HIDDEN = frozenset("script style template title iframe select textarea datalist head".split())
 _IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
-RAW = frozenset("script style title textarea iframe noscript".split())
+RAW = frozenset("script style title textarea iframe".split())
+_TRANSPARENT = frozenset("object canvas audio video".split())
 # Elements of formulas and drawings whose text is not shown, and elements that end a formula or drawing around them.
 _UNDRAWN = frozenset("annotation annotation-xml desc metadata defs".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
+_P_SCOPE = ("template", "button", "table", "caption", "td", "th")
 _BREAKS_OUT = _CLOSES_P | frozenset("body td th tr tbody thead tfoot".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP_AT = frozenset("ul ol dl table body html article section div nav".split())
@@ -52,22 +58,33 @@ _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-
 _ATTRIBUTES = re.compile(_ATTRIBUTE)
 _TELLING = frozenset("class id role itemprop aria-label".split())
 
-# Words in class, id and role that tell a block's part of the page.
+# Words in class, id and role that tell a block's part of the page. Those before the bar tell it in any company,
+# those after it only where the other words of the name are such words, too, or say no more than place and shape.
 CUES = {
-    "advert": r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|commercial)(?:$|[\s_-]|\d)",
-    "comment": r"comment|disqus|repl(?:y|ies)|respond|discussion|(?:user|customer|reader)s?[\s_-]*reviews?",
-    "side": r"side-?bar|widget|related|recommend|trending|popular|aside|complementary|more-",
-    "notice": r"cookie|consent|gdpr|notice|alert|pop-?up|modal|toast|overlay|paywall|disclaimer|dialog",
-    "menu": r"menu|nav|breadcrumb|toc|pagination|pager|tabs?\b|toolbar|skip",
-    "foot": r"foot|copyright|colophon|legal|contentinfo",
-    "head": r"head|masthead|logo|brand|top-?bar",
-    "form": r"form|login|signup|sign-up|newsletter|subscribe|search|register",
-    "social": r"social|share|follow|byline|author|tags?\b|meta|date",
-    "main": r"article|content|post\b|entry|main|story|body|text|prose",
+    "advert": "adsense advert adverts advertisement advertisements advertising sponsored sponsor sponsors promo promos promoted | ad ads banner promotion commercial",
+    "comment": "disqus userreview userreviews customerreview customerreviews readerreview readerreviews | comment comments commentlist reply replies respond discussion discussions",
+    "side": "sidebar sidebars widget widgets recommended recommendations trending | aside related recommend popular complementary more",
+    "notice": "cookie cookies gdpr consent paywall popup | notice notices notification alert alerts modal toast overlay disclaimer dialog",
+    "menu": "navbar breadcrumb breadcrumbs pagination pager toolbar submenu | menu menus nav navigation toc tab tabs skip",
+    "foot": "footer colophon copyright contentinfo | foot legal",
+    "head": "masthead topbar | header head logo brand branding",
+    "form": "newsletter signup login signin | form forms subscribe subscription search register registration",
+    "social": "byline | social share sharing follow author tag tags meta date",
+    "main": "| article articles content contents post posts entry entries main story stories body text prose",
 }
-_CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
-_TAGS = ("nav", "header", "footer", "aside", "article", "main", "section", "form", "ul", "ol", "table", "p", "blockquote", "pre", "figure", "button", "details", "dialog", "address", "div")
+# Words of place and shape.
+_PLAIN = frozenset(
+    "area bar block bottom box btn button buttons card cards center close col column columns container count desktop div fixed fluid frame global grid group heading holder icon inner "
+    "inline item items label large layout left link links list message middle mini mobile module msg my new old outer page panel pop post primary region right row secondary section "
+    "side sign site slot small sticky thread title top unit up user users reader readers customer customers view wide wrap wrapper zone".split()
+)
+_SURE = {w: c for c, both in CUES.items() for w in both.split("|")[0].split()}
+_MAYBE = {w: c for c, both in CUES.items() for w in both.split("|")[1].split()}
+_WORD = re.compile(r"[^\W\d_]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_TAGS = ("nav", "header", "footer", "aside", "article", "main", "section", "form", "ul", "ol", "table", "p", "blockquote", "pre", "figure", "button", "details", "dialog", "address", "noscript", "div")
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_KNOWN = frozenset(_TAGS) | _HEADS | {"html", "body"}
 NAMES = (
     "bias", *(f"tag_{t}" for t in _TAGS), "heading", "h1", *(f"cue_{c}" for c in CUES), *(f"near_{c}" for c in CUES), "bare_body", "bare_div", "words_0", "words_5", "words_15", "words_40", "words_100",
     "link_some", "link_most", "sentence", "commas", "rights", "early", "late", "boiler_in_article", "after_article",
@@ -78,12 +95,26 @@ _RIGHTS = re.compile(r"©|all rights|copyright|\bprivacy\b|cookies?\b", re.I)
 
 
 class Block:
+    """A run of text, which of the telling elements are around it, the cues of all of them and of the innermost, and how much of it is in links."""
+
     __slots__ = ("cues", "late_cues", "links", "tags", "text")
 
-    def __init__(self, text: str, tags: tuple[str, ...], cues: frozenset, late_cues: frozenset, links: int) -> None:
+    def __init__(self, text: str, tags: frozenset, cues: frozenset, late_cues: frozenset, links: int) -> None:
         self.text, self.tags, self.cues, self.late_cues, self.links = text, tags, cues, late_cues, links
 
 
+def cues_of_names(value: str) -> set[str]:
+    """The cues in the value of a class, id or role."""
+    out = set()
+    for name in value.split():
+        words = _WORD.findall(_HUMP.sub(" ", name).lower())
+        words += [a + b for a, b in zip(words, words[1:], strict=False) if a + b in _SURE]
+        out |= {_SURE[w] for w in words if w in _SURE}
+        if all(w in _MAYBE or w in _PLAIN or w in _SURE or len(w) == 1 for w in words):
+            out |= {_MAYBE[w] for w in words if w in _MAYBE}
+    return out
+
+
 @lru_cache(maxsize=20_000)
 def _cues_of(attributes: str) -> frozenset:
     """What the attributes of one element say: cue names, and "unseen" if it is hidden."""
@@ -97,18 +128,46 @@ def _cues_of(attributes: str) -> frozenset:
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             out.add("unseen")
         elif name in _TELLING:
-            out |= {c for c, r in _CUES.items() if r.search(value)}
+            out |= cues_of_names(value)
     return frozenset(out)
 
 
+class Open:
+    """The open block elements. Each knows the telling elements and the cues of all around it, so a block only refers to them."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.around: list[tuple[frozenset, frozenset, frozenset]] = [(frozenset(), frozenset(), frozenset())]
+        self.at: dict[str, list[int]] = {}
+        self.hidden = 0
+
+    def push(self, name: str, cues: frozenset) -> None:
+        tags, whole, _ = self.around[-1]
+        telling = name if name in _KNOWN else "other"
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.around.append((tags if telling in tags else tags | {telling}, whole if cues <= whole else whole | cues, cues))
+        self.hidden += name in HIDDEN
+
+    def pop_to(self, k: int) -> None:
+        while len(self.names) > k:
+            name = self.names.pop()
+            self.around.pop()
+            self.at[name].pop()
+            self.hidden -= name in HIDDEN
+
+    def last(self, *names: str) -> int:
+        """Where the innermost open element of these names stands, -1 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The shown leaf blocks of a page in order."""
     if not page:
         return []
     out: list[Block] = []
-    names: list[str] = []  # open block elements
-    cues: list[frozenset] = []
-    hidden = 0
+    opened = Open()
+    names = opened.names
     anchors = 0
     foreign = ""  # the formula or drawing that is open: it runs inside the line
     parts: list[str] = []
@@ -121,17 +180,13 @@ def blocks(page: str | None) -> list[Block]:
             if "&" in text:
                 text = entities.unescape(text)
             text = " ".join(text.split())
-            whole = frozenset().union(*cues) if cues else frozenset()
+            tags, whole, own = opened.around[-1]
             if text and "unseen" not in whole:
-                out.append(Block(text, tuple(names), whole, cues[-1] if cues else frozenset(), linked))
+                out.append(Block(text, tags, whole, own, linked))
             parts.clear()
         linked = 0
 
-    def pop_to(at: int) -> None:
-        nonlocal hidden
-        for n in names[at:]:
-            hidden -= n in HIDDEN
-        del names[at:], cues[at:]
+    pop_to = opened.pop_to
 
     def leave_head() -> None:
         while names and names[-1] == "head":
@@ -143,7 +198,7 @@ def blocks(page: str | None) -> list[Block]:
         start = m.start() if m else length
         if names and names[-1] == "head" and page[at:start].strip(" \t\n\r\f"):
             leave_head()
-        if start > at and not hidden:
+        if start > at and not opened.hidden:
             piece = page[at:start]
             parts.append(piece)
             if anchors:
@@ -179,22 +234,23 @@ def blocks(page: str | None) -> list[Block]:
                 end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
                 at = end.end() if end else length
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in _TRANSPARENT:
             if tag == "a":
                 anchors = 0 if closing else 1
             elif tag == "br":
                 parts.append(" ")
             continue
         if closing:
-            if tag in names:
+            if (k := opened.last(tag)) >= 0:
                 flush()
-                k = len(names) - 1 - names[::-1].index(tag)
                 pop_to(k)
             elif tag == "p":
                 flush()
             if tag != "p":
                 anchors = 0
             continue
+        if tag == "noscript" and any(not x.isspace() for x in parts):
+            continue  # it runs inside the line
         if tag in RAW:  # what isn't shown doesn't break the text around it
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             at = end.end() if end else length
@@ -202,24 +258,15 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID and tag != "hr":
             continue
         flush()
-        if tag in _CLOSES_P and "p" in names:
-            pop_to(len(names) - 1 - names[::-1].index("p"))
-        if tag in _SAME:
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in _SAME[tag]:
-                    pop_to(k)
-                    break
-                if names[k] in _STOP_AT and tag not in ("tr",):
-                    break
-                if names[k] == "table":
-                    break
-        if tag == "body" and "head" in names:
-            pop_to(names.index("head"))
+        if tag in _CLOSES_P and (k := opened.last("p")) > opened.last(*_P_SCOPE):
+            pop_to(k)
+        if tag in _SAME and (k := opened.last(*_SAME[tag])) > opened.last(*(("table",) if tag == "tr" else _STOP_AT)):
+            pop_to(k)
+        if tag == "body" and opened.at.get("head"):
+            pop_to(opened.at["head"][0])
         if tag in VOID:
             continue
-        names.append(tag)
-        cues.append(_cues_of(attributes) if attributes.strip() else frozenset())
-        hidden += tag in HIDDEN
+        opened.push(tag, _cues_of(attributes) if attributes.strip() else frozenset())
     flush()
     return out
 
@@ -231,7 +278,7 @@ def featurise(page: list[Block]) -> list[list[int]]:
     seen_article = False
     for i, b in enumerate(page):
         f = [0]
-        tags = set(b.tags)
+        tags = b.tags
         f += [_AT[f"tag_{t}"] for t in _TAGS if t in tags]
         if tags & _HEADS:
             f.append(_AT["heading"])
@@ -362,6 +409,13 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
     def attribute(*values: str, chance: float = 0.85) -> str:
         return f' {rng.choice(["class", "class", "id"])}="{rng.choice(values)}"' if rng.random() < chance else ""
 
+    def named() -> str:
+        """Names that articles use in passing: a cue's word in the company of others, or only the beginning of a word."""
+        if rng.random() > 0.1:
+            return ""
+        word = rng.choice(sorted(_MAYBE))
+        return f' class="{rng.choice([f"{word}-{words(1, 1)}", f"{words(1, 1)}_{word}", word + words(1, 1)])}"'
+
     def links(low: int, high: int) -> str:
         items = [f'<a href="/{words(1, 1)}">{words(1, 3)}</a>' for _ in range(rng.randint(low, high))]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " | ".join(items)
@@ -381,6 +435,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
             inside = rng.choice([f"<h3>{words(1, 3)}</h3>{links(2, 6)}", f"<p>{prose(1, 3)}</p>", f"<h2>{words(1, 4)}</h2><p>{sentence()}</p>"])
             return f"<{tag}{attribute('sidebar', 'widget', 'related', 'recommended', chance=1.0 if tag != 'aside' else 0.5)}>{inside}</{tag}>"
         if kind == "notice":
+            if rng.random() < 0.1:
+                return f"<noscript>{prose(1, 2)}</noscript>"
             tag = rng.choice(["div", "div", "section", "aside", "dialog", "p"])
             extra = f"<button>{words(1, 2)}</button>" if tag != "p" and rng.random() < 0.5 else ""
             text = prose(1, 3)
@@ -421,7 +477,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
             if r < 0.72:
                 text = keep(prose(1, 9) if rng.random() < 0.8 else sentence(1, 6))
                 style = rng.random()
-                article.append(f"<p>{text}</p>" if style < 0.7 else f"<p><b>{text}<br>" if style < 0.8 else f"<div>{text}</div>" if style < 0.87 else f"<p>{text}")
+                article.append(f"<p{named()}>{text}</p>" if style < 0.7 else f"<p><b>{text}<br>" if style < 0.8 else f"<div{named()}>{text}</div>" if style < 0.87 else
+                    f"<p>{text}" if style < 0.97 else f"<noscript><p>{text}</p></noscript>" if style < 0.98 else f"<section{named()}><p>{text}</p></section>")
             elif r < 0.82:
                 article.append(f"<h{(k := rng.randint(2, 4))}>{keep(words(1, 7).capitalize())}</h{k}>")
             elif r < 0.9:

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -43,6 +46,9 @@ def test_parser():
     assert text("<p>a &amp; b&nbsp;c<br>d<script>x<p>y</script> e</p><!-- <p>no</p> --><p>f<b>g</b><img src=x>h<hr>i") == ["a & b c d e", "fgh", "i"]
     assert text("<div hidden>x</div><p style='display:none'>y</p><p>z") == ["z"]
     assert text("<ul><li>one<li>two</ul>") == ["one", "two"] and text('<p title="a > b">c') == ["c"]
+    assert text("<p>a<noscript>b</noscript>c</p><noscript><p>d</noscript>") == ["abc", "d"]
+    assert text("<p>a<object data=x><param name=y>b</object>c<canvas>d</canvas><video src=x>e</video><p>f<iframe>no</iframe><template><p>no</template>") == ["abcde", "f"]
+    assert text("<head><noscript><link rel=x><img src=y></noscript><title>t</title></head><p>x") == ["x"]
     assert text("a < b <p") == ["a < b"] and text(None) == [] and text("") == [] and text("<title>t</title><style>s</style>") == []
 
 
@@ -88,6 +94,15 @@ def test_attributes_are_read_as_the_tokenizer_reads_them():
 
 
 def test_no_markup_takes_more_than_linear_time():
+    nested = ("<div>w " * 50_000, "<div class='a b'>" * 50_000 + "w", "<fieldset>" * 20_000 + "<dt></dt>" * 20_000, "<li><div>" + "<fieldset>" * 20_000 + "<li></li>" * 20_000,
+        "<tr><table>" + "<div>" * 20_000 + "<tr></tr>" * 20_000, "".join(f"<x{i}>w" for i in range(30_000)), "<noscript>w" * 30_000)
+    for page in nested:
+        began = time.process_time()
+        tracemalloc.start()
+        H.featurise(H.blocks(page))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.process_time() - began < 10 and most < 100e6
     for page in ("<p " + 'a="b" ' * 100_000, "<a b='c " * 50_000 + '<a b="c ' * 50_000, "<p " * 100_000, "<!-- " * 100_000, "</" * 100_000):
         H.blocks(page)
 
@@ -112,3 +127,39 @@ def test_articles_without_the_article_element(field):
 def test_ids_keep_their_bits_beside_nulls(spark):
     df = spark.createDataFrame([(2**53 + 1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
     assert {r.page_id for r in H.main_text(df).collect()} == {2**53 + 1, None}
+
+
+def test_cues_are_whole_words():
+    c = H.cues_of_names
+    assert c("commentary") == c("alert-levels") == c("related-work") == c("adverbs") == c("navigator reformation") == c("footnote tablet") == set()
+    assert c("comment-list") == c("comments") == c("userReviews") == {"comment"} and c("related") == c("side-bar") == c("sidebar2") == {"side"}
+    assert c("cookie-law-info") == c("alert") == c("alertBox") == c("pop-up") == {"notice"} and c("ad-slot-3") == c("my_ads") == {"advert"}
+    assert c("post comments") == {"main", "comment"} and c("") == c("12 -- _") == set()
+
+
+def test_pages_of_another_maker(field):
+    """Pages put together here, of other words and shapes than the training pages: the known text of the article comes out, whole."""
+    rng = random.Random(5)
+    nouns = "river engine council harvest window market teacher bridge valley report winter mountain signal garden village paper".split()
+    verbs = "crossed measured repaired watched carried opened described reached followed turned".split()
+    line = lambda: f"The {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)}, and the {rng.choice(nouns)} {rng.choice(verbs)} it again"
+    names = ["commentary", "alert-levels", "related-work", "headline-story", "reformers", "adverbs", "shared-values", "datelines", "navigators", "footnotes"]
+    good = 0
+    for _ in range(120):
+        expected, body = [f"{rng.choice(nouns).capitalize()} and {rng.choice(nouns)}: what the {rng.choice(nouns)} {rng.choice(verbs)}"], ""
+        for _ in range(rng.randint(3, 9)):
+            text = ". ".join(line() for _ in range(rng.randint(1, 6))) + "."
+            expected.append(text)
+            name = f" class='{rng.choice(names)}'" if rng.random() < 0.4 else ""
+            shape = rng.random()
+            body += (f"<section{name}><p>{text}</p></section>" if shape < 0.2 else f"<noscript><p>{text}</p></noscript>" if shape < 0.25 else
+                f"<p{name}><object data=chart.bin>{text}</object></p>" if shape < 0.35 else f"<p{name}>{text.replace(' and ', ' <em>and</em> ')}</p>")
+        deep = rng.randint(0, 60)
+        article = f"<article>{'<div>' * deep}<h1>{expected[0]}</h1>{body}{'</div>' * deep}</article>"
+        around = [f"<nav><a href=/>Start</a> <a href=/{rng.choice(nouns)}>{rng.choice(nouns)}</a></nav>", f"<div class='ad-box'>{line()}.</div>",
+            f"<aside class=sidebar><p>{line()}.</p></aside>", f"<div class='cookie-law-info'><p>{line()}.</p><button>Yes</button></div>"]
+        after = [f"<footer><p>&copy; The {rng.choice(nouns)} company</p></footer>",
+            f"<section class='comments'><h2>Comments</h2><div class='comment'><p>{line()}!</p></div></section>", f"<form class=newsletter><p>{line()}.</p><input></form>"]
+        page = f"<!doctype html><html><head><title>x</title></head><body>{''.join(rng.sample(around, 3))}{article}{''.join(rng.sample(after, 2))}</body></html>"
+        good += H.extract(page, field) == "\n".join(expected)
+    assert good >= 114
