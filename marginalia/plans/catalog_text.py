@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions import similarity, text as T
+from ..functions import maps, similarity, text as T
 from ..operators import matching, tokens
+from ..session import cut
 from ..sources import pages as page_source
 from . import inputs as I
 from .registry import query
@@ -104,7 +105,7 @@ SELECT doc_id, count(*) AS n, CAST(sum(i) AS BIGINT) AS places FROM r WHERE NOT
 )
 def index_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each character of a page's normal form its place in the page: how many there are, and their sum."""
-    m = _documents(spark, sf_dir).select("doc_id", similarity.index_map(_spoiled()).alias("m")).where(F.size("m") > 0)
+    m = _documents(spark, sf_dir).select("doc_id", maps.index_map(_spoiled()).alias("m")).where(F.size("m") > 0)
     return m.select("doc_id", F.size("m").cast("long").alias("n"), F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x).alias("places"))
 
 
@@ -292,7 +293,7 @@ def normalised_match_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = printed(spark, sf_dir)
     found = matching.match(quotations(spark, sf_dir).where("CAST(book_id AS BIGINT) % 5 IN (1, 2, 3) AND content <> 'nowhere to be found'"),
         page_source.page_text(w), "book_id", "page", "ord").where("strategy IS NOT NULL")
-    placed = matching.locate(found, page_source.page_chars(w), "book_id", "page", "ord")
+    placed = matching.locate(cut(found), w, "book_id", "page", "ord")
     width = F.aggregate(F.transform("rects", lambda r: r.getField("x1") - r.getField("x0")), F.lit(0.0), lambda s, x: s + x)
     return placed.select("book_id", F.size("rects").cast("long").alias("n_rects"), F.round(width, 4).alias("width"))
 

@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
+from ..functions import maps
 from ..functions import text as T
 from ..functions.geometry import rect
-from ..functions.similarity import places
 from ..schemas import CHARS, RECT, RECTS, WORD
 
 
@@ -54,35 +55,56 @@ def read_documents(spark: SparkSession, path: str, rows: Callable[[str, object],
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(run, kind)
 
 
+def page_words(words: DataFrame) -> DataFrame:
+    """(book_id, page, words): each page's words in reading order, struct<start, ord, piece, box>.
+
+    Lines come in the order of their first words. ``start`` is where the word begins in the page's text, ``piece`` the word behind
+    what parts it from the one before: a line break where a line begins, else a space. Words are shuffled once, by
+    page; null words are left out.
+    """
+    w = words.where("word IS NOT NULL").select("book_id", "page", "block", "line", F.col("ord").cast("long").alias("ord"), "word", "x0", "y0", "x1", "y1")
+    page, ties = Window.partitionBy("book_id", "page"), ("block", "line", "ord", "word", "x0", "y0", "x1", "y1")
+    by_line = page.orderBy(*ties)
+    before = lambda c: F.lag(c).over(by_line)
+    w = w.withColumn("_fresh", before(F.lit(True)).isNull() | ~before("block").eqNullSafe(F.col("block")) | ~before("line").eqNullSafe(F.col("line")))
+    w = w.withColumn("_first", F.last(F.when(F.col("_fresh"), F.col("ord")), ignorenulls=True).over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    passed = F.sum(F.length("word") + 1).over(page.orderBy("_first", *ties).rowsBetween(Window.unboundedPreceding, -1))
+    w = w.withColumn("start", F.coalesce(passed, F.lit(0)).cast("int"))
+    item = F.struct("start", "ord", F.concat(F.when(F.col("_fresh"), "\n").otherwise(" "), "word").alias("piece"),
+        rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("box"))
+    return w.groupBy("book_id", "page").agg(F.sort_array(F.collect_list(item)).alias("words"))
+
+
+def text_of(words: str) -> Column:
+    """The text of a page's words."""
+    joined = F.array_join(F.col(words).getField("piece"), "")
+    return F.substring(joined, F.lit(2), F.length(joined))
+
+
 def page_text(words: DataFrame) -> DataFrame:
     """Each page's text: words by their order, lines ended by line breaks."""
-    line = words.groupBy("book_id", "page", "block", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda w: w.getField("word")), " ").alias("text"),
-            F.min("ord").alias("ord")
-    )
-    return line.groupBy("book_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))),
-        lambda x: x.getField("text")), "\n").alias("text"))
+    return page_words(words).select("book_id", "page", text_of("words").alias("text"))
+
+
+def _side(w: Column, k: Column) -> Column:
+    """x of the right edge of a word's k-th character, its box dealt evenly."""
+    n, x0, x1 = F.length(w.getField("piece")) - 1, w.getField("box").getField("x0"), w.getField("box").getField("x1")
+    return F.when(k == n, x1).otherwise(x0 + k * (x1 - x0) / n)
 
 
 def page_chars(words: DataFrame) -> DataFrame:
     """Each page's text as :func:`page_text` makes it, with its characters: struct<ch, ord, box>, a word's box dealt evenly, no word or box for white space."""
-    blank = lambda c: F.array(F.struct(F.lit(c).alias("ch"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast(RECT).alias("box")))
 
-    def spelled(w: Column) -> Column:
-        n, x0, x1 = F.length(w.getField("word")), w.getField("x0"), w.getField("x1")
-        side = lambda k: F.when(k == n, x1).otherwise(x0 + k * (x1 - x0) / n)
-        one = lambda k: F.struct(F.substring(w.getField("word"), k, F.lit(1)).alias("ch"), w.getField("ord").cast("long").alias("ord"),
-            rect(side(k - 1), w.getField("y0"), side(k), w.getField("y1")).alias("box"))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast(CHARS))
+    def spelled(w: Column, i: Column) -> Column:
+        def one(k: Column) -> Column:
+            box = rect(_side(w, k - 1), w.getField("box").getField("y0"), _side(w, k), w.getField("box").getField("y1"))
+            return F.struct(F.substring(w.getField("piece"), k + 1, F.lit(1)).alias("ch"), F.when(k > 0, w.getField("ord")).alias("ord"), F.when(k > 0, box).alias("box"))
+
+        n = F.length(w.getField("piece")) - 1
+        first = F.when(i == 0, 1).otherwise(0)
+        return F.when(first <= n, F.transform(F.sequence(first, n), one)).otherwise(F.array().cast(CHARS))
 
-    joined = lambda parts, c: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(blank(c), p))))
-    w = words.where("word IS NOT NULL")
-    line = w.groupBy("book_id", "page", "block",
-        "line").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word", "x0", "y0", "x1", "y1"))), spelled), " ").alias("chars"),
-            F.min("ord").alias("ord"))
-    page = line.groupBy("book_id", "page").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block", "line", "chars"))),
-        lambda x: x.getField("chars")), "\n").alias("chars"))
-    return page.select("book_id", "page", F.array_join(F.transform("chars", lambda c: c.getField("ch")), "").alias("text"), "chars")
+    return page_words(words).select("book_id", "page", text_of("words").alias("text"), F.flatten(F.transform("words", spelled)).cast(CHARS).alias("chars"))
 
 
 def lines(words: DataFrame) -> DataFrame:
@@ -109,21 +131,43 @@ def text_in_rect(words: DataFrame, rects: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def word_rects(words: Column, start: Column, end: Column) -> Column:
+    """One rect for each line of the characters from ``start`` to ``end`` of a page's text, from its words."""
+    first, last = maps.last_at_most(words, "start", start), maps.last_at_most(words, "start", end - 1)
+    length = lambda w: F.length(w.getField("piece")) - 1
+    met = lambda w: (w.getField("start") < end) & (w.getField("start") + length(w) > start)
+
+    def boxes(w: Column) -> Column:
+        a, b, box = F.greatest(start - w.getField("start"), F.lit(0)), F.least(end - w.getField("start"), length(w)), w.getField("box")
+        own = rect(F.least(_side(w, a), _side(w, b - 1)), box.getField("y0"), F.greatest(_side(w, a + 1), _side(w, b)), box.getField("y1"))
+        item = lambda ch, r: F.struct(F.lit(ch).alias("ch"), r.cast(RECT).alias("box"))
+        return F.when(F.startswith(w.getField("piece"), F.lit("\n")), F.array(item("\n", F.lit(None)), item("", own))).otherwise(F.array(item("", own)))
+
+    near = T.let(first, lambda i: F.slice(words, i + 1, last - i + 1))
+    return boxes_to_lines(F.flatten(F.transform(F.filter(near, met), boxes)))
+
+
+def pages_of(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """(book_id, page, words, text) of the pages that have a row in ``phrases``; no other page's words are shuffled, and these once."""
+    sought = words.join(phrases.select("book_id", "page").distinct(), ["book_id", "page"], "left_semi")
+    return page_words(sought).withColumn("text", text_of("words"))
+
+
 def search(phrases: DataFrame, words: DataFrame, *keys: str, phrase: str = "phrase") -> DataFrame:
     """Every occurrence of each phrase on its page: hit (the ord of the word it begins in) and rects, one for each line.
 
     Phrase and page are compared in normal form, case apart: ligatures folded, words joined over hyphens at line ends, white
     space collapsed; marks at the edges of words don't hinder. Occurrences that begin and end with whole words go first;
-    only where there is none do parts of words count. Pages that don't hold the phrase never leave the JVM.
+    only where there is none do parts of words count. All is native: places are found in the page's normal form, mapped back
+    to its text by runs, and cut out of the words' boxes; words hold no line breaks. ``phrases`` are read twice.
     """
-    p = phrases.select("book_id", "page", *keys, T.normalize_page(phrase).alias("_phrase")).where(F.length("_phrase") > 0)
-    c = page_chars(words).withColumn("_norm", F.lower(T.normalize_page("text")))
-    met = p.join(c, ["book_id", "page"]).where(F.contains("_norm", F.lower("_phrase"))).drop("_norm")
-    at = met.withColumn("_at", places("text", F.lit("normalised"), "_phrase", F.array().cast("array<string>"))).select("book_id", "page", *keys,
-        "chars", F.explode("_at").alias("_p"))
-    part = F.slice("chars", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start"))
-    return at.select("book_id", "page", *keys, F.get(part, F.lit(0)).getField("ord").alias("hit"),
-        boxes_to_lines(part).cast(RECTS).alias("rects")).where(F.size("rects") > 0)
+    p = phrases.select("book_id", "page", *keys, maps.lower_in_place(T.normalize_page(phrase)).alias("_phrase")).where(F.length("_phrase") > 0)
+    c = pages_of(p, words)
+    c = c.select("book_id", "page", "words", maps.lower_in_place(T.normalize_page("text")).alias("_low"), maps.page_runs("text").alias("_runs"))
+    met = p.join(c, ["book_id", "page"]).where(F.contains("_low", F.col("_phrase")))
+    at = met.select("book_id", "page", *keys, "words", F.explode(maps.phrase_places(F.col("_low"), F.col("_runs"), F.col("_phrase"))).alias("_p"))
+    hit = F.get("words", maps.last_at_most(F.col("words"), "start", F.col("_p.start"))).getField("ord")
+    return at.select("book_id", "page", *keys, hit.alias("hit"), word_rects(F.col("words"), F.col("_p.start"), F.col("_p.end")).cast(RECTS).alias("rects"))
 
 
 def boxes_to_lines(chars: Column, tolerance: float = 5.0) -> Column:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import geometry as G
 from marginalia.functions import location as L
+from marginalia.functions import maps
 from marginalia.functions import similarity as S
 from marginalia.functions import text as T
 
+from . import plain
+
 
 def value(spark, column, **values):
     df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()] or [F.lit(0)])
@@ -19,15 +22,15 @@ def value(spark, column, **values):
 @pytest.mark.parametrize(("text", "out"),
     [("ﬁnite", "fnite"), ("ﬂow", "fow"), ("oﬀer", "ofer"), ("traﬃc", "trafc"), ("stand-\nard", "standard"), ("so­ft  a b\n", "soft a b"), ("", "")])
 def test_search_form(spark, text, out):
-    assert value(spark, T.normalize_for_search("t"), t=text) == out == S.normal_with_map(text)[0]
+    assert value(spark, T.normalize_for_search("t"), t=text) == out == plain.normal_with_map(text)[0]
 
 
 def test_page_form_keeps_a_hyphen_before_a_soft_hyphen(spark):
     text = "  well-­\nknown  co-\noperate ﬆone "
-    assert value(spark, T.normalize_page("t"), t=text) == "well-known cooperate sone" == S.normal_with_map(text)[0]
-    normal, at = S.normal_with_map(text)
+    assert value(spark, T.normalize_page("t"), t=text) == "well-known cooperate sone" == plain.normal_with_map(text)[0]
+    normal, at = plain.normal_with_map(text)
     assert len(normal) == len(at) and [text[i] for i in at if text[i].isalpha()] == list("wellknowncooperateﬆone")
-    assert value(spark, S.index_map("t"), t=text) == at
+    assert value(spark, maps.index_map("t"), t=text) == at
 
 
 @pytest.mark.parametrize(("text", "out"), [("see ch.4 now", "see ch. 4 now"), ("end.Start", "end. Start"), ("a  b\nc", "a b c"), ("v.x", "v.x")])
