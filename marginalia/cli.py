@@ -67,7 +67,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     decoded = sidecar.decode_annotations(stored.join(chosen.select("path"), "path", "left_semi"))
     decoded = decoded.join(chosen, F.col("book_id") == F.col("path")).drop("book_id", "path").withColumnRenamed("_book", "book_id").where("error IS NULL")
     if a.clippings:
-        clips = clippings.parse_for_books(clippings.read_log(spark, a.clippings), books.withColumn("name", F.col("book_id")))
+        clips = clippings.parse_for_books(clippings.read_records(spark, a.clippings), books.withColumn("name", F.col("book_id")))
     else:
         clips = spark.createDataFrame([], BOOK_CLIPPING)
     # Without clippings nothing is refined by text, the text under a rect included.

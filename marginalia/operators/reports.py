@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
-from ..functions.similarity import sequence_ratio
+from ..functions.similarity import could_be_alike, sequence_ratio
 
 
 def by_page(rows: DataFrame) -> DataFrame:
@@ -48,11 +48,14 @@ def overlap_matches(expected: DataFrame, actual: DataFrame, *keys: str, least: f
 
 
 def similar_texts(expected: DataFrame, actual: DataFrame, *keys: str, least: float = 0.80) -> DataFrame:
-    """Each expected text with the most similar actual text of its page, from ``least`` on."""
+    """Each expected text with the most similar actual text of its page, from ``least`` on.
+
+    Pairs of a page that native bounds rule out never reach the similarity.
+    """
     j = expected.select("book_id", "page", *keys,
         F.col("content").alias("_e")).join(actual.select("book_id", "page", F.col("ord").alias("actual_ord"), F.col("content").alias("_a")),
             ["book_id", "page"])
-    scored = j.withColumn("ratio", sequence_ratio("_e", "_a")).where(F.col("ratio") >= least)
+    scored = j.where(could_be_alike("_e", "_a", least)).withColumn("ratio", sequence_ratio("_e", "_a")).where(F.col("ratio") >= least)
     w = Window.partitionBy("book_id", "page", *keys).orderBy(F.desc("ratio"), "actual_ord")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_e", "_a")
 

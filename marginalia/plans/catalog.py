@@ -251,7 +251,16 @@ def anchored_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = I.table(spark, sf_dir, "documents").select("doc_id", T.normalize_page("text").alias("page_norm"))
     c = spoiled.withColumn("search_norm", T.normalize_page("content")).withColumn("five", F.array_join(F.slice(T.words("search_norm"), 1, 5), " "))
     j = matching.join_containing(c, d, "five", "page_norm", "item_id", "doc_id")
-    return matching.anchored(j).select("item_id", "doc_id", "start", "end", F.round("ratio", 6).alias("ratio"), F.round("word_ratio", 6).alias("word_ratio"))
+    return matching.anchored(j, "item_id", "doc_id").select("item_id", "doc_id", "start", "end", F.round("ratio", 6).alias("ratio"), F.round("word_ratio", 6).alias("word_ratio"))
+
+
+@query()
+def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn without some of its letters, and the turn of its conversation that is most like it."""
+    c = I.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.lit(0).alias("page"), F.col("turn").alias("ord"),
+        F.coalesce("text", F.lit("")).alias("content"))
+    spoiled = c.select("book_id", "page", F.col("ord").alias("turn"), F.translate("content", "lm", "").alias("content"))
+    return reports.similar_texts(spoiled, c, "turn").select("book_id", "turn", "actual_ord", F.round("ratio", 6).alias("ratio"))
 
 
 _TOKEN = "[\\p{L}\\p{M}\\p{N}\\p{Pc}'']+|[^\\p{L}\\p{M}\\p{N}\\p{Pc}'' \\t\\n\\r\\x0b\\x0c]"

@@ -97,20 +97,21 @@ def sidecar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("first", F.lit(False)).unionByName(files.first_per_document(pairs, f).withColumn("first", F.lit(True)))
 
 
-@query("SELECT device, path FROM (VALUES (1, '/m1/documents/My Clippings.txt'), (2, NULL), (3, 'file:///m3/MyClippings.txt'), (4, "
-    "'/m4/documents/My Clippings.txt')) t(device, path)")
+@query(
+    """WITH f AS (SELECT c_nationkey AS device, c_custkey % 7 AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'file://' ELSE '' END || '/m' || c_nationkey ||
+ CASE c_custkey % 7 WHEN 0 THEN '/system/My Clippings.txt' WHEN 1 THEN '/Documents/My Clippings.txt' WHEN 2 THEN '/documents/MyClippings.txt'
+ WHEN 3 THEN '/documents/My Clippings.txt' ELSE '/other/My Clippings.txt' END AS path FROM customer WHERE c_custkey % 5 <> c_nationkey % 5 OR c_custkey % 7 > 3)
+SELECT device, min(path) AS path FROM (SELECT device, path, rank() OVER (PARTITION BY device ORDER BY CASE kind WHEN 3 THEN 3 WHEN 2 THEN 4 WHEN 1 THEN 5
+ ELSE 6 END) AS r FROM f WHERE kind < 4) WHERE r = 1 GROUP BY device"""
+)
 def log_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first log in the usual places of a device: four devices by name, each with its own listing."""
-    out = None
-    for d in range(1, 5):
-        k, at = F.lit(d), f"/m{d}"
-        paths = {0: [f"{at}/system/My Clippings.txt", f"file://{at}/MyClippings.txt"],
-            1: [f"{at}/Documents/My Clippings.txt", f"{at}/documents/My Clippings.txt", "/m/My Clippings.txt"], 2: [f"{at}/other.txt"]}[d % 3]
-        listed = I.table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.explode(F.array(*[F.lit(p) for p in paths])).alias("path"))
-        found = files.find_log(listed, at)
-        one = I.table(spark, sf_dir, "region").where("r_regionkey = 0").select(k.alias("device")).join(found.select("path"), how="left")  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The log of each device: the first of the usual places that its listing has. Customers play files, their nations devices."""
+    k = F.col("c_custkey") % 7
+    place = F.when(k == 0, "/system/My Clippings.txt").when(k == 1, "/Documents/My Clippings.txt").when(k == 2, "/documents/MyClippings.txt").when(k == 3,
+        "/documents/My Clippings.txt").otherwise("/other/My Clippings.txt")
+    listed = I.table(spark, sf_dir, "customer").where((F.col("c_custkey") % 5 != F.col("c_nationkey") % 5) | (k > 3)).select(F.col("c_nationkey").alias("device"),
+        F.concat(F.lit("/m"), F.col("c_nationkey").cast("string")).alias("folder"), F.when(F.col("c_custkey") % 2 == 0, "file://").otherwise("").alias("_s"), place.alias("_p"))
+    return files.logs_of_devices(listed.select("device", "folder", F.concat("_s", "folder", "_p").alias("path")), "device").select("device", "path")
 
 
 @query(
@@ -138,10 +139,10 @@ SELECT 'Book ' || conv_id AS title, regexp_extract(title_line, '\\(([^)]+)\\)$',
   chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), chr(10))) AS digest FROM l"""
 )
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs written as text files, read again and parsed: all columns but the place in the log."""
+    """Logs written as text files, read again in splits and parsed: all columns but the place in the log."""
     at = folder(spark, "logs")
     I.logs(spark, sf_dir).select("text").write.text(at)
-    c = clipping_source.parse(clipping_source.read_log(spark, at))
+    c = clipping_source.parse(clipping_source.read_records(spark, at))
     return c.select("title", "author", "type", "page", "location", "raw_location_info", "date_added", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 

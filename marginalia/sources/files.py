@@ -83,12 +83,20 @@ def find_document(documents: DataFrame, candidates: list[str], book: str) -> Dat
     return documents.withColumn("_rank", rank).where("_rank IS NOT NULL").orderBy("_rank", "path").limit(1).drop("_rank")
 
 
+# Where devices keep the log, in the order looked at.
+LOG_PLACES = ("My Clippings.txt", "MyClippings.txt", "documents/My Clippings.txt", "documents/MyClippings.txt", "Documents/My Clippings.txt", "system/My Clippings.txt")
+
+
+def logs_of_devices(files: DataFrame, *keys: str) -> DataFrame:
+    """(keys, path): for each device the first clippings log in the usual places under its ``folder``, the first path of one place."""
+    places = F.array(*[F.concat(F.regexp_replace("folder", "/*$", "/"), F.lit(p)) for p in LOG_PLACES])
+    order = F.array_position(places, F.regexp_replace("path", r"\A[a-z]+:/*", "/"))
+    return files.withColumn("_o", order).where("_o > 0").groupBy(*keys).agg(F.min_by("path", F.struct("_o", "path")).alias("path"))
+
+
 def find_log(files: DataFrame, folder: str) -> DataFrame:
     """The first clippings log in the usual places under a device's folder."""
-    # Where devices keep the log, in the order looked at.
-    places = [f"{folder}/{p}" for p in ("My Clippings.txt", "MyClippings.txt", "documents/My Clippings.txt", "documents/MyClippings.txt",
-        "Documents/My Clippings.txt", "system/My Clippings.txt")]
-    order = F.array_position(F.array(*[F.lit(p) for p in places]), F.regexp_replace("path", r"\A[a-z]+:/*", "/"))
+    order = F.array_position(F.array(*[F.lit(f"{folder}/{p}") for p in LOG_PLACES]), F.regexp_replace("path", r"\A[a-z]+:/*", "/"))
     return files.withColumn("_o", order).where("_o > 0").orderBy("_o").limit(1).drop("_o")
 
 

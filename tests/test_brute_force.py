@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 from marginalia.functions.containment import contained
+from marginalia.functions.similarity import could_be_alike
 from marginalia.operators import dedup, matching, reports
 from marginalia.plans import catalog
 from marginalia.sinks import files as sinks
@@ -61,6 +62,52 @@ def test_anchored_fuzzy_match_over_whole_tables(spark):
     assert got == expected and got
 
 
+def test_bounds_never_rule_out_what_is_alike(spark):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(600):
+        a = "".join(rng.choice("abcdeé 😀\n") for _ in range(rng.choice([0, 1, 3, 20, 60, 300])))
+        b = "".join(c for c in a if rng.random() > rng.choice([0, 0.02, 0.1, 0.2, 0.5])) + "x" * rng.choice([0, 0, 3])
+        pairs.append((a, b) if rng.random() < 0.7 else (a, "".join(rng.sample(list(a), len(a)))))
+    df = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string")
+    for least in (0.8, 0.9):
+        got = {(r.a, r.b): r.ok for r in df.select("a", "b", could_be_alike("a", "b", least).alias("ok")).collect()}
+        alike = {p: SequenceMatcher(None, *p).ratio() >= least for p in pairs}
+        assert all(got[p] for p in pairs if alike[p]) and not got[None, "a"] and not got["a", None]
+        assert sum(not x for x in got.values()) > 50
+
+
+def test_few_candidates_reach_the_similarity(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for i in range(200):
+        w = [word() for _ in range(40)]
+        body = w[5:-5] if i % 4 == 0 else [word() for _ in range(30)]  # three quarters are alike in their anchors alone
+        rows.append((i, " ".join(w), " ".join([*w[:5], *body, *w[-5:]])))
+    joined = spark.createDataFrame(rows, "k int, search_norm string, page_norm string")
+    assert sum(r.matched_text is not None for r in matching.anchors(joined).select("matched_text").collect()) == 200
+    sent = {r.k for r in matching.anchor_candidates(joined, "k").select("k").collect()}
+    found = {r.k for r in matching.anchored(joined, "k").collect()}
+    assert found == {i for i in range(200) if i % 4 == 0} <= sent and len(sent) < 80
+    plan = matching.anchored(joined, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_similar_texts_over_whole_tables(spark):
+    turns = [(str(r.conv_id), r.turn, r.text or "") for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()]
+    spoil = str.maketrans("", "", "lm")
+    by_book = {}
+    for b, o, t in turns:
+        by_book.setdefault(b, []).append((o, t))
+    want = set()
+    for b, o, t in turns:
+        best = min((-SequenceMatcher(None, t.translate(spoil), x).ratio(), n) for n, x in by_book[b])
+        if -best[0] >= 0.8:
+            want.add((b, o, best[1], round(-best[0], 6)))
+    assert {tuple(r) for r in catalog.QUERIES["similar_texts"](spark, SMALL).collect()} == want and want
+
+
 def test_similar_texts(spark):
     c = spark.read.parquet(f"{SMALL}/conversations.parquet").selectExpr("cast(conv_id as string) book_id", "0 page", "turn ord", "text content").collect()
     rng = random.Random(4)
@@ -130,6 +177,20 @@ def test_contained_is_brute_force(spark):
     assert sorted(got) == sorted({(w, p) for (w,) in wholes for (p,) in parts if w is not None and p is not None and p in w})
 
 
+def test_containment_by_the_lengths_that_keys_have(spark, monkeypatch):
+    from marginalia.functions import containment
+
+    wholes = spark.createDataFrame([(f"a title of some length {i}",) for i in range(50)], "w string")
+    for parts, shared in (([("of some length",), ("title of",)], 100), ([("of some length",), ("title of",)], 0), ([("",)], 100), ([("of",), ("length 7",), ("",)], 0), ([], 100)):
+        monkeypatch.setattr(containment, "SHARED_ROWS", shared)
+        p = spark.createDataFrame(parts, "p string")
+        got = {(r.w, r.p) for r in contained(wholes, p, "w", "p").collect()}
+        assert got == {(w.w, x) for w in wholes.collect() for (x,) in parts if x in w.w}
+    keys = spark.createDataFrame([("of some length",), ("title of",)], "p string")
+    plan = contained(wholes, keys, "w", "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "Cartesian" not in plan
+
+
 @pytest.mark.parametrize("shared", [50_000, 0])
 def test_phrases_in_texts_of_all_lengths(spark, monkeypatch, shared):
     monkeypatch.setattr(matching, "PHRASES_SHARED", shared)

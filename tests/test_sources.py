@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import geometry as G
@@ -181,3 +182,27 @@ def test_stream_of_logs(spark, tmp_path):
         q.awaitTermination()
         assert len(out) == 5, name
         (logs / "b.txt").write_text(LOG)  # the same clippings once more
+
+
+@pytest.mark.parametrize("size", ["1g", "700", "64"])
+def test_logs_in_splits_are_numbered_as_whole_ones(spark, tmp_path, size):
+    record = lambda i, end="\n": end.join([f"Book {i % 7} é (Someone)", f"- Your Highlight on Page {i} | Added on Monday, March 4, 2024 1:02:03 PM", "", f"text {i}", "==========", ""])
+    texts = {"plain.txt": "".join(map(record, range(90))), "marked.txt": "\ufeff" + "".join(map(record, range(40))), "open.txt": "\ufeff" + record(1) + record(2)[:-12],
+        "dos.txt": "".join(record(i, "\r\n") for i in range(50)), "holes.txt": record(1) + "==========\n" * 3 + record(2) + "\n\n", "empty.txt": "", "short.txt": "one line"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "latin.txt").write_bytes("".join(map(record, range(30))).encode("latin-1"))
+    (tmp_path / "odd.txt").write_bytes(b"\xef\xbb\xbf" + "".join(map(record, range(5))).encode("latin-1"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = clippings.read_records(spark, str(tmp_path))
+        rows = sorted((r.source_file.split("/")[-1], r.ord, r.lines) for r in got.collect())
+        parts = got.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = clippings.records(clippings.read_log(spark, str(tmp_path)))
+    assert rows == sorted((r.source_file.split("/")[-1], r.ord, r.lines) for r in whole.collect()) and len(rows) > 200
+    assert size == "1g" or parts > 20
+    fields = ("title", "author", "type", "page", "content", "ord")
+    parsed = lambda df: sorted(tuple(r[c] for c in fields) for r in clippings.parse(df).collect())
+    assert parsed(got) == parsed(clippings.read_log(spark, str(tmp_path)))
