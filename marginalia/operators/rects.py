@@ -95,8 +95,11 @@ def from_lines(rows: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def from_words(hits: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
-    """(keys, rects) of matched words (book_id, page, keys, ord): one rect for each line, the first to the block's right side, the last from its left."""
-    j = hits.join(words, ["book_id", "page", "ord"])
+    """(keys, rects) of matched words (book_id, page, keys, ord): one rect for each line, the first to the block's right side, the last from its left.
+
+    Of words that are matched in part ``hits`` have the sides x0 and x1 of that part.
+    """
+    j = hits.join(words.drop("x0", "x1") if "x0" in hits.columns else words, ["book_id", "page", "ord"])
     blocks = words.groupBy("book_id", "page", "block").agg(F.min("x0").alias("_l"), F.max("x1").alias("_r"))
     per = j.groupBy("book_id", "page", *keys, "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"),
         F.max("y1").alias("y1")).join(blocks, ["book_id", "page", "block"])

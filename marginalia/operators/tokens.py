@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import maps
 from ..functions import text as T
 from ..functions.geometry import rect
+from ..sources.pages import pages_of, side
 
 
 def positional_agreement(a: Column, b: Column) -> Column:
@@ -72,6 +74,27 @@ def content_spans(contents: DataFrame, pages: DataFrame, *keys: str, content: st
         F.length("_c").alias("length"))
 
 
+def content_span_words(contents: DataFrame, words: DataFrame, *keys: str, content: str = "content") -> DataFrame:
+    """(book_id, page, keys, ord, x0, x1): the words of each content's first place in its page when only letters and digits count.
+
+    x0 and x1 are the sides of the letters and digits that belong to it, so marks at a word's edges and hyphens at line ends
+    stay out. ``contents`` are read twice; what :func:`marginalia.operators.rects.from_words` makes of the rows are the rects by line.
+    """
+    c = contents.select("book_id", "page", *keys, T.content_norm(content).alias("_c")).where("_c <> ''")
+    p = pages_of(c, words).select("book_id", "page", "words", maps.letter_form("text").alias("_form"), maps.letter_runs("text").alias("_runs"))
+    at = F.call_function("instr", F.col("_form"), F.col("_c"))
+    j = c.join(p, ["book_id", "page"]).where(F.contains("_form", F.col("_c"))).withColumn("_at", at - 1)
+    j = j.select("book_id", "page", *keys, "words", maps.original(F.col("_runs"), F.col("_at")).alias("_s"),
+        (maps.original(F.col("_runs"), F.col("_at") + F.length("_c") - 1) + 1).alias("_e"))
+    first, last = maps.last_at_most(F.col("words"), "start", F.col("_s")), maps.last_at_most(F.col("words"), "start", F.col("_e") - 1)
+    each = j.select("book_id", "page", *keys, "_s", "_e", F.explode(T.let(first, lambda i: F.slice("words", i + 1, last - i + 1))).alias("_w"))
+    word, mark = F.substring("_w.piece", F.lit(2), F.length("_w.piece")), r"[^\p{L}\p{N}]*"
+    low = F.greatest(F.col("_s") - F.col("_w.start"), F.length(F.regexp_extract(word, rf"\A{mark}", 0)))
+    high = F.least(F.col("_e") - F.col("_w.start"), F.length(word) - F.length(F.regexp_extract(word, rf"{mark}\z", 0)))
+    return each.withColumn("_a", low).withColumn("_b", high).where("_b > _a").select("book_id", "page", *keys, F.col("_w.ord").alias("ord"),
+        side(F.col("_w"), F.col("_a")).alias("x0"), side(F.col("_w"), F.col("_b")).alias("x1"))
+
+
 def hyphen_merged(words: DataFrame) -> DataFrame:
     """(book_id, page, text): words in order, one that ends in a hyphen joined with the next, in lower case."""
     w = Window.partitionBy("book_id", "page").orderBy("ord")

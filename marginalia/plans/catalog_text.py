@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import maps, similarity, text as T
-from ..operators import matching, tokens
+from ..operators import matching, rects, tokens
 from ..session import cut
 from ..sources import pages as page_source
 from . import inputs as I
@@ -382,6 +382,23 @@ def content_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(F.col("book_id").cast("long").alias("doc_id"), F.col("at").cast("long").alias("at"), F.col("length").cast("long").alias("length"))
 
 
+@query(
+    f"""WITH w AS ({PRINTED_SQL}), b AS (SELECT book_id, min(x0) AS l, max(x1) AS r, max(CASE WHEN ord = 1 THEN x0 END) AS a0,
+ max(CASE WHEN ord = 1 THEN x0 + 2 * (x1 - x0) / 3 END) AS a1, max(CASE WHEN ord = 2 THEN x0 END) AS b0, max(CASE WHEN ord = 3 THEN x1 END) AS c1,
+ max(CASE WHEN ord = 3 THEN y0 END) AS y, CAST(book_id AS BIGINT) % 2 AS kind FROM w GROUP BY book_id)
+SELECT book_id, 1 AS i, round(CASE kind WHEN 0 THEN b0 ELSE a0 END, 4) AS x0, round(CASE kind WHEN 0 THEN r ELSE a1 END, 4) AS x1, 0e0 AS y0 FROM b WHERE kind = 1 OR c1 IS NOT NULL
+UNION ALL SELECT book_id, 2, round(l, 4), round(c1, 4), y FROM b WHERE kind = 0 AND c1 IS NOT NULL"""
+)
+def content_span_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rects of contents found by their letters and digits: a page's second and third word, which a hyphen joins over the line's end, or its first one without its comma."""
+    w = printed(spark, sf_dir)
+    c = w.where("ord <= 3").groupBy("book_id", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "word"))), lambda x: x.getField("word")).alias("w"))
+    content = F.when(F.col("book_id").cast("long") % 2 == 1, F.regexp_replace(F.get("w", F.lit(0)), ",", "!")).otherwise(F.concat(F.get("w", F.lit(1)), F.get("w", F.lit(2))))
+    spans = tokens.content_span_words(c.select("book_id", "page", content.alias("content")), w)
+    r = rects.from_words(spans, w).select("book_id", F.posexplode("rects").alias("i", "r"))
+    return r.select("book_id", (F.col("i") + 1).alias("i"), F.round("r.x0", 4).alias("x0"), F.round("r.x1", 4).alias("x1"), F.col("r.y0").alias("y0"))
+
+
 @query(
     f"""WITH w AS ({PRINTED_SQL}), r AS (SELECT * FROM w WHERE ord IN (2, least(4, n_words)) AND n_words >= 2)
 SELECT book_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM r GROUP BY book_id"""

@@ -86,7 +86,7 @@ def page_text(words: DataFrame) -> DataFrame:
     return page_words(words).select("book_id", "page", text_of("words").alias("text"))
 
 
-def _side(w: Column, k: Column) -> Column:
+def side(w: Column, k: Column) -> Column:
     """x of the right edge of a word's k-th character, its box dealt evenly."""
     n, x0, x1 = F.length(w.getField("piece")) - 1, w.getField("box").getField("x0"), w.getField("box").getField("x1")
     return F.when(k == n, x1).otherwise(x0 + k * (x1 - x0) / n)
@@ -97,7 +97,7 @@ def page_chars(words: DataFrame) -> DataFrame:
 
     def spelled(w: Column, i: Column) -> Column:
         def one(k: Column) -> Column:
-            box = rect(_side(w, k - 1), w.getField("box").getField("y0"), _side(w, k), w.getField("box").getField("y1"))
+            box = rect(side(w, k - 1), w.getField("box").getField("y0"), side(w, k), w.getField("box").getField("y1"))
             return F.struct(F.substring(w.getField("piece"), k + 1, F.lit(1)).alias("ch"), F.when(k > 0, w.getField("ord")).alias("ord"), F.when(k > 0, box).alias("box"))
 
         n = F.length(w.getField("piece")) - 1
@@ -139,7 +139,7 @@ def word_rects(words: Column, start: Column, end: Column) -> Column:
 
     def boxes(w: Column) -> Column:
         a, b, box = F.greatest(start - w.getField("start"), F.lit(0)), F.least(end - w.getField("start"), length(w)), w.getField("box")
-        own = rect(F.least(_side(w, a), _side(w, b - 1)), box.getField("y0"), F.greatest(_side(w, a + 1), _side(w, b)), box.getField("y1"))
+        own = rect(F.least(side(w, a), side(w, b - 1)), box.getField("y0"), F.greatest(side(w, a + 1), side(w, b)), box.getField("y1"))
         item = lambda ch, r: F.struct(F.lit(ch).alias("ch"), r.cast(RECT).alias("box"))
         return F.when(F.startswith(w.getField("piece"), F.lit("\n")), F.array(item("\n", F.lit(None)), item("", own))).otherwise(F.array(item("", own)))
 

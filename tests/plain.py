@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from marginalia.functions.text import LIGATURES, SOFT_HYPHEN
+from marginalia.operators.quads import FAR
 
 
 def normal_with_map(text: str) -> tuple[str, list[int]]:
@@ -62,6 +63,23 @@ def flat_with_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+def letters_with_map(text: str) -> tuple[str, list[int]]:
+    """Letters and digits in lower case, and where each comes from; a hyphen takes one mark or space after it along."""
+    out, at, skip = "", [], False
+    for i, c in enumerate(_lower(text)):
+        if c == "-":
+            skip = True
+        elif c.isalnum():
+            out, skip = out + c, False
+            at.append(i)
+        elif skip:
+            skip = False
+        elif out and out[-1] != " ":
+            out += " "
+            at.append(i)
+    return out.rstrip(), at[: len(out.rstrip())]
+
+
 def _lower(text: str) -> str:
     """Lower case of the same length, so that places stay."""
     low = text.lower()
@@ -129,3 +147,54 @@ def line_rects(text, boxes, start, end, tolerance=5.0):
             else:
                 now = (min(now[0], x0), min(now[1], y0), max(now[2], x1), max(now[3], y1))
     return out + ([now] if now else [])
+
+
+def first_fit(rects: list, fits, grows: bool = True) -> list[list[int]]:
+    """Groups of places: each rect joins the first group it fits. ``fits`` sees the group's box, or each of its members."""
+    groups: list[list[int]] = []
+    boxes: list[list[float]] = []
+    for i, r in enumerate(rects):
+        for g, b in zip(groups, boxes, strict=True):
+            if fits(r, b) if grows else any(fits(r, rects[j]) for j in g):
+                g.append(i)
+                b[:] = [min(b[0], r[0]), min(b[1], r[1]), max(b[2], r[2]), max(b[3], r[3])]
+                break
+        else:
+            groups.append([i])
+            boxes.append(list(r))
+    return groups
+
+
+def same_passage(r, c) -> bool:
+    """Beside a group on its line, or on the line below it with overlapping x."""
+    beside = abs(r[1] - c[1]) < 3 and (abs(r[0] - c[2]) < 5 or abs(r[2] - c[0]) < 5)
+    below = abs(r[1] - c[3]) <= 25 and not (r[2] < c[0] - 10 or r[0] > c[2] + 10)
+    return beside or below
+
+
+def near_place(rects: list, x: float, y: float) -> list[int]:
+    """Places of the rects of the passage nearest to a point, then those of others beside it and not far."""
+    groups = first_fit(rects, same_passage)
+    boxes = [(min(rects[i][0] for i in g), min(rects[i][1] for i in g), max(rects[i][2] for i in g), max(rects[i][3] for i in g)) for g in groups]
+    far = [((b[0] - x) ** 2 + (b[1] - y) ** 2) ** 0.5 for b in boxes]
+    best = min(range(len(groups)), key=lambda k: (far[k], k))
+    level = [k for k in range(len(groups)) if k != best and far[k] < FAR and not (boxes[k][3] < boxes[best][1] or boxes[k][1] > boxes[best][3])]
+    return [i for k in (best, *level) for i in groups[k]]
+
+
+def connected(a, b, across: float = 50.0, down: float = 25.0) -> bool:
+    """Same height and a small gap across, or same columns and a small gap down."""
+    gap_x, gap_y = max(a[0], b[0]) - min(a[2], b[2]), max(a[1], b[1]) - min(a[3], b[3])
+    return (gap_y <= 0 and gap_x < across) or (gap_y < down and gap_x <= 0)
+
+
+def take_nearest(hx, hy, cx, cy) -> list[int | None]:
+    """For each highlight in turn the nearest clipping still free, the first of equals."""
+    free = list(range(len(cx)))
+    out: list[int | None] = []
+    for x, y in zip(hx, hy, strict=True):
+        best = min(free, key=lambda i: (((cx[i] - x) ** 2 + (cy[i] - y) ** 2) ** 0.5, i), default=None)
+        out.append(best)
+        if best is not None:
+            free.remove(best)
+    return out

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from marginalia.functions import geometry as G
 from marginalia.operators import adapter, assign, columns, dedup, matching, offset, quads, rects, reports, tokens
 from marginalia.plans import pipeline
-from marginalia.schemas import WORD
+from marginalia.schemas import RECTS, WORD
 from marginalia.sources import pages as page_source
 
+from . import plain
+
 ROW = "book_id string, page int, ord long, type string, pdf_x double, pdf_y double, pdf_x_end double, pdf_y_end double, content string, timestamp string, highlight_content string"
 
 
@@ -174,7 +176,7 @@ def test_assignment(spark):
         "book_id string, page int, ord long, x double, y double")
     c = spark.createDataFrame([("b", 0, i, f"t{i}") for i in range(2)], "book_id string, page int, ord long, content string")
     assert sorted((r.highlight_ord, r.clip_ord) for r in assign.positional(h, c).collect()) == [(1, 0), (2, 1)]
-    assert assign.take_nearest([0, 0], [0, 10], [0, 0], [9, 1]) == [1, 0] and assign.take_nearest([0], [0], [], []) == [None]
+    assert plain.take_nearest([0, 0], [0, 10], [0, 0], [9, 1]) == [1, 0] and plain.take_nearest([0], [0], [], []) == [None]
     words = spark.createDataFrame([("b", 0, 0, 0, 0, 0.0, 31.0, 9.0, 40.0, "t0"), ("b", 0, 1, 0, 1, 0.0, 11.0, 9.0, 20.0, "t1")],
         "book_id string, page int, ord long, block int, line int, x0 double, y0 double, x1 double, y1 double, word string")
     two = h.where("ord < 2")
@@ -223,7 +225,7 @@ def test_lines_of_characters(spark):
     chars = [dict(ch="a", box=box(0, 0)), dict(ch="b", box=box(5, 3)), dict(ch="c", box=box(0, 6)), dict(ch="\n", box=None),
         dict(ch="d", box=box(9, 7)), dict(ch="e", box=None)]
     df = spark.createDataFrame([(chars,), ([],)], "chars array<struct<ch:string,box:struct<x0:double,y0:double,x1:double,y1:double>>>")
-    got = [[(r.x0, r.y0, r.x1, r.y1) for r in x.r] for x in df.select(matching.boxes_to_lines(F.col("chars")).alias("r")).collect()]
+    got = [[(r.x0, r.y0, r.x1, r.y1) for r in x.r] for x in df.select(page_source.boxes_to_lines(F.col("chars")).alias("r")).collect()]
     assert got == [[(0, 0, 10, 13), (0, 6, 5, 16), (9, 7, 14, 17)], []]
 
 
@@ -297,3 +299,26 @@ def test_rects_of_matches(spark):
     clips = spark.createDataFrame([("b", 0, i, t) for i, t in enumerate(texts)], "book_id string, page int, ord long, content string")
     got = pipeline.clipping_rects(clips, page_source.page_text(words), words, "ord").collect()
     assert {texts[r.ord]: [(q.x0, q.y0, q.x1, q.y1) for q in r.rects] for r in got} == expected
+
+
+def test_folds_are_those_of_the_rule(spark):
+    rng = random.Random(8)
+    rect = lambda: (x := rng.choice([0, 3, 50, 90, 200, 400]), y := rng.choice([0, 2, 12, 20, 40, 300]), x + rng.choice([10, 40, 90]), y + rng.choice([10, 12]))
+    rows = [([tuple(map(float, rect())) for _ in range(rng.randint(0, 12))], float(rng.choice([0, 60, 210])), float(rng.choice([0, 15, 250])),
+        [(float(rng.randint(0, 9)), float(rng.randint(0, 9))) for _ in range(rng.randint(0, 6))], [(float(rng.randint(0, 9)), float(rng.randint(0, 9))) for _ in range(rng.randint(0, 6))])
+        for _ in range(400)]
+    point = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame(rows, f"rects {RECTS}, x double, y double, h {point}, c {point}")
+    got = df.select("*", quads.near_rects(F.col("rects"), F.col("x"), F.col("y")).alias("near"), quads.connectivity(F.col("rects")).alias("of"),
+        assign.greedy_nearest(F.col("h"), F.col("c")).alias("taken")).collect()
+    for r in got:
+        boxes = [tuple(q) for q in r.rects]
+        if boxes:
+            assert [tuple(q) for q in r.near] == [boxes[i] for i in plain.near_place(boxes, r.x, r.y)]
+        of = [0] * len(boxes)
+        for k, g in enumerate(plain.first_fit(boxes, plain.connected, grows=False)):
+            for i in g:
+                of[i] = k
+        assert r.of == of
+        assert r.taken == plain.take_nearest([p.x for p in r.h], [p.y for p in r.h], [p.x for p in r.c], [p.y for p in r.c])
+    assert "Python" not in df.select(quads.near_rects(F.col("rects"), F.col("x"), F.col("y")))._jdf.queryExecution().executedPlan().toString()
