@@ -32,6 +32,8 @@ RULES = (
 )
 DEFAULT = "allow"
 SEP = 0xFF  # never a byte of UTF-8
+#: So many texts that still run are walked one by one.
+FEW = 8
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -77,8 +79,23 @@ class ShiftAnd:
             begin[s // 64] |= np.uint64(1 << (s % 64))
             if ends:
                 self.loops[e // 64] |= np.uint64(1 << (e % 64))
+        self.plain: tuple | None = None
         self.inner = ~begin  # a glob's first state is not reached from the last one of the glob before it
 
+    def _walked(self, state: np.ndarray, text: bytes, at: int) -> np.ndarray:
+        """The state after the rest of one text, in plain integers of as many bits as there are: for few long texts a step of arrays costs more."""
+        if self.plain is None:
+            whole = lambda words: int.from_bytes(np.ascontiguousarray(words).astype("<u8").tobytes(), "little")
+            self.plain = [whole(m) for m in self.masks], *map(whole, (self.inner, self.always, self.first, self.loops))
+        masks, inner, always, first, loops = self.plain
+        d = int.from_bytes(state.astype("<u8").tobytes(), "little")
+        if at == 0 and text:
+            d = (((d << 1) & inner | always | first) & masks[text[0]]) | (d & loops)
+            at = 1
+        for b in text[at:]:
+            d = (((d << 1) & inner | always) & masks[b]) | (d & loops)
+        return np.frombuffer(d.to_bytes(8 * self.words, "little"), "<u8")
+
     def accepts(self, texts: Sequence[bytes]) -> np.ndarray:
         """Boolean matrix (texts, globs). Texts are taken longest first, so each step touches only those still running."""
         order = np.argsort([-len(t) for t in texts], kind="stable")
@@ -91,6 +108,10 @@ class ShiftAnd:
         for at in range(int(lengths[0]) if len(texts) else 0):
             while alive and lengths[alive - 1] <= at:
                 alive -= 1
+            if alive <= FEW:
+                for i in range(alive):
+                    state[i] = self._walked(state[i], texts[order[i]], at)
+                break
             d = state[:alive]
             moved = d << one
             moved[:, 1:] |= d[:, :-1] >> top

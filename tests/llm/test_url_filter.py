@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import fnmatch
 import random
+import re
+import time
 
 import pytest
 
@@ -77,3 +79,23 @@ def test_rules_are_brute_force(spark):
         fits = [(h + p, v) for h, p, v in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, U.DEFAULT))
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_few_texts_are_walked_to_the_same_states(monkeypatch, few):
+    monkeypatch.setattr(U, "FEW", few)
+    rng = random.Random(2)
+    globs = [b"ab*cd", b"*a*b*", b"aa*", *[bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 9))) + rng.choice([b"", b"*"]) for _ in range(40)]]
+    texts = [bytes(rng.choice(b"abcd") for _ in range(rng.choice([0, 1, 5, 30, 200]))) for _ in range(60)]
+    got = U.ShiftAnd(globs).accepts(texts)
+    expected = [[bool(re.fullmatch(b".*".join(map(re.escape, g.split(b"*"))), t, re.S)) for g in globs] for t in texts]
+    assert got.tolist() == expected
+
+
+def test_a_very_long_url_costs_little(spark):
+    url = "https://a.example.com/en/7" + "x/y" * 500_000
+    began = time.process_time()
+    assert U.ShiftAnd([b"*.com\xff/en/*"]).accepts([b"." + url[8:].replace("/", "\xff/", 1).encode("latin-1")]).tolist() == [[True]]
+    assert time.process_time() - began < 5
+    r = U.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first()
+    assert (r.rule, r.verdict, len(r.path)) == ("example.com/en/7", "allow", len(url) - 21)
