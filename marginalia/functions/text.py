@@ -70,6 +70,11 @@ def repair_spacing(c: Column | str) -> Column:
     return F.regexp_replace(out, r"\.([A-Z])", ". $1")
 
 
+def expanded(c: Column | str) -> Column:
+    """The form that texts are compared in when results are checked: white space collapsed, ligatures spelled out, a space after a full stop that runs into a digit."""
+    return F.regexp_replace(spell_ligatures(collapse(c)), r"(?U)(\w)\.(\d)", "$1. $2")
+
+
 def with_ligatures(c: Column | str) -> Column:
     return F.replace(F.replace(_col(c), F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("ﬂ"))
 

@@ -52,6 +52,18 @@ def ligature_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", _digest(T.spell_ligatures(st)), F.length(T.spell_ligatures(ff)).cast("long").alias("n_chars"))
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, {_COLLAPSE.format("replace(replace(text, '. ', '.'), ' w', chr(10) || ' 7.5w')")} AS t FROM documents)
+SELECT doc_id, md5(regexp_replace(t, '([\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}])\\.(\\p{{Nd}})', '\\1. \\2', 'g')) AS digest FROM d"""
+)
+def expanded_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form that results are checked in: ligatures read as their letters, full stops parted from digits."""
+    c = F.replace(F.replace("text", F.lit(". "), F.lit(".")), F.lit(" w"), F.lit("\n 7.5w"))
+    for letters, ligature in (("ffi", "ﬃ"), ("ffl", "ﬄ"), ("ff", "ﬀ"), ("fi", "ﬁ"), ("fl", "ﬂ")):
+        c = F.replace(c, F.lit(letters), F.lit(ligature))
+    return _documents(spark, sf_dir).select("doc_id", _digest(T.expanded(c)))
+
+
 @query(
     f"""WITH d AS (SELECT doc_id, {_COLLAPSE.format("replace(replace(text, '. ', '.'), ' w', chr(10) || ' 7.5w')")} AS t FROM documents)
 SELECT doc_id, md5(regexp_replace(regexp_replace(t, '([\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}])\\.(\\p{{Nd}})', '\\1. \\2', 'g'), '\\.([A-Z])', '. \\1',
