@@ -69,4 +69,4 @@ def test_sql(spark, name):
 
 def test_names():
     assert [n for n, _ in P.STAGES] == ["toxicity", "quality", "near_duplicates", "decontamination", "tokens"]
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 14))
