@@ -32,32 +32,30 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _parts(c: Column | str) -> Column:
+_NUMBERS = ("page", "sequence", "char_pos", "unknown", "x", "y", "width", "height")
+
+
+def parts(c: Column | str) -> Column:
     return F.split(strip(c), r"(?U)\s+")
 
 
+def numbered(raw: Column, n: Column, v: list[Column]) -> Column:
+    """Position struct of a text of ``n`` parts whose first eight are the integers ``v``, null where one is none."""
+    long = n >= 8
+    valid = F.coalesce((n >= 4) & reduce(and_, [x.isNotNull() for x in v[:4]]) & (~long | reduce(and_, [x.isNotNull() for x in v[4:]])), F.lit(False))
+    used = [F.when(valid if i < 4 else valid & long, v[i]).otherwise(0).alias(name) for i, name in enumerate(_NUMBERS)]
+    return F.struct(F.coalesce(raw, F.lit("")).alias("raw"), *used, valid.alias("valid"))
+
+
 def position(c: Column | str) -> Column:
     """Position struct of "page sequence char_pos unknown x y width height"; the short form has the first four.
 
     Fewer parts, or one that is no whole number, make all numbers 0 and valid false.
     """
     c = _col(c)
-    names = ("page", "sequence", "char_pos", "unknown", "x", "y", "width", "height")
-
-    def numbers(parts: Column) -> Column:
-        return F.struct(F.array(*[F.get(parts, F.lit(i)).try_cast("int") for i in range(8)]).alias("v"), F.size(parts).alias("n"))
-
-    def checked(s: Column) -> Column:
-        v, long = s.getField("v"), s.getField("n") >= 8
-        first, last = (reduce(and_, [F.get(v, F.lit(i)).isNotNull() for i in some]) for some in (range(4), range(4, 8)))
-        return F.struct(v.alias("v"), F.coalesce((s.getField("n") >= 4) & first & (~long | last), F.lit(False)).alias("valid"), long.alias("long"))
-
-    def shaped(s: Column) -> Column:
-        v, valid = s.getField("v"), s.getField("valid")
-        used = [F.when(valid if i < 4 else valid & s.getField("long"), F.get(v, F.lit(i))).otherwise(0).alias(n) for i, n in enumerate(names)]
-        return F.struct(F.coalesce(c, F.lit("")).alias("raw"), *used, valid.alias("valid"))
-
-    return let(let(let(_parts(c), numbers), checked), shaped)
+    read = lambda p: F.struct(F.size(p).alias("n"), *[F.get(p, F.lit(i)).try_cast("int").alias(f"v{i}") for i in range(8)])
+    shaped = lambda s: numbered(c, s.getField("n"), [s.getField(f"v{i}") for i in range(8)])
+    return let(let(parts(c), read), shaped)
 
 
 def position_rect(p: Column) -> Column:
@@ -69,7 +67,7 @@ def position_rect(p: Column) -> Column:
 
 def end_point(c: Column | str) -> Column:
     """struct<x, y> in device units of a position string with six parts or more, else nulls."""
-    p = _parts(c)
+    p = parts(c)
     enough = F.size(p) >= 6
     at = lambda i: F.when(enough, F.get(p, F.lit(i)).try_cast("double"))
     ok = at(4).isNotNull() & at(5).isNotNull()
@@ -194,7 +192,7 @@ def column_gap(columns: Column) -> Column:
 
 def position_point(c: Column | str) -> Column:
     """struct<x, y> in points of a position string on the default page; null if it can't be read."""
-    p = _parts(c)
+    p = parts(c)
     numbers = F.forall(p, lambda x: x.try_cast("double").isNotNull()) & (F.size(p) >= 6)
     at = lambda i, most: _limit(F.get(p, F.lit(i)).try_cast("double") * CONFIG.scale, F.lit(most))
     return F.when(numbers, F.struct(at(4, CONFIG.page_width).alias("x"), at(5, CONFIG.page_height).alias("y")))

@@ -12,10 +12,11 @@ import pytest
 from marginalia.functions.containment import contained
 from marginalia.functions.similarity import could_be_alike
 from marginalia.operators import dedup, matching, reports
-from marginalia.plans import catalog
+from marginalia.plans import catalog, inputs, pipeline
 from marginalia.sinks import files as sinks
 from marginalia.sources import pages
 
+from . import plain
 from .conftest import SMALL
 
 
@@ -205,6 +206,31 @@ def test_phrases_in_texts_of_all_lengths(spark, monkeypatch, shared):
     assert got == sorted((p, t) for p, a in phrases for t, b in texts if p is not None and t is not None and a and b and a in b)
 
 
+def test_resolved_highlights_lie_on_their_clippings(spark):
+    """Over whole tables: the rects of a highlight that its clipping placed are line rects of that clipping's text in the page's characters, and bound the row."""
+    pages_, w, clips = catalog._book_tables(spark, SMALL)
+    rows = pipeline.resolve_annotations(inputs.sidecar_rows(spark, SMALL), clips, pages_, w).where("source IN ('text_based_matching', 'coordinate_text_extraction')")
+    content = {r.book_id: r.content for r in clips.collect()}
+    by_book = {}
+    for r in w.collect():
+        by_book.setdefault(r.book_id, []).append((r.ord, r.block, r.line, r.x0, r.y0, r.x1, r.y1, r.word))
+    rounded = lambda r: tuple(round(v, 6) for v in r)
+    seen = {}
+    for r in rows.collect():
+        kind = int(r.book_id) % 5
+        rects = [tuple(q) for q in r.precise_rects]
+        assert rounded((r.pdf_x, r.pdf_y, r.pdf_x + r.pdf_width, r.pdf_y + r.pdf_height)) == rounded((min(q[0] for q in rects), min(q[1] for q in rects),
+            max(q[2] for q in rects), max(q[3] for q in rects)))
+        seen[r.source, kind] = seen.get((r.source, kind), 0) + 1
+        if r.source == "text_based_matching" and kind != 4:
+            text, boxes = plain.page_with_boxes(by_book[r.book_id])
+            c = content[r.book_id]
+            places = [p for kind in ("exact", "normalised") for p in plain.match_places(text, kind, plain.normal_with_map(c)[0], [c, c.replace("fi", "ﬁ")])]
+            allowed = {rounded(q) for s, e in places for q in plain.line_rects(text, boxes, s, e)}
+            assert {rounded(q) for q in rects} <= allowed, (r.book_id, c)
+    assert {k for source, k in seen if source == "text_based_matching"} == {0, 1, 2, 3, 4} and sum(seen.values()) > 200
+
+
 def test_marks_of_books_without_a_document_fail(spark):
     """No PDF library is needed to say so."""
     marks = spark.createDataFrame([("a", 0, 1, "note"), ("a", 0, 2, "note"), ("b", 0, 1, "bookmark")], "book_id string, page int, ord long, command string")
