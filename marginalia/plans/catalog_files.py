@@ -14,6 +14,7 @@ from ..operators import annotations
 from ..sinks import files as sinks
 from ..sources import clippings as clipping_source
 from ..sources import files, sidecar
+from . import batches
 from . import inputs as I
 from .registry import query
 
@@ -258,6 +259,24 @@ def command_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return added.join(held, "book_id")
 
 
+@query(
+    """SELECT 'b' || n_nationkey AS book_id, count(*) AS in_file, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS run,
+ max(CASE WHEN n_nationkey % 5 = 0 THEN c_custkey + 1 ELSE c_custkey END) AS last FROM nation JOIN customer ON c_nationkey = n_nationkey
+ WHERE n_nationkey % 7 <> 3 GROUP BY n_nationkey"""
+)
+def resumed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books written in a batch, and again after some of them changed and some went: each book's rows, and the run that made them."""
+    at = folder(spark, "batches")
+    c = I.table(spark, sf_dir, "customer").select(F.concat(F.lit("b"), F.col("c_nationkey").cast("string")).alias("book_id"),
+        F.concat(F.lit("/in/"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_custkey").alias("size"), F.lit(0).alias("modified"),
+        F.col("c_nationkey").alias("nation"))
+    changed = c.where("nation % 7 <> 3").withColumn("size", F.when(F.col("nation") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    for files in (c, changed):
+        batches.run(batches.states(files), lambda books, files=files: files.join(books.select("book_id"), "book_id").select("book_id", "size"), at, 3)
+    rows = batches.read(spark, at, batches.states(changed)).groupBy("book_id").agg(F.count("*").alias("in_file"), F.max("size").alias("last"))
+    return rows.join(batches.done(spark, at).select("book_id", "run"), "book_id")
+
+
 @query(
     """SELECT 'annotation.personal.note' AS annotation_type, (o_orderkey % 3 = 0) AS has_end, count(*) AS n, min('p' || o_orderkey) AS first_start,
      min(CASE WHEN o_orderkey % 3 = 0 THEN 'e' || o_orderkey ELSE 'p' || o_orderkey END) AS first_end FROM orders GROUP BY o_orderkey % 3 = 0"""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import geometry as G
+from marginalia.plans import batches
 from marginalia.sources import clippings, files, pages, sidecar
 from marginalia.streaming import clippings as stream
 
@@ -206,3 +207,37 @@ def test_logs_in_splits_are_numbered_as_whole_ones(spark, tmp_path, size):
     fields = ("title", "author", "type", "page", "content", "ord")
     parsed = lambda df: sorted(tuple(r[c] for c in fields) for r in clippings.parse(df).collect())
     assert parsed(got) == parsed(clippings.read_log(spark, str(tmp_path)))
+
+
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    at = str(tmp_path / "out")
+    listed = lambda **sizes: batches.states(spark.createDataFrame([(b, f"/{b}/{i}", s, 0) for b, s in sizes.items() for i in range(2)],
+        "book_id string, path string, size long, modified long"))
+    asked: list = []
+
+    def compute(books, fails=()):
+        names = sorted(r.book_id for r in books.collect())
+        asked.extend(names)
+        if set(names) & set(fails):
+            raise RuntimeError("broken")
+        return books.where("book_id <> 'empty'").selectExpr("book_id", "state AS made_of")
+
+    rows = lambda: sorted(r.book_id for r in batches.read(spark, at).collect())
+    partitions = lambda: {p.name: {f.name for f in p.glob("*.parquet")} for p in (tmp_path / "out" / "rows").glob("book_id=*")}
+    first = listed(**{k: 1 for k in ("a", "b", "c", "d", "empty")})
+    with pytest.raises(RuntimeError):
+        batches.run(first, lambda books: compute(books, ("d",)), at, 16)
+    finished = {r.book_id for r in batches.done(spark, at).collect()}
+    assert "d" not in finished
+    asked.clear()
+    assert batches.run(first, compute, at, 16) == 5 - len(finished) and set(asked) == {"a", "b", "c", "d", "empty"} - finished
+    assert rows() == ["a", "b", "c", "d"] and batches.done(spark, at).where("added = 0").count() == 1
+    before = partitions()
+    asked.clear()
+    assert batches.run(first, compute, at) == 0 and asked == []
+    assert batches.run(listed(a=1, b=2, c=1, d=1, empty=1), compute, at) == 1 and asked == ["b"]
+    after = partitions()
+    assert {k for k in after if after[k] != before[k]} == {"book_id=b"} and rows() == ["a", "b", "c", "d"]
+    with pytest.raises(RuntimeError):
+        batches.run(listed(a=2), lambda books: compute(books, ("a",)), at)
+    assert rows() == ["a", "b", "c", "d"]
