@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..functions.bands import band_join
 from ..schemas import RECTS
 
 LINE_HEIGHT = 16.0
@@ -65,11 +66,10 @@ def from_margins(rows: DataFrame, margins: DataFrame, columns: DataFrame | None
 
 def select_lines(spans: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
     """Lines that touch each vertical span [top, bottom] of a page; where none does, those whose middle is within half a point of it."""
-    s, q = spans.alias("s"), lines.alias("l")
     # Every touching line also has the wider condition, so one join gives both and a window tells which holds.
     touches = ~((F.col("l.y1") < F.col("s.top")) | (F.col("l.y0") > F.col("s.bottom")))
     middle = ((F.col("l.y0") + F.col("l.y1")) / 2).between(F.col("s.top") - 0.5, F.col("s.bottom") + 0.5)
-    j = s.join(q, (F.col("s.book_id") == F.col("l.book_id")) & (F.col("s.page") == F.col("l.page")) & (touches | middle))
+    j = band_join(spans, lines, (F.col("top"), F.col("bottom")), (F.col("y0"), F.col("y1")), touches | middle, ("s", "l"), 0.5)
     picked = j.select(*[F.col(f"s.{k}").alias(k) for k in ("book_id", "page", *keys)], touches.alias("_t"),
         *[F.col(f"l.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")], F.col("l.ord").alias("line_ord"))
     any_touch = F.max("_t").over(Window.partitionBy("book_id", "page", *keys))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..functions.bands import band_join
 from ..functions.similarity import could_be_alike, sequence_ratio
 
 
@@ -38,11 +39,13 @@ def pages_only_in(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def overlap_matches(expected: DataFrame, actual: DataFrame, *keys: str, least: float = 0.8) -> DataFrame:
     """Each expected rect with the actual one of its page that covers most of it, if that is ``least`` or more: (book_id, page, keys, actual_ord, ratio)."""
-    e, a = expected.alias("e"), actual.alias("a")
-    j = e.join(a, (F.col("e.book_id") == F.col("a.book_id")) & (F.col("e.page") == F.col("a.page")))
+    if least <= 0:
+        raise ValueError("rects that don't meet cover nothing: least has to be more than 0")
     ratio = G.intersection_area(F.col("e.r"), F.col("a.r")) / F.nullif(G.area(F.col("e.r")), F.lit(0.0))
+    y = (F.col("r.y0"), F.col("r.y1"))
+    j = band_join(expected, actual, y, y, ratio >= least, ("e", "a"))
     scored = j.select(*[F.col(f"e.{k}").alias(k) for k in ("book_id", "page", *keys)], F.col("a.ord").alias("actual_ord"),
-        ratio.alias("ratio")).where(F.col("ratio") >= least)
+        ratio.alias("ratio"))
     w = Window.partitionBy("book_id", "page", *keys).orderBy(F.desc("ratio"), "actual_ord")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

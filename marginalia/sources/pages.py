@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import maps
 from ..functions import text as T
+from ..functions.bands import band_join
 from ..functions.geometry import rect
 from ..schemas import CHARS, RECT, RECTS, WORD
 
@@ -123,9 +124,8 @@ def text_margins(words: DataFrame, page_width: Column) -> DataFrame:
 
 def text_in_rect(words: DataFrame, rects: DataFrame, *keys: str) -> DataFrame:
     """Text of the words that overlap each rect (a table with book_id, page, rect and ``keys``)."""
-    r, w = rects.alias("r"), words.alias("w")
     inside = (F.col("w.x0") < F.col("r.rect.x1")) & (F.col("w.x1") > F.col("r.rect.x0")) & (F.col("w.y0") < F.col("r.rect.y1")) & (F.col("w.y1") > F.col("r.rect.y0"))
-    hit = r.join(w, (F.col("r.book_id") == F.col("w.book_id")) & (F.col("r.page") == F.col("w.page")) & inside)
+    hit = band_join(rects, words, (F.col("rect.y0"), F.col("rect.y1")), (F.col("y0"), F.col("y1")), inside, ("r", "w"))
     return hit.groupBy(*[F.col(f"r.{k}") for k in ("book_id", "page", *keys)]).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w.ord", "w.word"))), lambda x: x.getField("word")), " ").alias("text")
     )

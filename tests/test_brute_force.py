@@ -8,7 +8,9 @@ from types import SimpleNamespace
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from marginalia.functions.bands import band_join
 from marginalia.functions.containment import contained
 from marginalia.functions.similarity import could_be_alike
 from marginalia.operators import dedup, matching, reports
@@ -231,6 +233,33 @@ def test_resolved_highlights_lie_on_their_clippings(spark):
     assert {k for source, k in seen if source == "text_based_matching"} == {0, 1, 2, 3, 4} and sum(seen.values()) > 200
 
 
+def test_bands_lose_no_pair_and_meet_few(spark):
+    """A page of very many boxes: all pairs that overlap, each once, and far fewer meetings than the page's square."""
+    rng = random.Random(9)
+    y = lambda: rng.choice([rng.uniform(-300, 3000), rng.uniform(0, 100), 24.0 * rng.randint(0, 5), 1e9, -1e9])
+
+    def boxes(n):
+        out = []
+        for i in range(n):
+            a = y()
+            b = rng.choice([a + rng.uniform(0, 30), a, a - 20, y(), None])
+            out.append(("b", 0, i, None if rng.random() < 0.02 else a, b))
+        return out
+
+    left, right = boxes(300), boxes(400)
+    schema = "book_id string, page int, ord long, y0 double, y1 double"
+    near = (F.least("a.y0", "a.y1") <= F.greatest("b.y0", "b.y1") + 5) & (F.greatest("a.y0", "a.y1") >= F.least("b.y0", "b.y1") - 5)
+    ends = (F.col("y0"), F.col("y1"))
+    df, other = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = [(r[0], r[1]) for r in band_join(df, other, ends, ends, near, reach=5.0).select("a.ord", "b.ord").collect()]
+    span = lambda r: [v for v in r[3:] if v is not None]
+    want = [(a[2], b[2]) for a in left for b in right if span(a) and span(b) and min(span(a)) <= max(span(b)) + 5 and max(span(a)) >= min(span(b)) - 5]
+    assert sorted(got) == sorted(want) and want
+    flat = [("b", 0, i, 12.0 * i, 12.0 * i + 10) for i in range(600)]
+    lines = spark.createDataFrame(flat, schema)
+    assert band_join(lines, lines, ends, ends, F.lit(True)).count() < 0.02 * 600**2
+
+
 def test_marks_of_books_without_a_document_fail(spark):
     """No PDF library is needed to say so."""
     marks = spark.createDataFrame([("a", 0, 1, "note"), ("a", 0, 2, "note"), ("b", 0, 1, "bookmark")], "book_id string, page int, ord long, command string")
