@@ -301,8 +301,4 @@ def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which rows are exported: every row's place after the rows of the parts before it."""
     li = I.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("book_id"), F.col("l_linenumber").alias("page"),
         (F.col("l_partkey") % 700).cast("double").alias("pdf_y"), F.col("l_orderkey").alias("ord"))
-    rows = annotations.final_order(li).select("book_id", "ord", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_id")).checkpoint()
-    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p"),
-        F.col("a._first").alias("_first")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return rows.join(before, "_p").select("book_id", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("place"), "ord")
+    return annotations.placed(li).select("book_id", "place", "ord")
