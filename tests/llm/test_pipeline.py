@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import zlib
+
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -40,6 +43,44 @@ def test_stages_against_brute_force(spark):
     assert ids(P.run(spark, SF)) == ids(clean)
 
 
+def least_distances(item: str, text: np.ndarray, gap: int) -> np.ndarray:
+    """For each place of a text (code points, ``gap`` between documents) the least edit distance of the item to what ends there."""
+    at = np.arange(len(text) + 1, dtype=np.int32)
+    before = np.zeros(len(text) + 1, np.int32)
+    for i, c in enumerate(item, 1):
+        row = np.empty_like(before)
+        row[0] = i
+        row[1:] = np.minimum(before[:-1] + (text != ord(c)), before[1:] + 1)
+        before = np.minimum.accumulate(row - at) + at
+    return before[1:]
+
+
+def test_decontamination_against_whole_tables_of_edit_distances(spark):
+    """Nothing of the operator is used: normal forms, budgets and distances of all items at all places of all documents are made here."""
+    rows = {r.doc_id: " ".join((r.text or "").lower().split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text and r.text.strip()]
+    gap = 1 + max(len(t) for t in items) // 10
+    text = np.array([c for t in rows.values() for c in [*map(ord, t), *[0] * gap]], np.int32)
+    starts = np.concatenate([[0], np.cumsum([len(t) + gap for t in rows.values()])[:-1]])
+    held = np.zeros(len(rows), bool)
+    for t in items:
+        held |= np.minimum.reduceat(least_distances(t, text, gap), starts) <= int(0.08 * len(t))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in P.decontamination_stage(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {d for d, h in zip(rows, held, strict=True) if not h} and 0 < held.sum() < len(rows)
+
+
+def test_classifier_stages_decide_as_the_labels_do(spark):
+    """On labelled rows that were not learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    crc = lambda i, m: zlib.crc32(str(i).encode()) % m
+    for stage, column, good, held in ((P.toxicity_stage, "toxic", 0, lambda i: crc(i, 5) == 0), (P.quality_stage, "quality", 1, lambda i: crc(i, 3) == 1)):
+        kept = {r.doc_id for r in stage(spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+        tried = [(i in kept, r[column] == good) for i, r in labels.items() if r[column] is not None and held(i)]
+        assert len(tried) > 20 and sum(a == b for a, b in tried) >= 0.9 * len(tried), (column, len(tried), sum(a == b for a, b in tried))
+
+
 def test_repeated_ids_and_empty_tables(spark, documents):
     docs = documents([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text with that very id"), (2, "a b c d e f g"),
         (None, "no id at all here"), (3, None), (4, "")])
