@@ -12,7 +12,8 @@ the best paths of all new parts of a batch are found together, with numpy steps
 (text without spaces) are walked one by one with plain steps over the same double array.
 
 Defined results: a null text has null ids, an empty or blank text is encoded like any other; repeated rows repeat; rows
-without an id are kept; empty tables give no rows; texts are never cut; extra columns are not read.
+without an id are kept; empty tables give no rows; texts are never cut; extra columns are not read, and a kept column that
+has the name of a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -289,10 +290,14 @@ def _shared(docs: DataFrame, model: str | None):
     return spark.sparkContext.broadcast(Vocabulary.load(model or default_model()))  # the vocabulary: fixed size
 
 
+def _others(keep: tuple[str, ...], *made: str) -> list[str]:
+    return [k for k in keep if k.lower() not in made]
+
+
 def encode(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ids array<int>, n_tokens int and restored boolean: whether the ids decode to the very text."""
     shared = _shared(docs, model)
-    picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    picked = docs.select(*_others(keep, "ids", "n_tokens", "restored"), F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
@@ -315,7 +320,7 @@ def encode(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("
 def decode(rows: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and text of rows with ids."""
     shared = _shared(rows, model)
-    picked = rows.select(*keep, F.col("ids").cast("array<int>").alias("_ids"))
+    picked = rows.select(*_others(keep, "text"), F.col("ids").cast("array<int>").alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)

@@ -113,3 +113,10 @@ def test_a_unigram_models_own_scores_are_used(tmp_path):
     for text in ("there is a the", "at the there", "this is that", "hat rat the re", "é is"):
         ids = codec.encode([text])[0].tolist()
         assert codec.decode(np.array(ids, np.int32)) == text and ids == library.encode(text), text
+
+
+def test_kept_columns_give_way_to_results(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, ids string, N_tokens int")
+    got = S.encode(df, keep=("doc_id", "ids", "N_tokens", "text"))
+    assert got.columns == ["doc_id", "text", "ids", "n_tokens", "restored"] and got.first().restored
+    assert S.decode(got, keep=("doc_id", "text")).columns == ["doc_id", "text"] and S.decode(got).first().text == "a b"
