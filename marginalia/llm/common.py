@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -193,9 +194,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each is one aggregate and one join, so a node with very many
     neighbours is pre-aggregated and its join rows are split by AQE. Self loops are ignored; an empty graph gives no rows.
+
+    A round's edges are written as Parquet and read again. A checkpoint would keep the size that was estimated for its plan, a
+    product over its joins, so that the number of its digits would grow fourfold with every round; a file's size is what it is.
     """
+    spark = prepare(edges.sparkSession)
+    folder, rounds = f"{checkpoint_folder(spark)}/components-{uuid.uuid4().hex}", 0
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{rounds}"
+        df.write.parquet(path)
+        return spark.read.schema("u long, v long").parquet(path)
+
     edges = edges.where("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    state = cut(edges.mapInArrow(_spanning, "u long, v long").distinct())
+    state = stored(edges.mapInArrow(_spanning, "u long, v long").distinct())
     before = None
     while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -203,10 +215,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
         small = large.join(least, F.col("u") == F.col("k"))
-        state = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        rounds += 1
+        state = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        remove_folder(spark, f"{folder}/{rounds - 1}")
         now = tuple(state.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("v") % 1000003)).first())
         if now == before or now[0] == 0:
             break
         before = now
+    state = cut(state)
+    remove_folder(spark, folder)
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
