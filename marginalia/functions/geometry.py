@@ -192,10 +192,13 @@ def column_gap(columns: Column) -> Column:
 
 def position_point(c: Column | str) -> Column:
     """struct<x, y> in points of a position string on the default page; null if it can't be read."""
-    p = parts(c)
-    numbers = F.forall(p, lambda x: x.try_cast("double").isNotNull()) & (F.size(p) >= 6)
-    at = lambda i, most: _limit(F.get(p, F.lit(i)).try_cast("double") * CONFIG.scale, F.lit(most))
-    return F.when(numbers, F.struct(at(4, CONFIG.page_width).alias("x"), at(5, CONFIG.page_height).alias("y")))
+
+    def read(p: Column) -> Column:
+        numbers = F.forall(p, lambda x: x.try_cast("double").isNotNull()) & (F.size(p) >= 6)
+        at = lambda i, most: _limit(F.get(p, F.lit(i)).try_cast("double") * CONFIG.scale, F.lit(most))
+        return F.when(numbers, F.struct(at(4, CONFIG.page_width).alias("x"), at(5, CONFIG.page_height).alias("y")))
+
+    return let(parts(c), read)
 
 
 def segments(start: Column, end: Column) -> Column:

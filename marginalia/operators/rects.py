@@ -27,13 +27,13 @@ def snake(sx: Column, sy: Column, ex: Column, ey: Column, left: Column, right: C
     return F.filter(F.transform(F.sequence(F.lit(0), n - 1), line), lambda r: r.getField("x1") > r.getField("x0")).cast(RECTS)
 
 
-def start_and_end(margins: Column) -> Column:
-    """struct<sx, sy, ex, ey> of an annotation row: its four coordinates, its point and width, its positions, else the page's margins."""
+def start_and_end(margins: Column, start: Column, end: Column) -> Column:
+    """struct<sx, sy, ex, ey> of an annotation row: its four coordinates, its point and width, its positions (points ``start`` and ``end``),
+    else the page's margins."""
     coordinates = F.col("coordinates")
     at = lambda i: F.get(coordinates, F.lit(i))
     make = lambda a, b, c, d: F.struct(a.cast("double").alias("sx"), b.cast("double").alias("sy"), c.cast("double").alias("ex"),
         d.cast("double").alias("ey"))
-    start, end = G.position_point("start_position"), G.position_point("end_position")
     sized = (F.abs("pdf_width") >= 0.01) & (F.abs("pdf_height") >= 0.01)
     own = F.when(sized, make(F.col("pdf_x"), F.col("pdf_y"), F.col("pdf_x") + F.col("pdf_width"), F.col("pdf_y"))).otherwise(
         make(F.col("pdf_x"), F.col("pdf_y"), F.coalesce(end.getField("x"), F.col("pdf_x") - 50), F.coalesce(end.getField("y"), F.col("pdf_y") + 48))
@@ -56,12 +56,17 @@ def from_margins(rows: DataFrame, margins: DataFrame, columns: DataFrame | None
         j = j.join(c, (j.book_id == c["_b"]) & (j.page == c["_p"]), "left").drop("_b", "_p")
     else:
         j = j.withColumn("_cs", F.lit(None).cast("array<struct<left:double,right:double,top:double,bottom:double>>"))
-    j = j.withColumn("_se", start_and_end(F.col("_m")))
-    j = j.withColumn("_c", G.column_of(F.col("_cs"), F.col("_se.sx"), F.col("_se.sy")))
+    # Unpacked from arrays of one: as plain columns they would be put into each other wherever they are used, and into filters that are
+    # pushed down, and positions would be parsed hundreds of times a row.
+    once = lambda df, name, c: df.select("*", F.explode(F.array(F.struct(c.alias("v")))).alias("_one")).select(*df.columns, F.col("_one.v").alias(name))
+    points = F.struct(G.position_point("start_position").alias("start"), G.position_point("end_position").alias("end"))
+    j = once(j, "_points", points)
+    j = once(j, "_se", start_and_end(F.col("_m"), F.col("_points.start"), F.col("_points.end")))
+    j = once(j, "_c", G.column_of(F.col("_cs"), F.col("_se.sx"), F.col("_se.sy")))
     left = F.coalesce("_c.left", "_m.left", F.lit(50.0))
     right = F.coalesce("_c.right", "_m.right", F.lit(G.CONFIG.page_width) - 50)
     made = F.when(F.col("_se").isNotNull(), snake(F.col("_se.sx"), F.col("_se.sy"), F.col("_se.ex"), F.col("_se.ey"), left, right))
-    return j.withColumn(out, made).drop("_m", "_cs", "_se", "_c")
+    return once(j.drop(out), out, made).drop("_m", "_cs", "_points", "_se", "_c")
 
 
 def select_lines(spans: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
