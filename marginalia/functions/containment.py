@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 8
 #: Parts up to this number are given to every task, so that what the wholes are cut into is never shuffled.
 SHARED_ROWS = 50_000
 
@@ -13,18 +12,19 @@ SHARED_ROWS = 50_000
 def contained(wholes: DataFrame, parts: DataFrame, whole: str, part: str) -> DataFrame:
     """Distinct (whole, part) of two tables' values where the whole holds the part, without comparing all with all.
 
-    A part is known by its first ``GRAM`` characters (by all where it has fewer). Short texts such as titles, names and words
-    are cut into their own parts of just those lengths that the keys have, seen in a count of them first. An empty part is
+    Short texts such as titles, names and words are cut into their own parts of just those lengths that the parts have, seen in a
+    count of them first, and what has a part's length and hash meets it. So parts that begin alike don't meet all that holds
+    their beginning: rows grow with what is found. A whole gives at most its length in rows for each of these lengths. An empty part is
     held by every text and meets them without a key; a null is held by none. ``parts`` are read twice.
     """
-    p = parts.select(F.col(part).alias(part)).where(F.col(part).isNotNull()).distinct().withColumn("_gram", F.substring(part, 1, GRAM))
+    p = parts.select(F.col(part).alias(part)).where(F.col(part).isNotNull()).distinct().withColumns({"_k": F.length(part), "_hash": F.xxhash64(part)})
     w = wholes.select(F.col(whole).alias(whole)).where(F.col(whole).isNotNull()).distinct()
-    counted = {r.n: r.k for r in p.groupBy(F.length("_gram").alias("n")).agg(F.count("*").alias("k")).collect()}  # at most nine rows
-    lengths = sorted(n for n in counted if n)
-    n = F.length(whole)
-    of_length = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(whole, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    grams = F.array_distinct(F.concat(*[of_length(k) for k in lengths])) if lengths else F.array().cast("array<string>")
-    keyed = p.where("_gram <> ''")
-    held = w.select(whole, F.explode(grams).alias("_gram")).join(F.broadcast(keyed) if sum(counted.values()) <= SHARED_ROWS else keyed, "_gram")
+    counted = {r.n: r.k for r in p.groupBy(F.col("_k").alias("n")).agg(F.count("*").alias("k")).collect()}  # a row for each length
+    lengths = F.array(*[F.lit(n) for n in sorted(counted) if n]).cast("array<int>")
+    keyed = p.where("_k > 0")
+    cuts = w.select(whole, F.explode(F.filter(lengths, lambda k: k <= F.length(whole))).alias("_k"))
+    each = F.transform(F.sequence(F.lit(1), F.length(whole) - F.col("_k") + 1), lambda i: F.xxhash64(F.substring(whole, i, F.col("_k"))))
+    cuts = cuts.select(whole, "_k", F.explode(F.array_distinct(each)).alias("_hash"))
+    held = cuts.join(F.broadcast(keyed) if sum(counted.values()) <= SHARED_ROWS else keyed, ["_k", "_hash"])
     held = held.where(F.contains(F.col(whole), F.col(part))).select(whole, part)
     return held.unionByName(w.withColumn(part, F.lit(""))) if counted.get(0) else held
