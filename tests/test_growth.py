@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia import session
 from marginalia.functions.containment import contained
 from marginalia.operators import rects
 
@@ -32,3 +33,20 @@ def test_titles_that_begin_alike_do_not_all_meet(spark, monkeypatch):
     got = contained(wholes, parts, "x", "y").collect()
     assert sorted(map(tuple, got)) == sorted((f"supplier{i}extra", f"supplier{str(i)[:k]}") for i in range(300) for k in range(1, len(str(i)) + 1))
     assert 0 < compared.value < 10 * 300
+
+
+def test_stored_rows_take_less_disk_than_a_checkpoint_and_go(spark):
+    import subprocess
+
+    folder = lambda: spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    size = lambda: int(subprocess.run(["du", "-sk", folder()], capture_output=True, text=True).stdout.split()[0])
+    rows = spark.range(20000).select("id", *[F.concat(F.lit(f"{i} 0 1 1 5 5 9 "), F.col("id") % 50).alias(f"c{i}") for i in range(12)])
+    session.prepare(spark)
+    at = size()
+    kept = session.cut(rows)
+    checkpoint = size() - at
+    got, path = session.stored(rows)
+    assert size() - at - checkpoint < checkpoint / 3
+    assert got.dtypes == rows.dtypes and got.exceptAll(kept).isEmpty() and got.count() == 20000
+    session.discard(spark, path)
+    assert size() - at <= checkpoint + 8
