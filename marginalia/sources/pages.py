@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from ..functions import maps
 from ..functions import text as T
@@ -56,24 +55,42 @@ def read_documents(spark: SparkSession, path: str, rows: Callable[[str, object],
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(run, kind)
 
 
-def page_words(words: DataFrame) -> DataFrame:
-    """(book_id, page, words): each page's words in reading order, struct<start, ord, piece, box>.
+def ordered_words(words: DataFrame) -> DataFrame:
+    """(book_id, page, words): each page's words in reading order, struct<ord, piece, box>.
 
-    Lines come in the order of their first words. ``start`` is where the word begins in the page's text, ``piece`` the word behind
-    what parts it from the one before: a line break where a line begins, else a space. Words are shuffled once, by
-    page; null words are left out.
+    Lines come in the order of their first words. ``piece`` is the word behind what parts it from the one before: a line break
+    where a line begins, else a space. Words are shuffled once, by page; null words are left out.
     """
-    w = words.where("word IS NOT NULL").select("book_id", "page", "block", "line", F.col("ord").cast("long").alias("ord"), "word", "x0", "y0", "x1", "y1")
-    page, ties = Window.partitionBy("book_id", "page"), ("block", "line", "ord", "word", "x0", "y0", "x1", "y1")
-    by_line = page.orderBy(*ties)
-    before = lambda c: F.lag(c).over(by_line)
-    w = w.withColumn("_fresh", before(F.lit(True)).isNull() | ~before("block").eqNullSafe(F.col("block")) | ~before("line").eqNullSafe(F.col("line")))
-    w = w.withColumn("_first", F.last(F.when(F.col("_fresh"), F.col("ord")), ignorenulls=True).over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
-    passed = F.sum(F.length("word") + 1).over(page.orderBy("_first", *ties).rowsBetween(Window.unboundedPreceding, -1))
-    w = w.withColumn("start", F.coalesce(passed, F.lit(0)).cast("int"))
-    item = F.struct("start", "ord", F.concat(F.when(F.col("_fresh"), "\n").otherwise(" "), "word").alias("piece"),
-        rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("box"))
-    return w.groupBy("book_id", "page").agg(F.sort_array(F.collect_list(item)).alias("words"))
+    fields = ("block", "line", F.col("ord").cast("long").alias("ord"), "word", "x0", "y0", "x1", "y1")
+    w = words.where("word IS NOT NULL").select("book_id", "page", F.struct(*fields).alias("_w"))
+    # One sort brings a page's words together; what windows told row by row, each with a sort of its own, is told inside the page's array.
+    p = w.groupBy("book_id", "page").agg(F.sort_array(F.collect_list("_w")).alias("_ws"))
+    # Each step is held by a lambda's variable: as columns they would be put into each other, and be computed again for every word.
+    def starts(ws: Column) -> Column:
+        differs = lambda x, y: ~x.getField("block").eqNullSafe(y.getField("block")) | ~x.getField("line").eqNullSafe(y.getField("line"))
+        return F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | differs(F.get(ws, i), F.get(ws, i - 1)))
+
+    def line_order(ws: Column, at: Column) -> Column:
+        ords = F.transform(at, lambda i: F.get(ws, i).getField("ord"))
+        known = lambda os, k: F.get(F.filter(F.reverse(F.slice(os, F.lit(1), k)), lambda o: o.isNotNull()), F.lit(0))
+        return T.let(ords, lambda os: F.sort_array(F.transform(os, lambda o, k: F.struct(F.coalesce(o, known(os, k)).alias("first"), k.alias("k")))))
+
+    def in_order(ws: Column, at: Column) -> Column:
+        item = lambda x, j: F.struct(x.getField("ord").alias("ord"), F.concat(F.when(j == 0, "\n").otherwise(" "), x.getField("word")).alias("piece"),
+            rect(*[x.getField(n) for n in ("x0", "y0", "x1", "y1")]).alias("box"))
+        line = lambda k: F.slice(ws, F.get(at, k) + 1, F.coalesce(F.get(at, k + 1), F.size(ws)) - F.get(at, k))
+        return F.flatten(F.transform(line_order(ws, at), lambda o: F.transform(line(o.getField("k")), item)))
+
+    made = T.let(F.col("_ws"), lambda ws: T.let(starts(ws), lambda at: in_order(ws, at)))
+    return p.select("book_id", "page", F.explode(F.array(made)).alias("words"))
+
+
+def page_words(words: DataFrame) -> DataFrame:
+    """Rows of :func:`ordered_words` whose words also have ``start``, where the word begins in the page's text: struct<start, ord, piece, box>."""
+    begins = lambda ws: maps.running_sums(F.transform(ws, lambda w: F.length(w.getField("piece"))))
+    item = lambda w, start: F.struct(start.alias("start"), *[w.getField(n).alias(n) for n in ("ord", "piece", "box")])
+    placed = T.let(F.col("words"), lambda ws: F.zip_with(ws, begins(ws), item))
+    return ordered_words(words).select("book_id", "page", F.explode(F.array(placed)).alias("words"))
 
 
 def text_of(words: str) -> Column:
@@ -84,7 +101,7 @@ def text_of(words: str) -> Column:
 
 def page_text(words: DataFrame) -> DataFrame:
     """Each page's text: words by their order, lines ended by line breaks."""
-    return page_words(words).select("book_id", "page", text_of("words").alias("text"))
+    return ordered_words(words).select("book_id", "page", text_of("words").alias("text"))
 
 
 def side(w: Column, k: Column) -> Column:
@@ -105,7 +122,7 @@ def page_chars(words: DataFrame) -> DataFrame:
         first = F.when(i == 0, 1).otherwise(0)
         return F.when(first <= n, F.transform(F.sequence(first, n), one)).otherwise(F.array().cast(CHARS))
 
-    return page_words(words).select("book_id", "page", text_of("words").alias("text"), F.flatten(F.transform("words", spelled)).cast(CHARS).alias("chars"))
+    return ordered_words(words).select("book_id", "page", text_of("words").alias("text"), F.flatten(F.transform("words", spelled)).cast(CHARS).alias("chars"))
 
 
 def lines(words: DataFrame) -> DataFrame:
@@ -148,9 +165,10 @@ def word_rects(words: Column, start: Column, end: Column) -> Column:
 
 
 def pages_of(phrases: DataFrame, words: DataFrame) -> DataFrame:
-    """(book_id, page, words, text) of the pages that have a row in ``phrases``; no other page's words are shuffled, and these once."""
-    sought = words.join(phrases.select("book_id", "page").distinct(), ["book_id", "page"], "left_semi")
-    return page_words(sought).withColumn("text", text_of("words"))
+    """(book_id, page, words, text) of the pages that have a row in ``phrases``; words are shuffled once, and where these pages are few no others."""
+    # Few pages that are sought go before the words are brought together (Spark moves the join there), many meet whole pages, not their words.
+    sought = page_words(words).join(phrases.select("book_id", "page").distinct(), ["book_id", "page"], "left_semi")
+    return sought.withColumn("text", text_of("words"))
 
 
 def search(phrases: DataFrame, words: DataFrame, *keys: str, phrase: str = "phrase") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia import session
 from marginalia.functions.containment import contained
 from marginalia.operators import rects
+from marginalia.sources import pages
 
 
 def test_positions_are_parsed_once_a_row(spark):
@@ -50,3 +51,13 @@ def test_stored_rows_take_less_disk_than_a_checkpoint_and_go(spark):
     assert got.dtypes == rows.dtypes and got.exceptAll(kept).isEmpty() and got.count() == 20000
     session.discard(spark, path)
     assert size() - at <= checkpoint + 8
+
+
+def test_words_of_a_page_are_sorted_in_its_array_alone(spark):
+    """A window over words sorts them once more, and holds all of a task's rows each time."""
+    w = spark.sql("SELECT concat('b', id % 2) AS book_id, 0 AS page, CAST(9 - id AS int) AS ord, 0 AS block, CAST(id % 2 + (id DIV 4) AS int) AS line, concat('w', id) AS word, "
+        "CAST(id AS double) AS x0, 1D AS y0, 5D AS x1, 6D AS y1 FROM range(8)")
+    made = pages.page_words(w)
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["book_id"]: [(x["start"], x["ord"], x["piece"]) for x in r["words"]] for r in made.collect()}
+    assert got == {"b0": [(0, 3, "\nw6"), (3, 5, " w4"), (6, 7, "\nw2"), (9, 9, " w0")], "b1": [(0, 2, "\nw7"), (3, 4, " w5"), (6, 6, "\nw3"), (9, 8, " w1")]}
