@@ -210,10 +210,13 @@ def store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (2, [_annotation("note", position, F.concat(F.lit("note "), k))]), (0, [_annotation("bookmark", position)]))
     whole = F.concat(F.lit(sidecar.SIGNATURE), _int(1), _int(2), old, new)
     content = F.when(F.col("s_suppkey") % 3 == 0, F.substring(whole, F.lit(1), F.length(whole) - 30)).otherwise(whole)
+    # Small tables are one part, and one task would write every file; the driver would move each to its place, and list each on its own.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = I.table(spark, sf_dir, "supplier").repartition(n, "s_suppkey")
     # The text writer passes bytes on as they are; what it puts at the end stands behind the store.
-    I.table(spark, sf_dir, "supplier").select(content.cast("string").alias("value")).write.option("encoding",
-        "ISO-8859-1").option("maxRecordsPerFile", 1).text(at)
-    got = sidecar.read_sidecars(spark, f"{at}/part-*")
+    dealt.select(content.cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("maxRecordsPerFile",
+        1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(at)
+    got = sidecar.read_sidecars(spark, at)
     return got.select("annotation_type", F.col("ord").cast("int").alias("ord"), "start_position", "note_text",
         F.date_format("creation_time", "yyyy-MM-dd'T'HH:mm:ss").alias("created"), F.col("error").isNotNull().alias("failed"))
 

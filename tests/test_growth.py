@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia import session
 from marginalia.functions.containment import contained
 from marginalia.operators import rects
+from marginalia.plans import catalog
 from marginalia.sources import pages
 
 
@@ -61,3 +62,10 @@ def test_words_of_a_page_are_sorted_in_its_array_alone(spark):
     assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
     got = {r["book_id"]: [(x["start"], x["ord"], x["piece"]) for x in r["words"]] for r in made.collect()}
     assert got == {"b0": [(0, 3, "\nw6"), (3, 5, " w4"), (6, 7, "\nw2"), (9, 9, " w0")], "b1": [(0, 2, "\nw7"), (3, 4, " w5"), (6, 6, "\nw3"), (9, 8, " w1")]}
+
+
+def test_store_files_are_written_by_all_tasks_and_listed_as_a_folder(spark):
+    got = catalog.QUERIES["store_files"](spark, "/root/testdata/sf0.01")
+    files = got.inputFiles()
+    assert len(files) == spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
+    assert len({f.rsplit("/part-", 1)[1][:5] for f in files}) > 1
