@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia import session
+from marginalia.functions import geometry as G
 from marginalia.functions.containment import contained
-from marginalia.operators import rects
+from marginalia.operators import annotations, rects
 from marginalia.plans import catalog
 from marginalia.sources import pages
 
@@ -69,3 +70,39 @@ def test_store_files_are_written_by_all_tasks_and_listed_as_a_folder(spark):
     files = got.inputFiles()
     assert len(files) == spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
     assert len({f.rsplit("/part-", 1)[1][:5] for f in files}) > 1
+
+
+def longest_method(df) -> int:
+    """Bytes of the longest method that is generated for ``df``; the JVM compiles none of more than 8000 and interprets it row by row."""
+    df.collect()  # the adaptive plan is known then
+    made = df._jdf.queryExecution().debug().codegenToSeq()
+    return max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.length()))
+
+
+def cuts(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toJSON().count("expressions.StringSplit\"")
+
+
+def resolved_rows(spark):
+    rows = spark.sql("SELECT 'b' AS book_id, id AS ord, 'annotation.personal.highlight' AS annotation_type, concat(id % 5, ' 0 1 1 100 50 9 14') AS start_position, "
+        "concat(id % 5, ' 0 1 1 300 ', 40 + 10 * id, if(id = 6, ' 9', ' 9 14')) AS end_position, CAST(NULL AS timestamp) AS creation_time, CAST(NULL AS string) AS note_text FROM range(7)")
+    box = "named_struct('x0', {0}D, 'y0', 0D, 'x1', 200D, 'y1', 700D)"
+    pages = spark.sql(f"SELECT 'b' AS book_id, page, 612D AS width, 792D AS height, cropbox FROM VALUES (0, {box.format(10)}), (1, {box.format(20)}), (1, {box.format(30)}), (3, {box.format(40)}) AS p(page, cropbox)")
+    return annotations.resolve(annotations.with_positions(rows), pages)
+
+
+def test_resolved_positions_are_cut_once_in_compiled_code(spark):
+    made = resolved_rows(spark)
+    assert cuts(made) == 2 and longest_method(made) < 8000
+    got = {r.ord: r for r in made.collect()}
+    assert [round(got[i].pdf_x) for i in range(7)] == [62, 42, 72, 32, 72, 62, 42]  # page 1 is there twice, pages 2 and 4 are not
+    assert got[6].pdf_y_end == 72.0
+
+
+def test_parts_of_odd_texts(spark):
+    import re
+
+    texts = ["1 0 2 3", " 1  2\t3 ", "", "  ", "1", "\x1c1 2\x1f", "1\x1c 2", "1 2 3", "aé b", "1 2 ", " \x1d 1 2", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", G.parts("t").alias("p"))
+    want = [None if t is None else re.split(r"[^\S\x1c-\x1f]+", re.sub(r"\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\Z", "", t)) for t in texts]
+    assert [r.p for r in rows.orderBy("i").collect()] == want
