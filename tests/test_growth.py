@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia import session
 from marginalia.functions import geometry as G
 from marginalia.functions.containment import contained
-from marginalia.operators import annotations, rects
+from marginalia.operators import adapter, annotations, rects
 from marginalia.plans import catalog
 from marginalia.sources import pages
 
@@ -106,3 +106,11 @@ def test_parts_of_odd_texts(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", G.parts("t").alias("p"))
     want = [None if t is None else re.split(r"[^\S\x1c-\x1f]+", re.sub(r"\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\Z", "", t)) for t in texts]
     assert [r.p for r in rows.orderBy("i").collect()] == want
+
+
+def test_adapted_positions_are_cut_once_in_compiled_code(spark):
+    made = adapter.adapt(resolved_rows(spark))
+    assert cuts(made) == 4 and longest_method(made) < 8000
+    got = {r.ord: r for r in made.collect()}
+    assert [got[i].is_multi_line for i in range(7)] == [False, False, False, True, True, True, False]
+    assert [round(x, 2) for x in got[3].coordinates] == [32.0, 36.0, 222.48, 60.48]
