@@ -12,21 +12,14 @@ from ..functions.geometry import rect
 from ..sources.pages import pages_of, side
 
 
-def positional_agreement(a: Column, b: Column) -> Column:
-    """How many places of two arrays hold the same value, as far as the shorter goes."""
-    n = F.least(F.size(a), F.size(b))
-    return F.when(n <= 0, 0).otherwise(F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda p, q: (p == q).cast("int")),
-        F.lit(0), lambda s, v: s + v))
-
-
 def best_window(tokens: Column, target: Column, least: float = 0.8) -> Column:
     """struct<size, start, score>: the first window of n, n-1 or n-2 tokens that agrees with the target in ``least`` of its n tokens; null if none does."""
     n = F.size(target)
 
     def of_size(size: Column) -> Column:
         starts = F.when((size > 0) & (F.size(tokens) >= size), F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
-        scored = F.transform(starts, lambda s: F.struct(size.alias("size"), s.alias("start"),
-            (positional_agreement(F.slice(tokens, s + 1, size), target) / n).alias("score")))
+        agree = lambda s: F.size(F.filter(F.zip_with(F.slice(tokens, s + 1, size), target, lambda p, q: p == q), lambda e: e))
+        scored = F.transform(starts, lambda s: F.struct(size.alias("size"), s.alias("start"), (agree(s) / n).alias("score")))
         return F.get(F.filter(scored, lambda x: x.getField("score") >= least), F.lit(0))
 
     return F.when(n > 0, F.coalesce(*[of_size(n - k) for k in range(3)]))
@@ -36,8 +29,9 @@ def token_windows(targets: DataFrame, pages: DataFrame, *keys: str, target: str
     """(book_id, page, keys, size, start, score) of targets found in their page's tokens."""
     p = pages.select("book_id", "page", T.tokenize("text").alias("_tokens"))
     j = targets.select("book_id", "page", *keys, T.tokenize(target).alias("_target")).join(p, ["book_id", "page"])
-    return j.withColumn("m", best_window(F.col("_tokens"), F.col("_target"))).where("m IS NOT NULL").select("book_id", "page", *keys, "m.size",
-        "m.start", "m.score")
+    # Unpacked from an array: a filter on the window would be pushed into the join, and every window be looked for twice.
+    found = F.filter(F.array(best_window(F.col("_tokens"), F.col("_target"))), lambda m: m.isNotNull())
+    return j.select("book_id", "page", *keys, F.explode(found).alias("m")).select("book_id", "page", *keys, "m.size", "m.start", "m.score")
 
 
 def token_rect(windows: DataFrame, words: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import maps, similarity, text as T
 from ..operators import matching, rects, tokens
-from ..session import cut
+from ..session import cut, stored
 from ..sources import pages as page_source
 from . import inputs as I
 from .registry import query
@@ -358,9 +358,10 @@ SELECT book_id, arg_min(size, struct_pack(s := -size, a := start)) AS size, CAST
 )
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four tokens of a page and a fifth that isn't there: the first window that agrees in four of five."""
-    pages = page_source.page_text(printed(spark, sf_dir))
-    target = pages.withColumn("_t", T.tokenize("text")).where(F.size("_t") >= 5).select("book_id", "page",
-        F.concat(F.array_join(F.slice("_t", 2, 4), " "), F.lit(" zz")).alias("content"))
+    pages, _ = stored(page_source.page_text(printed(spark, sf_dir)))  # read twice, so that words are put in order once
+    content = F.concat(F.array_join(F.slice("_t", 2, 4), " "), F.lit(" zz"))
+    target = pages.select("book_id", "page", T.tokenize("text").alias("_t")).select("book_id", "page",
+        F.explode(F.when(F.size("_t") >= 5, F.array(content))).alias("content"))
     return tokens.token_windows(target, pages).select("book_id", "size", "start", "score")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia import session
 from marginalia.functions import geometry as G
 from marginalia.functions.containment import contained
-from marginalia.operators import adapter, annotations, rects
+from marginalia.operators import adapter, annotations, rects, tokens
 from marginalia.plans import catalog
 from marginalia.sources import pages
 
@@ -114,3 +114,11 @@ def test_adapted_positions_are_cut_once_in_compiled_code(spark):
     got = {r.ord: r for r in made.collect()}
     assert [got[i].is_multi_line for i in range(7)] == [False, False, False, True, True, True, False]
     assert [round(x, 2) for x in got[3].coordinates] == [32.0, 36.0, 222.48, 60.48]
+
+
+def test_token_windows_are_looked_for_once(spark):
+    pages_ = spark.sql("SELECT concat('b', id) AS book_id, 0 AS page, concat('x', id, ' a b c d e f') AS text FROM range(3)")
+    targets = spark.sql("SELECT concat('b', id) AS book_id, 0 AS page, if(id = 1, 'q r s t u', 'b c d e zz') AS content FROM range(3)")
+    made = tokens.token_windows(targets, pages_)
+    assert made._jdf.queryExecution().optimizedPlan().toJSON().count("expressions.ZipWith\"") == 3  # one for each size
+    assert sorted(map(tuple, made.collect())) == [("b0", 0, 5, 2, 0.8), ("b2", 0, 5, 2, 0.8)]
