@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia import session
 from marginalia.functions import geometry as G
 from marginalia.functions.containment import contained
+from marginalia.functions.similarity import could_be_alike
 from marginalia.operators import adapter, annotations, rects, tokens
 from marginalia.plans import catalog
 from marginalia.sources import pages
@@ -120,5 +121,12 @@ def test_token_windows_are_looked_for_once(spark):
     pages_ = spark.sql("SELECT concat('b', id) AS book_id, 0 AS page, concat('x', id, ' a b c d e f') AS text FROM range(3)")
     targets = spark.sql("SELECT concat('b', id) AS book_id, 0 AS page, if(id = 1, 'q r s t u', 'b c d e zz') AS content FROM range(3)")
     made = tokens.token_windows(targets, pages_)
-    assert made._jdf.queryExecution().optimizedPlan().toJSON().count("expressions.ZipWith\"") == 3  # one for each size
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("zip_with(") == 3  # one for each size
     assert sorted(map(tuple, made.collect())) == [("b0", 0, 5, 2, 0.8), ("b2", 0, 5, 2, 0.8)]
+
+
+def test_characters_in_a_row_are_listed_once_a_text(spark):
+    rows = spark.sql("SELECT concat('abcdefghij', id) AS a, concat('abcdexfghij', id * 11) AS b FROM range(3)")
+    made = rows.select(could_be_alike("a", "b", 0.8).alias("c"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+    assert [r.c for r in made.collect()] == [True, True, True]
