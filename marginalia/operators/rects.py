@@ -78,13 +78,16 @@ def select_lines(spans: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
     picked = j.select(*[F.col(f"s.{k}").alias(k) for k in ("book_id", "page", *keys)], touches.alias("_t"),
         *[F.col(f"l.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")], F.col("l.ord").alias("line_ord"))
     any_touch = F.max("_t").over(Window.partitionBy("book_id", "page", *keys))
+    picked = picked.repartition("book_id", "page")  # serves this window and those by page that may follow, which would be a shuffle each
     return picked.withColumn("_any", any_touch).where("_t = _any").drop("_t", "_any")
 
 
 def from_lines(rows: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
     """(keys, rects): the lines between start and end positions, cut at both and held inside the text's sides."""
     a, b = G.position_point("start_position"), G.position_point("end_position")
-    s = rows.select("book_id", "page", *keys, a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    # Unpacked from an array: a filter on the points would be pushed down, even to rows that are made distinct first, and parse the positions there once more.
+    both = F.filter(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: p.getField("a").isNotNull() & p.getField("b").isNotNull())
+    s = rows.select("book_id", "page", *keys, F.explode(both).alias("_p")).select("book_id", "page", *keys, "_p.a", "_p.b")
     s = s.select("book_id", "page", *keys, F.least("a.y", "b.y").alias("top"), F.greatest("a.y", "b.y").alias("bottom"), F.col("a.x").alias("sx"),
         F.col("b.x").alias("ex"))
     got = select_lines(s, lines, "sx", "ex", *keys)

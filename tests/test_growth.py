@@ -130,3 +130,14 @@ def test_characters_in_a_row_are_listed_once_a_text(spark):
     made = rows.select(could_be_alike("a", "b", 0.8).alias("c"))
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
     assert [r.c for r in made.collect()] == [True, True, True]
+
+
+def test_positions_between_lines_are_parsed_once_a_row(spark):
+    words = spark.sql("SELECT concat('b', id % 2) AS book_id, 0 AS page, id AS ord, 0 AS block, CAST(id DIV 2 AS int) AS line, 10D AS x0, CAST(16 * (id DIV 2) AS double) AS y0, 90D AS x1, "
+        "CAST(16 * (id DIV 2) + 12 AS double) AS y1 FROM range(8)")
+    place = lambda x, y: F.concat(F.lit(f"0 0 1 1 {x} "), F.lit(y) + F.length("book_id"), F.lit(" 9 9"))
+    rows = words.select("book_id", "page").distinct().withColumns({"start_position": place(50, 10), "end_position": place(100, 40)})
+    made = rects.from_lines(rows, pages.lines(words))
+    assert cuts(made) == 2
+    got = {r.book_id: [(x.x0, x.y0, x.x1) for x in r.rects] for r in made.collect()}
+    assert got == {b: [(36.0, 0.0, 90.0), (10.0, 16.0, 72.0)] for b in ("b0", "b1")}
