@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia import session
 from marginalia.functions import geometry as G
+from marginalia.functions import maps
 from marginalia.functions.containment import contained
 from marginalia.functions.similarity import could_be_alike
 from marginalia.operators import adapter, annotations, rects, tokens
@@ -141,3 +142,10 @@ def test_positions_between_lines_are_parsed_once_a_row(spark):
     assert cuts(made) == 2
     got = {r.book_id: [(x.x0, x.y0, x.x1) for x in r.rects] for r in made.collect()}
     assert got == {b: [(36.0, 0.0, 90.0), (10.0, 16.0, 72.0)] for b in ("b0", "b1")}
+
+
+def test_index_maps_are_made_once(spark):
+    made = catalog.QUERIES["index_map"](spark, "/root/testdata/sf0.001")
+    once = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(maps.index_map("text").alias("m"))
+    listed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+    assert listed(made) == listed(once) > 0
