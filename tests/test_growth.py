@@ -9,7 +9,7 @@ from marginalia.functions import geometry as G
 from marginalia.functions import maps
 from marginalia.functions.containment import contained
 from marginalia.functions.similarity import could_be_alike
-from marginalia.operators import adapter, annotations, rects, tokens
+from marginalia.operators import adapter, annotations, matching, rects, tokens
 from marginalia.plans import catalog
 from marginalia.sources import pages
 
@@ -149,3 +149,26 @@ def test_index_maps_are_made_once(spark):
     once = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(maps.index_map("text").alias("m"))
     listed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
     assert listed(made) == listed(once) > 0
+
+
+def test_clippings_are_repaired_once_and_matched_in_compiled_code(spark):
+    page = "The fixation of be-\nlief is a ﬁne paper about how people settle their opinions, and it says that doubt is an uneasy state from which we struggle."
+    contents = ["settle their opinions", "The fixation of belief is a", "fine paper", "settle their opinions, and it says thatt doubt is an uneasy state from which we",
+        "settle their opinions, and it then goes astray in quite another way", "nothing of the kind", "  ", None]
+    sheets = spark.createDataFrame([(f"b{i}", 0, page if i != 9 else None) for i in range(10)], "book_id string, page int, text string")
+    clips = spark.createDataFrame([(f"b{i}", 0, i, c) for i, c in enumerate([*contents, "x", "y"])], "book_id string, page int, ord long, content string")
+    made = matching.match(clips, sheets, "book_id", "ord")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count(r"\.([A-Z])") == 1
+    assert longest_method(made) < 8000
+    got = {r.ord: (r.strategy, r.start) for r in made.collect()}
+    flat, form = (x.index("settle") + 1 for x in (page.replace("\n", " "), page.replace("-\n", "")))
+    assert got == {0: ("exact", flat), 1: ("normalised", 1), 2: ("exact", page.index("ﬁ") + 1), 3: ("anchored", form), 4: ("prefix", form), 5: (None, None),
+        8: ("exact", page.index("x") + 1), 9: (None, None)}
+
+
+def test_page_texts_shuffle_no_boxes(spark):
+    w = spark.sql("SELECT concat('b', id % 2) AS book_id, 0 AS page, CAST(9 - id AS int) AS ord, 0 AS block, CAST(id % 2 + (id DIV 4) AS int) AS line, concat('w', id) AS word, "
+        "CAST(id AS double) AS x0, 1D AS y0, 5D AS x1, 6D AS y1 FROM range(8)")
+    made = pages.page_text(w)
+    assert "x0" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.book_id: r.text for r in made.collect()} == {"b0": "w6 w4\nw2 w0", "b1": "w7 w5\nw3 w1"}
