@@ -203,7 +203,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def stored(df: DataFrame) -> DataFrame:
         path = f"{folder}/{rounds}"
-        df.write.parquet(path)
+        with session.no_shuffle_files(spark):
+            df.write.parquet(path)
         return spark.read.schema("u long, v long").parquet(path)
 
     edges = edges.where("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))

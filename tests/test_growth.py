@@ -57,6 +57,29 @@ def test_stored_rows_take_less_disk_than_a_checkpoint_and_go(spark):
     assert size() - at <= checkpoint + 8
 
 
+def shuffle_files(spark) -> int:
+    from pathlib import Path
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(1 for folder in manager.localDirsString() for _ in Path(folder).rglob("shuffle_*.data"))
+
+
+def test_what_is_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    rows = lambda: spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    session.prepare(spark)
+    before = shuffle_files(spark)
+    kept, (got, path) = session.cut(rows()), session.stored(rows())
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, got.collect())) == sorted(map(tuple, rows().collect()))
+    session.discard(spark, path)
+
+
 def test_words_of_a_page_are_sorted_in_its_array_alone(spark):
     """A window over words sorts them once more, and holds all of a task's rows each time."""
     w = spark.sql("SELECT concat('b', id % 2) AS book_id, 0 AS page, CAST(9 - id AS int) AS ord, 0 AS block, CAST(id % 2 + (id DIV 4) AS int) AS line, concat('w', id) AS word, "
