@@ -25,6 +25,8 @@ def contained(wholes: DataFrame, parts: DataFrame, whole: str, part: str) -> Dat
     cuts = w.select(whole, F.explode(F.filter(lengths, lambda k: k <= F.length(whole))).alias("_k"))
     each = F.transform(F.sequence(F.lit(1), F.length(whole) - F.col("_k") + 1), lambda i: F.xxhash64(F.substring(whole, i, F.col("_k"))))
     cuts = cuts.select(whole, "_k", F.explode(F.array_distinct(each)).alias("_hash"))
-    held = cuts.join(F.broadcast(keyed) if sum(counted.values()) <= SHARED_ROWS else keyed, ["_k", "_hash"])
+    # Spark doesn't know how many rows a whole is cut into: by its estimate millions of cuts of a small table would be brought to the driver to be given to all.
+    few = sum(counted.values()) <= SHARED_ROWS
+    held = cuts.join(F.broadcast(keyed), ["_k", "_hash"]) if few else cuts.hint("merge").join(keyed, ["_k", "_hash"])
     held = held.where(F.contains(F.col(whole), F.col(part))).select(whole, part)
     return held.unionByName(w.withColumn(part, F.lit(""))) if counted.get(0) else held

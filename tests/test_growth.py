@@ -40,6 +40,17 @@ def test_titles_that_begin_alike_do_not_all_meet(spark, monkeypatch):
     assert 0 < compared.value < 10 * 300
 
 
+def test_many_titles_are_matched_without_the_driver(spark, monkeypatch):
+    from marginalia.functions import containment
+
+    monkeypatch.setattr(containment, "SHARED_ROWS", 2)
+    books = spark.range(6).select(F.concat(F.lit("b"), F.col("id")).alias("book_id"), F.concat(F.lit("My Book_"), F.col("id")).alias("title"), F.col("id").alias("ord"))
+    clips = spark.range(6).select("id", F.concat(F.lit("my-book "), F.col("id"), F.lit(" extra")).alias("title"))
+    made = matching.first_title(clips, books)
+    assert sorted((r.id, r.book_id) for r in made.collect()) == [(i, f"b{i}") for i in range(6)]
+    assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_rows_take_less_disk_than_a_checkpoint_and_go(spark):
     import subprocess
 
