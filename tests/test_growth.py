@@ -91,6 +91,15 @@ def test_what_is_cut_leaves_no_shuffle_files(spark):
     session.discard(spark, path)
 
 
+def test_rows_to_unify_are_shuffled_once(spark):
+    from marginalia.operators import dedup
+
+    got, folder = session.stored(resolved_rows(spark))
+    plan = dedup.unify(got)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
+    session.discard(spark, folder)
+
+
 def test_words_of_a_page_are_sorted_in_its_array_alone(spark):
     """A window over words sorts them once more, and holds all of a task's rows each time."""
     w = spark.sql("SELECT concat('b', id % 2) AS book_id, 0 AS page, CAST(9 - id AS int) AS ord, 0 AS block, CAST(id % 2 + (id DIV 4) AS int) AS line, concat('w', id) AS word, "
@@ -152,6 +161,21 @@ def test_adapted_positions_are_cut_once_in_compiled_code(spark):
     assert [round(x, 2) for x in got[3].coordinates] == [32.0, 36.0, 222.48, 60.48]
 
 
+def test_draw_commands_remove_what_their_rows_were_read_from(spark):
+    from pathlib import Path
+
+    from marginalia.plans import pipeline
+
+    session.prepare(spark)
+    rows = resolved_rows(spark).withColumn("precise_rects", F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+    got, folder = session.stored(rows)
+    sheets = spark.sql("SELECT 'b' AS book_id, CAST(id AS int) AS page, 612D AS width, 792D AS height FROM range(5)")
+    words = spark.sql("SELECT 'b' AS book_id, 0 AS page, id AS ord, 0 AS block, 0 AS line, 'w' AS word, 10D AS x0, 36D AS y0, 90D AS x1, 48D AS y1 FROM range(2)")
+    made = pipeline.draw_commands(got, sheets, words, [folder])
+    assert not Path(folder.removeprefix("file:")).exists()
+    assert {(r.ord, r.command) for r in made.collect()} == {(i, "highlight") for i in range(7)}
+
+
 def test_token_windows_are_looked_for_once(spark):
     pages_ = spark.sql("SELECT concat('b', id) AS book_id, 0 AS page, concat('x', id, ' a b c d e f') AS text FROM range(3)")
     targets = spark.sql("SELECT concat('b', id) AS book_id, 0 AS page, if(id = 1, 'q r s t u', 'b c d e zz') AS content FROM range(3)")
